@@ -129,3 +129,27 @@ def failure_reports(spark: SparkSession, sf: str) -> DataFrame:
         F.when(e % 17 == 0, F.lit(None)).otherwise(F.concat(F.lit("1."), (e % 3).cast("string"))).alias("version"),
         duration_bucket(F.floor(F.col("value") * 40)).alias("duration_bucket"),
         size_bucket(F.floor(F.col("value") * 700)).alias("output_length_bucket"))
+
+
+# Evidence put on some lines, so that the fidelity operators meet every signal.
+SIGNAL_LINES = ["ERROR:  relation missing ", "see CVE-2024-1234 and CVE-2021-44228 ", "Traceback (most recent call last)",
+                "FAILED tests/test_a.py:12 ", "src/main.rs:7:3: error: bad ", "    at a.b.C.run(C.java:5)", "module must be replaced ",
+                "Plan: 1 to add, 2 to change, 3 to destroy.", "diff --git a/x.py b/x.py", "+added ", "-removed ", "3 tests failed ",
+                "id 123e4567-e89b-12d3-a456-426614174000 ABC-123 UTF-8 ", "panic: oh "]
+
+
+def signal_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """(run_id, command, exit_code, before, after): every (run_id mod 9 + 2)-th line
+    becomes evidence; ``after`` is the head/tail reduction."""
+    from runsift.operators.reduce import head_tail
+    marks = F.array(*map(F.lit, SIGNAL_LINES))
+    step = (F.col("run_id") % 9 + 2).cast("int")
+    seed = F.col("run_id").cast("int")
+    text = F.transform(F.split("text", "\n"), lambda x, i: F.when(
+        i % step == 1, F.concat(F.get(marks, (F.floor(i / step).cast("int") + seed) % len(SIGNAL_LINES)), F.substring(x, 1, 9))).otherwise(x))
+    k = F.col("run_id") % 5
+    command = F.when(k == 0, "git diff HEAD").when(k == 1, "git diff --stat").when(k == 2, "ls -la").when(
+        k == 3, "mvn test").otherwise("psql")
+    d = docs(spark, sf).select("run_id", command.alias("command"), (F.col("run_id") % 3).cast("int").alias("exit_code"),
+                               F.array_join(text, "\n").alias("before"))
+    return d.withColumn("after", head_tail(F.col("before"), 2, 3))

@@ -97,3 +97,52 @@ SESSION_EVENTS = """session_events AS (SELECT user_id || '-' || strftime(ts, '%Y
    WHEN 4 THEN 'EACCES: permission denied' WHEN 5 THEN '' ELSE 'exit status 2' || chr(10) || 'second line' END)
    ELSE 'ok ' || props END AS output, event_id % 50 = 0 AS filtered,
   CASE WHEN event_id % 2 = 0 THEN '/w/' || (user_id % 9) END AS cwd FROM events)"""
+
+
+def q(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def redacted(t: str) -> str:
+    from runsift.functions.redact import REDACTIONS
+    for pattern, label in REDACTIONS:
+        t = f"regexp_replace({t}, {q(pattern)}, {q(label.replace('$1', chr(92) + '1'))}, 'g')"
+    return t
+
+
+def rule_values(name: str = "rules") -> str:
+    from runsift.sources.rules import definitions
+    rows = ", ".join(f"({q(d['name'])}, {q(c)})" for d in definitions().values() for c in d["commands"])
+    return f"{name} AS (SELECT * FROM (VALUES {rows}) AS v(rule, prefix))"
+
+
+def normalized(c: str) -> str:
+    return rf"lower(regexp_replace({trim(c)}, '\s+', ' ', 'g'))"
+
+
+def plain(x: str) -> str:
+    return x
+
+
+def distinct_in_order(x: str) -> str:
+    return f"list_filter({x}, lambda dv, di: list_position({x}, dv) = di)"
+
+
+SEG_RE = r"""(?s)(?:\\.|'[^']*'|"(?:\\.|[^"\\])*"|[^'";&|\n\r\\])+"""
+QUOTE_RE = r"""(?s)\\.|'[^']*'|"(?:\\.|[^"\\])*\""""
+
+
+def segments(c: str) -> str:
+    return (f"list_filter(list_transform(regexp_extract_all({c}, {q(SEG_RE)}), lambda s: {trim('s')}), "
+            f"lambda s: s <> '')")
+
+
+def split_error(c: str) -> str:
+    rest = f"regexp_replace({c}, {q(QUOTE_RE)}, ' ', 'g')"
+    sq, dq, here = f"instr({rest}, chr(39))", f"instr({rest}, chr(34))", f"instr({rest}, '<<')"
+    first = f"CASE WHEN {sq} = 0 AND {dq} = 0 THEN 0 WHEN {sq} = 0 THEN {dq} WHEN {dq} = 0 THEN {sq} ELSE least({sq}, {dq}) END"
+    return (f"CASE WHEN {here} > 0 AND ({first} = 0 OR {here} < {first}) THEN 'here-document' "
+            f"WHEN suffix({rest}, chr(92)) AND {sq} = 0 THEN 'dangling escape' "
+            f"WHEN {first} > 0 AND {first} = {sq} THEN 'unclosed single quote' "
+            f"WHEN {first} > 0 THEN 'unclosed double quote' END")
