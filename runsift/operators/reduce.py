@@ -194,7 +194,9 @@ def grouping(text: Column, pattern: Column | str = "(.*)", include_other: Column
     other_on = F.lit(include_other) if isinstance(include_other, bool) else include_other
 
     def build(lines: Column) -> Column:
-        hits = F.filter(lines, lambda x: F.rlike(x, pat))
+        # a pattern column is matched through regexp_instr, which keeps the compiled
+        # pattern while the value repeats
+        hits = F.filter(lines, lambda x: x.rlike(pattern) if isinstance(pattern, str) else F.regexp_instr(x, pat) > 0)
         keys = F.transform(hits, lambda x: trim_ctl(F.call_function("regexp_extract", x, pat, F.lit(1))))
         misses = F.size(lines) - F.size(hits)
         others = F.when(other_on & (misses > 0), F.array_repeat(F.lit("(other)"), misses)).otherwise(
@@ -385,24 +387,26 @@ def _json_skeleton(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def json_structure(text: Column) -> Column:
+def json_structure(text: Column, active: Column | bool = True) -> Column:
     """JSON value to a type skeleton; text that is not JSON is unchanged.
 
     JSON nests freely, so the reshaping runs in Arrow batches; only rows that
     start like JSON are handed over, the others travel as NULL.
     """
-    looks = text.rlike(r"^\s*[\{\[\"0-9tfn-]")
+    live = F.lit(active) if isinstance(active, bool) else active
+    looks = live & text.rlike(r"^\s*[\{\[\"0-9tfn-]")
     return F.coalesce(_json_skeleton(F.when(looks, text)), text)
 
 
-def large_document(text: Column, ultra_compact: Column | bool = False) -> Column:
+def large_document(text: Column, ultra_compact: Column | bool = False, active: Column | bool = True) -> Column:
     """Long text to head and tail, large JSON to its skeleton, the rest verbatim."""
     compact = F.lit(ultra_compact) if isinstance(ultra_compact, bool) else ultra_compact
     first = trim_ctl(F.coalesce(F.try_element_at(lines_of(text), F.lit(1)), F.lit("")))
     is_json = first.startswith("{") | first.startswith("[")
     oversize = compact | (F.octet_length(text) > JSON_VERBATIM_BYTES)
     body = trim_ctl(text)
-    skeleton = _json_skeleton(F.when(is_json & oversize, body))
+    live = F.lit(active) if isinstance(active, bool) else active
+    skeleton = _json_skeleton(F.when(live & is_json & oversize, body))
     omitted = F.greatest(F.lit(0), F.octet_length(text) - F.octet_length(skeleton))
     shown = F.when(skeleton == body, text).otherwise(
         F.concat(F.format_string("... (JSON skeleton, %d bytes omitted) ...\n", omitted), skeleton))
