@@ -981,3 +981,54 @@ def test_summary(df: DataFrame, tool: str) -> DataFrame:
 
 def findings(df: DataFrame, kind: str) -> DataFrame:
     return rows(df, {"json": lint_json_findings, "text": lint_text_findings}[kind](F.col("text")))
+
+
+# --- E4 plain test log -------------------------------------------------------------------------
+
+GO_RUN, GO_PAUSE = r"^===\s+(?:RUN|CONT)\s+(\S+).*$", r"^===\s+PAUSE\s+(\S+).*$"
+GO_FAIL, GO_PASS = r"^(?:--- )?FAIL:\s+([^\s(]+).*$", r"^--- (?:PASS|SKIP):\s+([^\s(]+).*$"
+GO_NOTE = "... (diagnostics omitted) ..."
+
+
+def go_plain_failures(df: DataFrame, key: str = "run_id") -> DataFrame:
+    """(run_id, seq, name, diagnostics) of a test log without JSON.
+
+    An indented line belongs to the last started test unless that test has paused
+    or ended since; lines without an owner go to the next failure that has none of
+    its own. The windows run per text: their rows were one input row, so a
+    partition cannot outgrow a captured run.
+    """
+    lines = df.select(key, F.posexplode(lines_of(nn(F.col("text")))).alias("no", "line"))
+    lines = lines.withColumn("t", trim_ctl(F.col("line"))).where("t <> ''")
+    t = F.col("t")
+    kind = (F.when(t.rlike(GO_RUN), "run").when(t.rlike(GO_PAUSE), "pause").when(t.rlike(GO_FAIL), "fail")
+            .when(t.rlike(GO_PASS), "pass").when(F.col("line").rlike(r"^[ \t]"), "diag"))
+    name = F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in (GO_RUN, GO_PAUSE, GO_FAIL, GO_PASS)])
+    ev = lines.select(key, "no", "t", kind.alias("kind"), name.alias("name")).where("kind IS NOT NULL")
+    run = W.partitionBy(key).orderBy("no")
+    before = lambda *cols: W.partitionBy(*cols).orderBy("no").rowsBetween(W.unboundedPreceding, -1)
+    ends = F.col("kind").isin("fail", "pass")
+    ev = ev.withColumn("blk", F.sum((F.col("kind") == "run").cast("int")).over(run))
+    block = W.partitionBy(key, "blk")
+    ev = ev.withColumn("cur", F.max(F.when(F.col("kind") == "run", F.col("name"))).over(block))
+    ev = ev.withColumn("done", F.min(F.when((F.col("kind").isin("pause", "fail", "pass")) & (F.col("name") == F.col("cur")), F.col("no"))).over(block))
+    owned = (F.col("kind") == "diag") & F.col("cur").isNotNull() & (F.col("done").isNull() | (F.col("no") < F.col("done")))
+    ev = ev.withColumn("owner", F.when(owned, F.col("cur")))
+    ev = ev.withColumn("k", F.coalesce(F.when(ends, F.col("name")), F.col("owner")))
+    ev = ev.withColumn("epoch", F.coalesce(F.sum(ends.cast("int")).over(before(key, "k")), F.lit(0)))
+
+    def first_lines(rows_: DataFrame, keys: list[str], note: bool) -> DataFrame:
+        ranked = rows_.withColumn("rk", F.row_number().over(W.partitionBy(*keys).orderBy("no")))
+        shown = F.array_sort(F.collect_list(F.when(F.col("rk") <= GO_CAP, F.struct("rk", "t"))))
+        text = F.array_join(F.transform(shown, lambda x: x["t"]), "\n")
+        more = F.when(F.count("*") > GO_CAP, F.lit("\n" + GO_NOTE)).otherwise("") if note else F.lit("")
+        return ranked.groupBy(*keys).agg(F.concat(text, more).alias("d"))
+
+    own = first_lines(ev.where("owner IS NOT NULL"), [key, "k", "epoch"], True).withColumnRenamed("d", "own")
+    ev = ev.join(own, [key, "k", "epoch"], "left")
+    clears = F.col("kind").isin("run", "pass") | ((F.col("kind") == "fail") & F.col("own").isNull())
+    ev = ev.withColumn("gap", F.coalesce(F.sum(clears.cast("int")).over(before(key)), F.lit(0)))
+    loose = first_lines(ev.where("kind = 'diag' AND owner IS NULL"), [key, "gap"], False).withColumnRenamed("d", "loose")
+    fails = ev.where("kind = 'fail'").join(loose, [key, "gap"], "left")
+    return fails.select(key, F.row_number().over(W.partitionBy(key).orderBy("no")).alias("seq"), "name",
+                        F.coalesce("own", "loose", F.lit("")).alias("diagnostics"))

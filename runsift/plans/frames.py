@@ -43,6 +43,15 @@ def doc_lines_text(spark: SparkSession, sf: str, line) -> DataFrame:
         "text", F.array_join(F.transform(F.split("text", "\n"), line), "\n"))
 
 
+def rewrite(spark: SparkSession, sf: str, body: str) -> DataFrame:
+    """Tool-like text per document from one SQL expression per line: ``x`` is the
+    line and ``{i}`` its position from 0 (the DuckDB twin is `sql.rewritten`)."""
+    body = body.replace("{i}", "k").replace("run_id", "doc_id")
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("run_id"), F.col("source").alias("command"),
+        F.expr(f"array_join(transform(split(text, chr(10)), (x, k) -> {body}), chr(10))").alias("text"))
+
+
 def hit_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Search hits: seven files, numbered lines."""
     return doc_lines_text(spark, sf, lambda x, i: F.concat(

@@ -79,15 +79,20 @@ def prepare_runs(runs: DataFrame, defs: Mapping[str, Mapping] | None = None) ->
     return out.drop("select_input", "passthrough_nonzero_exit", "passthrough_verbose", "passthrough_max_lines")
 
 
-def run_pipeline(runs: DataFrame, defs: Mapping[str, Mapping] | None = None) -> DataFrame:
+def run_pipeline(runs: DataFrame, defs: Mapping[str, Mapping] | None = None, prune: bool = True) -> DataFrame:
     """Reduced text per run with the checks applied.
 
     Adds rule, text_out, was_filtered, incident, detail, gate_kind, raw_tokens and
     out_tokens. A lost signal or an inflated clean run falls back to the whole
-    original; every step is row-local behind the rule lookup.
+    original; every step is row-local behind the rule lookup. ``prune`` leaves out
+    the branches of rules that no command matches, which keeps the plan small.
     """
     defs = defs or definitions()
     prep = prepare_runs(runs, defs)
+    if prune:
+        # one pass over the command column; at most one row per rule comes back
+        present = {r["rule"] for r in prep.select("rule").where("rule IS NOT NULL").distinct().collect()}
+        defs = {k: d for k, d in defs.items() if k in present}
     run = RunColumns(nn(F.col("command")), F.col("exit_code"), nn(F.col("stdout")), F.col("verbose"), F.col("ultra_compact"), F.lit(True))
     open_rule = F.when(F.col("gate").isNull(), F.col("rule"))
     out = prep.withColumn("reduced", reduce_text(F.col("text"), open_rule, defs, run))

@@ -62,11 +62,16 @@ DOC_RUNS = ("doc_runs AS (SELECT d.doc_id AS run_id, d.source AS command, d.lang
 
 def rewritten(expr: str, name: str = "docs") -> str:
     """Documents with each line rewritten; ``x`` is the line, ``i`` counts from 0."""
-    body = expr.replace("{i}", "(k - 1)")
+    body = expr.replace("{i}", "(k - 1)").replace("run_id", "doc_id")
     return (f"{name} AS (SELECT doc_id AS run_id, source AS command, array_to_string(list_transform("
             f"string_split(text, chr(10)), lambda x, k: {body}), chr(10)) AS text FROM documents)")
 
 
+def line_rows(name: str = "x", frame: str = "docs") -> str:
+    """(run_id, line, no) with ``no`` from 1."""
+    return (f"{name} AS (SELECT run_id, unnest({lines('text')}) AS line, generate_subscripts({lines('text')}, 1) AS no FROM {frame})")
+
+
 HITS = rewritten("'src/f' || ({i} % 7) || '.py:' || {i} || ': ' || x")
 PATHS = rewritten("'d' || ({i} % 3) || CASE WHEN {i} % 2 = 0 THEN '/s' || ({i} % 5) ELSE '' END || '/n' || length(x) "
                   "|| '_' || {i} || CASE {i} % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.txt' WHEN 2 THEN '.rs' ELSE '' END")
