@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from runsift.functions.text import let, trim_ctl
 
-# Words with a special role in a shell command.
+# Words with a special role in a shell command. Repeated groups are
+# possessive: they need no backtracking, and a long string costs no regex stack.
 WRAPPERS = ["sudo", "env", "nohup", "time", "command", "builtin"]
 DYNAMIC = ["eval", "exec", "source", "."]
 OPERAND_OPTIONS = ["-u", "-C", "-g"]
-QUOTED = r"""\\.|'[^']*'|"(?:\\.|[^"\\])*\""""
-SEGMENT = r"""(?s)(?:\\.|'[^']*'|"(?:\\.|[^"\\])*"|[^'";&|\n\r\\])+"""
-WORD = r"""(?s)[<>][<>&]*|(?:\\.|'[^']*'|"(?:\\.|[^"\\])*"|[^\s'"<>\\])+"""
+QUOTED = r"""\\.|'[^']*+'|"(?:\\.|[^"\\])*+\""""
+SEGMENT = r"""(?s)(?:\\.|'[^']*+'|"(?:\\.|[^"\\])*+"|[^'";&|\n\r\\])++"""
+WORD = r"""(?s)[<>][<>&]*|(?:\\.|'[^']*+'|"(?:\\.|[^"\\])*+"|[^\s'"<>\\])++"""
 ENV_ASSIGNMENT = r"^[a-zA-Z_][a-zA-Z0-9_]*=.*$"
 REASON_HEREDOC = "here-document"
 REASON_ESCAPE = "dangling escape"

@@ -798,7 +798,7 @@ VALIDATE_JSON = ("struct<valid:boolean,error_count:int,warning_count:int,diagnos
 
 def json_depth(text: Column) -> Column:
     """Nesting depth of a JSON text, strings left out."""
-    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:\\.|[^"\\])*+"', ""), r"[^\[\]{}]", "")
     step = F.transform(F.filter(F.split(marks, ""), lambda c: c != ""), lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1))
     return F.aggregate(step, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), lambda a, s: F.struct(
         (a["d"] + s).alias("d"), F.greatest(a["m"], a["d"] + s).alias("m")), lambda a: a["m"])
