@@ -87,6 +87,42 @@ def line_diff_counts(df: DataFrame, before: str = "before", after: str = "after"
         F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("added"))
 
 
+def diff_in_row(before: Column, after: Column, samples: int = 32) -> Column:
+    """struct(kept, dropped, added, dropped_sample, added_sample) of two texts of one row.
+
+    Both sides are numbered per equal line and sorted together, so a kept line
+    stands next to its partner: two sorts inside the row, no shuffle.
+    """
+    def numbered(lines: Column, side: int) -> Column:
+        order = F.array_sort(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("idx"))))
+
+        def number(s: Column) -> Column:
+            starts = F.array_compact(F.transform(s, lambda x, i: F.when(
+                (i == 0) | (F.get(s, i - 1)["line"] != x["line"]), i + 1)))
+            return let(starts, lambda st: F.flatten(F.transform(st, lambda p, j: F.transform(
+                F.slice(s, p, F.coalesce(F.get(st, j + 1), F.size(s) + 1) - p), lambda x, k: F.struct(
+                    x["line"].alias("line"), k.alias("n"), F.lit(side).alias("side"), x["idx"].alias("idx"))))))
+        return let(order, number)
+
+    def compare(m: Column) -> Column:
+        def pair(a: Column, b: Column) -> Column:
+            return F.coalesce((a["line"] == b["line"]) & (a["n"] == b["n"]), F.lit(False))
+        lone = F.filter(m, lambda x, i: ~pair(x, F.get(m, i + 1)) & ~pair(x, F.get(m, i - 1)))
+        return let(F.struct(F.size(m).alias("n"), lone.alias("lone")), lambda p: let(F.struct(
+            p["n"].alias("n"), of_side(p["lone"], 0).alias("d"), of_side(p["lone"], 1).alias("a")), finish))
+
+    def of_side(lone: Column, side: int) -> Column:
+        own = F.filter(lone, lambda x: x["side"] == side)
+        return F.array_sort(F.transform(own, lambda x: F.struct(x["idx"].alias("idx"), x["line"].alias("line"))))
+
+    def finish(p: Column) -> Column:
+        d, a = F.size(p["d"]), F.size(p["a"])
+        sample = lambda c: F.transform(F.slice(p[c], 1, samples), lambda x: x["line"])
+        return F.struct(((p["n"] - d - a) / 2).cast("bigint").alias("kept"), d.cast("bigint").alias("dropped"), a.cast("bigint").alias("added"),
+                        sample("d").alias("dropped_sample"), sample("a").alias("added_sample"))
+    return let(F.array_sort(F.concat(numbered(lines_raw_of(nn(before)), 0), numbered(lines_raw_of(nn(after)), 1))), compare)
+
+
 # --- D2 ---------------------------------------------------------------------
 
 def _signal(kind: str, values: Column) -> Column:

@@ -6,10 +6,9 @@ import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runsift.functions.text import lines_raw_of, nn
+from runsift.functions.text import let, lines_raw_of, nn
 from runsift.functions.tokens import ESTIMATOR, estimate_tokens
 from runsift.operators import fidelity as D
 from runsift.operators import prepare as P
@@ -131,41 +130,36 @@ SAMPLES = 32
 def explain(runs: DataFrame, stages: list[Mapping], text: str = "text") -> DataFrame:
     """One row per run and stage: lines and tokens in and out, and what changed.
 
-    Stage outputs are columns of one pass over the runs. The line counts come from
-    one count per distinct line and side, which combines before it shuffles.
+    Each stage output is bound once and handed to the next stage, and the line
+    diff of a stage is computed inside the row: a corpus is explained in one scan.
     """
     run = RunColumns(nn(F.col("command")), F.col("exit_code") if "exit_code" in runs.columns else F.lit(0), nn(F.col(text)),
                      F.lit(0), F.lit(False), F.lit(True))
-    steps, current, stopped = [], nn(F.col(text)), F.lit(False)
-    for i, p in enumerate(stages):
+
+    def chain(i: int, current: Column, stopped: Column) -> Column:
+        p = stages[i]
         st = stage(p["strategy"])
         out = st.fn(current, run, p)
         nxt, stop = out if isinstance(out, tuple) else (out, F.lit(False))
-        after = F.when(stopped, current).otherwise(nxt)
-        steps.append(F.struct(F.lit(i).alias("stage_no"), F.lit(st.name).alias("stage"), F.lit(st.streamability).alias("streamability"),
-                              F.when(stopped, "skipped").when(stop, "short_circuited").otherwise("ran").alias("status"),
-                              current.alias("before"), after.alias("after")))
-        current, stopped = after, stopped | stop
-    per = runs.select("run_id", F.explode(F.array(*steps)).alias("s")).select("run_id", "s.*")
+        row = F.struct(F.lit(i).alias("stage_no"), F.lit(st.name).alias("stage"), F.lit(st.streamability).alias("streamability"),
+                       F.when(stopped, "skipped").when(stop, "short_circuited").otherwise("ran").alias("status"),
+                       current.alias("before"), F.when(stopped, current).otherwise(nxt).alias("after"))
+        if i + 1 == len(stages):
+            return F.array(row)
+        return let(row, lambda r: F.concat(F.array(r), chain(i + 1, r["after"], r["status"] != "ran")))
+
+    per = runs.select("run_id", F.explode(chain(0, nn(F.col(text)), F.lit(False))).alias("s")).select("run_id", "s.*")
     skipped = F.col("status") == "skipped"
-    sizes = per.select(
-        "run_id", "stage_no", "stage", "streamability", "status",
+    b, a = F.col("before"), F.col("after")
+    per = per.withColumn("d", D.diff_in_row(b, a, SAMPLES))
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("bigint")
+    count = lambda c: F.when(skipped, zero).otherwise(F.col(f"d.{c}"))
+    return per.select(
+        "run_id", "stage_no", "stage", "status", "streamability",
         *[F.when(skipped, 0).otherwise(c).alias(n) for n, c in (
-            ("input_lines", F.size(lines_raw_of(F.col("before")))), ("output_lines", F.size(lines_raw_of(F.col("after")))),
-            ("input_tokens", estimate_tokens(F.col("before"))), ("output_tokens", estimate_tokens(F.col("after"))))])
-    live = per.where(~skipped).withColumn("k", F.struct("run_id", "stage_no"))
-    counts = D.line_diff_counts(live, key="k").select("k.run_id", "k.stage_no", "kept", "dropped", "added")
-    diff = D.line_diff(live, key="k").where("side <> 'kept'")
-    ranked = diff.withColumn("rk", F.row_number().over(W.partitionBy("k", "side").orderBy("line_no"))).where(F.col("rk") <= SAMPLES)
-    samples = ranked.groupBy("k.run_id", "k.stage_no").agg(*[
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("rk", "line")))), lambda x: x["line"]).alias(f"{s}_sample")
-        for s in ("dropped", "added")])
-    zero = F.lit(0).cast("bigint")
-    out = sizes.join(counts, ["run_id", "stage_no"], "left").join(samples, ["run_id", "stage_no"], "left")
-    none = F.array().cast("array<string>")
-    return out.select(
-        "run_id", "stage_no", "stage", "status", "streamability", "input_lines", "output_lines", "input_tokens", "output_tokens",
-        F.coalesce("dropped", zero).alias("dropped_lines"), F.coalesce("added", zero).alias("added_lines"),
-        F.coalesce("kept", zero).alias("kept_lines"), (F.col("status") == "short_circuited").alias("short_circuit"),
-        F.coalesce("dropped_sample", none).alias("dropped_sample"), F.coalesce("added_sample", none).alias("added_sample"),
-        (F.coalesce("dropped", zero) > SAMPLES).alias("dropped_truncated"), (F.coalesce("added", zero) > SAMPLES).alias("added_truncated"))
+            ("input_lines", F.size(lines_raw_of(b))), ("output_lines", F.size(lines_raw_of(a))),
+            ("input_tokens", estimate_tokens(b)), ("output_tokens", estimate_tokens(a)))],
+        count("dropped").alias("dropped_lines"), count("added").alias("added_lines"), count("kept").alias("kept_lines"),
+        (F.col("status") == "short_circuited").alias("short_circuit"),
+        *[F.when(skipped, none).otherwise(F.col(f"d.{s}_sample")).alias(f"{s}_sample") for s in ("dropped", "added")],
+        (count("dropped") > SAMPLES).alias("dropped_truncated"), (count("added") > SAMPLES).alias("added_truncated"))

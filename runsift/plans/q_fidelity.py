@@ -48,6 +48,13 @@ def d1c(spark, sf):
     return D.line_diff_counts(cut(spark, sf))
 
 
+@query("d1_line_diff_in_row", f"""{_DIFF} SELECT run_id, count(*) FILTER (side = 'kept') AS kept, count(*) FILTER (side = 'dropped') AS dropped,
+  count(*) FILTER (side = 'added') AS added, coalesce(array_to_string(list(line ORDER BY line_no) FILTER (side = 'dropped')[1:32], chr(10)), '') AS dropped_sample FROM d GROUP BY run_id""")
+def d1r(spark, sf):
+    out = cut(spark, sf).select("run_id", D.diff_in_row(F.col("before"), F.col("after")).alias("d")).select("run_id", "d.*")
+    return out.withColumn("dropped_sample", F.array_join("dropped_sample", "\n")).drop("added_sample")
+
+
 _EXC = D.EXCEPTION_MARKERS
 _TST = D.TEST_MARKERS
 _SQLMSG = rf"list_transform(list_filter({{x}}, lambda q: regexp_matches(q, '{D.SQL_ERROR}'))[1:3], lambda q: trim(regexp_extract(q, '{D.SQL_ERROR}', 1))[1:80])"

@@ -19,7 +19,7 @@ def runs(spark, sf):
                     F.col("text").alias("stdout"), F.lit("").alias("stderr"))
 
 
-_MYPY = f"""CASE WHEN len(nb) = 0 THEN '0 issue(s) in 0 file(s)' ELSE len(nb) || ' issue(s) in ' || nk || ' file(s)' || chr(10) || body END"""
+_MYPY = f"""CASE WHEN len(nb) = 0 THEN '0 issue(s) in 0 file(s)' ELSE len(nb) || ' issue(s) in ' || nk || ' file(s)' || chr(10) || mb.body END"""
 PIPE = f"""WITH r AS (SELECT doc_id AS run_id, [{', '.join(sql.q(c) for c in COMMANDS)}][doc_id % {len(COMMANDS)} + 1] AS command, CAST(doc_id % 5 = 0 AS INTEGER) AS exit_code, text FROM documents),
   l AS (SELECT *, {sql.lines('text')} AS ls, {sql.nonblank(sql.lines('text'))} AS nb FROM r),
   mk AS (SELECT run_id, key, count(*) AS c, min(no) AS f FROM (SELECT run_id, no, CASE WHEN instr(line, ':') > 1 THEN split_part(line, ':', 1) ELSE '(stdin)' END AS key
