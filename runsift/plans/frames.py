@@ -90,6 +90,10 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def session_events(spark: SparkSession, sf: str) -> DataFrame:
+    return session_events_of(table(spark, sf, "events"))
+
+
+def session_events_of(events: DataFrame) -> DataFrame:
     """Session = user and day; words chosen so that fixes follow failures."""
     e, u = F.col("event_id"), F.col("user_id")
     tool = F.when(e % 4 == 0, "mvn").when(e % 4 == 1, "npm").when(e % 4 == 2, "./mvnw").otherwise("rustup")
@@ -100,7 +104,7 @@ def session_events(spark: SparkSession, sf: str) -> DataFrame:
         e % 7 == 1, "2 tests failed").when(e % 7 == 2, "eslint found 3 problems").when(
             e % 7 == 3, "merge conflict in a.txt").when(e % 7 == 4, "EACCES: permission denied").when(
                 e % 7 == 5, "").otherwise("exit status 2\nsecond line")).otherwise(F.concat(F.lit("ok "), F.col("props")))
-    return table(spark, sf, "events").select(
+    return events.select(
         F.concat(u.cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
         e.alias("seq"), "ts", F.concat(tool, rest).alias("command"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).alias("exit_code"),
