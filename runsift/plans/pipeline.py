@@ -78,6 +78,14 @@ def prepare_runs(runs: DataFrame, defs: Mapping[str, Mapping] | None = None) ->
     return out.drop("select_input", "passthrough_nonzero_exit", "passthrough_verbose", "passthrough_max_lines")
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """Compute columns once. The optimizer folds a projection into whatever reads it,
+    and a reduced text is read by many checks; exploding one row keeps it apart."""
+    rest = [c for c in df.columns if c not in columns]
+    out = df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_s"))
+    return out.select(*rest, *[F.col("_s")[c].alias(c) for c in columns])
+
+
 def run_pipeline(runs: DataFrame, defs: Mapping[str, Mapping] | None = None, prune: bool = True) -> DataFrame:
     """Reduced text per run with the checks applied.
 
@@ -94,17 +102,19 @@ def run_pipeline(runs: DataFrame, defs: Mapping[str, Mapping] | None = None, pru
         defs = {k: d for k, d in defs.items() if k in present}
     run = RunColumns(nn(F.col("command")), F.col("exit_code"), nn(F.col("stdout")), F.col("verbose"), F.col("ultra_compact"), F.lit(True))
     open_rule = F.when(F.col("gate").isNull(), F.col("rule"))
-    out = prep.withColumn("reduced", reduce_text(F.col("text"), open_rule, defs, run))
+    prep = settled(prep, "text", "gate", "combined", "raw_tokens")
+    out = settled(prep.withColumn("reduced", reduce_text(F.col("text"), open_rule, defs, run)), "reduced")
     b, a, x, cmd = F.col("text"), F.col("reduced"), F.col("exit_code"), F.col("command")
     went_on = F.col("gate").isNull()
     out = out.withColumn("failures", F.when(went_on, D.fidelity_failures(cmd, x, b, a)).otherwise(F.array().cast("array<string>")))
+    out = settled(out, "failures")
     lost = F.size("failures") > 0
     loss = went_on & ~lost & (x == 0) & D.is_net_loss(b, a, estimate_tokens(b), estimate_tokens(a), F.col("ultra_compact")) \
         & ~D.is_intended_growth(cmd, b, a)
-    out = out.withColumn("_lost", lost).withColumn("_loss", loss)
+    out = settled(out.withColumn("_lost", lost).withColumn("_loss", loss), "_lost", "_loss")
     final = (F.when(F.col("gate") == "passthrough", F.col("combined")).when(~went_on, F.col("gate"))
              .when(F.col("_lost") | F.col("_loss"), F.col("combined")).otherwise(D.append_factsheet(b, a)))
-    out = out.withColumn("text_out", final)
+    out = settled(out.withColumn("text_out", final), "text_out")
     kind = (F.when(F.col("rule").isNull(), F.lit(None).cast("string")).when(~went_on, "gate").when(F.col("_lost"), "fidelity_guard")
             .when(F.col("_loss"), "net_win_gate"))
     raw = (F.col("gate") == "passthrough") | F.col("_lost") | F.col("_loss")
