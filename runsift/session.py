@@ -31,6 +31,7 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8) -> SparkSess
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("runsift")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")

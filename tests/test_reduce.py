@@ -70,7 +70,7 @@ def test_dedup_replaces_old_suffix(apply):
 
 
 def test_grouping_counts_empty_key(apply):
-    assert apply(lambda c: R.grouping(c, "^(a*)b"), "b\nab\nb\nzz") == "     : 2\n  a : 1"
+    assert apply(lambda c: R.grouping(c, "^(a*)b"), "b\nab\nb\nzz") == "    : 2\n  a : 1"
     assert apply(lambda c: R.grouping(c, "^(x)", True), "x\ny\nz") == "  (other) : 2\n  x       : 1"
 
 

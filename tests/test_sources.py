@@ -85,7 +85,7 @@ def test_object_array_and_line_transcripts(spark):
     texts = ['{"sessionId":"S","commands":[{"command":"a","exitCode":"1"},{"cmd":""},{"terminalCommand":"b","result":"r"}]}', '[{"command":"c"}]',
              '{"command":"d"}\nbroken\n{"cmd":"e"}', "{nonsense"]
     got = {(r.session_id, r.seq, r.command, r.exit_code, r.output) for r in transcripts.read_transcripts_json(files(spark, *texts)).collect()}
-    assert got == {("S", 0, "a", 1, ""), ("S", 2, "b", 0, "r"), ("f1", 0, "c", 0, ""), ("f2", 0, "d", 0, ""), ("f2", 1, "e", 0, "")}
+    assert got == {("S", 0, "a", 1, ""), ("S", 2, "b", 0, "r"), ("f1", 0, "c", 0, ""), ("f2", 0, "d", 0, ""), ("f2", 2, "e", 0, "")}
 
 
 def test_transcript_scope(spark, tmp_path):
