@@ -105,7 +105,8 @@ def executable_name(word: Column) -> Column:
 
 def has_substitution(segment: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(segment, r"(?s)\\.", " "), r"(?s)'[^']*(?:'|\z)", " ")
-    return bare.contains("`") | bare.contains("$(")
+    may = segment.contains("`") | segment.contains("$(")
+    return may & (bare.contains("`") | bare.contains("$("))
 
 
 def segment_head(segment: Column) -> Column:
@@ -144,5 +145,9 @@ def segment_head(segment: Column) -> Column:
         )
 
     folded = F.aggregate(words, start, step, lambda a: F.struct(a["exe"].alias("executable"), a["reason"].alias("reason")))
+    # Most segments open with a plain word that is neither wrapper nor dynamic command.
+    first = F.regexp_extract(segment, r"^([A-Za-z0-9_./+-]+)(?=\s|\z)", 1)
+    plain = let(executable_name(first), lambda base: F.when(
+        (first != "") & ~base.isin(WRAPPERS + DYNAMIC), F.struct(base.alias("executable"), null.alias("reason"))))
     return F.when(has_substitution(segment), F.struct(null.alias("executable"), F.lit(REASON_SUBSHELL).alias("reason"))) \
-        .otherwise(folded)
+        .otherwise(F.coalesce(plain, folded))

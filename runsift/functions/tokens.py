@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from runsift.functions.text import let
+
 ESTIMATOR = "utf8_weighted_v1"
 
 # Joiners, variation selectors and skin tones weigh nothing;
@@ -19,35 +21,33 @@ DENSE = (
 )
 
 
+# Every dense or ignorable code point lies in here; testing the range first keeps the
+# script lookups away from the bulk of the text.
+_RANGE = r"\x{02EA}\x{02EB}\x{1100}-\x{11FF}\x{200D}\x{2600}-\x{27BF}\x{2E80}-\x{10FFFF}"
+_DENSE_RUN = f"[[{_RANGE}]&&{DENSE}]+"
+
+
 def estimate_tokens(text: Column) -> Column:
     """Estimated tokens of a text column.
 
-    Pure ASCII text (the bulk of tool output) needs no scan for runs: its code
-    point count is its byte count, so one division answers it.
+    A text without dense or ignorable characters is one run: its length decides.
+    Otherwise the text is split at dense stretches; the pieces are the other runs,
+    and what the split swallowed is one token per code point.
     """
-    runs = F.split(F.regexp_replace(F.regexp_replace(text, IGNORABLE, ""), DENSE, "\u0000"), "\u0000")
-    weigh = F.aggregate(
-        runs,
-        F.lit(0).cast("bigint"),
-        lambda acc, run: acc + F.ceil(F.char_length(run) / F.lit(float(RUN_DIVISOR))).cast("bigint"),
-    ) + (F.size(runs) - 1).cast("bigint")
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    quick = F.expr("0L") + F.floor((F.char_length(text) + F.lit(RUN_DIVISOR - 1)) / F.lit(RUN_DIVISOR)).cast("bigint")
-    has_nul = text.contains("\u0000")
-    general = F.when(has_nul, _estimate_with_nul(text)).otherwise(weigh)
-    return F.when(text.isNull() | (text == ""), F.lit(0).cast("bigint")) \
-        .when(ascii_only, quick).otherwise(general)
-
-
-def _estimate_with_nul(text: Column) -> Column:
-    """Same estimate for texts that already hold the run separator."""
-    kept = F.regexp_replace(F.regexp_replace(text, IGNORABLE, ""), DENSE, "")
-    runs = F.split(kept, "")
-    return F.aggregate(
-        runs,
-        F.lit(0).cast("bigint"),
-        lambda acc, run: acc + F.ceil(F.char_length(run) / F.lit(float(RUN_DIVISOR))).cast("bigint"),
-    ) + (F.size(runs) - 1).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+
+    def quarter(n: Column) -> Column:
+        return F.floor((n + F.lit(RUN_DIVISOR - 1)) / F.lit(RUN_DIVISOR)).cast("bigint")
+
+    def weigh(clean: Column) -> Column:
+        start = F.struct(zero.alias("t"), zero.alias("n"))
+        totals = F.aggregate(F.split(clean, _DENSE_RUN), start, lambda acc, run: F.struct(
+            (acc["t"] + quarter(F.char_length(run))).alias("t"), (acc["n"] + F.char_length(run)).alias("n")))
+        return let(totals, lambda r: r["t"] + F.char_length(clean) - r["n"])
+
+    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(f"[{_RANGE}]")
+    return F.when(text.isNull() | (text == ""), zero).when(plain, quarter(F.char_length(text))).otherwise(
+        let(F.regexp_replace(text, f"[[{_RANGE}]&&{IGNORABLE}]", ""), weigh))
 
 
 def savings_pct(raw: Column, out: Column) -> Column:

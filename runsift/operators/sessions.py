@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from runsift.functions import commands as C
 from runsift.functions.redact import redact
-from runsift.functions.text import contains_any, is_blank, lines_of, nn, strip_ws, trim_ctl
+from runsift.functions.text import contains_any, is_blank, let, lines_of, nn, strip_ws, trim_ctl
 from runsift.operators.ordered import carry_forward
+from runsift.operators.plan_shape import settled
 
 # Tool names, time window, weights and the failure word lists.
 SHELL_TOOLS = ["bash", "sh", "terminal", "exec"]
@@ -135,13 +136,15 @@ def known_words(prefixes: Sequence[str]) -> list[str]:
 def covered(command: Column, prefixes: Sequence[str]) -> Column:
     """Does a rule own some word prefix of the command?"""
     words = max((len(p.split()) for p in prefixes), default=1)
-    norm = C.normalized(command)
-    out = F.lit(False)
-    for n in range(1, words + 1):
-        own = [p for p in prefixes if len(p.split()) == n]
-        if own:
-            out = out | F.coalesce(C.word_prefix(norm, n).isin(own), F.lit(False))
-    return out
+
+    def owned(norm: Column) -> Column:
+        out = F.lit(False)
+        for n in range(1, words + 1):
+            own = [p for p in prefixes if len(p.split()) == n]
+            if own:
+                out = out | F.coalesce(C.word_prefix(norm, n).isin(own), F.lit(False))
+        return out
+    return let(C.normalized(command), owned)
 
 
 def annotate(events: DataFrame, prefixes: Sequence[str]) -> DataFrame:
@@ -152,16 +155,17 @@ def annotate(events: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     """
     ev = events.where(F.col("command").isNotNull() & ~is_blank(F.col("command")))
     ev = ev.withColumn("cmd", redact(trim_ctl(F.col("command")))).withColumn("out", redact(nn(F.col("output"))))
+    ev = settled(ev, "cmd", "out")
     ev = ev.withColumn("chars", F.length("out").cast("bigint"))
     ev = ev.withColumn("tokens", event_tokens(F.col("output_bytes"), F.col("out")))
     clean = C.plain_spaces(F.col("cmd"))
     parts = F.when(C.split_error(clean).isNull(), C.raw_segments(clean)).otherwise(F.array().cast("array<string>"))
-    ev = ev.withColumn("segments", parts)
+    ev = settled(ev.withColumn("segments", parts), "segments")
     known = known_words(prefixes)
     hit = F.exists("segments", lambda s: covered(s, prefixes) | F.coalesce(
         C.segment_head(s)["executable"].isin(known), F.lit(False)))
     whole = (F.size("segments") == 0) & covered(F.col("cmd"), prefixes)
-    return ev.withColumn("supported", hit | whole | F.coalesce("filtered", F.lit(False)))
+    return settled(ev.withColumn("supported", hit | whole | F.coalesce("filtered", F.lit(False))), "supported")
 
 
 def unsupported_segments(annotated: DataFrame) -> DataFrame:

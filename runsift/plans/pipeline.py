@@ -12,6 +12,7 @@ from runsift.functions.text import let, lines_raw_of, nn
 from runsift.functions.tokens import ESTIMATOR, estimate_tokens
 from runsift.operators import fidelity as D
 from runsift.operators import prepare as P
+from runsift.operators.plan_shape import settled
 from runsift.plans.stages import RunColumns, apply_stages, stage
 from runsift.sources.rules import definitions, rules_frame
 
@@ -78,14 +79,6 @@ def prepare_runs(runs: DataFrame, defs: Mapping[str, Mapping] | None = None) ->
     return out.drop("select_input", "passthrough_nonzero_exit", "passthrough_verbose", "passthrough_max_lines")
 
 
-def settled(df: DataFrame, *columns: str) -> DataFrame:
-    """Compute columns once. The optimizer folds a projection into whatever reads it,
-    and a reduced text is read by many checks; exploding one row keeps it apart."""
-    rest = [c for c in df.columns if c not in columns]
-    out = df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("_s"))
-    return out.select(*rest, *[F.col("_s")[c].alias(c) for c in columns])
-
-
 def run_pipeline(runs: DataFrame, defs: Mapping[str, Mapping] | None = None, prune: bool = True) -> DataFrame:
     """Reduced text per run with the checks applied.
 
