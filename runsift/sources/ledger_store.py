@@ -43,8 +43,8 @@ def by_day(df: DataFrame) -> DataFrame:
 
 
 def append_ledger(df: DataFrame, path: str) -> None:
-    """Append in day partitions. Rows of a day are hashed over the writers by a
-    random-free second key, so a busy day is not one task's file."""
+    """Append in day partitions. A day's rows are spread over up to 64 writers by a
+    hash of the row, so a busy day is not one task's file and a retry writes the same."""
     out = by_day(df)
     out.repartition("day", F.pmod(F.xxhash64(*[c for c in ("command", "ts") if c in df.columns]), F.lit(64))) \
         .write.mode("append").partitionBy("day").parquet(path)
