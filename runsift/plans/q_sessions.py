@@ -142,7 +142,7 @@ def g9(spark, sf):
 @query("g10_propose_from_sessions", f"""WITH {_annotated(WIDE)}, {PAIRS}, u AS (SELECT prefix, count(*) AS runs, CAST(sum(tokens // n) AS BIGINT) AS tokens, arg_min(raw, (session_id, seq, seg_no)) AS sample FROM uu GROUP BY prefix),
   c AS (SELECT u.*, (SELECT count(*) FROM pairs WHERE starts_with(failed_command, u.prefix) OR starts_with(corrected_command, u.prefix)) AS corrections FROM u),
   s AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(prefix, '[^a-zA-Z0-9]+', '-', 'g')), '^-', ''), '-$', '') AS slug FROM c WHERE runs >= 2 OR corrections > 0)
-  SELECT sha256(slug || ':' || prefix)[1:12] AS id, slug, prefix, runs, tokens, corrections, sample, CAST(floor(tokens * 0.70 + 0.5) AS BIGINT) AS est_savings FROM s""")
+  SELECT sha256(slug || ':' || prefix)[1:12] AS id, slug, prefix, runs, tokens, corrections, sample, CAST(floor(tokens * CAST(0.70 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS est_savings FROM s""")
 def g10(spark, sf):
     return S.propose_from_sessions(wide(spark, sf), PREFIXES)
 
