@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import arrow_shards, bpe_fst, lang_crf, pivot_index, prefix_tokens, secret_markov
+from runsift.llm import arrow_shards, bpe_fst, fuzzy_lines, lang_crf, ngram_join, pivot_index, prefix_tokens, secret_markov
 from runsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op2_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars")
 
 
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts whose sets of three-word shingles have Jaccard similarity 0.9 or more."""
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), percent=90, size=3)
+
+
 @query
 def op4_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of all vectors with cosine 0.9 or more."""
@@ -59,6 +65,13 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every text left after one occurrence of each group of similar lines is kept."""
+    got = fuzzy_lines.drop_duplicate_lines(table(spark, sf_dir, "documents"), similarity=0.8)
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op9_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text: base spans by pattern, further ones by the Markov models."""
