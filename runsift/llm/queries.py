@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import arrow_shards, bpe_fst, fuzzy_lines, lang_crf, ngram_join, pivot_index, prefix_tokens, secret_markov
+from runsift.llm import arrow_shards, bpe_fst, fuzzy_lines, lang_crf, lpf_dedup, ngram_join, pivot_index, prefix_tokens, secret_markov
 from runsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,13 @@ def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without every byte that a repeated string of 200 bytes covers."""
+    got = lpf_dedup.remove_repeats(table(spark, sf_dir, "documents"), least=200, keep="none")
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 @query
 def op9_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text: base spans by pattern, further ones by the Markov models."""
