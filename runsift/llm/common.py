@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +64,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def summed(df: DataFrame, column: str, size: int, add: Callable[[np.ndarray, pa.RecordBatch], None], most: int = 1 << 20) -> np.ndarray:
+    """One integer array of fixed ``size`` (a multiple of 64) summed over all rows.
+
+    ``add`` puts a chunk of rows into its task's array. The arrays are cut into 64 blocks and added in two steps, so no task
+    gets more than a share of them; what comes to the driver is one array.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(size, np.int64)
+        for batch in chunks(batches, column, most):
+            add(total, batch)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(64), pa.int32()), "part": pa.array([TaskContext.get().partitionId() % 61] * 64, pa.int32()),
+                                          "sums": pa.array([zlib.compress(x.tobytes(), 1) for x in total.reshape(64, -1)], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(size // 64, np.int64)
+        for x in table.column("sums").to_pylist():
+            total += np.frombuffer(zlib.decompress(x), np.int64)
+        return pa.table({"block": table.column("block")[:1], "part": pa.array([0], pa.int32()), "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    schema = "block int, part int, sums binary"
+    out = np.zeros((64, size // 64), np.int64)
+    for r in df.mapInArrow(run, schema).groupBy("block", "part").applyInArrow(merge, schema).groupBy("block").applyInArrow(merge, schema).collect():
+        out[r["block"]] = np.frombuffer(zlib.decompress(r["sums"]), np.int64)
+    return out.ravel()

@@ -16,7 +16,6 @@ one document. Rows with a null id are returned with a null component.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import checkpointed, chunks, small, stored
+from runsift.llm.common import checkpointed, chunks, small, stored, summed
 from runsift.llm.components import components
 from runsift.llm.shingles import mix, shingles, word_hashes
 
@@ -44,29 +43,12 @@ def _sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[np
 def frequency_sketch(docs: DataFrame, size: int, text_col: str = "text") -> np.ndarray:
     """How many documents have a shingle of each residue of the hash; summed in two steps over all partitions."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total = np.zeros(SKETCH, np.int64)
-        for batch in chunks(batches, text_col, 1 << 20):
-            found = list(_sets(batch, size, text_col))
-            if found:
-                total += np.bincount((np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        parts = total.reshape(64, -1)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(64), pa.int32()), "part": pa.array([TaskContext.get().partitionId() % 61] * 64, pa.int32()),
-                                          "counts": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()),
-                         "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    schema = "block int, part int, counts binary"
-    rows = docs.select(text_col).mapInArrow(count, schema).groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()
-    out = np.zeros((64, SKETCH // 64), np.int64)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
-    return np.minimum(out.ravel(), (1 << 31) - 1).astype(np.uint32)
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        found = list(_sets(batch, size, text_col))
+        if found:
+            total += np.bincount((np.concatenate(found) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+
+    return np.minimum(summed(docs.select(text_col), text_col, SKETCH, add), (1 << 31) - 1).astype(np.uint32)
 
 
 def fragment_cuts(sketch: np.ndarray, fragments: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import arrow_shards, bpe_fst, fuzzy_lines, lang_crf, lpf_dedup, ngram_join, pivot_index, prefix_tokens, secret_markov
+from runsift.llm import arrow_shards, bpe_fst, fuzzy_lines, lang_crf, latent_leaks, lpf_dedup, ngram_join, pivot_index, prefix_tokens, secret_markov
 from runsift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op9_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secret_markov.find_secrets(docs, secret_markov.train(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secret_markov.joined("base"), 256).alias("base_sha256"), secret_markov.joined("found").alias("spans"))
+
+
+@query
+def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents by latent retrieval and verified on words."""
+    return latent_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -6,6 +6,7 @@ its distinct runs of ``size`` words; a shorter text has one, its whole sequence;
 
 from __future__ import annotations
 
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -20,12 +21,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _bytes() -> np.ndarray:
+@lru_cache(maxsize=4)
+def _bytes(separators: bytes) -> np.ndarray:
     """A 64-bit value for each byte, the same for a letter in either case; 0 for separators."""
     out = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     out[65:91] = out[97:123]
-    out[[9, 10, 11, 12, 13, 32]] = 0
+    out[list(separators)] = 0
     return out
 
 
@@ -34,10 +35,15 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+#: Space and U+0009 to U+000D; these and ASCII punctuation.
+SPACES = b"\t\n\v\f\r "
+PUNCTUATION = SPACES + string.punctuation.encode()
+
+
+def word_hashes(texts: list[bytes], separators: bytes = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    values = _bytes()[data]
+    values = _bytes(separators)[data]
     inside = np.concatenate([[False], values != 0, [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
