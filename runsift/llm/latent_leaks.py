@@ -56,22 +56,30 @@ def weights_of(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         words, counts = word_hashes(_texts(batch, text_col), PUNCTUATION)
         passage, _ = _passages(counts)
         if len(passage):
-            total[:TERMS] += np.bincount(np.unique(passage * TERMS + _terms(words)) % TERMS, minlength=TERMS)
-            total[TERMS] += int(passage[-1]) + 1
+            grid = np.sort(_grid(words, passage, int(passage[-1]) + 1), axis=1)
+            grid[:, 1:][grid[:, 1:] == grid[:, :-1]] = TERMS
+            total[:TERMS] += np.bincount(grid.ravel(), minlength=TERMS + 1)[:TERMS]
+            total[TERMS] += len(grid)
 
     sums = summed(docs.select(text_col), text_col, TERMS + 64, add)
     n = max(1, int(sums[TERMS]))
     return np.maximum(0, np.log((n + 1) / (sums[:TERMS] + 1)) - np.log(COMMON)) if n > COMMON * 10 else np.ones(TERMS)
 
 
-def _projected(terms: np.ndarray, passage: np.ndarray, n: int, weights: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sum of the weighted rows of ``table`` for the words of each passage."""
-    out = np.zeros((n, table.shape[1]), np.float32)
-    used = np.flatnonzero(weights[terms] > 0)
-    if len(used):
-        terms, passage = terms[used], passage[used]
-        heads = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-        out[passage[heads]] = np.add.reduceat(table[terms], heads, axis=0)
+def _grid(words: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
+    """Hashed words of each stretch, STRIDE a row; TERMS where a text's last one is shorter."""
+    out = np.full((n, STRIDE), TERMS, np.int64)
+    first = np.searchsorted(passage, np.arange(n))
+    out[passage, np.arange(len(words)) - first[passage]] = _terms(words)
+    return out
+
+
+def _projected(grid: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``table`` for the words of each stretch."""
+    table = np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
+    out = table[grid[:, 0]]
+    for k in range(1, STRIDE):
+        out += table[grid[:, k]]
     return out
 
 
@@ -90,17 +98,19 @@ def latent_space(docs: DataFrame, weights: np.ndarray, text_col: str = "text", s
         passage, _ = _passages(counts)
         if not len(passage):
             return
-        terms = _terms(words)
-        n = int(passage[-1]) + 1
-        norm = np.sqrt(np.bincount(passage, weights=weighted[terms] ** 2, minlength=n)).clip(1e-6)
-        latent = _projected(terms, passage, n, weights, table) / (norm ** 2)[:, None].astype(np.float32)
-        used = np.flatnonzero(weighted[terms] > 0)
-        order = used[np.argsort(terms[used], kind="stable")]
-        if len(order):
-            sorted_ = terms[order]
-            heads = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-            sums = np.add.reduceat(latent[passage[order]], heads, axis=0) * weighted[sorted_[heads]][:, None]
-            total.reshape(TERMS, RANK)[sorted_[heads]] += np.rint(sums * _SCALE).astype(np.int64)
+        grid = _grid(words, passage, int(passage[-1]) + 1)
+        norm2 = np.append(weighted ** 2, 0)[grid].sum(1).clip(1e-6)
+        latent = _projected(grid, table) / norm2[:, None].astype(np.float32)
+        terms = np.where(np.append(weighted, 0)[grid] > 0, grid, TERMS).ravel()
+        order = np.argsort(terms.astype(np.int16), kind="stable")  # small integers: a counting sort
+        sizes = np.bincount(terms, minlength=TERMS + 1)[:TERMS]
+        first = np.cumsum(sizes) - sizes
+        often = np.argsort(-sizes, kind="stable")  # the j-th places of all terms that have one, at a time
+        sums = np.zeros((TERMS, RANK), np.float32)
+        for j in range(int(sizes.max())):
+            m = int(np.searchsorted(-sizes[often], -j, side="left"))
+            sums[:m] += latent[order[first[often[:m]] + j] // STRIDE]
+        total.reshape(TERMS, RANK)[often] += np.rint(sums.astype(np.float64) * (weighted[often][:, None] * _SCALE)).astype(np.int64)
 
     z = summed(docs.select(text_col), text_col, TERMS * RANK, add).reshape(TERMS, RANK) / _SCALE
     middle = random.T.astype(np.float64) @ z
@@ -195,7 +205,7 @@ def _search(docs, items, weights, space, cosine, least, least_paraphrase, answer
             passage, text = _passages(counts_)
             best: dict[tuple[int, int], tuple] = {}
             if len(passage) and len(targets):
-                halves = _projected(_terms(found), passage, len(text), weights, space)
+                halves = _projected(_grid(found, passage, len(text)), space)
                 windows = halves.copy()
                 same = text[1:] == text[:-1]
                 windows[:-1][same] += halves[1:][same]

@@ -91,3 +91,11 @@ def op9_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents by latent retrieval and verified on words."""
     return latent_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the cleaning pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
