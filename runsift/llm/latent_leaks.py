@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into passages of ``WINDOW`` words, weighted by TF-IDF over hashed words (a word in more than a fiftieth
-of all stretches of ``STRIDE`` words weighs nothing). A randomised SVD, distributed over all passages of the corpus, gives the latent space: one pass
+of all stretches of ``STRIDE`` words weighs nothing, unless that were most words of the text). A randomised SVD, distributed over all passages of the corpus, gives the latent space: one pass
 sums A'(A R) for a random matrix R, from which the leading right singular vectors follow on the driver (matrices of fixed
 size). In it the passages of every document, at every ``STRIDE`` words, are compared by cosine with the passages of the
 benchmark items; candidates are verified on words: where too few of an
@@ -62,8 +62,13 @@ def weights_of(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             total[TERMS] += len(grid)
 
     sums = summed(docs.select(text_col), text_col, TERMS + 64, add)
-    n = max(1, int(sums[TERMS]))
-    return np.maximum(0, np.log((n + 1) / (sums[:TERMS] + 1)) - np.log(COMMON)) if n > COMMON * 10 else np.ones(TERMS)
+    n, seen = int(sums[TERMS]), sums[:TERMS]
+    if n <= 10 * COMMON:
+        return np.ones(TERMS)
+    idf = np.log((n + 1) / (seen + 1))
+    order = np.argsort(idf)
+    half = idf[order[np.searchsorted(np.cumsum(seen[order]), seen.sum() / 2)]]  # half of all words are rarer
+    return np.maximum(0, idf - min(np.log(COMMON), 0.9 * half))
 
 
 def _grid(words: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
