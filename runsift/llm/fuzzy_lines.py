@@ -203,10 +203,15 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
         return checkpointed(both.select("a", "b", "one", "two").mapInArrow(compare, "a bigint, b bigint"))
 
     def across(rest: DataFrame) -> DataFrame:
-        """Compare groups inside buckets, cut into blocks by count and by size of text; tasks emit only links that join groups."""
-        texts = texts_of(rest.select("id").distinct())
-        full = rest.select("key", "id", "g", "sim", "size").join(texts, "id")
-        sizes = rest.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_LINES, F.sum("size") / BLOCK_CHARS)).cast("int").alias("blocks"))
+        """Compare groups inside buckets: first find, by SimHash, the lines with a possible partner in another group there; only these
+        get their texts, in blocks by count and by size of text, and tasks emit only links that join groups."""
+        rows = rest.select("key", "id", "g", "sim", "size")
+        one, two = (rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "g", "sim", "size")]) for side in ("l", "r"))
+        open_ = one.join(two, (one["key"] == two["key"]) & (F.col("l_g") != F.col("r_g")) & near("l_", "r_"), "left_semi")
+        open_ = checkpointed(open_.select("key", *[F.col(f"l_{c}").alias(c) for c in ("id", "g", "sim", "size")]))
+        texts = texts_of(open_.select("id").distinct())
+        full = open_.join(texts, "id")
+        sizes = open_.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_LINES, F.sum("size") / BLOCK_CHARS)).cast("int").alias("blocks"))
         dealt = full.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
