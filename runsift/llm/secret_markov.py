@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runsift.llm.common import stored
+
 #: The kinds in order, their patterns, and the least lengths (of the value for assign).
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -81,7 +83,7 @@ def train(docs: DataFrame, train_docs: int = 4000, id_col: str = "doc_id", text_
     Collected are counts of pairs of ASCII characters, at most 2 * 128 * 128 rows.
     """
     sample = docs.select(id_col, text_col).orderBy(F.xxhash64(F.col(id_col), F.lit(5)), F.xxhash64(text_col)).limit(train_docs)
-    found = base_spans(sample, id_col, text_col, least=6)
+    found = base_spans(stored(sample, "secret-sample"), id_col, text_col, least=6)
     ordinary = F.expr("transform(filter(zip_with(runs, run_spans, (r, s) -> struct(r AS r, s AS s)), x -> NOT exists(concat(assign, access, hex), b -> b.start < x.s.end AND b.end > x.s.start)), x -> x.r)")
     labelled = found.select(F.explode(F.array(F.struct(F.lit(True).alias("random"), F.concat("assign_values", "other_values").alias("runs")),
                                               F.struct(F.lit(False).alias("random"), ordinary.alias("runs")))).alias("x"))
