@@ -46,12 +46,31 @@ class WordEncoder:
 
         self.tool = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if max(self.tool.get_vocab().values()) < 1 << 16 else "<u4")
+        vocab = self.tool.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.most = most
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letter_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded many at a time as one text: the token that ends each word is marked as such."""
+        out: list[bytes] = []
+        texts = [" ".join(words[at:at + 256]) for at in range(0, len(words), 256)]
+        for at, ids in enumerate(self._ids(texts)):
+            ids = np.frombuffer(ids, self.width)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            part = words[at * 256:at * 256 + 256]
+            if len(ends) == len(part):
+                data, step = ids.tobytes(), self.width.itemsize
+                edges = [0, *(ends * step).tolist()]
+                out += [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+            else:
+                out += self._ids(part)
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known, split = self.words, [None if _ODD.search(t) else t.split() for t in texts]
         if len(known) > self.most:
@@ -61,6 +80,9 @@ class WordEncoder:
         new.difference_update(marked)
         new.update(w[:-1] for w in marked if w[:-1] not in known)
         plain = [*new, *({".", ","} - known.keys() - new)]
+        letters = [w for w in plain if _LETTERS.fullmatch(w)]
+        known.update(zip(letters, self._letter_words(letters), strict=True))
+        plain = [w for w in plain if w not in known]
         for at in range(0, len(plain), 4096):
             part = plain[at:at + 4096]
             known.update(zip(part, self._ids(part), strict=True))
