@@ -31,8 +31,8 @@ from runsift.llm.common import chunks, stored
 from runsift.llm.fuzzy_lines import BROADCAST_LINES
 from runsift.llm.shingles import mix
 
-#: Bytes of a gram; bytes of text looked at together; bytes of the spans of one anchor sorted in one task.
-GRAM, PIECE, GROUP_BYTES = 64, 1 << 20, 1 << 20
+#: Bytes of a gram; bytes of text looked at together; bytes of the spans of one anchor sorted in one task; bytes of one suffix array.
+GRAM, PIECE, GROUP_BYTES, ARRAY_BYTES = 64, 1 << 20, 1 << 20, 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _LOW = (1 << 24) - 1
 _LEVELS = (128, 64, 32, 16, 8)
@@ -101,7 +101,7 @@ def suffix_ranks(data: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray], n
     for k in range(8):
         words = words << np.uint64(8) | padded[k:n + k]
     ranks, length = {}, 8
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.concatenate([[0], words[order][1:] != words[order][:-1]]))
     while length < 256:
@@ -109,7 +109,7 @@ def suffix_ranks(data: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray], n
         after = np.full(n, -1, np.int64)
         after[:max(0, n - length)] = rank[length:]
         keys = rank * np.int64(n + 1) + after + 1
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], keys[order][1:] != keys[order][:-1]]))
         length *= 2
@@ -218,7 +218,7 @@ def repeated_spans(docs: DataFrame, least: int = 200, keep: str = "none", id_col
             for end in [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), batch.num_rows]:
                 if end <= at:
                     continue
-                if size > GROUP_BYTES and last != anchor[at]:
+                if size > ARRAY_BYTES and last != anchor[at]:
                     yield _matches(parts, least, keep)
                     parts, size = [], 0
                 parts.append(batch.slice(at, end - at))
