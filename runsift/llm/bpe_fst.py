@@ -33,8 +33,8 @@ _WIDE = re.compile(r"\s \s")
 class Transducer:
     """Tokens of one pre-split piece of text, byte by byte."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 400_000):
-        self.ranks, self.rule, self.most = ranks, PairRule(ranks), most_states
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
+        self.ranks, self.rule, self.most = ranks, PairRule(ranks, most=200_000), most_states
         self.open = {t[:n] for t in ranks for n in range(1, len(t))}  # proper prefixes of tokens
         self._reset()
 
@@ -193,7 +193,7 @@ class Utf8Machine:
 class Codec:
     """Encoder and decoder for one rank file and split pattern; ``most`` bounds the tables of finished pieces and words."""
 
-    def __init__(self, path: str, pattern: str, most: int = 500_000):
+    def __init__(self, path: str, pattern: str, most: int = 250_000):
         import regex
 
         with open(path, "rb") as lines:
