@@ -11,7 +11,6 @@ from runsift.functions.text import (
 from runsift.operators.ordered import ordinal
 
 # What counts as a failure signal, and how many are reported.
-INSPECT_HALF = 256 * 1024
 MESSAGE_LIMIT = 80
 MAX_DIFF_FILES, MAX_DIFF_CHANGES, MAX_SQL, MAX_CVE, MAX_POINTERS, MAX_LOCATIONS = 20, 5, 3, 3, 5, 3
 COMPILER_ERROR = r"(?i)^\s*(.+?):(\d+)(?::\d+)?:\s*(?:fatal\s+)?error\b.*$"
@@ -45,15 +44,6 @@ MAX_IDS, MAX_SHEET_CHARS, SHEET_MIN_CHARS, SHEET_MAX_PERCENT = 12, 240, 16_384,
 SHEET_OPEN, SHEET_CLOSE = "[preserved ids: ", "]"
 
 
-def inspected(text: Column) -> Column:
-    """The part of a text the checks read: all of it, or both ends of a huge one."""
-    t = nn(text)
-    n = F.char_length(t)
-    ends = F.concat(F.substring(t, F.lit(1), F.lit(INSPECT_HALF)), F.lit("\n"),
-                    F.substring(t, n - INSPECT_HALF + 1, F.lit(INSPECT_HALF)))
-    return F.when(n <= 2 * INSPECT_HALF, t).otherwise(ends)
-
-
 # --- D1 ---------------------------------------------------------------------
 
 def line_diff(df: DataFrame, before: str = "before", after: str = "after", key: str = "run_id") -> DataFrame:
@@ -161,7 +151,7 @@ def signals_of(command: Column, text: Column) -> Column:
             _signal("pointer", pointers),
         )
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    return let(inspected(text), lambda s: F.when(is_blank(s), none).otherwise(build(s)))
+    return let(nn(text), lambda s: F.when(is_blank(s), none).otherwise(build(s)))
 
 
 def _diff_signals(lines: Column) -> Column:
@@ -252,7 +242,7 @@ def fidelity_failures(command: Column, exit_code: Column, before: Column, after:
         clean = one((exit_code != 0) & strip_ws(out).rlike(MISLEADING), "misleading clean summary on non-zero exit")
         return F.concat(diff, infra, strict, clean)
 
-    pair = F.struct(inspected(before).alias("b"), inspected(after).alias("a"))
+    pair = F.struct(nn(before).alias("b"), nn(after).alias("a"))
     return let(pair, lambda p: F.when(~is_blank(p["b"]) & is_blank(p["a"]), F.array(F.lit("filtered output is empty")))
                .when(p["b"] == p["a"], none).otherwise(let(F.struct(
                    p["b"].alias("b"), p["a"].alias("a"), lines_of(p["b"]).alias("bl"), lines_of(p["a"]).alias("al")), check)))
@@ -285,7 +275,7 @@ def dropped_ids(before: Column, after: Column) -> Column:
                          lambda x: x.rlike(r"[0-9][a-f]*[0-9]") & x.rlike(r"[a-f][0-9]*[a-f]"))
         return F.slice(F.array_distinct(F.filter(F.concat(uuid, cve, ticket, hexes), lambda x: ~kept.contains(x))),
                        1, MAX_IDS)
-    return let(inspected(before), build)
+    return let(nn(before), build)
 
 
 def dropped_identifiers(df: DataFrame, key: str = "run_id") -> DataFrame:

@@ -85,15 +85,15 @@ EMPTY_NOTICE = "(only comments)"
 # --- I1 -------------------------------------------------------------------------------
 
 def detect_language(path: Column) -> Column:
-    """Language by file name, then by extension; NULL when neither is known.
+    """Language by file name, then by extension, in either case; NULL when neither is known.
 
     The table is fixed and small, so it is a literal map: no join.
     """
     name = F.substring_index(F.replace(nn(path), F.lit("\\"), F.lit("/")), "/", -1)
-    by_name = [F.lit(x) for lang, d in LANGUAGES.items() for n in d.get("names", []) for x in (n, lang)]
+    by_name = [F.lit(x) for lang, d in LANGUAGES.items() for n in d.get("names", []) for x in (n.lower(), lang)]
     by_ext = [F.lit(x) for lang, d in LANGUAGES.items() for e in d["ext"] for x in (e, lang)]
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]+)\z", 1))
-    return F.coalesce(F.try_element_at(F.create_map(*by_name), name), F.try_element_at(F.create_map(*by_ext), ext))
+    return F.coalesce(F.try_element_at(F.create_map(*by_name), F.lower(name)), F.try_element_at(F.create_map(*by_ext), ext))
 
 
 # --- I2 -------------------------------------------------------------------------------
