@@ -166,11 +166,10 @@ def find_model(queries: DataFrame, models: DataFrame, default: str | None = None
 def with_cost(sums: DataFrame, models: DataFrame, model: str) -> DataFrame:
     """Add model and USD columns to a frame with raw and out.
 
-    The price list is filtered to one id first, so the join adds one row's columns.
+    The rate of the one model is a scalar subquery, so nothing is joined.
     """
-    price = models.where(F.col("id") == model).select(
-        F.col("id").alias("model"), F.col("input_cost_per_million").alias("_rate"))
-    out = sums.withColumn("model", F.lit(model)).join(price, "model", "left")
+    rate = models.where(F.col("id") == model).agg(F.max("input_cost_per_million")).scalar()
+    out = sums.withColumns({"model": F.lit(model), "_rate": rate})
     return out.select(
         *[c for c in sums.columns], "model", usd(F.col("raw"), F.col("_rate")).alias("usd_raw"),
         usd(F.col("out"), F.col("_rate")).alias("usd_filtered"),

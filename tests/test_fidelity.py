@@ -23,6 +23,11 @@ def test_lost_signals(failures):
     assert failures("tf", 0, "a must be replaced", "a") == ["terraform replacement signal dropped"]
 
 
+def test_evidence_in_the_middle_of_a_long_text(failures):
+    fill = "plain line of output\n" * 20_000
+    assert failures("x", 0, fill + "CVE-2024-1234 found\n" + fill, "found") == ["security advisory dropped CVE-2024-1234"]
+
+
 def test_strict_checks_need_a_failure(failures):
     before = "  at a.B.c(B.java:1)\nrest"
     assert failures("x", 0, before, "rest") == []
