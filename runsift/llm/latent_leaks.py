@@ -1,12 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Texts are cut into passages of ``WINDOW`` words, weighted by TF-IDF over hashed words (a word in more than a fiftieth
-of all stretches of ``STRIDE`` words weighs nothing, unless that were most words of the text). A randomised SVD, distributed over all passages of the corpus, gives the latent space: one pass
-sums A'(A R) for a random matrix R, from which the leading right singular vectors follow on the driver (matrices of fixed
-size). In it the passages of every document, at every ``STRIDE`` words, are compared by cosine with the passages of the
-benchmark items; candidates are verified on words: where too few of an
-item's words are near, by bit sets, no common subsequence can be long enough; else the longest common subsequence of item and surrounding text must cover
-``least`` of the item, or ``least_paraphrase`` of it if the item's answer, its last words, is there too.
+Texts are cut into passages of ``WINDOW`` words, weighted by TF-IDF over hashed words. A word in more than a fiftieth of all
+stretches of ``STRIDE`` words weighs nothing, unless that were most words of the text. A randomised SVD, distributed over all
+passages of the corpus, gives the latent space: one pass sums A'(A R) for a random matrix R, from which the leading right
+singular vectors follow on the driver (matrices of fixed size). In it the passages of every document, at every ``STRIDE``
+words, are compared by cosine with the passages of the benchmark items. Candidates are verified on words: where bit sets show
+that too few of an item's words are near, no common subsequence can be long enough; else the longest common subsequence of
+item and surrounding text must cover ``least`` of the item, or ``least_paraphrase`` of it if the item's answer, its last
+words, is there too.
 
 Items come in blocks of ``BLOCK_ITEMS``, one pass over the documents each. A document's passages do not meet others, so
 there is no shuffle of texts and no group. Null texts and texts or items without words match nothing; repeated rows are
