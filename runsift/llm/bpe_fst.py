@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import itemgetter
@@ -41,52 +42,56 @@ class Transducer:
     def _reset(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict] = []
-        self.ends: list[tuple | None] = []
-        self.start = self._state(None, b"", (0,))
+        self.moves: dict[int, tuple[int, tuple]] = {}  # by state * 256 + byte
+        self.ends: dict[int, tuple] = {}
+        self.start = self._state(None, b"", (0,), (0,))
 
-    def _state(self, prev: bytes | None, data: bytes, starts: tuple[int, ...]) -> int:
-        """``starts[i]``: where the last token of the first i open bytes begins; -1 if no path through the certain token leads there."""
+    def _state(self, prev: bytes | None, data: bytes, starts: tuple[int, ...], live: tuple[int, ...]) -> int:
+        """``starts[i]``: where the last token of the first i open bytes begins; -1 if no path through the certain token leads
+        there. ``live``: places, in order, from which a longer token can still start."""
         got = self.number.get((prev, data))
         if got is None:
             got = self.number[prev, data] = len(self.states)
-            self.states.append((prev, data, starts))
-            self.moves.append({})
-            self.ends.append(None)
+            self.states.append((prev, data, starts, live))
         return got
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        prev, data, starts = self.states[state]
-        rule, data = self.rule, data + bytes((byte,))
-        end, begin = len(data), -1
-        for j in range(max(0, end - rule.longest), end):  # the last token of the longer prefix
+        prev, data, starts, live = self.states[state]
+        rule, ranks, open_ = self.rule, self.ranks, self.open
+        data += bytes((byte,))
+        end, begin, still = len(data), -1, []
+        for j in live:  # the first that fits is the last token of the longer prefix
             token = data[j:]
-            if starts[j] >= 0 and rule.whole(token):
+            if begin < 0 and token in ranks and rule.whole(token):
                 before = data[starts[j]:j] if j else prev
                 if before is None or rule.fits(before, token):
                     begin = j
-                    break
+            if token in open_:
+                still.append(j)
         starts += (begin,)
         path = [end]
         while path[-1]:
             path.append(starts[path[-1]])
-        on, certain = set(path), end
-        for j in range(end):  # prefixes that a longer token can still start from
-            if starts[j] >= 0 and data[j:] in self.open:
-                while j not in on:
-                    j = starts[j]
-                certain = min(certain, j)
-        out = tuple(self.ranks[data[starts[i]:i]] for i in reversed(path) if 0 < i <= certain)
-        if certain:
-            prev, kept = data[starts[certain]:certain], [0]
-            for i in range(certain + 1, end + 1):
-                before = starts[i] - certain
-                kept.append(before if before >= 0 and kept[before] >= 0 else -1)
-            data, starts = data[certain:], tuple(kept)
-        return self._state(prev, data, starts), out
+        certain = end
+        for j in still:
+            while j not in path:
+                j = starts[j]
+            if j < certain:
+                certain = j
+                if not j:
+                    break
+        still.append(end)
+        if not certain:
+            return self._state(prev, data, starts, tuple(still)), ()
+        out = tuple([ranks[data[starts[i]:i]] for i in reversed(path) if 0 < i <= certain])
+        prev, kept = data[starts[certain]:certain], [0]
+        for i in range(certain + 1, end + 1):
+            before = starts[i] - certain
+            kept.append(before if before >= 0 and kept[before] >= 0 else -1)
+        return self._state(prev, data[certain:], tuple(kept), tuple([j - certain for j in still])), out
 
     def _end(self, state: int) -> tuple:
-        _, data, starts = self.states[state]
+        _, data, starts, _ = self.states[state]
         out, at = [], len(data)
         while at:
             out.append(self.ranks[data[starts[at]:at]])
@@ -102,16 +107,16 @@ class Transducer:
         out: list[int] = []
         state, moves = self.start, self.moves
         for byte in piece:
-            step = moves[state].get(byte)
+            step = moves.get(state << 8 | byte)
             if step is None:
-                step = moves[state][byte] = self._move(state, byte)
+                step = moves[state << 8 | byte] = self._move(state, byte)
             state, sure = step
             if sure:
-                out.extend(sure)
-        rest = self.ends[state]
+                out += sure
+        rest = self.ends.get(state)
         if rest is None:
             rest = self.ends[state] = self._end(state)
-        out.extend(rest)
+        out += rest
         return out
 
 
@@ -211,7 +216,8 @@ class Codec:
         for piece in self.split(text):
             value = self.done.get(piece)
             if value is None:
-                value = np.array(self.fst.encode(piece.encode()), "<u4").tobytes()
+                ids = self.fst.encode(piece.encode())
+                value = struct.pack(f"<{len(ids)}I", *ids)
                 if len(piece) <= 64:
                     if len(self.done) >= self.most:
                         self.done.clear()
