@@ -35,6 +35,8 @@ TABLES = list(combinations(range(len(BLOCKS)), len(BLOCKS) - BITS))
 BLOCK_LINES, BLOCK_CHARS = 2048, 8 << 20
 #: Line numbers up to which a table of lines may be broadcast.
 BROADCAST_LINES = 1_000_000
+#: Words summed in a byte lane, and the lowest bit of each lane.
+_LANE, _ONES = 255, np.uint64(0x0101010101010101)
 _WORD = re.compile(r"\w+")
 
 
@@ -58,9 +60,17 @@ def simhashes(lines: list[str]) -> np.ndarray:
         end = max(at + 1, int(np.searchsorted(first[full], first[full[at]] + step)))
         rows = full[at:end]
         part = words[first[rows[0]]:first[rows[-1]] + counts[rows[-1]]]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, first[rows] - first[rows[0]], axis=0, dtype=np.int32)
-        out[rows] = np.packbits(ones * 2 > counts[rows][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        most = counts[rows]
+        cuts = first[rows] - first[rows[0]]
+        parts = -(-most // _LANE)  # byte lanes hold sums of so many words at a time
+        own = np.repeat(np.arange(len(rows)), parts)
+        begin = cuts[own] + (np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)) * _LANE
+        signs = np.zeros(len(rows), np.uint64)
+        for bit in range(8):
+            lanes = np.add.reduceat((part >> np.uint64(bit)) & _ONES, begin).view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(lanes, np.cumsum(parts) - parts, axis=0, dtype=np.int64)
+            signs |= (ones * 2 > most[:, None]).astype(np.uint8).view(np.uint64).ravel() << np.uint64(bit)
+        out[rows] = signs
         at = end
     return out.view(np.int64)
 
