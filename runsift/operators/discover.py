@@ -15,7 +15,7 @@ from runsift.operators.prepare import lookup_prefixes, with_bound
 from runsift.operators.sessions import covered
 
 # Thresholds, kinds and states of proposals.
-LATEST_ROWS, MAX_PROPOSALS, MIN_RUNS, MIN_INCIDENTS, MIN_RAW_TOKENS, LOOKBACK_DAYS = 500, 20, 5, 3, 2000, 90
+MIN_RUNS, MIN_INCIDENTS, MIN_RAW_TOKENS, LOOKBACK_DAYS = 5, 3, 2000, 90
 COVERAGE, SAFETY, UNMATCHED = "coverage", "safety", "unmatched"
 READY, SKIPPED, BLOCKED = "ready", "skipped_existing", "blocked_not_representable"
 INCIDENT_KINDS = ["stage_exception", "apply_fallback"]
@@ -85,9 +85,10 @@ def project_scope(ledger: DataFrame, root: str, fingerprint: str) -> DataFrame:
     return out.where(F.coalesce(scoped, F.lit(False))).select(*ledger.columns)
 
 
-def latest(rows: DataFrame, as_of: str, n: int = LATEST_ROWS) -> DataFrame:
-    """The newest rows of the look-back window (top-k, no full sort)."""
-    return rows.where(F.col("ts") >= days_before(as_of, LOOKBACK_DAYS)).orderBy(F.desc("ts"), F.desc("id")).limit(n)
+def latest(rows: DataFrame, as_of: str, n: int | None = None) -> DataFrame:
+    """Rows of the look-back window; with ``n``, the newest so many (top-k, no full sort)."""
+    out = rows.where(F.col("ts") >= days_before(as_of, LOOKBACK_DAYS))
+    return out if n is None else out.orderBy(F.desc("ts"), F.desc("id")).limit(n)
 
 
 # --- H4, H5 -------------------------------------------------------------------------
@@ -100,13 +101,13 @@ def override_key(rows: DataFrame, rules: DataFrame, max_words: int) -> DataFrame
 
 
 def propose_safety(outcomes: DataFrame, commands: DataFrame, rules: DataFrame, max_words: int, as_of: str,
-                   fingerprint: str) -> DataFrame:
-    """(command, incidents) with repeated fallbacks among the latest outcomes in scope.
+                   fingerprint: str, n: int | None = None) -> DataFrame:
+    """(command, incidents) with repeated fallbacks among the outcomes of the look-back window in scope (``n``: its newest).
 
     ``commands`` are the scoped ledger rows; an outcome is in scope by its project
     or by its exact command.
     """
-    recent = latest(outcomes.where(F.col("kind").isin(INCIDENT_KINDS)), as_of)
+    recent = latest(outcomes.where(F.col("kind").isin(INCIDENT_KINDS)), as_of, n)
     norm = F.lower(trim_ctl(nn(F.col("command"))))
     projects = commands.select("project").where("project IS NOT NULL").distinct().withColumn("_p", F.lit(True))
     names = commands.select(norm.alias("_cmd")).distinct().withColumn("_c", F.lit(True))
@@ -142,28 +143,32 @@ def proposal_id(kind: Column, command: Column, body: Column) -> Column:
 
 
 def merge_proposals(coverage: DataFrame, safety: DataFrame, unmatched: DataFrame, existing: DataFrame,
-                    n: int = MAX_PROPOSALS) -> DataFrame:
-    """One claim per command in the order coverage, safety, unmatched; existing commands are skipped.
+                    n: int | None = None) -> DataFrame:
+    """One claim per root and command in the order coverage, safety, unmatched; existing commands are skipped.
 
-    Inputs share (command) and their evidence columns; ``existing`` is (command).
+    Inputs share (root, command) and their evidence columns; ``existing`` is (root, command). ``n``: first rows of each root.
     """
     zero = F.lit(None).cast("bigint")
     parts = [
-        coverage.select(F.lit(0).alias("claim"), F.lit(COVERAGE).alias("kind"), "command", "status", zero.alias("uses"),
+        coverage.select(F.lit(0).alias("claim"), F.lit(COVERAGE).alias("kind"), "root", "command", "status", zero.alias("uses"),
                         zero.alias("incidents"), zero.alias("sum_raw")),
-        safety.select(F.lit(1).alias("claim"), F.lit(SAFETY).alias("kind"), "command", F.lit(READY).alias("status"), zero.alias("uses"),
+        safety.select(F.lit(1).alias("claim"), F.lit(SAFETY).alias("kind"), "root", "command", F.lit(READY).alias("status"), zero.alias("uses"),
                       "incidents", zero.alias("sum_raw")),
-        unmatched.select(F.lit(2).alias("claim"), F.lit(UNMATCHED).alias("kind"), "command", F.lit(READY).alias("status"), "uses",
+        unmatched.select(F.lit(2).alias("claim"), F.lit(UNMATCHED).alias("kind"), "root", "command", F.lit(READY).alias("status"), "uses",
                          zero.alias("incidents"), "sum_raw")]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    have = existing.select(F.lower(trim_ctl(F.col("command"))).alias("command")).distinct().withColumn("have", F.lit(True))
-    rows = rows.join(have, "command", "left").withColumn("have", F.coalesce("have", F.lit(False)))
+    have = existing.select("root", F.lower(trim_ctl(F.col("command"))).alias("command")).distinct().withColumn("have", F.lit(True))
+    rows = rows.join(have, ["root", "command"], "left").withColumn("have", F.coalesce("have", F.lit(False)))
     # skipped rows stay, one per kind; of the others the first claim wins
     cols = ["claim", "kind", "status", "uses", "incidents", "sum_raw"]
-    won = rows.where(~F.col("have")).groupBy("command").agg(F.min_by(F.struct(*cols), "claim").alias("b")).select("command", "b.*")
-    skipped = rows.where("have").groupBy("command", "kind").agg(F.min("claim").alias("claim")).select(
-        "command", "claim", "kind", F.lit(SKIPPED).alias("status"), zero.alias("uses"), zero.alias("incidents"), zero.alias("sum_raw"))
+    won = rows.where(~F.col("have")).groupBy("root", "command").agg(F.min_by(F.struct(*cols), "claim").alias("b")).select("root", "command", "b.*")
+    skipped = rows.where("have").groupBy("root", "command", "kind").agg(F.min("claim").alias("claim")).select(
+        "root", "command", "claim", "kind", F.lit(SKIPPED).alias("status"), zero.alias("uses"), zero.alias("incidents"), zero.alias("sum_raw"))
     out = won.unionByName(skipped)
     body = F.concat_ws("|", "status", F.col("uses").cast("string"), F.col("incidents").cast("string"))
-    return out.select(proposal_id(F.col("kind"), F.col("command"), body).alias("id"), "kind", "status", "command", "uses",
-                      "incidents", "sum_raw").orderBy("kind", "command", "status").limit(n)
+    out = out.select("root", proposal_id(F.col("kind"), F.col("command"), body).alias("id"), "kind", "status", "command", "uses",
+                     "incidents", "sum_raw")
+    if n is None:
+        return out
+    rank = F.row_number().over(W.partitionBy("root").orderBy("kind", "command", "status"))
+    return out.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")

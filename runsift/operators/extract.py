@@ -19,7 +19,7 @@ from runsift.functions.text import (
     strip_ws, trim_ctl,
 )
 from runsift.operators.reduce import (
-    _aligned, _run_counts, ansi_strip, fold_lines, grouping, last_meaningful_line,
+    _aligned, _first_counts, _run_counts, ansi_strip, fold_lines, grouping, last_meaningful_line, ranked_counts,
 )
 
 # What each tool prints, and how much of it is kept.
@@ -50,6 +50,7 @@ MODULE_PREFIX = r"^(?:module\.[A-Za-z0-9_-]+(?:\[[^\]]+\])?\.)+"
 ADDRESS_SHARE, RESOURCE_TOP, RESOURCE_CAP = 0.80, 20, 2000
 PLAN_OBJECTS, PLAN_ROWS, PLAN_DIAGNOSTICS = 10_000, 1_000, 200
 PLAN_MODULE = "terraform.ui"
+BUILD_LINES = {"gradle": 15, "mvn": 20, "make": 15, "cargo-install": 15}
 VALIDATE_CHARS, JSON_MAX_DEPTH = 1_048_576, 8
 
 _STR = "array<string>"
@@ -416,9 +417,7 @@ def lint_text_summary(text: Column, exit_code: Column) -> Column:
                         F.lit(" warning(s)"))
 
     def from_json(p: Column) -> Column:
-        codes = F.transform(p["f"], lambda f: f["code"])
-        ranked = F.array_sort(F.transform(_run_counts(codes), lambda c: F.struct(
-            c["neg"].alias("neg"), F.array_position(codes, c["key"]).alias("pos"), c["key"].alias("key"))))
+        ranked = ranked_counts(F.transform(p["f"], lambda f: f["code"]))
         groups = join_lines(F.transform(ranked, lambda c: F.concat(F.lit("  "), c["key"], F.lit(": "), (-c["neg"]).cast("string"))))
         clean = (p["t"]["errors"] == 0) & (p["t"]["warnings"] == 0)
         return F.when(clean, F.lit("✓ no lint issues")).otherwise(strip_trailing(_with_detail(head(p["t"]), groups)))
@@ -477,8 +476,8 @@ def type_error_text(text: Column, exit_code: Column) -> Column:
     files = F.transform(F.filter(lines_of(nn(text)), lambda x: x.rlike(TSC_FILE)), lambda x: F.regexp_extract(x, TSC_FILE, 1))
 
     def build(fs: Column) -> Column:
-        counts = F.array_sort(F.transform(_run_counts(fs), lambda c: F.struct(
-            F.array_position(fs, c["key"]).alias("pos"), c["key"].alias("key"), c["neg"].alias("neg"))))
+        counts = F.array_sort(F.transform(_first_counts(fs), lambda c: F.struct(
+            c["pos"].alias("pos"), c["key"].alias("key"), c["neg"].alias("neg"))))
         body = join_lines(F.transform(counts, lambda c: F.concat(F.lit("  "), c["key"], F.lit(": "), (-c["neg"]).cast("string"))))
         return F.when((F.size(fs) == 0) & (exit_code == 0), F.lit("✓ no type errors")).otherwise(
             strip_trailing(F.concat(F.format_string("tsc: %d error(s)\n", F.size(fs)), body)))
@@ -488,46 +487,47 @@ def type_error_text(text: Column, exit_code: Column) -> Column:
 # --- E12 builds -------------------------------------------------------------------------------
 
 def build_status(tool: str, text: Column, exit_code: Column, command: Column | None = None) -> Column:
-    """struct(status, errors, lines): lines is the text a reader sees."""
+    """struct(status, errors, text): text is what a reader sees, with the first BUILD_LINES error lines; errors counts all."""
     t = nn(text)
     ls = lines_of(t)
+    most = BUILD_LINES[tool]
 
     def out(status: Column, errors: Column, shown: Column) -> Column:
         return F.struct(status.alias("status"), errors.cast("int").alias("errors"), shown.alias("text"))
 
     if tool == "gradle":
         ok, bad = t.contains("BUILD SUCCESSFUL"), t.contains("BUILD FAILED")
-        details = F.slice(F.filter(ls, lambda x: x.startswith("> ") | x.startswith("FAILURE:")), 1, 15)
+        details = F.filter(ls, lambda x: x.startswith("> ") | x.startswith("FAILURE:"))
         first = trim_ctl(F.try_element_at(F.filter(ls, lambda x: x.contains("BUILD SUCCESSFUL")), F.lit(1)))
         return let(details, lambda d: out(
             F.when(ok, "SUCCESS").when(bad, "FAILED").otherwise("UNKNOWN"),
             F.when(bad, F.greatest(F.lit(1), F.when(ok, 0).otherwise(F.size(d)))).otherwise(0),
-            F.when(ok, F.concat(F.lit("✓ "), first)).when(bad, F.concat(F.lit("✗ BUILD FAILED\n"), join_lines(d))).otherwise(t)))
+            F.when(ok, F.concat(F.lit("✓ "), first)).when(bad, F.concat(F.lit("✗ BUILD FAILED\n"), join_lines(F.slice(d, 1, most)))).otherwise(t)))
     if tool == "mvn":
         ok, bad = t.contains("BUILD SUCCESS"), t.contains("BUILD FAILURE")
         errors = F.transform(F.filter(ls, lambda x: x.startswith("[ERROR]") | x.rlike(r"Tests run:.+Failures: [1-9]")), lambda x: trim_ctl(x))
         tests = trim_ctl(F.coalesce(F.try_element_at(F.filter(ls, lambda x: x.contains("Tests run:")), F.lit(-1)), F.lit("")))
         return let(errors, lambda e: out(
             F.when(ok, "SUCCESS").when(bad, "FAILURE").otherwise("UNKNOWN"),
-            F.when(~ok & bad, F.least(F.size(e), F.lit(20))).otherwise(F.size(e)),
+            F.size(e),
             F.when(ok, F.concat(F.lit("✓ BUILD SUCCESS"), F.when(tests == "", "").otherwise(F.concat(F.lit(" — "), tests))))
-            .when(bad, F.concat(F.lit("✗ BUILD FAILURE\n"), join_lines(F.slice(e, 1, 20)))).otherwise(t)))
+            .when(bad, F.concat(F.lit("✗ BUILD FAILURE\n"), join_lines(F.slice(e, 1, most)))).otherwise(t)))
     if tool == "make":
-        errors = F.slice(F.filter(ls, lambda x: x.startswith("make") | x.contains("Error") | x.contains("error:")), 1, 15)
+        errors = F.filter(ls, lambda x: x.startswith("make") | x.contains("Error") | x.contains("error:"))
         tail = trim_ctl(F.coalesce(F.try_element_at(non_blank(ls), F.lit(-1)), F.lit("done")))
         bad = exit_code != 0
         return let(errors, lambda e: out(
             F.when(bad, "FAILED").otherwise("SUCCESS"), F.when(bad, F.greatest(F.lit(1), F.size(e))).otherwise(0),
-            F.when(bad & (F.size(e) == 0), t).when(bad, join_lines(e)).otherwise(F.concat(F.lit("✓ make: "), tail))))
+            F.when(bad & (F.size(e) == 0), t).when(bad, join_lines(F.slice(e, 1, most))).otherwise(F.concat(F.lit("✓ make: "), tail))))
     if tool == "cargo-install":
-        errors = F.slice(F.filter(ls, lambda x: x.rlike(r"^error(\[.+?\])?:")), 1, 15)
+        errors = F.filter(ls, lambda x: x.rlike(r"^error(\[.+?\])?:"))
         finished = F.regexp_extract(t, r"Finished .+ in (.+)", 0)
         words = F.split(nn(command if command is not None else F.lit("")), " ")
         verb = F.when(F.size(words) > 1, F.concat(F.get(words, 1), F.lit(" complete"))).otherwise(F.lit("complete"))
         bad = exit_code != 0
         return let(errors, lambda e: out(
             F.when(bad, "FAILED").otherwise("SUCCESS"), F.when(bad, F.size(e)).otherwise(0),
-            F.when(bad & (F.size(e) == 0), t).when(bad, join_lines(e)).when(
+            F.when(bad & (F.size(e) == 0), t).when(bad, join_lines(F.slice(e, 1, most))).when(
                 finished != "", F.concat(F.lit("✓ "), trim_ctl(finished))).otherwise(F.concat(F.lit("✓ "), verb))))
     raise ValueError(f"unknown build tool: {tool}")
 
@@ -875,11 +875,10 @@ def resource_graph_text(text: Column, header: str, top_n: int = RESOURCE_TOP, ma
                         capped_note: str = "... (plan rows omitted) ...") -> Column:
     """Counts by resource type and the addresses; texts that are no listing are unchanged."""
     def build(l: Column) -> Column:
-        return let(F.filter(l, is_address), lambda a: let(F.transform(a, lambda x: resource_type(x)), lambda ts: render(l, a, ts)))
+        return let(F.filter(l, is_address), lambda a: let(
+            ranked_counts(F.transform(a, lambda x: resource_type(x))), lambda ranked: render(l, a, ranked)))
 
-    def render(l: Column, a: Column, ts: Column) -> Column:
-        ranked = F.array_sort(F.transform(_run_counts(ts), lambda c: F.struct(
-            c["neg"].alias("neg"), F.array_position(ts, c["key"]).alias("pos"), c["key"].alias("key"))))
+    def render(l: Column, a: Column, ranked: Column) -> Column:
         title = F.replace(F.replace(F.lit(header), F.lit("{lines}"), F.size(l).cast("string")), F.lit("{keys}"), F.size(ranked).cast("string"))
         heads = F.array(title) if header.strip() else empty()
         groups = F.transform(F.slice(ranked, 1, top_n), lambda c: F.concat(c["key"], F.lit(": "), (-c["neg"]).cast("string")))

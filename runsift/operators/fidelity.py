@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runsift.functions.text import (
     any_line, contains_any, is_blank, let, lines_of, lines_raw_of, nn, strip_ws, trim_ctl,
 )
-from runsift.operators.ordered import ordinal
 
-# What counts as a failure signal, and how many are reported.
-MESSAGE_LIMIT = 80
-MAX_DIFF_FILES, MAX_DIFF_CHANGES, MAX_SQL, MAX_CVE, MAX_POINTERS, MAX_LOCATIONS = 20, 5, 3, 3, 5, 3
+# What counts as a failure signal.
 COMPILER_ERROR = r"(?i)^\s*(.+?):(\d+)(?::\d+)?:\s*(?:fatal\s+)?error\b.*$"
 COMPILED_SOURCE = (r"(?i)^.+\.(?:java|rs|c|h|cc|cpp|cxx|hpp|cs|go|kt|kts|swift|scala|m|mm|dart|zig|ex|exs|erl"
                    r"|hrl|ml|fs|fsx|jl|lua)$")
@@ -44,25 +43,46 @@ MAX_IDS, MAX_SHEET_CHARS, SHEET_MIN_CHARS, SHEET_MAX_PERCENT = 12, 240, 16_384,
 SHEET_OPEN, SHEET_CLOSE = "[preserved ids: ", "]"
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Most items of a kind that checks and signal tables look at, and characters of a message; None: all of them."""
+    files: int | None = None
+    changes: int | None = None
+    sql: int | None = None
+    cves: int | None = None
+    pointers: int | None = None
+    locations: int | None = None
+    chars: int | None = None
+
+
+ALL = Limits()
+
+
+def _first(values: Column, n: int | None) -> Column:
+    return values if n is None else F.slice(values, 1, n)
+
+
+def _head(text: Column, n: int | None) -> Column:
+    return text if n is None else F.substring(text, 1, n)
+
+
 # --- D1 ---------------------------------------------------------------------
 
 def line_diff(df: DataFrame, before: str = "before", after: str = "after", key: str = "run_id") -> DataFrame:
     """Occurrence-aware multiset diff: one row per line with its side.
 
-    Equal lines are numbered on each side and matched by number. The numbering is
-    chunked by line position, so one run full of the same line stays parallel.
+    Equal lines are numbered on each side and matched by number, all inside the row that holds both texts: no shuffle.
+    A kept line has its place in the first text.
     """
-    def numbered(col: str) -> DataFrame:
-        lines = df.select(key, F.posexplode(lines_raw_of(nn(F.col(col)))).alias("line_no", "line"))
-        return ordinal(lines, [key, "line"], "line_no", "n")
-
-    a, b = numbered(before).alias("a"), numbered(after).alias("b")
-    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.line") == F.col("b.line")) & (
-        F.col("a.n") == F.col("b.n"))
-    side = F.when(F.col("b.n").isNull(), "dropped").when(F.col("a.n").isNull(), "added").otherwise("kept")
-    return a.join(b, on, "full_outer").select(
-        F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.coalesce("a.line", "b.line").alias("line"),
-        side.alias("side"), F.coalesce("a.line_no", "b.line_no").alias("line_no"))
+    def sides(m: Column) -> Column:
+        def mark(x: Column, i: Column) -> Column:
+            kept = F.when(x["side"] == 0, _pair(x, F.get(m, i + 1))).otherwise(F.lit(False))
+            partner = F.when(x["side"] == 1, _pair(x, F.get(m, i - 1))).otherwise(F.lit(False))
+            side = F.when(kept, "kept").when(x["side"] == 0, "dropped").otherwise("added")
+            return F.when(~partner, F.struct(x["line"].alias("line"), side.alias("side"), x["idx"].alias("line_no")))
+        return F.array_compact(F.transform(m, mark))
+    rows = let(_merged(F.col(before), F.col(after)), sides)
+    return df.select(key, F.explode(rows).alias("r")).select(key, "r.*")
 
 
 def line_diff_counts(df: DataFrame, before: str = "before", after: str = "after", key: str = "run_id") -> DataFrame:
@@ -77,12 +97,12 @@ def line_diff_counts(df: DataFrame, before: str = "before", after: str = "after"
         F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("added"))
 
 
-def diff_in_row(before: Column, after: Column, samples: int = 32) -> Column:
-    """struct(kept, dropped, added, dropped_sample, added_sample) of two texts of one row.
+def _pair(a: Column, b: Column) -> Column:
+    return F.coalesce((a["line"] == b["line"]) & (a["n"] == b["n"]), F.lit(False))
 
-    Both sides are numbered per equal line and sorted together, so a kept line
-    stands next to its partner: two sorts inside the row, no shuffle.
-    """
+
+def _merged(before: Column, after: Column) -> Column:
+    """array<struct<line,n,side,idx>> of both texts, sorted: a kept line (side 0) stands in front of its partner (side 1)."""
     def numbered(lines: Column, side: int) -> Column:
         order = F.array_sort(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("idx"))))
 
@@ -93,11 +113,17 @@ def diff_in_row(before: Column, after: Column, samples: int = 32) -> Column:
                 F.slice(s, p, F.coalesce(F.get(st, j + 1), F.size(s) + 1) - p), lambda x, k: F.struct(
                     x["line"].alias("line"), k.alias("n"), F.lit(side).alias("side"), x["idx"].alias("idx"))))))
         return let(order, number)
+    return F.array_sort(F.concat(numbered(lines_raw_of(nn(before)), 0), numbered(lines_raw_of(nn(after)), 1)))
+
 
+def diff_in_row(before: Column, after: Column, samples: int = 32) -> Column:
+    """struct(kept, dropped, added, dropped_sample, added_sample) of two texts of one row.
+
+    Both sides are numbered per equal line and sorted together, so a kept line
+    stands next to its partner: two sorts inside the row, no shuffle.
+    """
     def compare(m: Column) -> Column:
-        def pair(a: Column, b: Column) -> Column:
-            return F.coalesce((a["line"] == b["line"]) & (a["n"] == b["n"]), F.lit(False))
-        lone = F.filter(m, lambda x, i: ~pair(x, F.get(m, i + 1)) & ~pair(x, F.get(m, i - 1)))
+        lone = F.filter(m, lambda x, i: ~_pair(x, F.get(m, i + 1)) & ~_pair(x, F.get(m, i - 1)))
         return let(F.struct(F.size(m).alias("n"), lone.alias("lone")), lambda p: let(F.struct(
             p["n"].alias("n"), of_side(p["lone"], 0).alias("d"), of_side(p["lone"], 1).alias("a")), finish))
 
@@ -110,7 +136,7 @@ def diff_in_row(before: Column, after: Column, samples: int = 32) -> Column:
         sample = lambda c: F.transform(F.slice(p[c], 1, samples), lambda x: x["line"])
         return F.struct(((p["n"] - d - a) / 2).cast("bigint").alias("kept"), d.cast("bigint").alias("dropped"), a.cast("bigint").alias("added"),
                         sample("d").alias("dropped_sample"), sample("a").alias("added_sample"))
-    return let(F.array_sort(F.concat(numbered(lines_raw_of(nn(before)), 0), numbered(lines_raw_of(nn(after)), 1))), compare)
+    return let(_merged(before, after), compare)
 
 
 # --- D2 ---------------------------------------------------------------------
@@ -124,24 +150,23 @@ def _flag(kind: str, cond: Column, value: str = "") -> Column:
     return F.when(cond, F.array(F.struct(F.lit(kind).alias("kind"), F.lit(value).alias("value")))).otherwise(none)
 
 
-def sql_messages(lines: Column) -> Column:
-    hits = F.slice(F.filter(lines, lambda x: x.rlike(SQL_ERROR)), 1, MAX_SQL)
-    return F.transform(hits, lambda x: F.substring(trim_ctl(F.regexp_extract(x, SQL_ERROR, 1)), 1, MESSAGE_LIMIT))
+def sql_messages(lines: Column, limits: Limits = ALL) -> Column:
+    hits = _first(F.filter(lines, lambda x: x.rlike(SQL_ERROR)), limits.sql)
+    return F.transform(hits, lambda x: _head(trim_ctl(F.regexp_extract(x, SQL_ERROR, 1)), limits.chars))
 
 
-def signals_of(command: Column, text: Column) -> Column:
+def signals_of(command: Column, text: Column, limits: Limits = ALL) -> Column:
     """array<struct<kind,value>> of the failure evidence in a text."""
     def build(s: Column) -> Column:
         wants_diff = nn(command).rlike(DIFF_COMMAND) & ~nn(command).rlike(STAT_COMMAND)
         none = F.array().cast("array<struct<kind:string,value:string>>")
-        # change lines count only up to the point where the last reported file header stands
         diff = let(lines_of(s), lambda ls: let(
-            F.filter(ls, lambda x: x.rlike(DIFF_HEADER) | x.rlike(r"^\+(?!\+\+)|^-(?!--)")), _diff_signals))
-        pointers = F.slice(F.regexp_extract_all(s, F.lit(POINTER), F.lit(0)), 1, MAX_POINTERS)
-        cves = F.slice(F.regexp_extract_all(s, F.lit(CVE), F.lit(0)), 1, MAX_CVE)
+            F.filter(ls, lambda x: x.rlike(DIFF_HEADER) | x.rlike(r"^\+(?!\+\+)|^-(?!--)")), lambda d: _diff_signals(d, limits)))
+        pointers = _first(F.regexp_extract_all(s, F.lit(POINTER), F.lit(0)), limits.pointers)
+        cves = _first(F.regexp_extract_all(s, F.lit(CVE), F.lit(0)), limits.cves)
         return F.concat(
             F.when(wants_diff, diff).otherwise(none),
-            _signal("sql", sql_messages(lines_of(s))),
+            _signal("sql", sql_messages(lines_of(s), limits)),
             _flag("terraform", s.rlike(PLAN_REPLACE), "replace"),
             _flag("terraform", s.rlike(PLAN_DESTROY), "destroy"),
             _signal("cve", cves),
@@ -154,27 +179,29 @@ def signals_of(command: Column, text: Column) -> Column:
     return let(nn(text), lambda s: F.when(is_blank(s), none).otherwise(build(s)))
 
 
-def _diff_signals(lines: Column) -> Column:
-    """File headers and the first change lines, in text order, until the file
-    header that fills the list to its size."""
+def _diff_signals(lines: Column, limits: Limits) -> Column:
+    """File headers and change lines in text order; with limits, the first change lines, until the file header that
+    fills the list to its size."""
     def item(x: Column) -> Column:
         header = x.rlike(DIFF_HEADER)
         kind = F.when(header, F.lit("diff_file")).when(x.startswith("+"), F.lit("diff_added")).otherwise(
             F.lit("diff_removed"))
         value = F.when(header, F.regexp_extract(x, DIFF_HEADER, 2)).otherwise(
-            F.substring(x, 2, MESSAGE_LIMIT))
+            _head(F.substring(x, F.lit(2), F.length(x)), limits.chars))
         return F.struct(kind.alias("kind"), value.alias("value"))
 
     def capped(items: Column) -> Column:
         change_pos = F.filter(F.sequence(F.lit(1), F.size(items)),
                               lambda i: F.element_at(items, i)["kind"] != "diff_file")
-        last_change = F.coalesce(F.try_element_at(change_pos, F.lit(MAX_DIFF_CHANGES)), F.size(items))
+        last_change = F.coalesce(F.try_element_at(change_pos, F.lit(limits.changes)), F.size(items))
         kept = F.filter(items, lambda x, i: (x["kind"] == "diff_file") | (i + 1 <= last_change))
         return let(kept, lambda k: let(
             F.filter(F.sequence(F.lit(1), F.greatest(F.size(k), F.lit(1))),
-                     lambda i: (i >= MAX_DIFF_FILES) & (F.get(k, i - 1)["kind"] == "diff_file")),
+                     lambda i: (i >= (limits.files or 1)) & (F.get(k, i - 1)["kind"] == "diff_file")),
             lambda stops: F.slice(k, 1, F.coalesce(F.try_element_at(stops, F.lit(1)), F.greatest(F.size(k), F.lit(1))))))
     none = F.array().cast("array<struct<kind:string,value:string>>")
+    if limits.changes is None and limits.files is None:
+        return F.transform(lines, item)
     return F.when(F.size(lines) == 0, none).otherwise(let(F.transform(lines, lambda x: item(x)), capped))
 
 
@@ -190,7 +217,7 @@ def has_test_failure(lines: Column) -> Column:
     return any_line(lines, lambda x: contains_any(x, TEST_MARKERS) | strip_ws(x).rlike(TEST_TALLY))
 
 
-def fidelity_failures(command: Column, exit_code: Column, before: Column, after: Column) -> Column:
+def fidelity_failures(command: Column, exit_code: Column, before: Column, after: Column, limits: Limits = ALL) -> Column:
     """Array of reasons why the reduced text must not replace the original.
 
     The text is scanned once per rule inside the row; nothing is shuffled. Most
@@ -220,15 +247,15 @@ def fidelity_failures(command: Column, exit_code: Column, before: Column, after:
             one(starts(raw_lines, "@@") & ~starts(out_lines, "@@"), "unified diff hunk header dropped"),
             one(any_line(raw_lines, lambda x: x.rlike(change)) & ~any_line(out_lines, lambda x: x.rlike(change)),
                 "unified diff change lines dropped"))).otherwise(none)
-        cves = F.slice(F.regexp_extract_all(raw, F.lit(CVE), F.lit(0)), 1, MAX_CVE)
+        cves = _first(F.regexp_extract_all(raw, F.lit(CVE), F.lit(0)), limits.cves)
         infra = F.concat(
-            lost("sql error message dropped ", sql_messages(raw_lines), out),
+            lost("sql error message dropped ", sql_messages(raw_lines, limits), out),
             one(raw.rlike(PLAN_REPLACE) & ~out.rlike(PLAN_REPLACE), "terraform replacement signal dropped"),
             one(raw.rlike(PLAN_DESTROY) & ~out.rlike(PLAN_DESTROY), "terraform destructive plan summary dropped"),
             lost("security advisory dropped ", cves, out))
         located = F.filter(raw_lines, lambda x: x.rlike(COMPILER_ERROR) & F.regexp_extract(
             x, COMPILER_ERROR, 1).rlike(COMPILED_SOURCE))
-        places = F.transform(F.slice(located, 1, MAX_LOCATIONS), lambda x: F.concat(
+        places = F.transform(_first(located, limits.locations), lambda x: F.concat(
             F.regexp_extract(x, COMPILER_ERROR, 1), F.lit(":"), F.regexp_extract(x, COMPILER_ERROR, 2)))
         strict_on = ((exit_code != 0) | raw.rlike(STRONG_FAILURE)) & ~cmd.rlike(LENIENT)
         frames = any_line(raw_lines, lambda x: x.rlike(STACK_FRAME)) & ~any_line(
@@ -261,8 +288,8 @@ def failure_detail(failures: Column) -> Column:
 
 # --- D4, C23 ----------------------------------------------------------------
 
-def dropped_ids(before: Column, after: Column) -> Column:
-    """Identifiers of the original that the reduced text lost, at most twelve."""
+def dropped_ids(before: Column, after: Column, limit: int | None = None) -> Column:
+    """Identifiers of the original that the reduced text lost; with ``limit``, the first so many."""
     kept = nn(after)
 
     def build(s: Column) -> Column:
@@ -273,8 +300,7 @@ def dropped_ids(before: Column, after: Column) -> Column:
         masked = F.regexp_replace(s, UUID, "-")
         hexes = F.filter(F.regexp_extract_all(masked, F.lit(HEX_ID), F.lit(0)),
                          lambda x: x.rlike(r"[0-9][a-f]*[0-9]") & x.rlike(r"[a-f][0-9]*[a-f]"))
-        return F.slice(F.array_distinct(F.filter(F.concat(uuid, cve, ticket, hexes), lambda x: ~kept.contains(x))),
-                       1, MAX_IDS)
+        return _first(F.filter(F.array_distinct(F.concat(uuid, cve, ticket, hexes)), lambda x: ~kept.contains(x)), limit)
     return let(nn(before), build)
 
 
@@ -296,7 +322,7 @@ def append_factsheet(before: Column, after: Column) -> Column:
     """Long texts reduced to 15 percent or less get the ids they lost."""
     due = (F.char_length(before) >= SHEET_MIN_CHARS) & (
         F.char_length(after).cast("bigint") * 100 <= F.char_length(before).cast("bigint") * SHEET_MAX_PERCENT)
-    sheet = let(dropped_ids(before, after), factsheet)
+    sheet = let(dropped_ids(before, after, MAX_IDS), factsheet)
     return F.when(due, let(sheet, lambda s: F.when(s == "", after).otherwise(F.concat(after, F.lit("\n"), s)))) \
         .otherwise(after)
 

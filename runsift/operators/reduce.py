@@ -179,6 +179,23 @@ def _run_counts(keys: Column) -> Column:
         let(F.array_sort(keys), build))
 
 
+def _first_counts(keys: Column) -> Column:
+    """array<struct<key,pos,neg>> of a key array: first position and count of every key, in key order, from one sort."""
+    def build(s: Column) -> Column:
+        starts = F.array_compact(F.transform(s, lambda x, i: F.when(
+            (i == 0) | (F.get(s, i - 1)["key"] != x["key"]), i)))
+        return let(starts, lambda st: F.transform(st, lambda i, j: F.struct(
+            F.get(s, i)["key"].alias("key"), F.get(s, i)["pos"].alias("pos"),
+            (i - F.coalesce(F.get(st, j + 1), F.size(s))).alias("neg"))))
+    return let(F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("key"), (i + 1).alias("pos")))), build)
+
+
+def ranked_counts(keys: Column) -> Column:
+    """array<struct<neg,pos,key>>: most frequent first, ties by first appearance."""
+    return F.array_sort(F.transform(_first_counts(keys), lambda c: F.struct(
+        c["neg"].alias("neg"), c["pos"].alias("pos"), c["key"].alias("key"))))
+
+
 def _aligned(pairs: Column) -> Column:
     key_w = F.array_max(F.transform(pairs, lambda p: F.char_length(p["key"])))
     cnt_w = F.length(F.array_max(F.transform(pairs, lambda p: -p["neg"])).cast("string"))
@@ -226,14 +243,11 @@ def aggregate_by_key(text: Column, key: str, header: Column | str, top_n: Column
     top = F.lit(top_n) if isinstance(top_n, int) else top_n
 
     def build(lines: Column) -> Column:
-        return let(F.transform(lines, lambda x: line_key(x, key)),
-                   lambda keys: let(_run_counts(keys), lambda counts: render(lines, keys, counts)))
+        return let(ranked_counts(F.transform(lines, lambda x: line_key(x, key))), lambda ranked: render(lines, ranked))
 
-    def render(lines: Column, keys: Column, counts: Column) -> Column:
+    def render(lines: Column, ranked: Column) -> Column:
         title = F.replace(F.replace(head, F.lit("{lines}"), F.size(lines).cast("string")),
-                          F.lit("{keys}"), F.size(counts).cast("string"))
-        ranked = F.array_sort(F.transform(counts, lambda c: F.struct(
-            c["neg"].alias("neg"), F.array_position(keys, c["key"]).alias("pos"), c["key"].alias("key"))))
+                          F.lit("{keys}"), F.size(ranked).cast("string"))
         rows = F.transform(F.slice(ranked, 1, top), lambda c: F.concat(
             F.lit("  "), c["key"], F.lit(": "), (-c["neg"]).cast("string")))
         sep = F.when(title.endswith("\n"), F.lit("")).otherwise(F.lit("\n"))
@@ -325,9 +339,10 @@ def tree_compression(text: Column) -> Column:
     def build(paths: Column) -> Column:
         files = F.transform(paths, lambda p, i: entry(F.split(dir_of(p), "/"), i + 1, name_of(p)))
         own = F.array_distinct(F.transform(paths, lambda p: dir_of(p)))
+        # distinct on joined paths: arrays would be compared pairwise
         parents = F.array_distinct(F.flatten(F.transform(own, lambda d: let(F.split(d, "/"), lambda ps: F.transform(
-            F.sequence(F.lit(1), F.size(ps)), lambda k: F.slice(ps, 1, k))))))
-        heads = F.transform(parents, lambda d: entry(d, F.lit(0), F.lit("")))
+            F.sequence(F.lit(1), F.size(ps)), lambda k: F.array_join(F.slice(ps, 1, k), "/"))))))
+        heads = F.transform(parents, lambda d: entry(F.split(d, "/"), F.lit(0), F.lit("")))
         return let(F.array_sort(F.concat(heads, files)), blocks)
 
     def blocks(e: Column) -> Column:

@@ -99,7 +99,7 @@ def h6(spark, sf):
 
 
 SAFETY = f"""{LED}, {sql.rule_values()}, oc AS (SELECT *, CASE id % 3 WHEN 0 THEN 'apply_fallback' WHEN 1 THEN 'stage_exception' ELSE 'short_circuit' END AS kind FROM led WHERE event_type = 'error'),
-  rc AS (SELECT * FROM oc WHERE kind <> 'short_circuit' AND ts >= TIMESTAMP '{frames.AS_OF}' - INTERVAL 90 DAY ORDER BY ts DESC, id DESC LIMIT 500),
+  rc AS (SELECT * FROM oc WHERE kind <> 'short_circuit' AND ts >= TIMESTAMP '{frames.AS_OF}' - INTERVAL 90 DAY),
   sc AS (SELECT * FROM rc WHERE project = '7' OR project IN (SELECT project FROM scoped) OR lower(command) IN (SELECT lower(command) FROM scoped)),
   ky AS (SELECT sc.id, any_value(lower(sc.command)) AS cmd, max_by(prefix, length(prefix)) AS p FROM sc LEFT JOIN rules ON lower(command) = prefix OR starts_with(lower(command), prefix || ' ') GROUP BY sc.id),
   saf AS (SELECT coalesce(p, cmd) AS command, count(*) AS incidents FROM ky GROUP BY 1 HAVING count(*) >= 3)"""
@@ -133,15 +133,17 @@ def h5(spark, sf):
 
 
 @query("h7_merge_proposals", f"""{COVERED}, {SAFETY}, {UNM}, al AS (
-    SELECT 0 AS claim, 'coverage' AS kind, command, status, NULL::BIGINT AS uses, NULL::BIGINT AS incidents, NULL::BIGINT AS sum_raw FROM cov WHERE root = 3
-    UNION ALL SELECT 1, 'safety', command, 'ready', NULL, incidents, NULL FROM saf UNION ALL SELECT 2, 'unmatched', command, 'ready', uses, NULL, sum_raw FROM unm),
-  fr AS (SELECT *, row_number() OVER (PARTITION BY command ORDER BY claim) AS rn FROM al WHERE command <> 'deno'),
-  o AS (SELECT kind, status, command, uses, incidents, sum_raw FROM fr WHERE rn = 1 UNION ALL
-    SELECT DISTINCT kind, 'skipped_existing', command, NULL, NULL, NULL FROM al WHERE command = 'deno')
-  SELECT sha256(kind || chr(0) || command || chr(0) || concat_ws('|', status, uses, incidents))[1:12] AS id, * FROM o ORDER BY kind, command, status LIMIT 20""")
+    SELECT 0 AS claim, 'coverage' AS kind, command, status, NULL::BIGINT AS uses, NULL::BIGINT AS incidents, NULL::BIGINT AS sum_raw, root FROM cov
+    UNION ALL SELECT 1, 'safety', command, 'ready', NULL, incidents, NULL, 3 FROM saf UNION ALL SELECT 2, 'unmatched', command, 'ready', uses, NULL, sum_raw, 3 FROM unm),
+  fr AS (SELECT *, row_number() OVER (PARTITION BY root, command ORDER BY claim) AS rn FROM al WHERE command <> 'deno'),
+  o AS (SELECT root, kind, status, command, uses, incidents, sum_raw FROM fr WHERE rn = 1 UNION ALL
+    SELECT DISTINCT root, kind, 'skipped_existing', command, NULL, NULL, NULL FROM al WHERE command = 'deno')
+  SELECT sha256(kind || chr(0) || command || chr(0) || concat_ws('|', status, uses, incidents))[1:12] AS id, * FROM o""")
 def h7(spark, sf):
-    have = spark.createDataFrame([(" Deno",)], "command string")
-    return H.merge_proposals(coverage(spark, sf).where("root = 3"), safety(spark, sf), unmatched(spark, sf), have)
+    # the ledger belongs to the repository of customer 3; every repository has an override for deno
+    have = frames.table(spark, sf, "customer").select(F.col("c_custkey").alias("root"), F.lit(" Deno").alias("command"))
+    root = F.lit(3).cast("bigint")
+    return H.merge_proposals(coverage(spark, sf), safety(spark, sf).withColumn("root", root), unmatched(spark, sf).withColumn("root", root), have)
 
 
 # --- I ----------------------------------------------------------------------------------

@@ -333,21 +333,21 @@ def _status(tool):
 
 
 query("e12_gradle_status", f"""{_B}, d AS (SELECT *, contains(t, 'BUILD SUCCESSFUL') AS ok, contains(t, 'BUILD FAILED') AS bad,
-    list_filter(ls, lambda q: starts_with(q, '> ') OR starts_with(q, 'FAILURE:'))[1:15] AS de FROM l)
+    list_filter(ls, lambda q: starts_with(q, '> ') OR starts_with(q, 'FAILURE:')) AS de FROM l)
   SELECT run_id, CASE WHEN ok THEN 'SUCCESS' WHEN bad THEN 'FAILED' ELSE 'UNKNOWN' END AS status, CAST(CASE WHEN bad THEN greatest(1, CASE WHEN ok THEN 0 ELSE len(de) END) ELSE 0 END AS INTEGER) AS errors,
-    CASE WHEN ok THEN '✓ ' || {sql.trim("list_filter(ls, lambda q: contains(q, 'BUILD SUCCESSFUL'))[1]")} WHEN bad THEN '✗ BUILD FAILED' || chr(10) || {sql.join('de')} ELSE t END AS text FROM d""")(_status("gradle"))
+    CASE WHEN ok THEN '✓ ' || {sql.trim("list_filter(ls, lambda q: contains(q, 'BUILD SUCCESSFUL'))[1]")} WHEN bad THEN '✗ BUILD FAILED' || chr(10) || {sql.join('de[1:15]')} ELSE t END AS text FROM d""")(_status("gradle"))
 query("e12_mvn_status", f"""{_B}, d AS (SELECT *, contains(t, 'BUILD SUCCESS') AS ok, contains(t, 'BUILD FAILURE') AS bad,
     list_transform(list_filter(ls, lambda q: starts_with(q, '[ERROR]') OR regexp_matches(q, 'Tests run:.+Failures: [1-9]')), lambda q: {sql.trim('q')}) AS er,
     coalesce({sql.trim("list_filter(ls, lambda q: contains(q, 'Tests run:'))[-1]")}, '') AS tl FROM l)
-  SELECT run_id, CASE WHEN ok THEN 'SUCCESS' WHEN bad THEN 'FAILURE' ELSE 'UNKNOWN' END AS status, CAST(CASE WHEN bad AND NOT ok THEN least(20, len(er)) ELSE len(er) END AS INTEGER) AS errors,
+  SELECT run_id, CASE WHEN ok THEN 'SUCCESS' WHEN bad THEN 'FAILURE' ELSE 'UNKNOWN' END AS status, CAST(len(er) AS INTEGER) AS errors,
     CASE WHEN ok THEN '✓ BUILD SUCCESS' || CASE WHEN tl = '' THEN '' ELSE ' — ' || tl END WHEN bad THEN '✗ BUILD FAILURE' || chr(10) || {sql.join('er[1:20]')} ELSE t END AS text FROM d""")(_status("mvn"))
-query("e12_make_status", f"""{_B}, d AS (SELECT *, list_filter(ls, lambda q: starts_with(q, 'make') OR contains(q, 'Error') OR contains(q, 'error:'))[1:15] AS er,
+query("e12_make_status", f"""{_B}, d AS (SELECT *, list_filter(ls, lambda q: starts_with(q, 'make') OR contains(q, 'Error') OR contains(q, 'error:')) AS er,
     {sql.nonblank('ls')} AS nb FROM l)
   SELECT run_id, CASE WHEN x <> 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, CAST(CASE WHEN x <> 0 THEN greatest(1, len(er)) ELSE 0 END AS INTEGER) AS errors,
-    CASE WHEN x <> 0 AND len(er) = 0 THEN t WHEN x <> 0 THEN {sql.join('er')} ELSE '✓ make: ' || {sql.trim("coalesce(nb[-1], 'done')")} END AS text FROM d""")(_status("make"))
-query("e12_cargo_install_status", f"""{_B}, d AS (SELECT *, list_filter(ls, lambda q: regexp_matches(q, '^error(\\[.+?\\])?:'))[1:15] AS er, regexp_extract(t, 'Finished .+ in (.+)', 0) AS fin FROM l)
+    CASE WHEN x <> 0 AND len(er) = 0 THEN t WHEN x <> 0 THEN {sql.join('er[1:15]')} ELSE '✓ make: ' || {sql.trim("coalesce(nb[-1], 'done')")} END AS text FROM d""")(_status("make"))
+query("e12_cargo_install_status", f"""{_B}, d AS (SELECT *, list_filter(ls, lambda q: regexp_matches(q, '^error(\\[.+?\\])?:')) AS er, regexp_extract(t, 'Finished .+ in (.+)', 0) AS fin FROM l)
   SELECT run_id, CASE WHEN x <> 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, CAST(CASE WHEN x <> 0 THEN len(er) ELSE 0 END AS INTEGER) AS errors,
-    CASE WHEN x <> 0 AND len(er) = 0 THEN t WHEN x <> 0 THEN {sql.join('er')} WHEN fin <> '' THEN '✓ ' || {sql.trim('fin')} ELSE '✓ install complete' END AS text FROM d""")(_status("cargo-install"))
+    CASE WHEN x <> 0 AND len(er) = 0 THEN t WHEN x <> 0 THEN {sql.join('er[1:15]')} WHEN fin <> '' THEN '✓ ' || {sql.trim('fin')} ELSE '✓ install complete' END AS text FROM d""")(_status("cargo-install"))
 
 IMAGE = ("CASE WHEN {i} % 4 = 0 THEN '#' || {i} || ' DONE 0.1s' WHEN {i} % 4 = 1 THEN 'ERROR: ' || x WHEN {i} = 6 THEN 'Successfully built 0123456789ab' WHEN {i} = 7 THEN 'Successfully tagged a:b ' ELSE x END")
 

@@ -57,27 +57,24 @@ def d1r(spark, sf):
 
 _EXC = D.EXCEPTION_MARKERS
 _TST = D.TEST_MARKERS
-_SQLMSG = rf"list_transform(list_filter({{x}}, lambda q: regexp_matches(q, '{D.SQL_ERROR}'))[1:3], lambda q: trim(regexp_extract(q, '{D.SQL_ERROR}', 1))[1:80])"
+_SQLMSG = rf"list_transform(list_filter({{x}}, lambda q: regexp_matches(q, '{D.SQL_ERROR}')), lambda q: trim(regexp_extract(q, '{D.SQL_ERROR}', 1)))"
 _CHANGE = "(starts_with(line, '+') AND NOT starts_with(line, '+++')) OR (starts_with(line, '-') AND NOT starts_with(line, '---'))"
 
 
 @query("d2_critical_signals", f"""WITH {SIG}, l AS (SELECT *, {sql.lines('before')} AS ls FROM sig),
   x AS (SELECT run_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM l WHERE command = 'git diff HEAD'),
   dl AS (SELECT *, regexp_matches(line, '{D.DIFF_HEADER}') AS hdr FROM x WHERE regexp_matches(line, '{D.DIFF_HEADER}') OR {_CHANGE}),
-  dc AS (SELECT *, sum(CASE WHEN hdr THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY no) AS chg FROM dl),
-  dk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY no) AS k FROM dc WHERE hdr OR chg <= 5),
-  ds AS (SELECT *, min(CASE WHEN hdr AND k >= 20 THEN k END) OVER (PARTITION BY run_id) AS stop FROM dk),
   parts AS (
     SELECT run_id, CASE WHEN hdr THEN 'diff_file' WHEN starts_with(line, '+') THEN 'diff_added' ELSE 'diff_removed' END AS kind,
-      CASE WHEN hdr THEN regexp_extract(line, '{D.DIFF_HEADER}', 2) ELSE line[2:81] END AS value FROM ds WHERE stop IS NULL OR k <= stop
+      CASE WHEN hdr THEN regexp_extract(line, '{D.DIFF_HEADER}', 2) ELSE line[2:] END AS value FROM dl
     UNION ALL SELECT run_id, 'sql', unnest({_SQLMSG.replace('{x}', 'ls')}) FROM l
     UNION ALL SELECT run_id, 'terraform', 'replace' FROM l WHERE regexp_matches(before, '{D.PLAN_REPLACE}')
     UNION ALL SELECT run_id, 'terraform', 'destroy' FROM l WHERE regexp_matches(before, '{D.PLAN_DESTROY}')
-    UNION ALL SELECT run_id, 'cve', unnest(regexp_extract_all(before, '{D.CVE}')[1:3]) FROM l
+    UNION ALL SELECT run_id, 'cve', unnest(regexp_extract_all(before, '{D.CVE}')) FROM l
     UNION ALL SELECT run_id, 'exception', m FROM l JOIN (SELECT unnest([{', '.join(sql.q(m) for m in _EXC)}]) AS m) ON contains(before, m)
     UNION ALL SELECT run_id, 'test_failure', m FROM l JOIN (SELECT unnest([{', '.join(sql.q(m) for m in _TST)}]) AS m) ON contains(before, m)
     UNION ALL SELECT run_id, 'test_tally', '' FROM l WHERE regexp_matches(before, '{D.TEST_TALLY}')
-    UNION ALL SELECT run_id, 'pointer', unnest(regexp_extract_all(before, '{D.POINTER}')[1:5]) FROM l)
+    UNION ALL SELECT run_id, 'pointer', unnest(regexp_extract_all(before, '{D.POINTER}')) FROM l)
   SELECT run_id, kind, value FROM parts""")
 def d2(spark, sf):
     return D.critical_signals(frames.signal_runs(spark, sf))
@@ -124,11 +121,11 @@ FAILS = f"""WITH {SIG}, l AS (SELECT run_id, command, exit_code, before AS b, af
     _lost(_SQLMSG.replace('{x}', 'bl'), 'sql error message dropped '),
     _one(f"regexp_matches(b, '{D.PLAN_REPLACE}') AND NOT regexp_matches(a, '{D.PLAN_REPLACE}')", 'terraform replacement signal dropped'),
     _one(f"regexp_matches(b, '{D.PLAN_DESTROY}') AND NOT regexp_matches(a, '{D.PLAN_DESTROY}')", 'terraform destructive plan summary dropped'),
-    _lost(f"regexp_extract_all(b, '{D.CVE}')[1:3]", 'security advisory dropped '),
+    _lost(f"regexp_extract_all(b, '{D.CVE}')", 'security advisory dropped '),
     f"CASE WHEN (exit_code <> 0 OR regexp_matches(b, '{D.STRONG_FAILURE}')) AND command NOT IN ('ls -la', 'git diff --stat') THEN " + _concat(
         [_one(f"contains(b, {sql.q(m)}) AND NOT contains(a, {sql.q(m)})", f'exception marker dropped {m}') for m in _EXC] + [
             _one(f"{_any('bl', f'''regexp_matches(q, '{D.STACK_FRAME}')''')} AND NOT ({_any('al', f'''regexp_matches(q, '{D.STACK_FRAME}')''')}) AND {_NO_EXC}", 'stack frames dropped'),
-            _lost(f"list_transform(list_filter(bl, lambda q: regexp_matches(q, '{D.COMPILER_ERROR}') AND regexp_matches(regexp_extract(q, '{D.COMPILER_ERROR}', 1), '{D.COMPILED_SOURCE}'))[1:3], "
+            _lost(f"list_transform(list_filter(bl, lambda q: regexp_matches(q, '{D.COMPILER_ERROR}') AND regexp_matches(regexp_extract(q, '{D.COMPILER_ERROR}', 1), '{D.COMPILED_SOURCE}')), "
                   f"lambda q: regexp_extract(q, '{D.COMPILER_ERROR}', 1) || ':' || regexp_extract(q, '{D.COMPILER_ERROR}', 2))", 'compiler diagnostic dropped '),
             _one(f"{_test('b')} AND NOT {_test('a')} AND NOT regexp_matches(lower(a), 'failed|failure|error')", 'test failure markers dropped')]) + f" ELSE {_NONE} END",
     _one(f"exit_code <> 0 AND regexp_matches({sql.strip('a')}, '{D.MISLEADING}')", 'misleading clean summary on non-zero exit')])} END AS failures FROM l)"""
@@ -153,7 +150,7 @@ def _ids(b: str, a: str) -> str:
               f"list_filter(regexp_extract_all({b}, '{D.TICKET}'), lambda t: split_part(t, '-', 1) NOT IN ({noise})), "
               f"list_filter(regexp_extract_all({masked}, '{D.HEX_ID}'), lambda h: length(regexp_replace(h, '[^0-9]', '', 'g')) >= 2 "
               f"AND length(regexp_replace(h, '[^a-f]', '', 'g')) >= 2)])")
-    return sql.distinct_in_order(f"list_filter({allids}, lambda z: NOT contains({a}, z))") + "[1:12]"
+    return sql.distinct_in_order(f"list_filter({allids}, lambda z: NOT contains({a}, z))")
 
 
 @query("d4_dropped_identifiers", f"WITH {SIG} SELECT run_id, array_to_string({_ids('before', 'after')}, ',') AS ids FROM sig")
@@ -165,7 +162,7 @@ _SHEETS = "list_filter(list_transform(range(1, len(ids) + 1), lambda k: '[preser
 
 
 @query("c23_append_identifier_factsheet", f"""WITH {SIG}, big AS (SELECT run_id, repeat(before || chr(10), 4) AS b, after AS a FROM sig),
-  i AS (SELECT *, {_ids('b', 'a')} AS ids FROM big)
+  i AS (SELECT *, ({_ids('b', 'a')})[1:12] AS ids FROM big)
   SELECT run_id, CASE WHEN length(b) >= 16384 AND length(a) * 100 <= length(b) * 15 AND len(ids) > 0 THEN a || chr(10) || ({_SHEETS})[-1] ELSE a END AS text FROM i""")
 def c23(spark, sf):
     b = F.repeat(F.concat("before", F.lit("\n")), 4)
@@ -193,15 +190,12 @@ def c22(spark, sf):
 @query("d7_signal_retention_report", f"""WITH {SIG}, l AS (SELECT *, {sql.lines('before')} AS ls, {sql.tokens('before')} AS rt, {sql.tokens('after')} AS ot FROM sig),
   x AS (SELECT run_id, command, after, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM l WHERE command = 'git diff HEAD'),
   dl AS (SELECT *, regexp_matches(line, '{D.DIFF_HEADER}') AS hdr FROM x WHERE regexp_matches(line, '{D.DIFF_HEADER}') OR {_CHANGE}),
-  dc AS (SELECT *, sum(CASE WHEN hdr THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY no) AS chg FROM dl),
-  dk AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY no) AS k FROM dc WHERE hdr OR chg <= 5),
-  ds AS (SELECT *, min(CASE WHEN hdr AND k >= 20 THEN k END) OVER (PARTITION BY run_id) AS stop FROM dk),
   parts AS (
-    SELECT run_id, after, CASE WHEN hdr THEN regexp_extract(line, '{D.DIFF_HEADER}', 2) ELSE line[2:81] END AS value FROM ds WHERE stop IS NULL OR k <= stop
+    SELECT run_id, after, CASE WHEN hdr THEN regexp_extract(line, '{D.DIFF_HEADER}', 2) ELSE line[2:] END AS value FROM dl
     UNION ALL SELECT run_id, after, unnest({_SQLMSG.replace('{x}', 'ls')}) FROM l
-    UNION ALL SELECT run_id, after, unnest(regexp_extract_all(before, '{D.CVE}')[1:3]) FROM l
+    UNION ALL SELECT run_id, after, unnest(regexp_extract_all(before, '{D.CVE}')) FROM l
     UNION ALL SELECT run_id, after, m FROM l JOIN (SELECT unnest([{', '.join(sql.q(m) for m in _EXC + _TST)}]) AS m) ON contains(before, m)
-    UNION ALL SELECT run_id, after, unnest(regexp_extract_all(before, '{D.POINTER}')[1:5]) FROM l),
+    UNION ALL SELECT run_id, after, unnest(regexp_extract_all(before, '{D.POINTER}')) FROM l),
   lost AS (SELECT DISTINCT run_id FROM parts WHERE NOT contains(after, value)),
   p AS (SELECT l.command, lost.run_id IS NULL AS kept, {sql.pct('rt', 'ot')} AS pct FROM l LEFT JOIN lost ON lost.run_id = l.run_id)
   SELECT command, count(*) AS runs, count(*) FILTER (kept) AS kept_runs, min(pct) AS min_pct, CAST(sum(pct) AS BIGINT) AS sum_pct,

@@ -144,8 +144,8 @@ def report_columns(df: DataFrame) -> DataFrame:
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
-    """A report as CSV with quoted quotes. Reports are aggregates, so one file suits."""
-    report_columns(df).coalesce(1).write.mode("overwrite").option("header", "true").option("quote", '"').option(
+    """A report as a folder of CSV files with quoted quotes, a file for each task."""
+    report_columns(df).write.mode("overwrite").option("header", "true").option("quote", '"').option(
         "escape", '"').csv(path)
 
 
