@@ -34,8 +34,8 @@ _WIDE = re.compile(r"\s \s")
 class Transducer:
     """Tokens of one pre-split piece of text, byte by byte."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
-        self.ranks, self.rule, self.most = ranks, PairRule(ranks, most=200_000), most_states
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000):
+        self.ranks, self.rule, self.most = ranks, PairRule(ranks, most=300_000), most_states
         self.open = {t[:n] for t in ranks for n in range(1, len(t))}  # proper prefixes of tokens
         self._reset()
 
@@ -198,7 +198,7 @@ class Utf8Machine:
 class Codec:
     """Encoder and decoder for one rank file and split pattern; ``most`` bounds the tables of finished pieces and words."""
 
-    def __init__(self, path: str, pattern: str, most: int = 250_000):
+    def __init__(self, path: str, pattern: str, most: int = 400_000):
         import regex
 
         with open(path, "rb") as lines:
@@ -207,21 +207,23 @@ class Codec:
         for token, i in ranks.items():
             vocab[i] = token
         self.split, self.fst, self.utf8, self.vocab = regex.compile(pattern).findall, Transducer(ranks), Utf8Machine(vocab), vocab
-        self.done: dict[str, bytes] = {}  # pieces of the pattern
+        self.done: dict[str, bytes] = {}  # pieces of the pattern, but for a space with letters
         self.words: dict[str, bytes] = {}  # a space and what stands up to the next one
         self.most = most
 
     def _pieces(self, text: str) -> bytes:
         out = []
         for piece in self.split(text):
-            value = self.done.get(piece)
+            word = piece[1:] if piece[0] == " " else ""
+            table, key = (self.words, word) if word.isalpha() else (self.done, piece)
+            value = table.get(key)
             if value is None:
                 ids = self.fst.encode(piece.encode())
                 value = struct.pack(f"<{len(ids)}I", *ids)
-                if len(piece) <= 64:
-                    if len(self.done) >= self.most:
-                        self.done.clear()
-                    self.done[piece] = value
+                if len(key) <= 64:
+                    if len(table) >= self.most:
+                        table.clear()
+                    table[key] = value
             out.append(value)
         return b"".join(out)
 
