@@ -8,6 +8,7 @@ import numpy as np
 import __spark_entry__ as entry
 from runsift.llm import fuzzy_lines, ngram_join, pivot_index
 from runsift.llm.components import components
+from runsift.llm.shingles import word_hashes
 
 
 def joined(ids, links):
@@ -157,3 +158,12 @@ def test_lines_query(spark):
     gone, _ = lines_brute(rows, 0.8)
     got = entry.queries()["op7_fuzzy_line_dedup"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r.n_removed for r in got) == len(gone)
+
+
+def test_simhash_against_brute_force():
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(50)]
+    lines = ["", *(" ".join(rng.choice(words, n)) for n in (1, 2, 3, 254, 255, 256, 510, 511, 2000))]
+    for line, got in zip(lines, fuzzy_lines.simhashes(lines).view(np.uint64).tolist(), strict=True):
+        hashes = word_hashes([line.encode()])[0].tolist()
+        assert got == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
