@@ -78,3 +78,9 @@ def test_run_view(apply):
 def test_ci_view(apply):
     out = apply(lambda t: sections.section_filter(t, F.lit("glab ci view"), F.lit(0), "glab"), "Pipeline #1\nJobs:\n✓ a\nb failed\n")
     assert out == "Pipeline #1\n\n✗ 1 of 2 jobs failed:\n  b failed\n✓ 1 jobs passed"
+
+
+def test_errors_are_counted_before_the_text_is_cut(spark):
+    text = "\n".join(f"make: Error {k}" for k in range(40))
+    got = spark.createDataFrame([(text,)], "text string").select(E.build_status("make", F.col("text"), F.lit(2)).alias("s")).first().s
+    assert got.errors == 40 and len(got.text.split("\n")) == 15

@@ -57,7 +57,9 @@ def test_identifiers(apply):
     assert ids(f"{uuid} ABC-12 UTF-8 dead12beef", "") == [uuid, "ABC-12", "dead12beef"]
     assert ids("deadbeef 1234567", "") == []
     assert ids("ABC-12", "see ABC-12") == []
-    assert len(ids(" ".join(f"AB-{i}" for i in range(10, 40)), "")) == 12
+    many = " ".join(f"AB-{i}" for i in range(10, 40))
+    assert len(ids(many, "")) == 30
+    assert len(apply(lambda b, a: D.dropped_ids(b, a, 12), many, "")) == 12
 
 
 def test_factsheet_length(spark):
@@ -83,3 +85,24 @@ def test_line_diff_accounts_for_every_line(spark):
     assert {(r.run_id, r.kept, r.dropped, r.added) for r in inrow.collect()} == {(1, 2, 2, 1), (2, 0, 1, 1)}
     counts = {(r.run_id, r.kept, r.dropped, r.added) for r in D.line_diff_counts(df).collect()}
     assert counts == {(1, 2, 2, 1), (2, 0, 1, 1)}
+
+
+def test_all_evidence_is_reported(spark):
+    lines = [f"CVE-2024-100{k}" for k in range(6)] + [f"src/m{k}.c:{k}: error: bad" for k in range(5)]
+    df = spark.createDataFrame([("make", 1, "\n".join(lines), "nothing")], "command string, exit_code int, before string, after string")
+    args = [F.col(c) for c in ("command", "exit_code", "before", "after")]
+    found = df.select(D.fidelity_failures(*args)).first()[0]
+    assert found == [f"security advisory dropped CVE-2024-100{k}" for k in range(6)] + [f"compiler diagnostic dropped src/m{k}.c:{k}" for k in range(5)]
+    few = df.select(D.fidelity_failures(*args, D.Limits(cves=2, locations=1))).first()[0]
+    assert len(few) == 3
+    signals = df.select(D.signals_of(F.col("command"), F.col("before"))).first()[0]
+    assert [s.kind for s in signals].count("cve") == 6 and [s.kind for s in signals].count("pointer") == 5
+
+
+def test_diff_signals_with_and_without_limits(spark):
+    text = "\n".join(line for k in range(30) for line in (f"diff --git a/f{k} b/f{k}", f"+{'x' * 90}{k}"))
+    df = spark.createDataFrame([("git diff", text)], "command string, before string")
+    every = df.select(D.signals_of(F.col("command"), F.col("before"))).first()[0]
+    assert [s.kind for s in every].count("diff_file") == 30 and [s.value for s in every].count("x" * 90 + "29") == 1
+    some = df.select(D.signals_of(F.col("command"), F.col("before"), D.Limits(files=20, changes=5, chars=80))).first()[0]
+    assert [s.kind for s in some].count("diff_added") == 5 and {len(s.value) for s in some if s.kind == "diff_added"} == {80}
