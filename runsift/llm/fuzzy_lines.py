@@ -1,10 +1,13 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence kept for each group.
+"""Fuzzy line deduplication: shared word runs, MinHash bands, SimHash, edit similarity, one occurrence kept for each group.
 
-A line is normalised to its words in lower case. Equal normalised lines are one line class. Two classes link when the
-64-bit SimHashes of their words differ in at most three bits and the edit similarity of the normalised lines is at least
-``similarity``. With five blocks of bits, hashes that differ in three bits agree in two blocks at least, so the ten pairs
-of blocks (25 bits or more each) are the join keys. Of each connected group the first occurrence, by (id, line number),
-stays; all other occurrences go. Lines without a word are never removed.
+A line is normalised to its words in lower case. Equal normalised lines are one line class. Two classes link when the edit
+similarity of the normalised lines is at least ``similarity``; that check is exact. Candidates share a join key: one of the
+``RUNS`` smallest hashes of their runs of three words, for lines of fewer than ``SHORT`` words a MinHash band of their
+character trigrams, or for lines of at most ``TINY`` characters the text without one character. Their SimHashes must differ
+in at most ``WORD_BITS`` of 256 bits over words or, of short lines, ``GRAM_BITS`` of 128 over trigrams; tiny lines need no
+likeness of SimHashes. The bounds are set
+from recall at similarity 0.8: long lines in which nearly every word has a typo can be missed. Of each connected group the
+first occurrence, by (id, line number), stays; all other occurrences go. Lines without a word are never removed.
 
 Null texts stay null. Rows of one id count as one document. Rows with a null id are left as they are.
 A line class is named by a 64-bit hash of its text.
@@ -14,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,15 @@ from pyspark.sql import functions as F
 from runsift.llm.common import checkpointed, chunks, stored
 from runsift.llm.components import components
 from runsift.llm.ngram_join import bucket_links
-from runsift.llm.shingles import word_hashes
-
-#: Bits that may differ, and blocks as (shift, bits).
-BITS = 3
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-TABLES = list(combinations(range(len(BLOCKS)), len(BLOCKS) - BITS))
+from runsift.llm.shingles import mix, word_hashes
+
+#: Word runs of a line that are keys; words below which a line has trigram keys; bands and MinHashes of each; characters of
+#: lines keyed by what is left without one.
+RUNS, SHORT, BANDS, ROWS, TINY = 24, 12, 24, 3, 14
+#: Bits of the SimHashes of words (256) and trigrams (128) that may differ.
+WORD_BITS, GRAM_BITS = 72, 48
+WORD_SIMS, GRAM_SIMS = ["s0", "s1", "s2", "s3"], ["c0", "c1"]
+NODE = ["size", "short", *WORD_SIMS, *GRAM_SIMS]
 #: Lines and characters of a block of a bucket.
 BLOCK_LINES, BLOCK_CHARS = 2048, 8 << 20
 #: Line numbers up to which a table of lines may be broadcast.
@@ -50,8 +56,12 @@ def line_hash(text: str) -> int:
 
 def simhashes(lines: list[str]) -> np.ndarray:
     """SimHash of the words of each normalised line, as signed 64-bit integers."""
-    words, counts = word_hashes([t.encode("utf-8", "replace") for t in lines])
-    out = np.zeros(len(lines), np.uint64)
+    return _signs(*word_hashes([t.encode("utf-8", "replace") for t in lines]))
+
+
+def _signs(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """SimHash of each run of hashes, ``counts`` long."""
+    out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(counts)
     first = np.cumsum(counts) - counts
     step = 1 << 16  # words at a time
@@ -75,6 +85,59 @@ def simhashes(lines: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _trigrams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character trigrams of each line between two spaces, and how many each has."""
+    chars = np.frombuffer("".join(f" {t} " for t in lines).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    counts = np.array([len(t) for t in lines], np.int64)
+    at = np.arange(int(counts.sum())) + 2 * np.repeat(np.arange(len(lines)), counts)
+    return mix(chars[at] << np.uint64(42) | chars[at + 1] << np.uint64(21) | chars[at + 2]), counts
+
+
+def _runs(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and hash of the RUNS smallest distinct runs of three words of each line."""
+    own = np.repeat(np.arange(len(counts)), counts)
+    full = np.flatnonzero(own[2:] == own[:-2])
+    own, runs = own[full], mix(mix(mix(words[full]) + words[full + 1]) + words[full + 2])
+    order = np.lexsort((runs, own))
+    own, runs = own[order], runs[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (runs[1:] != runs[:-1])
+    own, runs = own[new], runs[new]
+    kept = np.arange(len(own)) - np.searchsorted(own, own) < RUNS
+    return own[kept], runs[kept]
+
+
+def _bands(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A key for each line and band, of ROWS MinHashes."""
+    out = np.zeros((len(counts), BANDS), np.uint64)
+    first = np.cumsum(counts) - counts
+    for band in range(BANDS if len(counts) else 0):
+        key = np.full(len(counts), band + 1, np.uint64)
+        for row in range(ROWS):
+            key = mix(key + np.minimum.reduceat(mix(grams ^ np.uint64((band * ROWS + row + 1) * 0x9E3779B97F4A7)), first))
+        out[:, band] = key
+    return out
+
+
+def sketches(lines: list[str]) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """Columns short, s0 to s3, c0 and c1 of normalised lines, and the join keys of each."""
+    words, counts = word_hashes([t.encode("utf-8", "replace") for t in lines])
+    short = counts < SHORT
+    few = np.flatnonzero(short)
+    grams, sizes = _trigrams([lines[i] for i in few])
+    out = {"short": short, **{c: _signs(mix(words + np.uint64(k)) if k else words, counts) for k, c in enumerate(WORD_SIMS)}}
+    for k, c in enumerate(GRAM_SIMS):
+        out[c] = np.zeros(len(lines), np.int64)
+        out[c][few] = _signs(mix(grams + np.uint64(k)), sizes)
+    own, runs = _runs(words, counts)
+    keys = np.split(runs.view(np.int64), np.searchsorted(own, np.arange(1, len(lines)))) if lines else []
+    for i, bands in zip(few.tolist(), _bands(grams, sizes).view(np.int64), strict=True):
+        t = lines[i]
+        less = {t, *(t[:k] + t[k + 1:] for k in range(len(t)))} if len(t) <= TINY else ()
+        keys[i] = np.unique(np.concatenate([keys[i], bands, np.array([line_hash(x) for x in less], np.int64)]))
+    return out, keys
+
+
 def edit_distance(a: str, b: str) -> int:
     """Insertions, deletions and replacements from one text to the other, by bit vectors over what differs."""
     start, least = 0, min(len(a), len(b))
@@ -109,7 +172,7 @@ def similar(a: str, b: str, least: float) -> bool:
 
 
 def _lines(docs: DataFrame, id_type: str) -> DataFrame:
-    """A row for each line with a word: h (line class), doc, line (number), sim, size (characters)."""
+    """A row for each line with a word: h (line class), doc, line (number), size (characters), sketches, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 2 << 20):
@@ -120,35 +183,35 @@ def _lines(docs: DataFrame, id_type: str) -> DataFrame:
                         rows.append(row)
                         numbers.append(n)
                         texts.append(norm)
-            yield pa.RecordBatch.from_arrays([pa.array([line_hash(t) for t in texts], pa.int64()), batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int64()),
-                                              pa.array(simhashes(texts)), pa.array([len(t) for t in texts], pa.int64())], names=["h", "doc", "line", "sim", "size"])
+            found, keys = sketches(texts)
+            found["size"] = np.array([len(t) for t in texts], np.int64)
+            ends = np.cumsum([0, *map(len, keys)])
+            yield pa.RecordBatch.from_arrays([pa.array([line_hash(t) for t in texts], pa.int64()), batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int64()), *[pa.array(found[c]) for c in NODE],
+                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))], names=["h", "doc", "line", *NODE, "keys"])
 
-    return docs.where("doc IS NOT NULL").mapInArrow(run, f"h bigint, doc {id_type}, line bigint, sim bigint, size bigint")
-
-
-def _key(sim: np.ndarray, table: int) -> np.ndarray:
-    """The bits of a table's two blocks."""
-    i, j = TABLES[table]
-    parts = [(sim >> np.uint64(shift)) & np.uint64((1 << bits) - 1) for shift, bits in (BLOCKS[i], BLOCKS[j])]
-    return parts[0] << np.uint64(13) | parts[1]
+    node = ", ".join(f"{c} {'boolean' if c == 'short' else 'bigint'}" for c in NODE)
+    return docs.where("doc IS NOT NULL").mapInArrow(run, f"h bigint, doc {id_type}, line bigint, {node}, keys array<bigint>")
 
 
 def _joining_links(rows: pa.Table, similarity: float) -> pa.Table:
     """Links between groups of one pair of blocks of a bucket, as many as join what is similar.
 
-    A pair is looked at in the first of the tables whose blocks it shares. In each turn every line not yet in the group of
-    some candidate is verified against its first one.
+    In each turn every line not yet in the group of some candidate is verified against its first one.
     """
     rows = rows.sort_by("id")
-    ids, sims, sizes, own = (rows.column(c).to_numpy() for c in ("id", "sim", "size", "own"))
-    texts, sims = rows.column("norm").to_pylist(), sims.view(np.uint64)
-    table = rows.column("key")[0].as_py() % 16
+    ids, sizes, short, own = (rows.column(c).to_numpy() for c in ("id", "size", "short", "own"))
+    texts = rows.column("norm").to_pylist()
     left, right = np.flatnonzero(own == rows.column("i")[0].as_py()), np.flatnonzero(own == rows.column("j")[0].as_py())
-    near = np.bitwise_count(sims[left][:, None] ^ sims[right][None, :]) <= BITS
+
+    def apart(columns: list[str]) -> np.ndarray:
+        sims = [rows.column(c).to_numpy().view(np.uint64) for c in columns]
+        return sum((np.bitwise_count(x[left][:, None] ^ x[right][None, :]).astype(np.int16) for x in sims), np.int16(0))
+
+    near = apart(WORD_SIMS) <= WORD_BITS
+    if short.any():
+        near |= short[left][:, None] & short[right][None, :] & (apart(GRAM_SIMS) <= GRAM_BITS)
+    near |= np.maximum(sizes[left][:, None], sizes[right][None, :]) <= TINY
     near &= np.minimum(sizes[left][:, None], sizes[right][None, :]) >= np.maximum(sizes[left][:, None], sizes[right][None, :]) * (similarity - 1e-9)
-    for t in range(table):
-        keys = _key(sims, t)
-        near &= keys[left][:, None] != keys[right][None, :]
     group = np.unique(rows.column("g").to_numpy(), return_inverse=True)[1]
     links = []
     while True:
@@ -172,19 +235,18 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     id_type = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     lines = stored(_lines(docs, id_type), "lines")
-    classes = stored(lines.groupBy(F.col("h").alias("id")).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"), F.min("size").alias("size")), "line-classes")
-
-    def block(k: int) -> Column:
-        shift, bits = BLOCKS[k]
-        return F.shiftrightunsigned("sim", shift).bitwiseAND((1 << bits) - 1)
-
-    keys = [(block(i) * (1 << 13) + block(j)) * 16 + t for t, (i, j) in enumerate(TABLES)]
-    entries = classes.select("id", F.explode(F.array(*keys)).alias("key"))
-    nodes = classes.select("id", "sim", "size")
+    classes = stored(lines.groupBy(F.col("h").alias("id")).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in NODE]), "line-classes")
+    entries = stored(lines.select(F.col("h").alias("id"), F.explode("keys").alias("key")).distinct(), "line-keys")
+    nodes = classes.select("id", *NODE)
 
     def near(left: str, right: str) -> Column:
         a, b = F.col(f"{left}size"), F.col(f"{right}size")
-        return (F.bit_count(F.col(f"{left}sim").bitwiseXOR(F.col(f"{right}sim"))) <= BITS) & (F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9))
+
+        def apart(columns: list[str]) -> Column:
+            return reduce(Column.__add__, [F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in columns])
+
+        close = (apart(WORD_SIMS) <= WORD_BITS) | F.col(f"{left}short") & F.col(f"{right}short") & (apart(GRAM_SIMS) <= GRAM_BITS) | (F.greatest(a, b) <= TINY)
+        return close & (F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 2 << 20):
@@ -215,10 +277,10 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     def across(rest: DataFrame) -> DataFrame:
         """Compare groups inside buckets: first find, by SimHash, the lines with a possible partner in another group there; only these
         get their texts, in blocks by count and by size of text, and tasks emit only links that join groups."""
-        rows = rest.select("key", "id", "g", "sim", "size")
-        one, two = (rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "g", "sim", "size")]) for side in ("l", "r"))
+        rows = rest.select("key", "id", "g", *NODE)
+        one, two = (rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "g", *NODE)]) for side in ("l", "r"))
         open_ = one.join(two, (one["key"] == two["key"]) & (F.col("l_g") != F.col("r_g")) & near("l_", "r_"), "left_semi")
-        open_ = checkpointed(open_.select("key", *[F.col(f"l_{c}").alias(c) for c in ("id", "g", "sim", "size")]))
+        open_ = checkpointed(open_.select("key", *[F.col(f"l_{c}").alias(c) for c in ("id", "g", *NODE)]))
         texts = texts_of(open_.select("id").distinct())
         full = open_.join(texts, "id")
         sizes = open_.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_LINES, F.sum("size") / BLOCK_CHARS)).cast("int").alias("blocks"))
