@@ -3,11 +3,12 @@
 Texts are cut into passages of ``WINDOW`` words, weighted by TF-IDF over hashed words. A word in more than a fiftieth of all
 stretches of ``STRIDE`` words weighs nothing, unless that were most words of the text. A randomised SVD, distributed over all
 passages of the corpus, gives the latent space: one pass sums A'(A R) for a random matrix R, from which the leading right
-singular vectors follow on the driver (matrices of fixed size). In it the passages of every document, at every ``STRIDE``
-words, are compared by cosine with the passages of the benchmark items. Candidates are verified on words: where bit sets show
-that too few of an item's words are near, no common subsequence can be long enough; else the longest common subsequence of
-item and surrounding text must cover ``least`` of the item, or ``least_paraphrase`` of it if the item's answer, its last
-words, is there too.
+singular vectors follow on the driver (matrices of fixed size). In it a leak gets its cosine, the highest of the item's passages and the text's around it.
+The latent space is a score and no filter, unless ``cosine`` is given: a cosine loses leaks at any useful threshold. Every
+item is compared with the text from every ``STRIDE`` words on, 3 ``STRIDE`` words longer than the item: where bit sets show
+that too few of an item's words are near, no common subsequence can be long enough (exact, and nearly all pairs end there);
+else the longest common subsequence of item and text must cover ``least`` of the item, or ``least_paraphrase`` of it if the
+item's answer, its last words, is there too.
 
 Items come in blocks of ``BLOCK_ITEMS``, one pass over the documents each. A document's passages do not meet others, so
 there is no shuffle of texts and no group. Null texts and texts or items without words match nothing; repeated rows are
@@ -156,18 +157,19 @@ def _bit_sets(words: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
 
 
 def _spread(sets: np.ndarray, n: int) -> np.ndarray:
-    """Union of each set with the ones after it, ``n`` or more in all (a power of two)."""
-    step = 1
-    while step < n:
+    """Union of each set with the ones after it, ``n`` in all."""
+    done = 1
+    while done < n:
+        step = min(done, n - done)
         longer = sets.copy()
         longer[:-step] |= sets[step:]
-        sets, step = longer, step * 2
+        sets, done = longer, done + step
     return sets
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, least: float = 0.7, least_paraphrase: float = 0.6, answer_words: int = 8, answer_least: float = 0.75,
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float | None = None, least: float = 0.7, least_paraphrase: float = 0.6, answer_words: int = 8, answer_least: float = 0.75,
           id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item found in it: id_col, item_col, cosine (highest of its passages), coverage (of the item by
+    """A row for each document and item found in it: id_col, item_col, cosine (highest of its passages; at least ``cosine``, if given), coverage (of the item by
     the longest common subsequence), answered (its answer is there), start (first word of the passage)."""
     doc_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     weights = weights_of(docs, text_col)
@@ -193,15 +195,16 @@ def _search(docs, items, weights, space, cosine, least, least_paraphrase, answer
             offset.append(at)
             queries.append(space[_terms(w[at:at + WINDOW])].sum(0))
     norm = np.linalg.norm(np.array(queries).reshape(-1, RANK), axis=1)
-    kept = np.flatnonzero(norm > 1e-9)
-    targets = (np.array(queries).reshape(-1, RANK)[kept] / norm[kept][:, None]).astype(np.float32)
-    owner, offset = np.array(owner, np.int64)[kept], np.array(offset, np.int64)[kept]
+    targets = (np.array(queries).reshape(-1, RANK) / norm[:, None].clip(1e-9)).astype(np.float32)
+    owner, offset = np.array(owner, np.int64), np.array(offset, np.int64)
+    first_query = np.searchsorted(owner, np.arange(len(items) + 1))
     own_words = [w.tolist() for w in words]
     places, answers = [_places(w) for w in own_words], [_places(w[-answer_words:]) for w in own_words]
     names = [i for i, _ in items]
     sizes = np.array(counts, np.int64)
     item_sets = _bit_sets(hashes, np.repeat(np.arange(len(items)), counts), len(items))
-    reach = -(-(sizes + 3 * STRIDE) // STRIDE) + 3  # stretches that hold what is compared with an item
+    reach = -(-(sizes + 3 * STRIDE) // STRIDE)  # stretches that hold what is compared with an item
+    by_reach = [(int(r), np.flatnonzero((reach == r) & (sizes > 0))) for r in np.unique(reach[sizes > 0])]
     most_missing = np.floor((1 - min(least, least_paraphrase)) * sizes + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +213,7 @@ def _search(docs, items, weights, space, cosine, least, least_paraphrase, answer
             found, counts_ = word_hashes(_texts(batch, "text"), PUNCTUATION)
             passage, text = _passages(counts_)
             best: dict[tuple[int, int], tuple] = {}
-            if len(passage) and len(targets):
+            if len(passage) and len(targets):  # the text compared from stretch k on begins a stretch before, as an item may
                 halves = _projected(_grid(found, passage, len(text)), space)
                 windows = halves.copy()
                 same = text[1:] == text[:-1]
@@ -219,30 +222,29 @@ def _search(docs, items, weights, space, cosine, least, least_paraphrase, answer
                 first_half = np.searchsorted(text, np.arange(len(counts_)))
                 first_word = np.cumsum(counts_) - counts_
                 sets = _bit_sets(found, passage, len(text))
-                spread = {int(r): _spread(sets, int(r)) for r in np.unique(1 << np.ceil(np.log2(reach)).astype(np.int64))}
-                for at in range(0, len(windows), 4096):
-                    part = windows[at:at + 4096] / norms[at:at + 4096, None].clip(1e-9)
-                    close = part @ targets.T
-                    w, q = np.nonzero(close >= cosine)
-                    item = owner[q]
-                    begin = np.maximum(at + w - offset[q] // STRIDE - 2, 0)  # from the stretch before the first that is compared
-                    missing = np.full(len(w), 1 << 30)
-                    for r, union in spread.items():
-                        own = np.flatnonzero(1 << np.ceil(np.log2(reach[item])).astype(np.int64) == r)
-                        missing[own] = np.bitwise_count(item_sets[item[own]] & ~union[begin[own]]).sum(1)
-                    good = np.flatnonzero(missing <= most_missing[item])
-                    for w_, q_ in zip(w[good].tolist(), q[good].tolist(), strict=True):
-                        row, i = int(text[at + w_]), int(owner[q_])
-                        n = len(own_words[i])
-                        start = (at + w_ - int(first_half[row])) * STRIDE - int(offset[q_]) - STRIDE
-                        a, b = max(0, start), min(int(counts_[row]), start + n + 3 * STRIDE)
-                        around = found[int(first_word[row]) + a:int(first_word[row]) + b].tolist()
-                        cover = common_subsequence(places[i], around) / n
-                        if cover >= least_paraphrase:
-                            answered = common_subsequence(answers[i], around) >= answer_least * min(answer_words, n)
-                            value = (cover, answered, float(close[w_, q_]), a)
-                            if (cover >= least or answered) and value > best.get((row, i), (0,)):
-                                best[row, i] = value
+                before = np.concatenate([sets[:1] & np.uint64(0), sets])
+                for r, own in by_reach:
+                    absent = ~_spread(before, r)
+                    for at in range(0, len(text), 2048):
+                        part = absent[at:min(at + 2048, len(text))]
+                        for some in np.array_split(own, -(-len(own) // 512)):
+                            missing = np.zeros((len(part), len(some)), np.uint16)
+                            for k in range(BITS // 64):
+                                missing += np.bitwise_count(part[:, k, None] & item_sets[some, k])
+                            for w_, q_ in zip(*(x.tolist() for x in np.nonzero(missing <= most_missing[some])), strict=True):
+                                row, i, w = int(text[at + w_]), int(some[q_]), at + w_
+                                n = len(own_words[i])
+                                start = (w - int(first_half[row]) - 1) * STRIDE
+                                a, b = max(0, start), min(int(counts_[row]), start + n + 3 * STRIDE)
+                                around = found[int(first_word[row]) + a:int(first_word[row]) + b].tolist()
+                                cover = common_subsequence(places[i], around) / n
+                                if cover >= least_paraphrase:
+                                    answered = common_subsequence(answers[i], around) >= answer_least * min(answer_words, n)
+                                    here = slice(max(w - 1, int(first_half[row])), min(w - 1 + r, int(np.searchsorted(text, row, "right"))))
+                                    close = windows[here] / norms[here, None].clip(1e-9) @ targets[first_query[i]:first_query[i + 1]].T
+                                    value = (cover, answered, float(close.max()), a)
+                                    if (cover >= least or answered) and (cosine is None or value[2] >= cosine) and value > best.get((row, i), (0,)):
+                                        best[row, i] = value
             if item_arrow is None:
                 item_arrow = pa.array(names) if names else pa.array([], pa.int64())
             keys = list(best)

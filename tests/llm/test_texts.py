@@ -153,6 +153,29 @@ def test_leaks(spark, corpus, long_text):
     assert latent_leaks.leaks(corpus([]), bench).count() == 0 and latent_leaks.leaks(corpus(texts[:3]), bench.limit(0)).count() == 0
 
 
+def test_leaks_against_full_word_check(spark, corpus):
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text]
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect() if r.text]
+    pool, rng, texts, want = [w for t in docs for w in t.split()], random.Random(4), [], set()
+
+    def words(text):
+        return latent_leaks.word_hashes([text.lower().encode()], latent_leaks.PUNCTUATION)[0].tolist()
+
+    for rate in (0, 0.15, 0.3):
+        for i, item in enumerate(items):
+            a = rng.randrange(len(pool) - 200)
+            planted = [rng.choice(pool) if rng.random() < rate else w for w in item.split()]
+            own, there = words(item), words(" ".join(planted))
+            cover = latent_leaks.common_subsequence(latent_leaks._places(own), there) / len(own)
+            answer = latent_leaks.common_subsequence(latent_leaks._places(own[-8:]), there)
+            if cover >= 0.7 or cover >= 0.6 and answer >= 0.75 * min(8, len(own)):
+                want.add((len(texts), i))
+            texts.append(" ".join(pool[a:a + rng.randrange(90)] + planted + pool[a + 100:a + 160]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in latent_leaks.leaks(corpus(texts), bench).collect()}
+    assert len(want) > 450 and want <= got
+
+
 def test_leaks_query_finds_all_verbatim(spark):
     texts = documents(spark)
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
