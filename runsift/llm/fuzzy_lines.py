@@ -32,7 +32,7 @@ from runsift.llm.shingles import mix, word_hashes
 
 #: Word runs of a line that are keys; words below which a line has trigram keys; bands and MinHashes of each; characters of
 #: lines keyed by what is left without one.
-RUNS, SHORT, BANDS, ROWS, TINY = 24, 12, 24, 3, 14
+RUNS, SHORT, BANDS, ROWS, TINY = 16, 12, 24, 3, 14
 #: Bits of the SimHashes of words (256) and trigrams (128) that may differ.
 WORD_BITS, GRAM_BITS = 72, 48
 WORD_SIMS, GRAM_SIMS = ["s0", "s1", "s2", "s3"], ["c0", "c1"]
@@ -236,7 +236,9 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     lines = stored(_lines(docs, id_type), "lines")
     classes = stored(lines.groupBy(F.col("h").alias("id")).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in NODE]), "line-classes")
-    entries = stored(lines.select(F.col("h").alias("id"), F.explode("keys").alias("key")).distinct(), "line-keys")
+    every = lines.select(F.col("h").alias("id"), F.explode("keys").alias("key"))
+    shared = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    entries = stored(every.join(shared, "key", "left_semi").distinct(), "line-keys")
     nodes = classes.select("id", *NODE)
 
     def near(left: str, right: str) -> Column:
