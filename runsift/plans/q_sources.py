@@ -112,7 +112,8 @@ def a10(spark, sf):
     changes = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((k + 1).alias("LineNumber"), F.concat(F.lit("IDE"), k.cast("string")).alias("DiagnosticId"),
                                                                          F.concat(F.lit("fix "), F.col("event_type")).alias("FormatDescription")))
     text = F.to_json(F.array(F.struct(F.concat(F.lit("src/f"), F.col("user_id") % 9, F.lit(".cs")).alias("FilePath"), changes.alias("FileChanges"))))
-    return reports.read_format_report(e.select(F.col("event_id").alias("run_id"), text.alias("text")))
+    # the SQL tells the limited form
+    return reports.read_format_report(e.select(F.col("event_id").alias("run_id"), text.alias("text")), reports.Limits(format_findings=200))
 
 
 @query("a11_load_rules", f"""WITH {sql.rule_values()}, {sql.LEDGER}, p AS (SELECT rule, count(*) AS prefixes, max(len(string_split(prefix, ' '))) AS words FROM rules GROUP BY rule),

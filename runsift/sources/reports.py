@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,9 +11,24 @@ from pyspark.sql import functions as F
 from runsift.functions.text import is_blank, nn, strip_ws, trim_ctl
 from runsift.operators.extract import json_depth
 
-# Reading limits of report files.
-XML_FILES, XML_BYTES, XML_RESULTS, XML_FAILURES, XML_STACK = 8, 8 * 1024 * 1024, 2_000, 50, 8 * 1024
-FORMAT_BYTES, FORMAT_DEPTH, FORMAT_FINDINGS = 1_048_576, 8, 200
+# Fixed value: nesting of a format report.
+FORMAT_DEPTH = 8
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Optional reading limits of report files; None reads everything."""
+
+    files: int | None = None
+    file_bytes: int | None = None
+    results: int | None = None
+    failures: int | None = None
+    stack: int | None = None
+    format_chars: int | None = None
+    format_findings: int | None = None
+
+
+EVERYTHING = Limits()
 
 _REPORT = ("schema_version int, report_id string, timestamp string, version string, os_family string, os_arch string, failure_stage string, "
            "error_category string, exit_code int, duration_bucket string, output_length_bucket string, _corrupt string")
@@ -38,15 +55,24 @@ _TRX = ("struct<ResultSummary:struct<Counters:struct<_total:int,_passed:int,_fai
         "Output:struct<ErrorInfo:struct<Message:string,StackTrace:string>>>>>>")
 
 
-def parse_trx(files: DataFrame) -> DataFrame:
+def _prolog(text: Column) -> Column:
+    """All before the root element, in lower case, without comments and processing instructions."""
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>", "")
+    at = F.regexp_instr(bare, F.lit("<[^!?]"))
+    return F.lower(F.when(at > 0, F.left(bare, at - 1)).otherwise(bare))
+
+
+def parse_trx(files: DataFrame, limits: Limits = EVERYTHING) -> DataFrame:
     """Parsed XML reports per run: ``files`` is (run_id, file_no, text).
 
     Files with a document type or entity are refused before the parser sees them.
-    At most eight files of a run count, in file order.
     """
-    df = files.withColumn("_n", F.row_number().over(W.partitionBy("run_id").orderBy("file_no"))).where(
-        (F.col("_n") <= XML_FILES) & (F.octet_length(nn(F.col("text"))) <= XML_BYTES))
-    head = F.lower(F.substring("text", 1, 8192))
+    df = files
+    if limits.files is not None:
+        df = df.withColumn("_n", F.row_number().over(W.partitionBy("run_id").orderBy("file_no"))).where(F.col("_n") <= limits.files)
+    if limits.file_bytes is not None:
+        df = df.where(F.octet_length(nn(F.col("text"))) <= limits.file_bytes)
+    head = _prolog(F.col("text"))
     refused = head.contains("<!doctype") | head.contains("<!entity")
     # the namespace prefix of a default namespace does not reach the element names
     return df.select("run_id", "file_no", refused.alias("refused"), F.when(~refused, F.from_xml("text", _TRX, {"mode": "PERMISSIVE"})).alias("x"))
@@ -58,26 +84,30 @@ def _milliseconds(duration: Column) -> Column:
     return F.when(F.size(p) == 3, F.floor((whole + F.get(p, F.lit(2)).try_cast("double")) * 1000 + 0.5).cast("int"))
 
 
-def read_test_report_xml(files: DataFrame) -> DataFrame:
-    """Failed results: (run_id, name, status, detail, duration_ms, stack), at most fifty per run."""
-    results = parse_trx(files).where("x IS NOT NULL").select("run_id", "file_no", F.posexplode(
-        F.slice("x.Results.UnitTestResult", 1, XML_RESULTS)).alias("pos", "r"))
+def read_test_report_xml(files: DataFrame, limits: Limits = EVERYTHING) -> DataFrame:
+    """Failed results: (run_id, seq, name, status, detail, duration_ms, stack)."""
+    every = F.col("x.Results.UnitTestResult")
+    results = parse_trx(files, limits).where("x IS NOT NULL").select("run_id", "file_no", F.posexplode(
+        every if limits.results is None else F.slice(every, 1, limits.results)).alias("pos", "r"))
     status = F.lower(nn(F.col("r._outcome")))
     bad = results.where(status.isin("failed", "error"))
     name = F.when(is_blank(nn(F.col("r._testName"))), "unknown").otherwise(F.col("r._testName"))
     message = strip_ws(nn(F.col("r.Output.ErrorInfo.Message")))
     detail = F.concat(F.lit("Failed "), F.substring_index(name, ".", -1), F.when(message == "", "").otherwise(F.concat(F.lit(" "), message)))
-    ranked = bad.withColumn("_k", F.row_number().over(W.partitionBy("run_id").orderBy("file_no", "pos"))).where(F.col("_k") <= XML_FAILURES)
+    ranked = bad.withColumn("_k", F.row_number().over(W.partitionBy("run_id").orderBy("file_no", "pos")))
+    if limits.failures is not None:
+        ranked = ranked.where(F.col("_k") <= limits.failures)
+    stack = nn(F.col("r.Output.ErrorInfo.StackTrace"))
     return ranked.select("run_id", (F.col("_k") - 1).alias("seq"), name.alias("name"), status.alias("status"), detail.alias("detail"),
                          _milliseconds(F.col("r._duration")).alias("duration_ms"),
-                         F.nullif(F.substring(nn(F.col("r.Output.ErrorInfo.StackTrace")), 1, XML_STACK), F.lit("")).alias("stack"))
+                         F.nullif(stack if limits.stack is None else F.substring(stack, 1, limits.stack), F.lit("")).alias("stack"))
 
 
-def test_report_counters(files: DataFrame) -> DataFrame:
+def test_report_counters(files: DataFrame, limits: Limits = EVERYTHING) -> DataFrame:
     """Counters per run, summed over its files."""
     c = "x.ResultSummary.Counters"
     z = lambda f: F.coalesce(F.sum(F.col(f"{c}.{f}")), F.lit(0)).cast("int")
-    out = parse_trx(files).groupBy("run_id").agg(
+    out = parse_trx(files, limits).groupBy("run_id").agg(
         z("_passed").alias("passed"), z("_failed").alias("failed"), z("_error").alias("errors"),
         (z("_notExecuted") + z("_inconclusive")).alias("skipped"), z("_total").alias("total"), F.count_if("refused").alias("refused"))
     every = F.col("passed") + F.col("failed") + F.col("errors") + F.col("skipped")
@@ -90,10 +120,12 @@ _FORMAT = ("array<struct<FilePath:string,FileName:string,FileChanges:array<struc
            "FormatDescription:string>>>>")
 
 
-def format_findings(text: Column) -> Column:
+def format_findings(text: Column, limits: Limits = EVERYTHING) -> Column:
     """struct(findings, capped) of a format report, NULL when the text is none."""
     t = trim_ctl(nn(text))
-    fits = t.startswith("[") & (F.length(t) <= FORMAT_BYTES)
+    fits = t.startswith("[")
+    if limits.format_chars is not None:
+        fits &= F.length(t) <= limits.format_chars
     docs = F.when(fits & (json_depth(t) <= FORMAT_DEPTH), F.from_json(t, _FORMAT))
 
     def of_doc(d: Column) -> Column:
@@ -105,10 +137,12 @@ def format_findings(text: Column) -> Column:
                 trim_ctl(c["DiagnosticId"]), F.lit(": "), trim_ctl(nn(c["FormatDescription"])))).alias("message"),
             F.lit("warning").alias("severity")))
     every = F.flatten(F.transform(docs, of_doc))
-    return F.when(docs.isNotNull(), F.struct(F.slice(every, 1, FORMAT_FINDINGS).alias("findings"), (F.size(every) > FORMAT_FINDINGS).alias("capped")))
+    most = limits.format_findings
+    return F.when(docs.isNotNull(), F.struct((every if most is None else F.slice(every, 1, most)).alias("findings"),
+                                             (F.lit(False) if most is None else F.size(every) > most).alias("capped")))
 
 
-def read_format_report(reports: DataFrame) -> DataFrame:
+def read_format_report(reports: DataFrame, limits: Limits = EVERYTHING) -> DataFrame:
     """(run_id, seq, file, line, code, message, severity) of format reports (run_id, text)."""
-    ex = reports.select("run_id", F.posexplode(format_findings(F.col("text"))["findings"]).alias("seq", "f"))
+    ex = reports.select("run_id", F.posexplode(format_findings(F.col("text"), limits)["findings"]).alias("seq", "f"))
     return ex.select("run_id", "seq", "f.*")

@@ -117,6 +117,27 @@ def test_trx(spark):
     assert (c.passed, c.failed, c.total, c.refused) == (2, 1, 3, 1)
 
 
+def test_reports_are_read_whole(spark):
+    stack = "at x\n" * 3000
+    case = lambda n: f'<UnitTestResult testName="N.T{n}" outcome="Failed"><Output><ErrorInfo><Message>m</Message><StackTrace>{stack if n == 0 else "s"}</StackTrace></ErrorInfo></Output></UnitTestResult>'
+    one = "".join(case(n) for n in range(60))
+    trx = '<TestRun><ResultSummary><Counters total="60" passed="0" failed="60" error="0" notExecuted="0" inconclusive="0"/></ResultSummary><Results>' + one + "</Results></TestRun>"
+    quoted = trx.replace("<Message>m<", "<Message><![CDATA[<!DOCTYPE html>]]><", 1)
+    late = "<!--" + "x" * 9000 + "--><!DOCTYPE x>" + trx
+    df = spark.createDataFrame([(1, n, quoted if n == 12 else trx) for n in range(1, 13)] + [(1, 13, late)], "run_id int, file_no int, text string")
+    rows = reports.read_test_report_xml(df).orderBy("seq").collect()
+    assert len(rows) == 720 and rows[719].name == "N.T59" and len(rows[0].stack) > 8192
+    c = reports.test_report_counters(df).first()
+    assert (c.failed, c.total, c.refused) == (720, 720, 1)
+    few = reports.Limits(files=2, results=50, failures=70, stack=10)
+    assert len(back := reports.read_test_report_xml(df, few).collect()) == 70 and max(len(r.stack) for r in back) == 10
+    changes = [{"LineNumber": n, "DiagnosticId": f"IDE{n}", "FormatDescription": "d" * 3000} for n in range(500)]
+    text = json.dumps([{"FilePath": "a.cs", "FileChanges": changes}])
+    df = spark.createDataFrame([(1, text)], "run_id int, text string")
+    assert len(text) > 1 << 20 and reports.read_format_report(df).count() == 500
+    assert reports.read_format_report(df, reports.Limits(format_findings=200)).count() == 200
+
+
 def test_pricing(spark, tmp_path):
     p = tmp_path / "m.json"
     p.write_text(json.dumps({"models": [{"id": "m", "aliases": ["a"], "name": "M", "provider": "P", "input_cost_per_million": 2.0, "effective_date": "2024-01-01"}]}))
