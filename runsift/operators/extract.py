@@ -9,6 +9,7 @@ every job here is a narrow scan.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,11 +49,24 @@ RESOURCE_ADDRESS = (r"^(?:module\.[A-Za-z0-9_-]+(?:\[[^\]]+\])?\.)*(?:data\.)?(?
                     r"|[A-Za-z][A-Za-z0-9_]*)\.[A-Za-z0-9_-]+(?:\[[^\]]+\])?$")
 MODULE_PREFIX = r"^(?:module\.[A-Za-z0-9_-]+(?:\[[^\]]+\])?\.)+"
 ADDRESS_SHARE, RESOURCE_TOP, RESOURCE_CAP = 0.80, 20, 2000
-PLAN_OBJECTS, PLAN_ROWS, PLAN_DIAGNOSTICS = 10_000, 1_000, 200
 PLAN_MODULE = "terraform.ui"
 BUILD_LINES = {"gradle": 15, "mvn": 20, "make": 15, "cargo-install": 15}
 VALIDATE_CHARS, JSON_MAX_DEPTH = 1_048_576, 8
 
+
+@dataclass(frozen=True)
+class Limits:
+    """Most JSON objects, changes and diagnostics of a plan, and characters of one of its lines; None: all of them."""
+    objects: int | None = None
+    rows: int | None = None
+    diagnostics: int | None = None
+    line_chars: int | None = None
+
+
+ALL = Limits()
+#: Sizes of the plan that is rendered as text, and of ``plan_events`` unless it is told otherwise.
+REPORT = Limits(10_000, 1_000, 200, VALIDATE_CHARS)
+
 _STR = "array<string>"
 _CASE = "array<struct<suite:string,name:string,status:string,detail:string>>"
 
@@ -689,11 +703,12 @@ PLAN_JSON = ("struct<`@level`:string,`@message`:string,`@module`:string,type:str
 _PLAN_ROW = "array<struct<cls:string,address:string,action:string,reason:string,type:string>>"
 
 
-def plan_events(text: Column) -> Column:
+def plan_events(text: Column, limits: Limits = REPORT) -> Column:
     """struct(rows, summary, capped) of a machine-readable plan, NULL when it is none.
 
-    Rows keep text order. Diagnostics count to 200; changes and outputs are kept
-    while fewer than 1000 rows stand before them.
+    Rows keep text order. Within ``limits``, diagnostics count up to theirs; changes and outputs
+    are kept while fewer than the limit of rows stand before them. Replacements are counted
+    before rows are cut.
     """
     def clean(c: Column) -> Column:
         return F.coalesce(strip_ws(c), F.lit(""))
@@ -712,7 +727,7 @@ def plan_events(text: Column) -> Column:
 
     def parsed(ls: Column) -> Column:
         items = F.transform(ls, lambda x: let(strip_ws(x), lambda t: F.struct(
-            t.alias("t"), F.when(t.startswith("{") & (F.length(t) <= VALIDATE_CHARS), F.from_json(t, PLAN_JSON, {"mode": "PERMISSIVE"})).alias("j"))))
+            t.alias("t"), F.when(t.startswith("{") & (F.lit(True) if limits.line_chars is None else F.length(t) <= limits.line_chars), F.from_json(t, PLAN_JSON, {"mode": "PERMISSIVE"})).alias("j"))))
         return F.filter(items, lambda x: x["t"] != "")
 
     def rows_of(x: Column, detected: Column) -> Column:
@@ -742,11 +757,13 @@ def plan_events(text: Column) -> Column:
 
     def build(items: Column) -> Column:
         objects = F.array_compact(F.transform(items, lambda x, i: F.when(x["j"].isNotNull(), i + 1)))
-        stop = F.coalesce(F.get(objects, F.lit(PLAN_OBJECTS)) - 1, F.size(items))
-        used = F.slice(items, 1, F.greatest(stop, F.lit(0)))
+        used, cut = items, F.lit(False)
+        if limits.objects is not None:
+            stop = F.coalesce(F.get(objects, F.lit(limits.objects)) - 1, F.size(items))
+            used, cut = F.slice(items, 1, F.greatest(stop, F.lit(0))), F.size(objects) > limits.objects
         first_ui = F.try_element_at(F.array_compact(F.transform(items, lambda x, i: F.when(
             x["j"].isNotNull() & is_ui(x["j"]), i + 1))), F.lit(1))
-        return let(F.struct(used.alias("u"), first_ui.alias("ui"), (F.size(objects) > PLAN_OBJECTS).alias("cut")), collect)
+        return let(F.struct(used.alias("u"), first_ui.alias("ui"), cut.alias("cut")), collect)
 
     def collect(p: Column) -> Column:
         all_rows = F.flatten(F.transform(p["u"], lambda x, i: rows_of(x, i + 1 >= p["ui"])))
@@ -758,14 +775,16 @@ def plan_events(text: Column) -> Column:
 
     def cap(p: Column) -> Column:
         diag_at = F.array_compact(F.transform(p["r"], lambda x, i: F.when(x["cls"] == "diag", i + 1)))
-        cut = F.get(diag_at, F.lit(PLAN_DIAGNOSTICS))
-        some = F.filter(p["r"], lambda x, i: (x["cls"] != "diag") | cut.isNull() | (i + 1 < cut))
-        return let(some, lambda s: let(F.filter(s, lambda x, i: (x["cls"] == "diag") | (i < PLAN_ROWS)), lambda k: F.when(
+        some = p["r"]
+        if limits.diagnostics is not None:
+            cut = F.get(diag_at, F.lit(limits.diagnostics))
+            some = F.filter(some, lambda x, i: (x["cls"] != "diag") | cut.isNull() | (i + 1 < cut))
+        return let(some, lambda s: let(s if limits.rows is None else F.filter(s, lambda x, i: (x["cls"] == "diag") | (i < limits.rows)), lambda k: F.when(
             p["ui"].isNotNull() & ~p["v2"] & (p["s"].isNotNull() | (F.size(k) > 0)), F.struct(
                 F.transform(k, lambda x: F.struct(x["address"].alias("address"), x["action"].alias("action"), x["reason"].alias("reason"),
                                                   x["type"].alias("type"))).alias("rows"),
                 F.struct(_n(p["s"]["add"]).alias("add"), _n(p["s"]["change"]).alias("change"), _n(p["s"]["remove"]).alias("destroy"),
-                         F.size(F.filter(k, lambda x: (x["cls"] == "change") & (x["action"] == "replace"))).alias("replace")).alias("summary"),
+                         F.size(F.filter(p["r"], lambda x: (x["cls"] == "change") & (x["action"] == "replace"))).alias("replace")).alias("summary"),
                 (p["cut"] | (F.size(k) < F.size(p["r"]))).alias("capped")))))
 
     def _n(c: Column) -> Column:
@@ -808,7 +827,7 @@ def validate_result(text: Column) -> Column:
     """struct(valid, errors, warnings, findings), NULL when the text is no single result."""
     t = trim_ctl(nn(text))
     single = F.size(F.filter(lines_of(t), lambda x: x.startswith("{"))) <= 1
-    fits = t.startswith("{") & (F.length(t) <= VALIDATE_CHARS) & single
+    fits = t.startswith("{") & single
 
     def build(j: Column) -> Column:
         def clean(c: Column) -> Column:
@@ -913,13 +932,13 @@ def go_test_counts(lines: DataFrame, key: str = "run_id") -> DataFrame:
                                      F.sum("f").cast("bigint").alias("failed"))
 
 
-def go_failed_tests(lines: DataFrame, key: str = "run_id") -> DataFrame:
-    """Failed tests with their first diagnostics (run_id, package, test, diagnostics, omitted).
+def go_failed_tests(lines: DataFrame, key: str = "run_id", limit: int | None = None) -> DataFrame:
+    """Failed tests with their diagnostics, or the first ``limit`` (run_id, package, test, diagnostics, omitted).
 
     A pass or skip empties what a test printed so far. The reset positions are a
-    small aggregate that joins back on the test key; ranking keeps fifteen lines
-    per test and task before it shuffles, so a test that prints a third of all
-    lines stays spread out.
+    small aggregate that joins back on the test key. With a limit, ranking keeps that
+    many lines per test and task before it shuffles; without, a test's diagnostics
+    end in one value, so one task reads them all.
     """
     keys = [key, "package", "test"]
     ev = go_events(lines, key).where(F.col("test") != "")
@@ -932,15 +951,17 @@ def go_failed_tests(lines: DataFrame, key: str = "run_id") -> DataFrame:
         F.transform(lines_of(F.col("output")), lambda x: trim_ctl(x)),
         lambda x: (x != "") & ~x.rlike(r"^=== (?:RUN|PAUSE|CONT)\s+.*$") & ~x.rlike(r"^--- (?:PASS|FAIL|SKIP):\s+.*$"))).alias("sub", "diag"))
     total = out.groupBy(*keys).agg(F.count("*").alias("n"))
-    first = out.withColumn("rk", F.row_number().over(W.partitionBy(*keys).orderBy("line_no", "sub"))).where(F.col("rk") <= GO_CAP)
+    first = out.withColumn("rk", F.row_number().over(W.partitionBy(*keys).orderBy("line_no", "sub")))
+    if limit is not None:
+        first = first.where(F.col("rk") <= limit)
     shown = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "diag"))), lambda x: x["diag"]), "\n").alias("diagnostics"))
     return state.select(*keys).join(total, keys, "left").join(shown, keys, "left").select(
         *keys, F.coalesce("diagnostics", F.lit("")).alias("diagnostics"),
-        F.greatest(F.coalesce("n", F.lit(0)) - GO_CAP, F.lit(0)).cast("bigint").alias("omitted"))
+        (F.lit(0) if limit is None else F.greatest(F.coalesce("n", F.lit(0)) - limit, F.lit(0))).cast("bigint").alias("omitted"))
 
 
-def go_failed_packages(lines: DataFrame, key: str = "run_id") -> DataFrame:
-    """Packages that failed on their own: (run_id, package, failure_type, diagnostics)."""
+def go_failed_packages(lines: DataFrame, key: str = "run_id", limit: int | None = None) -> DataFrame:
+    """Packages that failed on their own: (run_id, package, failure_type, diagnostics, all or the first ``limit``)."""
     keys = [key, "package"]
     ev = go_events(lines, key)
     own = ev.where((F.col("test") == "") & (F.col("package") != ""))
@@ -954,7 +975,9 @@ def go_failed_packages(lines: DataFrame, key: str = "run_id") -> DataFrame:
     diags = own.where(is_out & F.col("output").isNotNull()).select(*keys, "line_no", F.posexplode(F.filter(
         F.transform(lines_of(F.col("output")), lambda x: trim_ctl(x)),
         lambda x: (x != "") & ~x.startswith("FAIL\t") & ~x.startswith("FAIL "))).alias("sub", "diag"))
-    first = diags.withColumn("rk", F.row_number().over(W.partitionBy(*keys).orderBy("line_no", "sub"))).where(F.col("rk") <= GO_CAP)
+    first = diags.withColumn("rk", F.row_number().over(W.partitionBy(*keys).orderBy("line_no", "sub")))
+    if limit is not None:
+        first = first.where(F.col("rk") <= limit)
     shown = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "diag"))), lambda x: x["diag"]), "\n").alias("diagnostics"))
     tested = ev.where((F.col("test") != "") & (F.col("action") == "fail")).select(*keys).distinct().withColumn("has_tests", F.lit(True))
     kind = F.when(F.col("b") == 1, "build failed").when(F.col("p") == 1, "panic").when(F.col("t") == 1, "panic / timeout").otherwise("package failed")

@@ -104,7 +104,7 @@ def e3(spark, sf):
   SELECT st.run_id, st.package, st.test, coalesce(diagnostics, '') AS diagnostics, greatest(coalesce(n, 0) - 15, 0) AS omitted FROM st
     LEFT JOIN g ON g.run_id = st.run_id AND g.package = st.package AND g.test = st.test""")
 def e3f(spark, sf):
-    return E.go_failed_tests(go_lines(spark, sf))
+    return E.go_failed_tests(go_lines(spark, sf), limit=E.GO_CAP)  # as the SQL has it
 
 
 @query("e3_go_failed_packages", f"""{_GO}, own AS (SELECT * FROM ev WHERE test = ''), st AS (SELECT run_id, package,
@@ -118,7 +118,7 @@ def e3f(spark, sf):
   FROM st LEFT JOIN g ON g.run_id = st.run_id AND g.package = st.package LEFT JOIN t ON t.run_id = st.run_id AND t.package = st.package
   WHERE g.run_id IS NOT NULL OR t.run_id IS NULL""")
 def e3p(spark, sf):
-    return E.go_failed_packages(go_lines(spark, sf))
+    return E.go_failed_packages(go_lines(spark, sf), limit=E.GO_CAP)  # as the SQL has it
 
 
 # --- E4 ---------------------------------------------------------------------------
@@ -464,14 +464,14 @@ PLAN = ("CASE WHEN {i} % 8 = 0 THEN '{\"@level\":\"info\"," + _MOD[1:] + "\"type
     CASE i % 8 WHEN 1 THEN 'bad ' || i WHEN 4 THEN 'sensitive' END AS reason, CASE i % 8 WHEN 0 THEN 'aws_x' END AS type FROM e WHERE i % 8 IN (0, 1, 3, 4, 5))
   SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY no) - 1 AS INTEGER) AS seq, address, action, reason, type FROM r""")
 def e18(spark, sf):
-    return E.rows(frames.rewrite(spark, sf, PLAN), E.plan_events(F.col("text"))["rows"])
+    return E.rows(frames.rewrite(spark, sf, PLAN), E.plan_events(F.col("text"), E.ALL)["rows"])
 
 
 @query("e18_plan_summary", f"""{_lines(PLAN)}, g AS (SELECT run_id, max(no) AS n FROM x GROUP BY 1)
   SELECT d.run_id, CAST(CASE WHEN n >= 3 THEN ((n - 3) // 8) * 8 + 2 ELSE 0 END AS INTEGER) AS add, CASE WHEN n >= 3 THEN 1 ELSE 0 END AS change, CASE WHEN n >= 3 THEN 2 ELSE 0 END AS destroy,
     CAST(len(list_filter(range(n), lambda i: i % 24 = 0)) AS INTEGER) AS replace FROM docs d JOIN g ON g.run_id = d.run_id""")
 def e18s(spark, sf):
-    d = frames.rewrite(spark, sf, PLAN).select("run_id", E.plan_events(F.col("text"))["summary"].alias("s"))
+    d = frames.rewrite(spark, sf, PLAN).select("run_id", E.plan_events(F.col("text"), E.ALL)["summary"].alias("s"))
     return d.select("run_id", "s.*")
 
 

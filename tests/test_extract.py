@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from runsift.operators import extract as E
@@ -52,6 +54,27 @@ def test_plan_version_and_caps(apply):
     assert len(p["rows"]) == 1000 and p["capped"]
 
 
+def test_plan_whole(apply):
+    ui = '{"@module":"terraform.ui","type":"planned_change","change":{"action":"replace","resource":{"addr":"a.b"}}}'
+    diag = '{"@module":"terraform.ui","type":"diagnostic","@level":"error","diagnostic":{"summary":"s"}}'
+    text = "\n".join([ui] * 10_005 + [diag] * 250)
+    p = apply(lambda t: E.plan_events(t, E.ALL), text)
+    assert len(p["rows"]) == 10_255 and not p["capped"] and p["summary"]["replace"] == 10_005
+    assert apply(E.plan_events, "\n".join([ui] * 1005))["summary"]["replace"] == 1005
+
+
+def test_go_diagnostics_whole(spark):
+    def event(action, test, **more):
+        return json.dumps({"Action": action, "Package": "p" if test else "q", **({"Test": test} if test else {}), **more})
+
+    texts = [event("output", t, Output=f"line {n}\n") for t in ("T", "") for n in range(40)] + [event("fail", "T"), event("fail", "")]
+    df = spark.createDataFrame([(1, n, t) for n, t in enumerate(texts)], "run_id int, line_no int, line string")
+    want = "\n".join(f"line {n}" for n in range(40))
+    assert [(r.diagnostics, r.omitted) for r in E.go_failed_tests(df).collect()] == [(want, 0)]
+    assert [r.diagnostics for r in E.go_failed_packages(df).collect()] == [want]
+    assert [r.omitted for r in E.go_failed_tests(df, limit=15).collect()] == [25]
+
+
 def test_validate(apply):
     assert apply(E.validate_text, '{"valid": true, "error_count": 0, "warning_count": 0, "diagnostics": []}') == "validate: ok"
     assert apply(E.validate_text, '{"other": 1}') is None
