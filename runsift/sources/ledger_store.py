@@ -50,13 +50,14 @@ def append_ledger(df: DataFrame, path: str) -> None:
         .write.mode("append").partitionBy("day").parquet(path)
 
 
-def outcome_rows(results: DataFrame) -> DataFrame:
-    """Incidents of pipeline results as rows (needs ts and project on the runs)."""
+def outcome_rows(results: DataFrame, chars: int | None = None) -> DataFrame:
+    """Incidents of pipeline results as rows (needs ts and project on the runs); ``chars`` cuts their details."""
+    detail = nn(F.col("o.detail"))
     # exploding zero or one row keeps the checks from running once per filter and once per column
     row = F.struct(F.col("rule").alias("filter_name"), F.col("incident").alias("kind"), F.col("detail"))
     ex = results.select("ts", "command", "project", F.explode(F.array_compact(F.array(F.when(F.col("incident").isNotNull(), row)))).alias("o"))
     return ex.select("ts", "command", "project", "o.filter_name", "o.kind", F.lit(None).cast("string").alias("stage_name"),
-                     F.lit(True).alias("fallback_succeeded"), F.substring(nn(F.col("o.detail")), 1, 500).alias("detail"))
+                     F.lit(True).alias("fallback_succeeded"), (detail if chars is None else F.substring(detail, 1, chars)).alias("detail"))
 
 
 def append_outcomes(results: DataFrame, path: str) -> None:

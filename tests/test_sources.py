@@ -138,6 +138,12 @@ def test_reports_are_read_whole(spark):
     assert reports.read_format_report(df, reports.Limits(format_findings=200)).count() == 200
 
 
+def test_outcome_detail_is_whole(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1), "c", "p", "r", "k", "d" * 2000)], "ts timestamp_ntz, command string, project string, rule string, incident string, detail string")
+    assert [len(r.detail) for r in S.outcome_rows(df).collect()] == [2000]
+    assert [len(r.detail) for r in S.outcome_rows(df, 500).collect()] == [500]
+
+
 def test_pricing(spark, tmp_path):
     p = tmp_path / "m.json"
     p.write_text(json.dumps({"models": [{"id": "m", "aliases": ["a"], "name": "M", "provider": "P", "input_cost_per_million": 2.0, "effective_date": "2024-01-01"}]}))
