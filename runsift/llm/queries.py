@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import arrow_shards, bpe_fst, fuzzy_lines, lang_crf, latent_leaks, lpf_dedup, ngram_join, pivot_index, prefix_tokens, secret_markov
-from runsift.llm.common import table
+from runsift.llm import arrow_shards, bpe_fst, fuzzy_lines, lang_crf, latent_leaks, lpf_dedup, ngram_join, nra_search, pivot_index, prefix_tokens, secret_markov, zfast_trie
+from runsift.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,56 @@ def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latent_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_nra_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return nra_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10).select("item_id", "rank", "doc_id", "score")
+
+
+#: Runs of everything but ASCII characters that are neither letters nor digits, with only A-Z in lower case.
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLES["op11_nra_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark),
+s AS (SELECT count(*) AS n_docs, sum(len(t))::HUGEINT AS n_all FROM d WHERE len(t) > 0),
+q AS (SELECT i, item_id, unnest(t) AS term FROM b),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 25 + (75 * len(t)::HUGEINT * n_docs) // n_all AS m FROM d, s),
+h AS (SELECT q.i, q.item_id, m.r, m.doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM h WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM p WHERE rank <= 10"""
+
+
+@query
+def op12_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prefixes of the conversations, whose openings come from one conversation in a hundred."""
+    source = table(spark, sf_dir, "conversations")
+    turns = stored(zfast_trie.shared_openings(zfast_trie.turn_rows(source)), "trie-turns")
+    return zfast_trie.trie_nodes(turns, source.select(F.col("conv_id").cast("bigint").alias("conv")))
+
+
+#: CRC-32 (reflected, polynomial 0xEDB88320) of the decimal digits of a column, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda z: ord(z)::BIGINT)),
+    lambda acc, z: list_reduce([xor(acc, z), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+ORACLES["op12_zfast_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS v, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT c, {_CRC.format('c')} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+b AS (SELECT c.c, t.d, t.v, t.n FROM c JOIN t ON t.c = c.c - c.c % 100 AND t.d <= c.h),
+k AS (SELECT c, count(*) AS k FROM b GROUP BY c),
+s AS (FROM b UNION ALL SELECT c.c, coalesce(k, 0) + d - h, v, n FROM t JOIN c ON t.c = c.c LEFT JOIN k ON k.c = c.c WHERE d > h),
+p AS (SELECT c, d, n, md5(string_agg(v, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM s UNION ALL SELECT c, 0, 0, '' FROM c),
+l AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS up, lead(key) OVER (PARTITION BY c ORDER BY d) AS down FROM p),
+g AS (SELECT key, any_value(up) AS up, min(c) AS conv_id, any_value(d) AS depth, any_value(n) AS n, count(*) AS n_convs, count(DISTINCT down) AS n_children,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE down IS NULL), '')) AS ends_sha256 FROM l GROUP BY key),
+a AS (SELECT p.key, sum(CASE WHEN g.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((g.n_convs - 1) * g.n)::BIGINT AS saved_tokens
+    FROM g JOIN p ON p.c = g.conv_id AND p.d <= g.depth GROUP BY p.key)
+SELECT g.conv_id, g.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, g.n_convs, g.n_children, a.n_leaves, a.saved_tokens, g.ends_sha256
+FROM g JOIN a USING (key) LEFT JOIN g AS u ON u.key = g.up"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the cleaning pipeline."""
