@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import arrow_shards, bpe_fst, fuzzy_lines, lang_crf, latent_leaks, lpf_dedup, ngram_join, nra_search, pivot_index, prefix_tokens, secret_markov, zfast_trie
+from runsift.llm import arrow_shards, bpe_fst, fuzzy_lines, lang_crf, latent_leaks, lpf_dedup, ngram_join, nra_search, pivot_index, prefix_tokens, projection_forest, secret_markov, zfast_trie
 from runsift.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,6 +143,12 @@ SELECT g.conv_id, g.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, g.n_con
 FROM g JOIN a USING (key) LEFT JOIN g AS u ON u.key = g.up"""
 
 
+@query
+def op13_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one."""
+    return projection_forest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the cleaning pipeline."""
