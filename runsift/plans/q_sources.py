@@ -70,6 +70,54 @@ def a4(spark, sf):
     return transcripts.read_transcripts_jsonl(files).select("session_id", "command", "exit_code", "output", "duration_ms", "seq")
 
 
+# --- transcripts from files ---
+
+_SESSION = "CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE concat('s', user_id % 50) END"
+_BY_FOLDER = r"/session=([^/]+)/"
+
+
+def transcript_folder(spark, sf):
+    """A transcript file for each session, a line an event; every tenth line is no JSON, and every seventh has no command."""
+    e = frames.table(spark, sf, "events")
+    line = F.to_json(F.struct(F.concat(F.lit("make t"), F.col("user_id") % 7).alias("command"), (F.col("event_id") % 3).alias("exitCode"), F.col("event_type").alias("output")))
+    line = F.when(F.col("event_id") % 10 == 0, "{broken").when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"note":'), "event_id", F.lit("}"))).otherwise(line)
+    path = frames.shared_path(spark, "transcripts")
+    rows = e.select(F.expr(_SESSION).alias("session"), "event_id", line.alias("value")).repartition("session").sortWithinPartitions("session", "event_id")
+    rows.select("session", "value").write.partitionBy("session").text(path)
+    return path
+
+
+def _folder_session(path):
+    return F.regexp_extract(path, _BY_FOLDER, 1)
+
+
+_TRANSCRIPTS = f"""l AS (SELECT {_SESSION} AS session_id, event_id, user_id, event_type, row_number() OVER (PARTITION BY {_SESSION} ORDER BY event_id) AS n,
+  CASE WHEN event_id % 10 = 0 THEN '{{broken' WHEN event_id % 7 = 0 THEN '{{"note":' || event_id || '}}'
+    ELSE '{{"command":"make t' || (user_id % 7) || '","exitCode":' || (event_id % 3) || ',"output":"' || event_type || '"}}' END AS line FROM events)"""
+
+
+@query("a4_read_transcript_files", f"""WITH {_TRANSCRIPTS} SELECT session_id, (n - 1) * 65536 AS seq, 'evt-' || n AS event_id, 'make t' || (user_id % 7) AS command, CAST(event_id % 3 AS INTEGER) AS exit_code, event_type AS output
+  FROM l WHERE event_id % 10 <> 0 AND event_id % 7 <> 0""")
+def a4f(spark, sf):
+    lines = transcripts.transcript_lines(spark, transcript_folder(spark, sf), "*.txt", session=_folder_session)
+    return transcripts.read_transcripts_jsonl(lines).select("session_id", "seq", "event_id", "command", "exit_code", "output")
+
+
+@query("a7_transcript_lines", f"WITH {_TRANSCRIPTS} SELECT session_id, n - 1 AS line_no, md5(line) AS line_md5 FROM l")
+def a7(spark, sf):
+    # the time of writing is later than any date in the tables, so the age keeps all of them
+    lines = transcripts.transcript_lines(spark, transcript_folder(spark, sf), "*.txt", frames.AS_OF, transcripts.MAX_AGE_DAYS, session=_folder_session)
+    return lines.select("session_id", "line_no", F.md5("line").alias("line_md5"))
+
+
+@query("a7_transcript_scope", f"WITH {_TRANSCRIPTS} SELECT session_id, sum(strlen(line) + 1)::BIGINT AS bytes, md5(string_agg(line || chr(10), '' ORDER BY n)) AS text_md5 FROM l GROUP BY session_id")
+def a7s(spark, sf):
+    path = transcript_folder(spark, sf)
+    texts = transcripts.transcript_scope(spark, path, "*.txt", frames.AS_OF, max_files=10_000, session=_folder_session)
+    sizes = transcripts.transcript_files(spark, path, "*.txt").select("path", "bytes")
+    return texts.join(sizes, "path").select("session_id", "bytes", F.md5("text").alias("text_md5"))
+
+
 @query("a8_failure_report_totals", "SELECT count(*) FILTER (event_id % 13 <> 0) AS reports, count(*) FILTER (event_id % 13 = 0) AS unparseable FROM events")
 def a8(spark, sf):
     r = frames.failure_reports(spark, sf).withColumn("valid", F.col("error_category").isNotNull())

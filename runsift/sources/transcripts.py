@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runsift.functions.redact import redact
 from runsift.functions.text import is_blank, lines_of, nn, trim_ctl
+from runsift.operators.prepare import with_bound
 from runsift.operators.sessions import PROXY_PREFIX, REDUCED_MARKER, pair_tool_calls
+from runsift.session import checkpoint_dir
 
-# Reading limits.
+# The usual choice of a report, for callers that want it (nothing is cut unless asked for).
 MAX_FILE_BYTES, MAX_FILES, MAX_AGE_DAYS = 10 * 1024 * 1024, 100, 30
 _ITEM_SPACE = 65_536
 
@@ -23,18 +29,69 @@ _OBJECT = f"struct<sessionId:string,cascadeId:string,workspace:string,directory:
 EVENT_COLUMNS = ["session_id", "seq", "event_id", "ts", "command", "exit_code", "duration_ms", "output_bytes", "output", "filtered"]
 
 
-def transcript_scope(spark: SparkSession, path: str, pattern: str, as_of: str, max_age_days: int = MAX_AGE_DAYS,
-                     max_files: int = MAX_FILES, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, session_id, text) of the newest matching files.
+def _cut(as_of: str | None, max_age_days: int | None) -> Column | None:
+    if max_age_days is None:
+        return None
+    return (F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")) - F.make_dt_interval(F.lit(max(1, max_age_days)))
+
+
+def transcript_files(spark: SparkSession, path: str, pattern: str, as_of: str | None = None, max_age_days: int | None = None,
+                     max_files: int | None = None) -> DataFrame:
+    """(path, session_id, modified, bytes) of the matching files, of the newest ``max_files`` if given.
 
-    The choice reads names and times only; contents are read for the chosen files.
+    Only the listing is read: the file source gives names, times and sizes without opening a file.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    cut = _cut(as_of, max_age_days)
+    rows = rows if cut is None else rows.where(F.col("modified") > cut)
+    rows = rows if max_files is None else rows.orderBy(F.desc("modified"), "path").limit(max(1, max_files))
+    return rows.select("path", session_of(F.col("path")).alias("session_id"), "modified", "bytes")
+
+
+def _chosen(files: DataFrame, as_of: str | None, max_age_days: int | None, max_files: int | None, pattern: str, path: str) -> DataFrame:
+    """Rows of a file source from the chosen files. The conditions are on file metadata alone, so the scan drops the other
+    files while it is planned; the names that come to the driver are ``max_files`` at most."""
+    if max_files is not None:
+        names = [r["path"] for r in transcript_files(files.sparkSession, path, pattern, as_of, max_age_days, max_files).select("path").collect()]
+        return files.where(F.col("_metadata.file_path").isin(names)) if names else files.where(F.lit(False))
+    cut = _cut(as_of, max_age_days)
+    return files if cut is None else files.where(F.col("_metadata.file_modification_time") > cut)
+
+
+def transcript_lines(spark: SparkSession, path: str, pattern: str, as_of: str | None = None, max_age_days: int | None = None,
+                     max_files: int | None = None, session: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, session_id, line_no, line) of the chosen files, line numbers from 0; ``session`` names a session by its path.
+
+    A file is cut into blocks by the scan, so a large one is read by many tasks and no task holds a file. A row is placed by
+    its file, the start of its block and its position in the block; a table with one row a block, made by a pass that
+    only counts, says how many lines stand before a block.
+    """
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    rows = _chosen(files, as_of, max_age_days, max_files, pattern, path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value"))
+    counted = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    table = f"{checkpoint_dir(spark).rstrip('/')}/transcript-blocks-{uuid.uuid4().hex}"
+    counted.withColumn("before", before).write.parquet(table)
+    blocks = with_bound(spark.read.parquet(table))
+    place = F.col("at") - F.col("first")
+    number = F.when(place.between(0, F.col("n") - 1), F.col("before") + place).otherwise(F.raise_error(F.lit("a file has changed since its lines were counted")).cast("bigint"))
+    return rows.join(blocks, ["path", "block"]).select("path", (session or session_of)(F.col("path")).alias("session_id"), number.alias("line_no"),
+                                                       F.make_valid_utf8("value").alias("line"))
+
+
+def transcript_scope(spark: SparkSession, path: str, pattern: str, as_of: str | None = None, max_age_days: int | None = None,
+                     max_files: int | None = None, max_bytes: int | None = None, session: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, session_id, text) of the chosen files, for transcripts that are one JSON value; whole unless ``max_bytes`` is given.
+
+    `transcript_lines` reads line-by-line transcripts of any size.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    cut = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(max(1, max_age_days)))
-    newest = files.select("path", "modificationTime").where(F.col("modificationTime") > cut).orderBy(
-        F.desc("modificationTime"), "path").limit(max(1, max_files)).select("path")
-    text = F.make_valid_utf8(F.substring("content", 1, max_bytes).cast("string"))
-    return files.select("path", "content").join(newest, "path").select("path", session_of(F.col("path")).alias("session_id"), text.alias("text"))
+    rows = _chosen(files, as_of, max_age_days, max_files, pattern, path)
+    content = F.col("content") if max_bytes is None else F.substring("content", 1, max_bytes)
+    name = F.col("_metadata.file_path")
+    return rows.select(name.alias("path"), (session or session_of)(name).alias("session_id"), F.make_valid_utf8(content.cast("string")).alias("text"))
 
 
 def session_of(path: Column) -> Column:
@@ -54,10 +111,11 @@ def _int(c: Column, default: Column) -> Column:
 def read_transcripts_jsonl(files: DataFrame, proxy: str = PROXY_PREFIX, marker: str = REDUCED_MARKER) -> DataFrame:
     """Events of one-object-per-line transcripts: flat commands plus paired tool calls.
 
-    ``files``: (session_id, text). Lines that are no JSON fall out; the line number
-    orders a session.
+    ``files``: (session_id, line_no, line) as `transcript_lines` gives them, or (session_id, text). Lines that are no
+    JSON fall out; the line number orders a session.
     """
-    lines = files.select("session_id", F.posexplode(lines_of(nn(F.col("text")))).alias("line_no", "line"))
+    lines = files.select("session_id", "line_no", "line") if "line" in files.columns else files.select(
+        "session_id", F.posexplode(lines_of(nn(F.col("text")))).alias("line_no", "line"))
     j = F.from_json(trim_ctl(F.col("line")), _LINE)
     lines = lines.select("session_id", (F.col("line_no").cast("bigint") * _ITEM_SPACE).alias("seq"), (F.col("line_no") + 1).alias("n"), j.alias("j")).where(
         "j IS NOT NULL").withColumn("ts", instant(F.col("j.timestamp")))

@@ -98,6 +98,59 @@ def test_transcript_scope(spark, tmp_path):
     assert [(r.session_id, r.text) for r in got] == [("new", "new.j")]
 
 
+def aged(tmp_path, name, age, data):
+    now = dt.datetime(2024, 6, 1).timestamp()
+    p = tmp_path / name
+    p.write_bytes(data)
+    os.utime(p, (now - age * 86400,) * 2)
+
+
+def test_large_transcript_is_read_by_many_tasks(spark, tmp_path):
+    """A file far over 10 MiB, in several blocks: no line is lost or cut and the numbers are those of the file."""
+    body = [json.dumps({"command": f"make {i}", "output": "x" * (i % 300)}) + ("\r\n" if i % 5 else "\n") for i in range(90_000)]
+    body[70_000] = json.dumps({"command": "one long line", "output": "y" * 3_000_000}) + "\n"
+    aged(tmp_path, "big [1].jsonl", 1, "".join(body).encode())
+    aged(tmp_path, "small.jsonl", 1, b'{"command":"ls"}\n\n{"command":"\xff"}')
+    aged(tmp_path, "none.jsonl", 1, b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")
+    try:
+        lines = transcripts.transcript_lines(spark, str(tmp_path), "*.jsonl")
+        parts = lines.where("session_id LIKE 'big%'").select(F.spark_partition_id()).distinct().count()
+        got = transcripts.read_transcripts_jsonl(lines)
+        rows = {(r.session_id, r.event_id): (r.command, r.output_bytes) for r in got.select("session_id", "event_id", "command", "output_bytes").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert parts > 5
+    assert len(rows) == 90_002
+    big = next(s for s, _ in rows if s.startswith("big"))
+    assert all(rows[big, f"evt-{i + 1}"] == (f"make {i}", i % 300) for i in range(90_000) if i != 70_000)
+    assert rows[big, "evt-70001"] == ("one long line", 3_000_000)
+    assert rows["small", "evt-1"] == ("ls", 0) and rows["small", "evt-3"][0] == "\ufffd"
+
+
+@pytest.mark.parametrize("choice", [{"max_age_days": 30}, {"max_files": 2}])
+def test_other_files_are_not_opened(spark, tmp_path, choice):
+    """An old file that no reader can open does no harm while it is not chosen."""
+    aged(tmp_path, "a.jsonl", 1, b'{"command":"a"}\n')
+    aged(tmp_path, "b.jsonl", 2, b'{"command":"b"}\n')
+    aged(tmp_path, "old.jsonl.gz", 40, b"no gzip file")
+    aged(tmp_path, "c.txt", 1, b"not asked for")
+    when = "2024-06-01 00:00:00"
+    lines = transcripts.transcript_lines(spark, str(tmp_path), "*.jsonl*", when, **choice)
+    assert sorted((r.session_id, r.line_no, r.line) for r in lines.collect()) == [("a", 0, '{"command":"a"}'), ("b", 0, '{"command":"b"}')]
+    texts = transcripts.transcript_scope(spark, str(tmp_path), "*.jsonl*", when, **choice)
+    assert sorted(r.session_id for r in texts.collect()) == ["a", "b"]
+    assert sorted(r.session_id for r in transcripts.transcript_files(spark, str(tmp_path), "*.jsonl*", when, **choice).collect()) == ["a", "b"]
+    with pytest.raises(Exception):
+        transcripts.transcript_lines(spark, str(tmp_path), "*.jsonl*").collect()
+
+
+def test_transcripts_of_no_file(spark, tmp_path):
+    aged(tmp_path, "a.jsonl", 9, b"{}")
+    assert transcripts.transcript_lines(spark, str(tmp_path), "*.jsonl", "2024-06-01 00:00:00", 2, 5).count() == 0
+    assert transcripts.transcript_lines(spark, str(tmp_path), "*.jsonl", "2024-06-01 00:00:00", 2).count() == 0
+
+
 def test_failure_reports(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"error_category":"X","exit_code":3}')
     (tmp_path / "b.json").write_text('{"exit_code":3}')
