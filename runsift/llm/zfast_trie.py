@@ -180,7 +180,7 @@ def _insert(nodes: DataFrame, batch: DataFrame, named: DataFrame, rounds: int) -
     return stored(old.unionByName(new).unionByName(cut), "trie-nodes")
 
 
-def build(classes: DataFrame, named: DataFrame, batches: int = 3) -> DataFrame:
+def build(classes: DataFrame, named: DataFrame, batches: int = 2) -> DataFrame:
     """Compacted nodes but the root: p1, p2 (name), depth, top (parent's depth), wit (a conversation that has it as a prefix).
 
     ``classes``: conv, len of distinct conversations with turns; ``named``: their prefixes.
@@ -223,7 +223,7 @@ def _digests(ends: DataFrame, key: str) -> DataFrame:
     return counted.join(many, key, "left_anti").select(key, F.sha2("ids", 256).alias("ends_sha256")).unionAll(streamed)
 
 
-def trie_nodes(turns: DataFrame, conversations: DataFrame | None = None, batches: int = 3) -> DataFrame:
+def trie_nodes(turns: DataFrame, conversations: DataFrame | None = None, batches: int = 2) -> DataFrame:
     """One row for each distinct prefix of the conversations in ``turns`` (conv, d, a, b, chars), the empty one included.
 
     conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
