@@ -910,7 +910,6 @@ def resource_graph_text(text: Column, header: str, top_n: int = RESOURCE_TOP, ma
 # --- E3 test events as JSON ------------------------------------------------------------------------
 
 GO_JSON = "struct<Action:string,Package:string,Test:string,Output:string>"
-GO_CAP = 15
 
 
 def go_events(lines: DataFrame, key: str = "run_id") -> DataFrame:
@@ -932,58 +931,71 @@ def go_test_counts(lines: DataFrame, key: str = "run_id") -> DataFrame:
                                      F.sum("f").cast("bigint").alias("failed"))
 
 
-def go_failed_tests(lines: DataFrame, key: str = "run_id", limit: int | None = None) -> DataFrame:
-    """Failed tests with their diagnostics, or the first ``limit`` (run_id, package, test, diagnostics, omitted).
+def _said(state: DataFrame, printed: DataFrame, keys: list[str], live: Column, drop: Callable[[Column], Column], every: bool) -> DataFrame:
+    """The state of each key with one row for each line printed that is live, not empty and not dropped (line_no, sub,
+    diagnostic); with ``every``, keys that printed nothing too."""
+    lines = F.filter(F.transform(lines_of(F.col("output")), lambda x: trim_ctl(x)), lambda x: (x != "") & ~drop(x))
+    rows_ = state.join(printed, keys, "left" if every else "inner").withColumn("ls", F.when(live & F.col("output").isNotNull(), lines))
+    explode = F.posexplode_outer if every else F.posexplode
+    return rows_.select(*state.columns, "line_no", explode("ls").alias("sub", "diagnostic"))
 
-    A pass or skip empties what a test printed so far. The reset positions are a
-    small aggregate that joins back on the test key. With a limit, ranking keeps that
-    many lines per test and task before it shuffles; without, a test's diagnostics
-    end in one value, so one task reads them all.
-    """
+
+def _texts(said: DataFrame, keys: list[str], rest: list[str], limit: int | None) -> DataFrame:
+    """(keys, rest, diagnostics, n): the lines of each key as one text, or the first ``limit``, and their number."""
+    n = F.count("diagnostic")
+    if limit is not None:
+        own = W.partitionBy(*keys)
+        said = said.withColumn("n", n.over(own)).withColumn("rk", F.row_number().over(own.orderBy(F.col("diagnostic").isNull(), "line_no", "sub"))).where((F.col("rk") <= limit) | (F.col("rk") == 1))
+        n = F.max("n")
+    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("diagnostic").isNotNull(), F.struct("line_no", "sub", "diagnostic")))), lambda x: x["diagnostic"])
+    return said.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rest], F.array_join(shown, "\n").alias("diagnostics"), n.alias("n"))
+
+
+def _test_output(lines: DataFrame, key: str, every: bool) -> DataFrame:
+    """Failed tests and what they printed since their last pass or skip, which empties what was printed so far."""
     keys = [key, "package", "test"]
     ev = go_events(lines, key).where(F.col("test") != "")
     state = ev.groupBy(*keys).agg(
         F.max((F.col("action") == "fail").cast("int")).alias("failed"),
-        F.max(F.when(F.col("action").isin("pass", "skip"), F.col("line_no"))).alias("reset")).where("failed = 1")
-    out = ev.where((F.col("action") == "output") & F.col("output").isNotNull()).join(state, keys)
-    out = out.where(F.col("reset").isNull() | (F.col("line_no") > F.col("reset")))
-    out = out.select(*keys, "line_no", F.posexplode(F.filter(
-        F.transform(lines_of(F.col("output")), lambda x: trim_ctl(x)),
-        lambda x: (x != "") & ~x.rlike(r"^=== (?:RUN|PAUSE|CONT)\s+.*$") & ~x.rlike(r"^--- (?:PASS|FAIL|SKIP):\s+.*$"))).alias("sub", "diag"))
-    total = out.groupBy(*keys).agg(F.count("*").alias("n"))
-    first = out.withColumn("rk", F.row_number().over(W.partitionBy(*keys).orderBy("line_no", "sub")))
-    if limit is not None:
-        first = first.where(F.col("rk") <= limit)
-    shown = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "diag"))), lambda x: x["diag"]), "\n").alias("diagnostics"))
-    return state.select(*keys).join(total, keys, "left").join(shown, keys, "left").select(
-        *keys, F.coalesce("diagnostics", F.lit("")).alias("diagnostics"),
-        (F.lit(0) if limit is None else F.greatest(F.coalesce("n", F.lit(0)) - limit, F.lit(0))).cast("bigint").alias("omitted"))
+        F.max(F.when(F.col("action").isin("pass", "skip"), F.col("line_no"))).alias("reset")).where("failed = 1").drop("failed")
+    printed = ev.where(F.col("action") == "output").select(*keys, "line_no", "output")
+    drop = lambda x: x.rlike(r"^=== (?:RUN|PAUSE|CONT)\s+.*$") | x.rlike(r"^--- (?:PASS|FAIL|SKIP):\s+.*$")
+    return _said(state, printed, keys, F.col("reset").isNull() | (F.col("line_no") > F.col("reset")), drop, every).drop("reset")
+
+
+def go_failed_test_lines(lines: DataFrame, key: str = "run_id") -> DataFrame:
+    """(run_id, package, test, line_no, sub, diagnostic): the diagnostics of failed tests, a row a line.
+
+    The outcome of a test is a small aggregate that joins back on its key, so a test that printed a third of all
+    lines is a skewed join, which is split, and never one task's list.
+    """
+    return _test_output(lines, key, False)
+
+
+def go_failed_tests(lines: DataFrame, key: str = "run_id", limit: int | None = None) -> DataFrame:
+    """Failed tests with their diagnostics, or the first ``limit`` (run_id, package, test, diagnostics, omitted).
+
+    A test's diagnostics are one value here; `go_failed_test_lines` has them as rows.
+    """
+    keys = [key, "package", "test"]
+    omitted = F.lit(0) if limit is None else F.greatest(F.col("n") - limit, F.lit(0))
+    return _texts(_test_output(lines, key, True), keys, [], limit).select(*keys, "diagnostics", omitted.cast("bigint").alias("omitted"))
 
 
 def go_failed_packages(lines: DataFrame, key: str = "run_id", limit: int | None = None) -> DataFrame:
     """Packages that failed on their own: (run_id, package, failure_type, diagnostics, all or the first ``limit``)."""
     keys = [key, "package"]
-    ev = go_events(lines, key)
-    own = ev.where((F.col("test") == "") & (F.col("package") != ""))
+    ev = go_events(lines, key).where(F.col("package") != "")
+    own, fails = F.col("test") == "", F.col("action") == "fail"
+    out = own & (F.col("action") == "output")
     o = F.coalesce("output", F.lit(""))
-    is_out = F.col("action") == "output"
-    state = own.groupBy(*keys).agg(
-        F.max((F.col("action") == "fail").cast("int")).alias("failed"),
-        F.max((is_out & o.contains("build failed")).cast("int")).alias("b"),
-        F.max((is_out & o.contains("panic:")).cast("int")).alias("p"),
-        F.max((is_out & (o.contains("panic") | o.contains("timed out"))).cast("int")).alias("t")).where("failed = 1")
-    diags = own.where(is_out & F.col("output").isNotNull()).select(*keys, "line_no", F.posexplode(F.filter(
-        F.transform(lines_of(F.col("output")), lambda x: trim_ctl(x)),
-        lambda x: (x != "") & ~x.startswith("FAIL\t") & ~x.startswith("FAIL "))).alias("sub", "diag"))
-    first = diags.withColumn("rk", F.row_number().over(W.partitionBy(*keys).orderBy("line_no", "sub")))
-    if limit is not None:
-        first = first.where(F.col("rk") <= limit)
-    shown = first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "diag"))), lambda x: x["diag"]), "\n").alias("diagnostics"))
-    tested = ev.where((F.col("test") != "") & (F.col("action") == "fail")).select(*keys).distinct().withColumn("has_tests", F.lit(True))
+    flag = lambda cond: F.max(cond.cast("int"))
+    state = ev.groupBy(*keys).agg(
+        flag(own & fails).alias("failed"), flag(out & o.contains("build failed")).alias("b"), flag(out & o.contains("panic:")).alias("p"),
+        flag(out & (o.contains("panic") | o.contains("timed out"))).alias("t"), flag(~own & fails).alias("tested")).where("failed = 1").drop("failed")
+    said = _said(state, ev.where(out).select(*keys, "line_no", "output"), keys, F.lit(True), lambda x: x.startswith("FAIL\t") | x.startswith("FAIL "), True)
     kind = F.when(F.col("b") == 1, "build failed").when(F.col("p") == 1, "panic").when(F.col("t") == 1, "panic / timeout").otherwise("package failed")
-    joined = state.join(shown, keys, "left").join(tested, keys, "left")
-    return joined.where(F.col("diagnostics").isNotNull() | F.col("has_tests").isNull()).select(
-        *keys, kind.alias("failure_type"), F.coalesce("diagnostics", F.lit("")).alias("diagnostics"))
+    return _texts(said, keys, ["b", "p", "t", "tested"], limit).where("n > 0 OR tested = 0").select(*keys, kind.alias("failure_type"), "diagnostics")
 
 
 # --- table forms ---------------------------------------------------------------------------------
@@ -1003,54 +1015,3 @@ def test_summary(df: DataFrame, tool: str) -> DataFrame:
 
 def findings(df: DataFrame, kind: str) -> DataFrame:
     return rows(df, {"json": lint_json_findings, "text": lint_text_findings}[kind](F.col("text")))
-
-
-# --- E4 plain test log -------------------------------------------------------------------------
-
-GO_RUN, GO_PAUSE = r"^===\s+(?:RUN|CONT)\s+(\S+).*$", r"^===\s+PAUSE\s+(\S+).*$"
-GO_FAIL, GO_PASS = r"^(?:--- )?FAIL:\s+([^\s(]+).*$", r"^--- (?:PASS|SKIP):\s+([^\s(]+).*$"
-GO_NOTE = "... (diagnostics omitted) ..."
-
-
-def go_plain_failures(df: DataFrame, key: str = "run_id") -> DataFrame:
-    """(run_id, seq, name, diagnostics) of a test log without JSON.
-
-    An indented line belongs to the last started test unless that test has paused
-    or ended since; lines without an owner go to the next failure that has none of
-    its own. The windows run per text: their rows were one input row, so a
-    partition cannot outgrow a captured run.
-    """
-    lines = df.select(key, F.posexplode(lines_of(nn(F.col("text")))).alias("no", "line"))
-    lines = lines.withColumn("t", trim_ctl(F.col("line"))).where("t <> ''")
-    t = F.col("t")
-    kind = (F.when(t.rlike(GO_RUN), "run").when(t.rlike(GO_PAUSE), "pause").when(t.rlike(GO_FAIL), "fail")
-            .when(t.rlike(GO_PASS), "pass").when(F.col("line").rlike(r"^[ \t]"), "diag"))
-    name = F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in (GO_RUN, GO_PAUSE, GO_FAIL, GO_PASS)])
-    ev = lines.select(key, "no", "t", kind.alias("kind"), name.alias("name")).where("kind IS NOT NULL")
-    run = W.partitionBy(key).orderBy("no")
-    before = lambda *cols: W.partitionBy(*cols).orderBy("no").rowsBetween(W.unboundedPreceding, -1)
-    ends = F.col("kind").isin("fail", "pass")
-    ev = ev.withColumn("blk", F.sum((F.col("kind") == "run").cast("int")).over(run))
-    block = W.partitionBy(key, "blk")
-    ev = ev.withColumn("cur", F.max(F.when(F.col("kind") == "run", F.col("name"))).over(block))
-    ev = ev.withColumn("done", F.min(F.when((F.col("kind").isin("pause", "fail", "pass")) & (F.col("name") == F.col("cur")), F.col("no"))).over(block))
-    owned = (F.col("kind") == "diag") & F.col("cur").isNotNull() & (F.col("done").isNull() | (F.col("no") < F.col("done")))
-    ev = ev.withColumn("owner", F.when(owned, F.col("cur")))
-    ev = ev.withColumn("k", F.coalesce(F.when(ends, F.col("name")), F.col("owner")))
-    ev = ev.withColumn("epoch", F.coalesce(F.sum(ends.cast("int")).over(before(key, "k")), F.lit(0)))
-
-    def first_lines(rows_: DataFrame, keys: list[str], note: bool) -> DataFrame:
-        ranked = rows_.withColumn("rk", F.row_number().over(W.partitionBy(*keys).orderBy("no")))
-        shown = F.array_sort(F.collect_list(F.when(F.col("rk") <= GO_CAP, F.struct("rk", "t"))))
-        text = F.array_join(F.transform(shown, lambda x: x["t"]), "\n")
-        more = F.when(F.count("*") > GO_CAP, F.lit("\n" + GO_NOTE)).otherwise("") if note else F.lit("")
-        return ranked.groupBy(*keys).agg(F.concat(text, more).alias("d"))
-
-    own = first_lines(ev.where("owner IS NOT NULL"), [key, "k", "epoch"], True).withColumnRenamed("d", "own")
-    ev = ev.join(own, [key, "k", "epoch"], "left")
-    clears = F.col("kind").isin("run", "pass") | ((F.col("kind") == "fail") & F.col("own").isNull())
-    ev = ev.withColumn("gap", F.coalesce(F.sum(clears.cast("int")).over(before(key)), F.lit(0)))
-    loose = first_lines(ev.where("kind = 'diag' AND owner IS NULL"), [key, "gap"], False).withColumnRenamed("d", "loose")
-    fails = ev.where("kind = 'fail'").join(loose, [key, "gap"], "left")
-    return fails.select(key, F.row_number().over(W.partitionBy(key).orderBy("no")).alias("seq"), "name",
-                        F.coalesce("own", "loose", F.lit("")).alias("diagnostics"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runsift.functions.text import lines_of
-from runsift.operators import diffs, extract as E, sections
+from runsift.operators import diffs, extract as E, gotest, sections
 from runsift.plans import frames, sql
 from runsift.plans.registry import query
 
@@ -100,11 +100,11 @@ def e3(spark, sf):
     ON st.run_id = ev.run_id AND st.package = ev.package AND st.test = ev.test WHERE action = 'output' AND (reset IS NULL OR line_no > reset)),
   c AS (SELECT *, {sql.trim('d')} AS diag FROM o), k AS (SELECT *, row_number() OVER (PARTITION BY run_id, package, test ORDER BY line_no, sub) AS rk
     FROM c WHERE diag <> '' AND NOT regexp_matches(diag, '^=== (RUN|PAUSE|CONT)\\s+.*$') AND NOT regexp_matches(diag, '^--- (PASS|FAIL|SKIP):\\s+.*$')),
-  g AS (SELECT run_id, package, test, count(*) AS n, array_to_string(list(diag ORDER BY rk) FILTER (rk <= 15), chr(10)) AS diagnostics FROM k GROUP BY 1, 2, 3)
-  SELECT st.run_id, st.package, st.test, coalesce(diagnostics, '') AS diagnostics, greatest(coalesce(n, 0) - 15, 0) AS omitted FROM st
+  g AS (SELECT run_id, package, test, count(*) AS n, array_to_string(list(diag ORDER BY rk), chr(10)) AS diagnostics FROM k GROUP BY 1, 2, 3)
+  SELECT st.run_id, st.package, st.test, coalesce(diagnostics, '') AS diagnostics, 0 AS omitted FROM st
     LEFT JOIN g ON g.run_id = st.run_id AND g.package = st.package AND g.test = st.test""")
 def e3f(spark, sf):
-    return E.go_failed_tests(go_lines(spark, sf), limit=E.GO_CAP)  # as the SQL has it
+    return E.go_failed_tests(go_lines(spark, sf))
 
 
 @query("e3_go_failed_packages", f"""{_GO}, own AS (SELECT * FROM ev WHERE test = ''), st AS (SELECT run_id, package,
@@ -112,13 +112,53 @@ def e3f(spark, sf):
     HAVING count(*) FILTER (action = 'fail') > 0),
   o AS (SELECT own.run_id, own.package, line_no, unnest({_GO_OUT}) AS d, generate_subscripts({_GO_OUT}, 1) AS sub FROM own WHERE action = 'output'),
   k AS (SELECT *, {sql.trim('d')} AS diag, row_number() OVER (PARTITION BY run_id, package ORDER BY line_no, sub) AS rk FROM o WHERE {sql.trim('d')} <> ''),
-  g AS (SELECT run_id, package, array_to_string(list(diag ORDER BY rk) FILTER (rk <= 15), chr(10)) AS diagnostics FROM k GROUP BY 1, 2),
+  g AS (SELECT run_id, package, array_to_string(list(diag ORDER BY rk), chr(10)) AS diagnostics FROM k GROUP BY 1, 2),
   t AS (SELECT DISTINCT run_id, package FROM ev WHERE test <> '' AND action = 'fail')
   SELECT st.run_id, st.package, CASE WHEN b THEN 'build failed' WHEN p THEN 'panic' ELSE 'package failed' END AS failure_type, coalesce(diagnostics, '') AS diagnostics
   FROM st LEFT JOIN g ON g.run_id = st.run_id AND g.package = st.package LEFT JOIN t ON t.run_id = st.run_id AND t.package = st.package
   WHERE g.run_id IS NOT NULL OR t.run_id IS NULL""")
 def e3p(spark, sf):
-    return E.go_failed_packages(go_lines(spark, sf), limit=E.GO_CAP)  # as the SQL has it
+    return E.go_failed_packages(go_lines(spark, sf))
+
+
+# --- go test runs captured as text ---
+def go_texts(spark, sf):
+    """One captured run of every 40 events, in order; a run's text is bounded by the 40 lines it is made of."""
+    ev = go_lines(spark, sf).select(F.floor(F.col("line_no") / 40).alias("run_id"), "line_no", "line")
+    return ev.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+#: Failed tests and packages of each run, whole, by their first failure.
+_GO_RUNS = _GO.replace("user_id AS run_id", "event_id // 40 AS run_id") + f""", st AS (SELECT run_id, package, test, max(line_no) FILTER (action IN ('pass', 'skip')) AS reset, min(line_no) FILTER (action = 'fail') AS no
+    FROM ev WHERE test <> '' GROUP BY 1, 2, 3 HAVING no IS NOT NULL),
+  td AS (SELECT run_id, package, test, {sql.trim('d')} AS d, line_no, sub FROM (SELECT st.run_id, st.package, st.test, line_no, unnest({_GO_OUT}) AS d, generate_subscripts({_GO_OUT}, 1) AS sub FROM ev JOIN st
+    ON st.run_id = ev.run_id AND st.package = ev.package AND st.test = ev.test WHERE action = 'output' AND (reset IS NULL OR line_no > reset))),
+  tg AS (SELECT run_id, package, test, list(d ORDER BY line_no, sub) AS ds FROM td WHERE d <> '' AND NOT regexp_matches(d, '^=== (RUN|PAUSE|CONT)\\s+.*$') AND NOT regexp_matches(d, '^--- (PASS|FAIL|SKIP):\\s+.*$') GROUP BY 1, 2, 3),
+  ft AS (SELECT st.run_id, st.package, st.test AS name, 'test' AS kind, no, coalesce(ds, []) AS ds FROM st LEFT JOIN tg ON tg.run_id = st.run_id AND tg.package = st.package AND tg.test = st.test),
+  sp AS (SELECT run_id, package, min(line_no) FILTER (action = 'fail') AS no, coalesce(string_agg(output, ' ' ORDER BY line_no) FILTER (action = 'output'), '') AS said FROM ev WHERE test = '' GROUP BY 1, 2 HAVING no IS NOT NULL),
+  pd AS (SELECT run_id, package, {sql.trim('d')} AS d, line_no, sub FROM (SELECT run_id, package, line_no, unnest({_GO_OUT}) AS d, generate_subscripts({_GO_OUT}, 1) AS sub FROM ev WHERE test = '' AND action = 'output')),
+  pg AS (SELECT run_id, package, list(d ORDER BY line_no, sub) AS ds FROM pd WHERE d <> '' GROUP BY 1, 2),
+  fp AS (SELECT sp.run_id, sp.package, CAST(NULL AS VARCHAR) AS name, CASE WHEN contains(said, 'build failed') THEN 'build failed' WHEN contains(said, 'panic:') THEN 'panic' ELSE 'package failed' END AS kind, no, coalesce(ds, []) AS ds
+    FROM sp LEFT JOIN pg ON pg.run_id = sp.run_id AND pg.package = sp.package WHERE ds IS NOT NULL OR NOT EXISTS (SELECT 1 FROM st WHERE st.run_id = sp.run_id AND st.package = sp.package)),
+  ff AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY kind <> 'test', no) AS k FROM (FROM ft UNION ALL FROM fp))"""
+
+
+@query("e3_go_text_failures", f"{_GO_RUNS} SELECT run_id, CAST(k - 1 AS INTEGER) AS seq, package, name, kind, array_to_string(ds, chr(10)) AS diagnostics FROM ff")
+def e3x(spark, sf):
+    return gotest.go_text_failures(go_texts(spark, sf))
+
+
+#: The summary of a run: the first 15 diagnostics of each failure.
+GO_SUMMARY = f"""{_GO_RUNS}, c AS (SELECT run_id, count(*) FILTER (action = 'pass' AND test <> '') AS p, count(*) FILTER (action = 'skip' AND test <> '') AS s FROM ev GROUP BY 1),
+  b AS (SELECT run_id, count(*) AS n, string_agg('  FAIL: ' || CASE kind WHEN 'test' THEN name ELSE '[' || kind || '] ' || package END || chr(10) || array_to_string(list_transform(ds[1:15], lambda x: '    ' || x || chr(10)), '')
+      || CASE WHEN kind = 'test' AND len(ds) > 15 THEN '    ... (' || (len(ds) - 15) || ' lines omitted) ...' || chr(10) ELSE '' END, '' ORDER BY k) AS body FROM ff GROUP BY 1),
+  r AS (SELECT c.run_id, CASE WHEN n IS NULL THEN '' ELSE 'go test: ' || n || ' failure(s)' || chr(10) || body END || 'passed: ' || p || CASE WHEN s > 0 THEN ' | skipped: ' || s ELSE '' END || CASE WHEN n > 0 THEN ' | failed: ' || n ELSE '' END AS text
+    FROM c LEFT JOIN b ON b.run_id = c.run_id WHERE p + s > 0 OR c.run_id IN (SELECT run_id FROM ft))"""
+
+
+@query("c21_go_test_text", f"{GO_SUMMARY} SELECT run_id, text FROM r")
+def c21g(spark, sf):
+    return go_texts(spark, sf).select("run_id", gotest.go_test_text(F.col("text")).alias("text"))
 
 
 # --- E4 ---------------------------------------------------------------------------
@@ -136,16 +176,16 @@ GO_PLAIN = ("CASE WHEN {i} % 11 = 0 THEN '=== RUN   T' || ({i} % 3) WHEN {i} % 1
   o AS (SELECT *, CASE WHEN kind = 'diag' AND cur IS NOT NULL AND (done IS NULL OR no < done) THEN cur END AS owner FROM w),
   e AS (SELECT *, coalesce(CASE WHEN kind IN ('fail', 'pass') THEN name END, owner) AS k FROM o),
   ep AS (SELECT *, count(*) FILTER (kind IN ('fail', 'pass')) OVER (PARTITION BY run_id, k ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS epoch FROM e),
-  own AS (SELECT run_id, k, epoch, count(*) AS n, array_to_string(list(t ORDER BY no)[1:15], chr(10)) || CASE WHEN count(*) > 15 THEN chr(10) || '... (diagnostics omitted) ...' ELSE '' END AS d
+  own AS (SELECT run_id, k, epoch, count(*) AS n, array_to_string(list(t ORDER BY no), chr(10)) AS d
     FROM ep WHERE owner IS NOT NULL GROUP BY 1, 2, 3),
   f AS (SELECT ep.run_id, ep.no, ep.name, own.n, own.d FROM ep LEFT JOIN own ON own.run_id = ep.run_id AND own.k = ep.k AND own.epoch = ep.epoch WHERE kind = 'fail'),
   u AS (SELECT o.run_id, o.no, o.t, o.kind, o.owner, (kind IN ('run', 'pass') OR (kind = 'fail' AND f.n IS NULL)) AS clears FROM o LEFT JOIN f ON f.run_id = o.run_id AND f.no = o.no),
   ue AS (SELECT *, coalesce(sum(CASE WHEN clears THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM u),
-  un AS (SELECT run_id, epoch, array_to_string(list(t ORDER BY no)[1:15], chr(10)) AS d FROM ue WHERE kind = 'diag' AND owner IS NULL GROUP BY 1, 2)
+  un AS (SELECT run_id, epoch, array_to_string(list(t ORDER BY no), chr(10)) AS d FROM ue WHERE kind = 'diag' AND owner IS NULL GROUP BY 1, 2)
   SELECT f.run_id, CAST(row_number() OVER (PARTITION BY f.run_id ORDER BY f.no) AS INTEGER) AS seq, f.name, coalesce(f.d, un.d, '') AS diagnostics
   FROM f JOIN ue ON ue.run_id = f.run_id AND ue.no = f.no LEFT JOIN un ON f.n IS NULL AND un.run_id = ue.run_id AND un.epoch = ue.epoch""")
 def e4(spark, sf):
-    return E.go_plain_failures(frames.rewrite(spark, sf, GO_PLAIN))
+    return gotest.go_plain_failures(frames.rewrite(spark, sf, GO_PLAIN))
 
 
 # --- E5, E6, E7 ---------------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runsift.functions.text import let, nn
-from runsift.operators import diffs, extract as E, reduce as R, sections
+from runsift.operators import diffs, extract as E, gotest, reduce as R, sections
 
 # Bounds of stage parameters.
 MAX_WINDOW, MAX_PATTERN, MAX_TRANSITIONS, MAX_TOP_N, MAX_LINES = 10_000, 500, 50, 10_000, 100_000
@@ -154,9 +154,8 @@ def _builtin() -> None:
     add("trx_report", _same, aliases=("trx-report",))
     add("msbuild_binlog", _same, aliases=("msbuild-binlog",))
     add("format_report", _same, aliases=("format-report",))
-    # Test-event streams are tables (see extract.go_failed_tests); as text they pass through.
-    add("go_test_summary", _same, aliases=("go-test-summary",))
-    add("json_lines", _same, aliases=("json-lines",))
+    add("go_test_summary", lambda t, r, p: gotest.go_test_text(t), aliases=("go-test-summary",))
+    add("json_lines", lambda t, r, p: gotest.json_lines_text(t), aliases=("json-lines",))
 
 
 _builtin()

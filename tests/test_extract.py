@@ -107,3 +107,16 @@ def test_errors_are_counted_before_the_text_is_cut(spark):
     text = "\n".join(f"make: Error {k}" for k in range(40))
     got = spark.createDataFrame([(text,)], "text string").select(E.build_status("make", F.col("text"), F.lit(2)).alias("s")).first().s
     assert got.errors == 40 and len(got.text.split("\n")) == 15
+
+
+def test_go_events_in_rows_and_limited(spark):
+    rows = [(1, i, '{"Action":"output","Package":"p","Test":"T","Output":"l%d\\n"}' % i) for i in range(40)]
+    rows += [(1, 50, '{"Action":"fail","Package":"p","Test":"T"}'), (1, 51, '{"Action":"fail","Package":"p","Test":"quiet"}'), (1, 52, '{"Action":"output","Package":"q","Output":"oh\\nno\\n"}'),
+             (1, 53, '{"Action":"fail","Package":"q"}'), (1, 54, '{"Action":"fail","Package":"p"}')]
+    df = spark.createDataFrame(rows, "run_id int, line_no int, line string")
+    assert [r.diagnostic for r in E.go_failed_test_lines(df).orderBy("line_no").collect()] == [f"l{i}" for i in range(40)]
+    got = {(r.test, r.diagnostics, r.omitted) for r in E.go_failed_tests(df, limit=3).collect()}
+    assert got == {("T", "l0\nl1\nl2", 37), ("quiet", "", 0)}
+    assert {(r.test, r.diagnostics.count("\n"), r.omitted) for r in E.go_failed_tests(df).collect()} == {("T", 39, 0), ("quiet", 0, 0)}
+    assert [tuple(r) for r in E.go_failed_packages(df).collect()] == [(1, "q", "package failed", "oh\nno")]
+    assert [tuple(r) for r in E.go_failed_packages(df, limit=1).collect()] == [(1, "q", "package failed", "oh")]
