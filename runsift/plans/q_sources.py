@@ -151,6 +151,47 @@ def a9c(spark, sf):
     return reports.test_report_counters(trx_files(spark, sf))
 
 
+# --- reports from files: a run has seven of them, each with the results of many order lines ---
+
+def report_folder(spark, sf):
+    li = frames.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    li = li.select((F.col("l_suppkey") % 20).alias("run"), F.col("l_linenumber").alias("file"), "l_orderkey", "l_partkey", "l_suppkey")
+    name = F.format_string('testName="N.T%d_%d" outcome="%s" duration="00:00:0%d.250"', "l_orderkey", "l_partkey", F.when(F.col("l_partkey") % 2 == 0, "Failed").otherwise("Passed"), F.col("l_partkey") % 10)
+    text = F.format_string("<Output><ErrorInfo>\n<Message>a &lt; b %d</Message><StackTrace><![CDATA[at <UnitTestResult x>]]></StackTrace></ErrorInfo></Output>", "l_suppkey")
+    case = F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("<UnitTestResult "), name, F.lit("/>"))).otherwise(F.concat(F.lit("<UnitTestResult "), name, F.lit(">"), text, F.lit("</UnitTestResult>")))
+    rows = li.select("run", "file", F.lit(1).alias("part"), "l_orderkey", "l_partkey", "l_suppkey", case.alias("value"))
+    ends = li.select("run", "file").distinct()
+    no = [F.lit(0).cast("bigint").alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey")]
+    doctype = F.when((F.col("file") == 7) & (F.col("run") % 5 == 0), "<!DOCTYPE x>").otherwise("")
+    head = ends.select("run", "file", F.lit(0).alias("part"), *no, F.concat(F.lit('<?xml version="1.0"?>'), doctype, F.lit("<TestRun><Results>")).alias("value"))
+    foot = ends.select("run", "file", F.lit(2).alias("part"), *no, F.format_string('</Results><ResultSummary><Counters total="%d" passed="1" failed="2" notExecuted="3"></Counters></ResultSummary></TestRun>', "file").alias("value"))
+    path = frames.shared_path(spark, "reports")
+    every = rows.unionByName(head).unionByName(foot).repartition("run", "file").sortWithinPartitions("run", "file", "part", "l_orderkey", "l_partkey", "l_suppkey")
+    every.select("run", "file", "value").write.partitionBy("run", "file").text(path)
+    return path
+
+
+def _report_run(path):
+    return F.regexp_extract(path, r"/run=(\d+)/", 1).cast("bigint")
+
+
+_REPORTS = "l AS (SELECT l_suppkey % 20 AS run_id, l_linenumber AS f, * FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem))"
+
+
+@query("a9_read_report_files", f"""WITH {_REPORTS} SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY f, l_orderkey, l_partkey, l_suppkey) - 1 AS INTEGER) AS seq, 'N.T' || l_orderkey || '_' || l_partkey AS name, 'failed' AS status,
+  'Failed T' || l_orderkey || '_' || l_partkey || CASE WHEN l_partkey % 5 = 0 THEN '' ELSE ' a < b ' || l_suppkey END AS detail, CAST(l_partkey % 10 * 1000 + 250 AS INTEGER) AS duration_ms,
+  CASE WHEN l_partkey % 5 <> 0 THEN 'at <UnitTestResult x>' END AS stack FROM l WHERE l_partkey % 2 = 0 AND NOT (f = 7 AND run_id % 5 = 0)""")
+def a9f(spark, sf):
+    return reports.read_report_results(reports.report_pieces(spark, report_folder(spark, sf), "*.txt", _report_run))
+
+
+@query("a9_report_file_counters", f"""WITH {_REPORTS}, g AS (SELECT DISTINCT run_id, f, f = 7 AND run_id % 5 = 0 AS no FROM l)
+  SELECT run_id, CAST(count(*) FILTER (NOT no) AS INTEGER) AS passed, CAST(2 * count(*) FILTER (NOT no) AS INTEGER) AS failed, 0 AS errors, CAST(3 * count(*) FILTER (NOT no) AS INTEGER) AS skipped,
+    CAST(sum(f) FILTER (NOT no) AS INTEGER) AS total, count(*) FILTER (no) AS refused FROM g GROUP BY run_id""")
+def a9fc(spark, sf):
+    return reports.report_file_counters(reports.report_pieces(spark, report_folder(spark, sf), "*.txt", _report_run))
+
+
 @query("a10_read_format_report", """SELECT event_id AS run_id, CAST(k AS INTEGER) AS seq, 'src/f' || (user_id % 9) || '.cs' AS file, CAST(k + 1 AS INTEGER) AS line, 'IDE' || k AS code, 'IDE' || k || ': fix ' || event_type AS message,
   'warning' AS severity FROM events, (SELECT unnest(range(205)) AS k) WHERE event_id % 100 = 0 AND k < 200
   UNION ALL SELECT event_id, CAST(k AS INTEGER), 'src/f' || (user_id % 9) || '.cs', CAST(k + 1 AS INTEGER), 'IDE' || k, 'IDE' || k || ': fix ' || event_type, 'warning' FROM events, (SELECT unnest(range(2)) AS k) WHERE event_id % 100 <> 0""")

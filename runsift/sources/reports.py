@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runsift.functions.text import is_blank, nn, strip_ws, trim_ctl
+from runsift.functions.text import is_blank, let, nn, strip_ws, trim_ctl
 from runsift.operators.extract import json_depth
 
 # Fixed value: nesting of a format report.
@@ -91,16 +92,20 @@ def read_test_report_xml(files: DataFrame, limits: Limits = EVERYTHING) -> DataF
         every if limits.results is None else F.slice(every, 1, limits.results)).alias("pos", "r"))
     status = F.lower(nn(F.col("r._outcome")))
     bad = results.where(status.isin("failed", "error"))
-    name = F.when(is_blank(nn(F.col("r._testName"))), "unknown").otherwise(F.col("r._testName"))
-    message = strip_ws(nn(F.col("r.Output.ErrorInfo.Message")))
-    detail = F.concat(F.lit("Failed "), F.substring_index(name, ".", -1), F.when(message == "", "").otherwise(F.concat(F.lit(" "), message)))
     ranked = bad.withColumn("_k", F.row_number().over(W.partitionBy("run_id").orderBy("file_no", "pos")))
     if limits.failures is not None:
         ranked = ranked.where(F.col("_k") <= limits.failures)
-    stack = nn(F.col("r.Output.ErrorInfo.StackTrace"))
-    return ranked.select("run_id", (F.col("_k") - 1).alias("seq"), name.alias("name"), status.alias("status"), detail.alias("detail"),
-                         _milliseconds(F.col("r._duration")).alias("duration_ms"),
-                         F.nullif(stack if limits.stack is None else F.substring(stack, 1, limits.stack), F.lit("")).alias("stack"))
+    return ranked.select("run_id", (F.col("_k") - 1).alias("seq"), *_case(F.col("r"), status, limits.stack))
+
+
+def _case(r: Column, status: Column, chars: int | None = None) -> list[Column]:
+    """name, status, detail, duration_ms and stack of a parsed result."""
+    name = F.when(is_blank(nn(r["_testName"])), "unknown").otherwise(r["_testName"])
+    message = strip_ws(nn(r["Output"]["ErrorInfo"]["Message"]))
+    detail = F.concat(F.lit("Failed "), F.substring_index(name, ".", -1), F.when(message == "", "").otherwise(F.concat(F.lit(" "), message)))
+    stack = nn(r["Output"]["ErrorInfo"]["StackTrace"])
+    return [name.alias("name"), status.alias("status"), detail.alias("detail"), _milliseconds(r["_duration"]).alias("duration_ms"),
+            F.nullif(stack if chars is None else F.substring(stack, 1, chars), F.lit("")).alias("stack")]
 
 
 def test_report_counters(files: DataFrame, limits: Limits = EVERYTHING) -> DataFrame:
@@ -110,8 +115,76 @@ def test_report_counters(files: DataFrame, limits: Limits = EVERYTHING) -> DataF
     out = parse_trx(files, limits).groupBy("run_id").agg(
         z("_passed").alias("passed"), z("_failed").alias("failed"), z("_error").alias("errors"),
         (z("_notExecuted") + z("_inconclusive")).alias("skipped"), z("_total").alias("total"), F.count_if("refused").alias("refused"))
+    return _totals(out)
+
+
+def _totals(counters: DataFrame) -> DataFrame:
     every = F.col("passed") + F.col("failed") + F.col("errors") + F.col("skipped")
-    return out.withColumn("total", F.when(F.col("total") > 0, F.col("total")).otherwise(every))
+    return counters.withColumn("total", F.when(F.col("total") > 0, F.col("total")).otherwise(every))
+
+
+# --- A9 from files ---
+
+_RESULT = "struct<_testName:string,_outcome:string,_duration:string,Output:struct<ErrorInfo:struct<Message:string,StackTrace:string>>>"
+_COUNTERS = "struct<_total:string,_passed:string,_failed:string,_error:string,_notExecuted:string,_inconclusive:string>"
+_ATTRIBUTES = r"""(?:\s+[^\s=/>]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*"""
+_END = "</UnitTestResult>"
+
+
+def folder_of(path: Column) -> Column:
+    """Name of the folder a file is in."""
+    return F.element_at(F.split(path, "/"), -2)
+
+
+def report_pieces(spark: SparkSession, path: str, pattern: str = "*.trx", run: Callable[[Column], Column] = folder_of) -> DataFrame:
+    """(run_id, path, block, at, piece): report files cut behind each result, so that a report of any size is read by many tasks.
+
+    The end tag of a result is the line separator of the scan; a file's pieces are ordered by block and position. Files whose
+    prolog declares a document type or entity give one row with a null piece: what stands before the root element is in a file's first piece.
+    """
+    rows = spark.read.option("lineSep", _END).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    head = _prolog(F.col("piece"))
+    firsts = rows.where("block = 0").groupBy("path").agg(F.min("at").alias("at"), F.min_by(head.contains("<!doctype") | head.contains("<!entity"), "at").alias("no"))
+    refused = firsts.where("no").select("path", F.lit(0).cast("bigint").alias("block"), "at", F.lit(None).cast("string").alias("piece"))
+    kept = rows.join(refused.select("path"), "path", "left_anti")
+    return kept.unionByName(refused).select(run(F.col("path")).alias("run_id"), "path", "block", "at", "piece")
+
+
+def _tags(piece: Column, name: str) -> Column:
+    """Start tags of an element in a piece, outside comments and character data."""
+    return F.filter(F.regexp_extract_all(piece, F.lit(rf"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<{name}{_ATTRIBUTES}/?>"), F.lit(0)), lambda x: x.startswith(f"<{name}"))
+
+
+def read_report_results(pieces: DataFrame) -> DataFrame:
+    """Failed results of report files: (run_id, seq, name, status, detail, duration_ms, stack), as `read_test_report_xml` has them.
+
+    A piece ends a result: the last start tag in it that is not closed at once. Those closed at once are results too.
+    """
+    def elements(p: Column, tags: Column) -> Column:
+        closed = F.filter(tags, lambda t: t.endswith("/>"))
+        last = F.try_element_at(F.filter(tags, lambda t: ~t.endswith("/>")), F.lit(-1))
+        rest = F.call_function("substring_index", p, last, F.lit(-1))  # what follows the tag
+        opened = F.filter(F.array(F.struct(F.concat(last, rest, F.lit(_END)).alias("x"), F.concat(last, F.lit(_END)).alias("tag"))), lambda e: e["tag"].isNotNull())
+        return F.concat(F.transform(closed, lambda t: F.struct(t.alias("x"), t.alias("tag"))), opened)
+    found = pieces.select("run_id", "path", "block", "at", F.posexplode(let(_tags(F.col("piece"), "UnitTestResult"), lambda t: elements(F.col("piece"), t))).alias("sub", "e"))
+    parsed = found.withColumn("r", F.from_xml("e.x", _RESULT, {"mode": "PERMISSIVE"}))
+    r = parsed.withColumn("r", F.when(F.col("r._outcome").isNotNull(), F.col("r")).otherwise(F.from_xml("e.tag", _RESULT, {"mode": "PERMISSIVE"})))  # broken off behind its tag
+    status = F.lower(nn(F.col("r._outcome")))
+    bad = r.where(status.isin("failed", "error") & ~is_blank(nn(F.col("r._testName"))))
+    seq = F.row_number().over(W.partitionBy("run_id").orderBy("path", "block", "at", "sub")) - 1
+    return bad.select("run_id", seq.alias("seq"), *_case(F.col("r"), status))
+
+
+def report_file_counters(pieces: DataFrame) -> DataFrame:
+    """Counters per run, summed over its files; ``refused`` counts the files that were not read."""
+    own = pieces.select("run_id", F.col("piece").isNull().cast("int").alias("refused"), F.explode_outer(_tags(F.col("piece"), "Counters")).alias("x"))
+    tag = F.when(F.col("x").endswith("/>"), F.col("x")).otherwise(F.concat(F.col("x"), F.lit("</Counters>")))
+    own = own.withColumn("c", F.from_xml(tag, _COUNTERS, {"mode": "PERMISSIVE"}))
+    z = lambda f: F.coalesce(F.sum(F.col(f"c.{f}").try_cast("int")), F.lit(0)).cast("int")
+    return _totals(own.groupBy("run_id").agg(
+        z("_passed").alias("passed"), z("_failed").alias("failed"), z("_error").alias("errors"),
+        (z("_notExecuted") + z("_inconclusive")).alias("skipped"), z("_total").alias("total"), F.sum("refused").alias("refused")))
 
 
 # --- A10 ----------------------------------------------------------------------------

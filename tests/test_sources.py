@@ -191,6 +191,37 @@ def test_reports_are_read_whole(spark):
     assert reports.read_format_report(df, reports.Limits(format_findings=200)).count() == 200
 
 
+def test_reports_from_files(spark, tmp_path):
+    """Several files of a run, one far larger than a block; closed, nested and broken results, character data that looks like tags."""
+    (tmp_path / "7").mkdir(), (tmp_path / "8").mkdir()
+    case = lambda n, more="": f'<UnitTestResult testName="N.T{n}" outcome="Failed"\n duration="00:00:01">\n<Output><ErrorInfo><Message>m{n} &amp; é</Message><StackTrace>{more or "s"}</StackTrace></ErrorInfo></Output></UnitTestResult>\n'
+    start, end = '\ufeff<?xml version="1.0"?><!-- <!DOCTYPE no> -->\n<TestRun xmlns="http://x"><Results>', '</Results><ResultSummary><Counters total="9" passed="4" failed="x" error="5"/></ResultSummary></TestRun>'
+    (tmp_path / "7" / "a.trx").write_text(start + "".join(case(n, "at y\n" * 200) for n in range(8000)) + end)
+    odd = ['<UnitTestResult testName="shut" outcome="failed"/>', '<UnitTestResult testName="ok > no" outcome="Passed"/>',
+           '<UnitTestResult testName="out" outcome="Failed"><InnerResults>' + case("in1") + case("in2") + "</InnerResults></UnitTestResult>",
+           case("data", "<![CDATA[<UnitTestResult testName='x'> <!DOCTYPE y>]]>"), '<UnitTestResult testName=" " outcome="Error"></UnitTestResult>',
+           "<!-- <UnitTestResult testName='c' outcome='Failed'/> -->", '<UnitTestResult testName="broken" outcome="Error"><Output>']
+    (tmp_path / "7" / "b.trx").write_text(start + "".join(odd))
+    (tmp_path / "8" / "c.trx").write_text("<!DOCTYPE x>" + start + case(1) + end)
+    (tmp_path / "8" / "d.trx").write_text(start + end)
+    (tmp_path / "8" / "e.txt").write_text(start + case(1) + end)
+    (tmp_path / "8" / "f.trx").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        pieces = reports.report_pieces(spark, str(tmp_path))
+        assert pieces.where("path LIKE '%a.trx'").select(F.spark_partition_id()).distinct().count() > 3
+        rows = reports.read_report_results(pieces).orderBy("run_id", "seq").collect()
+        counters = {r.run_id: (r.passed, r.failed, r.errors, r.total, r.refused) for r in reports.report_file_counters(pieces).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.seq for r in rows] == list(range(len(rows))) and {r.run_id for r in rows} == {"7"}
+    assert [(r.name, r.detail, r.duration_ms) for r in rows[:8000]] == [(f"N.T{n}", f"Failed T{n} m{n} & é", 1000) for n in range(8000)]
+    assert all(len(r.stack) > 900 for r in rows[:8000])
+    assert [r.name for r in rows[8000:]] == ["shut", "N.Tin1", "N.Tin2", "N.Tdata", "broken"]
+    assert rows[8003].stack == "<UnitTestResult testName='x'> <!DOCTYPE y>"
+    assert counters == {"7": (4, 0, 5, 9, 0), "8": (4, 0, 5, 9, 1)}
+
+
 def test_outcome_detail_is_whole(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1), "c", "p", "r", "k", "d" * 2000)], "ts timestamp_ntz, command string, project string, rule string, incident string, detail string")
     assert [len(r.detail) for r in S.outcome_rows(df).collect()] == [2000]
