@@ -14,12 +14,28 @@ from runsift.sources import ledger_store as S
 from runsift.sources import reports, rules, transcripts
 
 
-@query("a1_read_ledger", f"""WITH {sql.LEDGER} SELECT id, command, CASE WHEN id % 2 = 0 THEN 'utf8_weighted_v1' ELSE estimator END AS estimator, 1 AS schema_version FROM ledger""")
-def a1(spark, sf):
+_LEDGER_ROWS = f"""WITH {sql.LEDGER} SELECT id, command, CASE WHEN id % 2 = 0 THEN 'utf8_weighted_v1' ELSE estimator END AS estimator, 1 AS schema_version, CAST(ts AS DATE) AS day FROM ledger"""
+
+
+def ledger_folder(spark, sf):
+    """A ledger of two batches, the first by an older schema; the second is appended twice, as a retry would."""
     led = frames.ledger(spark, sf)
-    old = led.where("id % 2 = 0").select("id", "ts", "command", "raw_tokens")
+    path = frames.shared_path(spark, "ledger")
+    S.append_ledger(led.where("id % 2 = 0").select("id", "ts", "command", "raw_tokens"), path, "first")
     new = led.where("id % 2 = 1").select("id", "ts", "command", "raw_tokens", "estimator").withColumn("schema_version", F.lit(1))
-    return S.merge_ledgers(new, old).select("id", "command", "estimator", "schema_version")
+    for _ in range(2):
+        S.append_ledger(new, path, rows_per_file=50)
+    return path
+
+
+@query("a1_read_ledger", _LEDGER_ROWS)
+def a1(spark, sf):
+    return S.read_ledger(spark, ledger_folder(spark, sf)).select("id", "command", "estimator", "schema_version", "day")
+
+
+@query("a2_append_ledger", f"WITH {sql.LEDGER} SELECT CAST(ts AS DATE) AS day, count(*) AS rows, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens FROM ledger GROUP BY 1")
+def a2a(spark, sf):
+    return S.read_ledger(spark, ledger_folder(spark, sf)).groupBy("day").agg(F.count("*").alias("rows"), F.sum("raw_tokens").alias("raw_tokens"))
 
 
 _EVJ = """j AS (SELECT event_id, user_id, ts, event_type, value, event_type = 'error' AS bad FROM events)"""
@@ -118,10 +134,25 @@ def a7s(spark, sf):
     return texts.join(sizes, "path").select("session_id", "bytes", F.md5("text").alias("text_md5"))
 
 
-@query("a8_failure_report_totals", "SELECT count(*) FILTER (event_id % 13 <> 0) AS reports, count(*) FILTER (event_id % 13 = 0) AS unparseable FROM events")
+def failure_report_folder(spark, sf):
+    """A JSON file of each user's failure reports; some have no category, and the files of every fiftieth user are broken."""
+    e = frames.table(spark, sf, "events")
+    report = F.struct(F.lit(1).alias("schema_version"), F.col("event_id").cast("string").alias("report_id"), F.when(F.col("event_id") % 13 != 0, F.col("event_type")).alias("error_category"),
+                      (F.col("event_id") % 4).alias("exit_code"))
+    path = frames.shared_path(spark, "failure-reports")
+    lines = e.select((F.col("user_id") % 200).alias("owner"), "event_id", F.concat(F.to_json(report), F.lit(",")).alias("value"))
+    ends = lines.select("owner").distinct()
+    first = ends.select("owner", F.lit(-1).cast("bigint").alias("event_id"), F.lit("[").alias("value"))
+    last = ends.select("owner", F.lit(2 ** 62).alias("event_id"), F.when(F.col("owner") % 50 == 0, "{").otherwise('{"schema_version":1,"error_category":"last"}]').alias("value"))
+    rows = lines.unionByName(first).unionByName(last).repartition("owner").sortWithinPartitions("owner", "event_id")
+    rows.select("owner", "value").write.partitionBy("owner").text(path)
+    return path
+
+
+@query("a8_failure_report_totals", """WITH u AS (SELECT *, user_id % 200 AS owner, user_id % 200 % 50 = 0 AS broken FROM events), o AS (SELECT count(DISTINCT owner) FILTER (NOT broken) AS good, count(DISTINCT owner) FILTER (broken) AS bad FROM u)
+  SELECT count(*) FILTER (NOT broken AND event_id % 13 <> 0) + (SELECT good FROM o) AS reports, count(*) FILTER (NOT broken AND event_id % 13 = 0) + (SELECT bad FROM o) AS unparseable FROM u""")
 def a8(spark, sf):
-    r = frames.failure_reports(spark, sf).withColumn("valid", F.col("error_category").isNotNull())
-    return reports.report_totals(r)
+    return reports.report_totals(reports.read_failure_reports(spark, failure_report_folder(spark, sf), "*.txt"))
 
 
 def trx_files(spark, sf):
@@ -226,6 +257,15 @@ def a13(spark, sf):
     return S.report_columns(cost_by(frames.ledger(spark, sf), models_frame(spark), "gpt-4o-2024-11-20", "command"))
 
 
+@query("a13_report_csv_file", f"""WITH {sql.LEDGER} SELECT command || ', "' || project || '"' || chr(10) AS bucket, count(*) AS commands, CAST(sum(raw_tokens) AS BIGINT) AS raw, printf('%.6f', CAST(sum(raw_tokens) AS DOUBLE)) AS usd_raw FROM ledger GROUP BY 1""")
+def a13f(spark, sf):
+    led = frames.ledger(spark, sf).withColumn("bucket", F.format_string('%s, "%s"\n', "command", "project"))
+    df = led.groupBy("bucket").agg(F.count("*").alias("commands"), F.sum("raw_tokens").alias("raw"), F.sum("raw_tokens").cast("double").alias("usd_raw"))
+    path = frames.shared_path(spark, "report")
+    S.write_report_csv(df, path)
+    return S.read_report_csv(spark, path, "bucket string, commands bigint, raw bigint, usd_raw string")
+
+
 @query("a14_documents_json", """SELECT doc_id AS run_id, '{"schema_version":1,"kind":"opaque","command":"' || source || '","filter":null,"exit_code":0,"was_filtered":true,"document":{"body":"' || lang || '"}}' AS value FROM documents""")
 def a14(spark, sf):
     d = frames.table(spark, sf, "documents").select(F.col("doc_id").alias("run_id"), F.col("source").alias("command"), F.lit(None).cast("string").alias("rule"),
@@ -233,6 +273,27 @@ def a14(spark, sf):
     return S.documents_json(d, F.lit("opaque"), F.struct(F.col("lang").alias("body")))
 
 
+@query("a14_documents_json_file", """SELECT 1 AS schema_version, 'opaque' AS kind, source AS command, CAST(NULL AS VARCHAR) AS "filter", CAST(doc_id % 3 AS INTEGER) AS exit_code, doc_id % 2 = 0 AS was_filtered, '{"id":' || doc_id || ',"body":"' || lang || '"}' AS document FROM documents""")
+def a14f(spark, sf):
+    d = frames.table(spark, sf, "documents").select(F.col("doc_id").alias("run_id"), F.col("source").alias("command"), F.lit(None).cast("string").alias("rule"),
+                                                    (F.col("doc_id") % 3).cast("int").alias("exit_code"), (F.col("doc_id") % 2 == 0).alias("was_filtered"), "lang")
+    path = frames.shared_path(spark, "documents-json")
+    S.write_documents_json(d, F.lit("opaque"), F.struct(F.col("run_id").alias("id"), F.col("lang").alias("body")), path)
+    return S.read_documents_json(spark, path)
+
+
+@query("a12_load_pricing", """SELECT 'm' || p_partkey AS id, 'a' || (p_partkey % 7) || ',b' || p_partkey AS aliases, p_brand AS provider, round(p_retailprice / 100, 4) AS input_cost_per_million, '2024-01-01' AS effective_date FROM part""")
+def a12(spark, sf):
+    from runsift.sources.pricing import load_pricing
+    p = frames.table(spark, sf, "part")
+    model = F.struct(F.concat(F.lit("m"), "p_partkey").alias("id"), F.array(F.concat(F.lit("a"), F.col("p_partkey") % 7), F.concat(F.lit("b"), "p_partkey")).alias("aliases"), F.col("p_name").alias("name"),
+                     F.col("p_brand").alias("provider"), F.round(F.col("p_retailprice") / 100, 4).alias("input_cost_per_million"), F.lit("2024-01-01").alias("effective_date"))
+    docs = p.groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).alias("k")).agg(F.collect_list(model).alias("models"))  # a price list has 1,000 models at most
+    path = frames.shared_path(spark, "pricing")
+    docs.select(F.to_json(F.struct("models")).alias("value")).write.text(path)
+    return load_pricing(spark, path, whole_file=False).select("id", F.array_join("aliases", ",").alias("aliases"), "provider", "input_cost_per_million", "effective_date")
+
+
 @query("a15_retain_raw", f"""WITH {sql.DOC_RUNS}, c AS (SELECT run_id, exit_code, stdout, {_head_tail_sql(4, 6, 'stdout')} AS o FROM doc_runs),
   t AS (SELECT *, {sql.tokens('stdout')} AS rt, {sql.tokens('o')} AS ot FROM c)
   SELECT run_id FROM t WHERE exit_code <> 0 OR run_id % 50 = 0 OR (run_id % 2 = 0 AND (o <> stdout OR (rt > 0 AND ot * 2 <= rt) OR (length(stdout) >= 200 AND length(o) * 2 <= length(stdout)))) OR run_id % 40 = 1""")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from runsift.functions.text import any_line, lines_of, nn, trim_ctl
 from runsift.functions.tokens import ESTIMATOR
 from runsift.operators.ledger import days_before
+from runsift.operators.prepare import with_bound
 
 # Schema version, retention, and what makes a raw output worth keeping.
 SCHEMA_VERSION, RETENTION_DAYS = 1, 90
@@ -20,7 +22,7 @@ OUTPUT_CAP = "OUTPUT_CAP"
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Ledger rows; files of older schemas get the estimator and version defaults."""
     df = spark.read.option("mergeSchema", "true").parquet(path)
-    return with_defaults(df)
+    return with_defaults(df.drop("batch"))
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
@@ -42,12 +44,24 @@ def by_day(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.to_date("ts"))
 
 
-def append_ledger(df: DataFrame, path: str) -> None:
-    """Append in day partitions. A day's rows are spread over up to 64 writers by a
-    hash of the row, so a busy day is not one task's file and a retry writes the same."""
+def append_ledger(df: DataFrame, path: str, batch: str | None = None, rows_per_file: int = 1_000_000) -> None:
+    """Append in partitions of day and batch; appending a batch again replaces its own files, so a retry changes nothing.
+
+    Without a name a batch is named by its rows, so the same rows are the same batch. One aggregate counts a day's rows,
+    which gives its writers: about ``rows_per_file`` rows a file, and a busy day is not one task's file.
+    """
     out = by_day(df)
-    out.repartition("day", F.pmod(F.xxhash64(*[c for c in ("command", "ts") if c in df.columns]), F.lit(64))) \
-        .write.mode("append").partitionBy("day").parquet(path)
+    own = F.xxhash64(*[F.col(c) if not dict(out.dtypes)[c].startswith("map") else F.map_entries(c) for c in out.columns])
+    days = out.groupBy("day").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / rows_per_file)).alias("_writers"), F.count("*").alias("n"), F.sum(own.cast("decimal(38,0)")).alias("h"))
+    total = days.agg(F.sum("n"), F.sum("h"), F.max("_writers")).first()
+    name = batch if batch is not None else f"rows-{total[0] or 0}-{total[1] or 0}"
+    writer = F.lit(0).cast("bigint")
+    if (total[2] or 1) > 1:
+        busy = days.where("_writers > 1").select(F.col("day").alias("_busy"), "_writers")
+        out = out.join(with_bound(busy), F.col("day") == F.col("_busy"), "left")
+        writer = F.pmod(own, F.coalesce("_writers", F.lit(1)))
+    spread = out.withColumn("_writer", writer).repartition("day", "_writer").drop("_writer", "_writers", "_busy")
+    spread.withColumn("batch", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
 
 
 def outcome_rows(results: DataFrame, chars: int | None = None) -> DataFrame:
@@ -60,8 +74,8 @@ def outcome_rows(results: DataFrame, chars: int | None = None) -> DataFrame:
                      F.lit(True).alias("fallback_succeeded"), (detail if chars is None else F.substring(detail, 1, chars)).alias("detail"))
 
 
-def append_outcomes(results: DataFrame, path: str) -> None:
-    append_ledger(outcome_rows(results), path)
+def append_outcomes(results: DataFrame, path: str, batch: str | None = None) -> None:
+    append_ledger(outcome_rows(results), path, batch)
 
 
 # --- A15, A16, A17 ------------------------------------------------------------------
@@ -144,10 +158,26 @@ def report_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.format_string("%.6f", F.col(c)).alias(c) if c.startswith("usd_") else F.col(c) for c in df.columns])
 
 
+CSV_STYLE = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_report_csv(df: DataFrame, path: str) -> None:
-    """A report as a folder of CSV files with quoted quotes, a file for each task."""
-    report_columns(df).write.mode("overwrite").option("header", "true").option("quote", '"').option(
-        "escape", '"').csv(path)
+    """A report as ordered CSV text with quoted quotes: one header, at the top of the first part, and the rows sorted.
+
+    The parts in the order of their names are one CSV file; a report of usual size is one part.
+    """
+    rows = report_columns(df)
+    head = df.sparkSession.range(1).select(F.lit(0).alias("_part"), *[F.lit(c).alias(c) for c in rows.columns])
+    body = rows.select(F.lit(1).alias("_part"), *[F.col(c).cast("string").alias(c) for c in rows.columns])
+    head.unionByName(body).orderBy("_part", *rows.columns).drop("_part").write.mode("overwrite").options(**CSV_STYLE).csv(path)
+
+
+def read_report_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a written report; the header is the row that has the column names."""
+    types = {f.name: f.dataType for f in StructType.fromDDL(schema)}
+    text = spark.read.schema(StructType([StructField(c, StringType()) for c in types])).options(multiLine="true", **CSV_STYLE).csv(path)
+    header = F.struct(*text.columns).eqNullSafe(F.struct(*[F.lit(c).alias(c) for c in types]))
+    return text.where(~header).select(*[F.col(c).cast(t).alias(c) for c, t in types.items()])
 
 
 DOCUMENT_KEYS = ["schema_version", "kind", "command", "filter", "exit_code", "was_filtered", "document"]

@@ -35,9 +35,8 @@ def models_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODELS, _SCHEMA).withColumn("effective_date", F.lit(PRICING_DATE))
 
 
-def load_pricing(spark: SparkSession, path: str) -> DataFrame:
-    """Price list from a JSON document with a ``models`` array."""
-    doc = spark.read.schema(f"models array<struct<{_SCHEMA.replace(' ', ':', 0)}>>".replace(
-        _SCHEMA, ", ".join(f"{c.split()[0]}: {' '.join(c.split()[1:])}" for c in _SCHEMA.split(", ")) + ", effective_date: string")
-    ).json(path, multiLine=True)
+def load_pricing(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """Price list from JSON documents with a ``models`` array: a document a file, or a document a line."""
+    fields = ", ".join(f"{c.split()[0]}: {' '.join(c.split()[1:])}" for c in [*_SCHEMA.split(", "), "effective_date string"])
+    doc = spark.read.schema(f"models array<struct<{fields}>>").json(path, multiLine=whole_file)
     return doc.select(F.explode("models").alias("m")).select("m.*")

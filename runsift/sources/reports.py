@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from runsift.functions.text import is_blank, let, nn, strip_ws, trim_ctl
 from runsift.operators.extract import json_depth
+from runsift.operators.plan_shape import settled
 
 # Fixed value: nesting of a format report.
 FORMAT_DEPTH = 8
@@ -37,11 +38,11 @@ _REPORT = ("schema_version int, report_id string, timestamp string, version stri
 
 # --- A8 -----------------------------------------------------------------------------
 
-def read_failure_reports(spark: SparkSession, path: str) -> DataFrame:
-    """One report per JSON file with a ``valid`` flag: unreadable files and reports
+def read_failure_reports(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """The report of each JSON file, or each one of its list, with a ``valid`` flag: unreadable files and reports
     without a category are counted, not lost."""
     df = spark.read.schema(_REPORT).option("multiLine", "true").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(path)
+        "columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").json(path)
     return df.withColumn("valid", F.col("_corrupt").isNull() & F.col("error_category").isNotNull()).drop("_corrupt")
 
 
@@ -169,7 +170,8 @@ def read_report_results(pieces: DataFrame) -> DataFrame:
         return F.concat(F.transform(closed, lambda t: F.struct(t.alias("x"), t.alias("tag"))), opened)
     found = pieces.select("run_id", "path", "block", "at", F.posexplode(let(_tags(F.col("piece"), "UnitTestResult"), lambda t: elements(F.col("piece"), t))).alias("sub", "e"))
     parsed = found.withColumn("r", F.from_xml("e.x", _RESULT, {"mode": "PERMISSIVE"}))
-    r = parsed.withColumn("r", F.when(F.col("r._outcome").isNotNull(), F.col("r")).otherwise(F.from_xml("e.tag", _RESULT, {"mode": "PERMISSIVE"})))  # broken off behind its tag
+    r = settled(parsed, "r").withColumn("r", F.when(F.col("r._outcome").isNotNull(), F.col("r")).otherwise(F.from_xml("e.tag", _RESULT, {"mode": "PERMISSIVE"})))  # broken off behind its tag
+    r = settled(r, "r")
     status = F.lower(nn(F.col("r._outcome")))
     bad = r.where(status.isin("failed", "error") & ~is_blank(nn(F.col("r._testName"))))
     seq = F.row_number().over(W.partitionBy("run_id").orderBy("path", "block", "at", "sub")) - 1

@@ -44,6 +44,41 @@ def test_csv_quotes(spark, tmp_path):
     assert text == 'command,usd_saved\n"say ""hi"", x",1.500000\n'
 
 
+def test_csv_has_one_header(spark, tmp_path):
+    """Many writers, none with rows, or no rows at all: one header, rows in order, values come back."""
+    path = str(tmp_path / "csv")
+    rows = [(f"c{i:05d} , \"x\"\n y ", i, None if i % 3 else i / 7) for i in range(5000)] + [(None, 1, 0.0)]
+    df = spark.createDataFrame(rows, "command string, n bigint, usd_saved double").repartition(9)
+    S.write_report_csv(df, path)
+    parts = sorted(f for f in os.listdir(path) if f.endswith(".csv"))
+    text = "".join((tmp_path / "csv" / f).read_text() for f in parts)
+    assert text.count("command,n,usd_saved") == 1 and text.startswith("command,n,usd_saved\n") and text.index("c00001") < text.index("c04999")
+    back = S.read_report_csv(spark, path, "command string, n bigint, usd_saved string")
+    assert sorted(map(str, back.collect())) == sorted(map(str, S.report_columns(df).collect()))
+    S.write_report_csv(df.where("n < 0"), path)
+    assert "".join((tmp_path / "csv" / f).read_text() for f in os.listdir(path) if f.endswith(".csv")) == "command,n,usd_saved\n"
+    assert S.read_report_csv(spark, path, "command string, n bigint, usd_saved string").count() == 0
+
+
+def test_append_again_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = [(dt.datetime(2024, 1, 1 + i % 3, 3), f"c{i}", i) for i in range(3000)] + [(None, "no time", 1)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, command string, raw_tokens bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small partitions are joined to one file
+    try:
+        for _ in range(2):
+            S.append_ledger(df, path, rows_per_file=100)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = [f for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet") and "day=2024-01-01" in d]
+    assert S.read_ledger(spark, path).count() == 3001 and 2 < len(files) <= 10
+    S.append_ledger(df.where("raw_tokens < 10"), path, "named")
+    S.append_ledger(df.where("raw_tokens < 5"), path, "named")  # a batch that is sent again with other rows replaces those days
+    assert S.read_ledger(spark, path).count() == 3001 + 5 + 1
+    S.append_ledger(df.limit(0), path)
+    assert S.read_ledger(spark, path).count() == 3007
+
+
 def test_documents_strict(spark, tmp_path):
     ok, bad = tmp_path / "ok", tmp_path / "bad"
     doc = {"schema_version": 1, "kind": "opaque", "command": "x", "filter": None, "exit_code": 0, "was_filtered": True, "document": {"body": "b"}}
