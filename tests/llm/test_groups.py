@@ -122,15 +122,20 @@ def test_edit_distance():
 
 
 def lines_brute(rows, least):
+    """Occurrences that go, by edit similarity over all pairs of lines."""
     places = {}
     for d, t in rows:
         for n, line in enumerate((t or "").split("\n")):
             if norm := fuzzy_lines.normalised(line):
                 places.setdefault(norm, []).append((d, n))
-    keys = list(places)
-    sims = fuzzy_lines.simhashes(keys).view(np.uint64)
-    links = [(i, j) for i in range(len(keys)) for j in (np.flatnonzero(np.bitwise_count(sims[i + 1:] ^ sims[i]) <= 3) + i + 1).tolist()
-             if 1 - distance(keys[i], keys[j]) / max(len(keys[i]), len(keys[j])) >= least]
+    keys = sorted(places, key=len)
+    links = []
+    for i, a in enumerate(keys):
+        for j in range(i + 1, len(keys)):
+            if len(a) < least * len(keys[j]):
+                break
+            if fuzzy_lines.similar(a, keys[j], least):
+                links.append((i, j))
     groups = {}
     for i, g in joined(range(len(keys)), links).items():
         groups.setdefault(g, []).extend(places[keys[i]])
@@ -153,27 +158,6 @@ def test_lines_against_brute_force(corpus):
     assert fuzzy_lines.drop_duplicate_lines(corpus([])).count() == 0
 
 
-def plain_brute(rows, least):
-    """Like lines_brute, by edit similarity alone."""
-    places = {}
-    for d, t in rows:
-        for n, line in enumerate((t or "").split("\n")):
-            if norm := fuzzy_lines.normalised(line):
-                places.setdefault(norm, []).append((d, n))
-    keys = sorted(places, key=len)
-    links = []
-    for i, a in enumerate(keys):
-        for j in range(i + 1, len(keys)):
-            if len(a) < least * len(keys[j]):
-                break
-            if fuzzy_lines.similar(a, keys[j], least):
-                links.append((i, j))
-    groups = {}
-    for i, g in joined(range(len(keys)), links).items():
-        groups.setdefault(g, []).extend(places[keys[i]])
-    return {p for g in groups.values() for p in g} - {min(g) for g in groups.values()}, len(links)
-
-
 def test_lines_against_edit_similarity_alone(corpus):
     rng = random.Random(9)
     texts = []
@@ -184,14 +168,14 @@ def test_lines_against_edit_similarity_alone(corpus):
             other[k] = "".join(rng.sample("ghijklmnop", 6)) if n > 5 else other[k][:3] + "z" + other[k][4:]
         texts += [" ".join(base), " ".join(other)]
     texts += ["abcde", "abcd", "Cat", "cart", "x", "y"]
-    gone, links = plain_brute(list(enumerate(texts)), 0.8)
+    gone, links = lines_brute(list(enumerate(texts)), 0.8)
     assert links > 65
     assert {(r.doc, r.line) for r in fuzzy_lines.duplicate_lines(corpus(texts)).collect()} == gone
 
 
 def test_lines_query_against_edit_similarity_alone(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    gone, _ = plain_brute(rows, 0.8)
+    gone, _ = lines_brute(rows, 0.8)
     got = entry.queries()["op7_fuzzy_line_dedup"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r.n_removed for r in got) == len(gone)
 
