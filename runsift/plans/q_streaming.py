@@ -50,7 +50,7 @@ def j1(spark, sf):
 @query("j1_stream_state_machine", f"""WITH {_RAW}, e AS (SELECT *, CASE WHEN regexp_matches(line, '^[A-F]') THEN 'SKIP' WHEN regexp_matches(line, '^[N-Z]') THEN 'KEEP' END AS mark FROM x),
   s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY no), 'KEEP') AS st FROM e) SELECT run_id, no - 1 AS line_no, line FROM s WHERE st = 'KEEP'""")
 def j1s(spark, sf):
-    return jobs.drain(jobs.stream_state_machine(doc_lines(spark, sf).where("NOT is_end"), **MACHINE), folder(spark, "j1s"))
+    return jobs.run_state_machine(doc_lines(spark, sf), folder(spark, "j1s"), **MACHINE)
 
 
 @query("j1_stream_image_lines", f"""WITH {_RAW}, m AS (SELECT run_id, no, CASE WHEN no % 2 = 0 THEN '#1 DONE ' || line ELSE line END AS line FROM x),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,53 +31,123 @@ def stream_lines(lines: DataFrame, fn: Callable[[Column], Column] = R.ansi_strip
     return lines.withColumn("line", fn(nn(F.col("line"))))
 
 
-def stream_state_machine(lines: DataFrame, initial: str, transitions: Sequence[Mapping[str, str]],
-                         defaults: Mapping[str, str] | None = None) -> DataFrame:
-    """Line-by-line state machine; a run keeps one word of state between batches.
+#: Lines of a run that one task folds at a time.
+PART = 4096
 
-    The patterns are matched in the JVM as a bit per transition, so the keyed step
-    only follows the table.
+
+def machine_parts(lines: DataFrame, transitions: Sequence[Mapping[str, str]], states: Sequence[str], defaults: Mapping[str, str], part: int = PART) -> DataFrame:
+    """(run_id, part, line_nos, lines, ends, keeps): a state machine over the parts of runs, for every start state.
+
+    ``ends``: the state behind a part by the state in front of it; ``keeps``: the lines it then keeps. The patterns are
+    matched in the JVM as a bit per transition; a part has ``part`` line numbers at most, however long its run is.
     """
-    defaults = dict(defaults or {})
-    table = [(t["from_state"], (t.get("action") or "EMIT").upper() == "EMIT", t["next_state"]) for t in transitions]
-    emits = {s: (a or "EMIT").upper() == "EMIT" for s, a in defaults.items()}
+    at = {s: i for i, s in enumerate(states)}
+    table = [(at[t["from_state"]], (t.get("action") or "EMIT").upper() == "EMIT", at[t["next_state"]]) for t in transitions]
+    emits = np.array([(defaults[s] or "EMIT").upper() == "EMIT" if s in defaults else False for s in states])
     hits = F.array(*[nn(F.col("line")).rlike(t["pattern"]) for t in transitions])
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get[0] if state.exists else initial
-        pdf = pd.concat(list(batches)).sort_values("line_no")
-        keep = []
-        for flags in pdf["hits"]:
-            move = next((t for t, hit in zip(table, flags, strict=True) if hit and t[0] == current), None)
-            keep.append(move[1] if move else emits.get(current, False))
-            current = move[2] if move else current
-        state.update((current,))
-        yield pdf.loc[keep, ["run_id", "line_no", "line"]]
-
-    return lines.select("run_id", "line_no", "line", hits.alias("hits")).groupBy("run_id").applyInPandasWithState(
-        step, "run_id bigint, line_no bigint, line string", "state string", "append", GroupStateTimeout.NoTimeout)
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no")
+        moves: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        now, keeps = np.arange(len(states)), np.zeros((len(pdf), len(states)), bool)
+        for row, flags in enumerate(map(tuple, pdf["hits"])):
+            if flags not in moves:
+                to, keep = np.arange(len(states)), emits.copy()
+                for (start, emit, end), hit in reversed(list(zip(table, flags, strict=True))):  # the first that matches decides
+                    if hit:
+                        to[start], keep[start] = end, emit
+                moves[flags] = to, keep
+            to, keep = moves[flags]
+            keeps[row] = keep[now]
+            now = to[now]
+        first = pdf.iloc[0]
+        return pd.DataFrame({"run_id": [first["run_id"]], "part": [first["part"]], "line_nos": [pdf["line_no"].tolist()], "lines": [pdf["line"].tolist()],
+                             "ends": [now.tolist()], "keeps": [keeps.T.tolist()]})
+
+    rows = lines.select("run_id", F.floor(F.col("line_no") / part).alias("part"), "line_no", "line", hits.alias("hits"))
+    return rows.groupBy("run_id", "part").applyInPandas(fold, "run_id bigint, part bigint, line_nos array<bigint>, lines array<string>, ends array<int>, keeps array<array<boolean>>")
+
+
+def machine_starts(parts: DataFrame, before: DataFrame, initial: int) -> DataFrame:
+    """(run_id, part, start, end): the state in front of each part and behind it, by joining the parts' maps end to end.
+
+    ``before``: (run_id, state) of the runs that began earlier. Only the maps of a run come together, a few numbers a part.
+    """
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        now, out = int(pdf["state"].iloc[0]), []
+        for run, part, ends in zip(pdf["run_id"], pdf["part"], pdf["ends"], strict=True):
+            out.append((run, part, now, int(ends[now])))
+            now = int(ends[now])
+        return pd.DataFrame(out, columns=["run_id", "part", "start", "end"])
+
+    rows = parts.select("run_id", "part", "ends").join(before, "run_id", "left").withColumn("state", F.coalesce("state", F.lit(initial)))
+    return rows.groupBy("run_id").applyInPandas(chain, "run_id bigint, part bigint, start int, end int")
+
+
+def run_state_machine(lines: DataFrame, folder: str, initial: str, transitions: Sequence[Mapping[str, str]],
+                      defaults: Mapping[str, str] | None = None, part: int = PART) -> DataFrame:
+    """Kept lines (run_id, line_no, line) of a line stream by a state machine, over everything available.
+
+    Each micro-batch is an ordinary job: parts of runs are folded apart for every start state, their maps are joined
+    end to end, and the start states found go back to the parts, so that a run that fills a batch is many tasks. The state
+    of runs that go on is a table of one row a run in ``folder`` (on storage all executors share); it is written beside the one
+    it is made from, and a batch replaces its own output, so a batch that is repeated after a failure changes nothing.
+    """
+    defaults = dict(defaults or {})
+    states = list(dict.fromkeys([initial, *[t[k] for t in transitions for k in ("from_state", "next_state")], *defaults]))
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        table = "run_id bigint, state int"
+        before = spark.read.schema(table).parquet(f"{folder}/states/{(number - 1) % 2}") if number else spark.createDataFrame([], table)
+        body = df.where("NOT is_end") if "is_end" in df.columns else df
+        machine_parts(body, transitions, states, defaults, part).write.mode("overwrite").parquet(f"{folder}/parts")
+        parts = spark.read.parquet(f"{folder}/parts")
+        machine_starts(parts, before, 0).write.mode("overwrite").parquet(f"{folder}/starts")
+        starts = spark.read.parquet(f"{folder}/starts")
+        kept = parts.join(starts, ["run_id", "part"]).select("run_id", F.explode(F.arrays_zip("line_nos", "lines", F.get("keeps", F.col("start")).alias("kept"))).alias("x"))
+        kept.where("x.kept").select("run_id", F.col("x.line_nos").alias("line_no"), F.col("x.lines").alias("line")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        now = starts.groupBy("run_id").agg(F.max_by("end", "part").alias("now"))
+        after = before.join(now, "run_id", "full").select("run_id", F.coalesce("now", "state").alias("state"))
+        if "is_end" in df.columns:
+            after = after.join(df.where("is_end").select("run_id").distinct(), "run_id", "left_anti")
+        after.write.mode("overwrite").parquet(f"{folder}/states/{number % 2}")
+
+    query = lines.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return lines.sparkSession.read.schema("run_id bigint, line_no bigint, line string").parquet(f"{folder}/out").drop("batch")
 
 
 def stream_capped_lines(lines: DataFrame, tool: str) -> DataFrame:
     """Lines an image build or a package install shows at once, with their caps.
 
-    Filtering happens in front of the keyed count, so only kept lines are shuffled.
+    Lines without a cap pass statelessly. Of the others each Arrow batch keeps a run's first ones up to the cap, since no later one
+    can be shown, so the keyed count gets a bounded number of rows from a task however much a run prints.
     """
     line = nn(F.col("line"))
     counted = {"image": line.rlike(IMAGE_DONE), "npm": line.rlike(NPM_KEEP)}[tool]
     free = line.rlike(IMAGE_ERROR) if tool == "image" else F.lit(False)
     cap = IMAGE_DONE_CAP if tool == "image" else NPM_CAP
+    schema = "run_id bigint, line_no bigint, line string"
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[pdf.groupby("run_id")["line_no"].rank(method="first") <= cap]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen = state.get[0] if state.exists else 0
-        pdf = pd.concat(list(batches)).sort_values("line_no")
-        rank = pdf["counted"].cumsum() + seen
-        state.update((int(min(cap, seen + pdf["counted"].sum())),))
-        yield pdf.loc[(pdf["counted"] & (rank <= cap)) | pdf["free"], ["run_id", "line_no", "line"]]
-
-    kept = lines.select("run_id", "line_no", "line", counted.alias("counted"), free.alias("free")).where("counted or free")
-    return kept.groupBy("run_id").applyInPandasWithState(
-        step, "run_id bigint, line_no bigint, line string", "seen int", "append", GroupStateTimeout.NoTimeout)
+        best = pd.DataFrame()
+        for pdf in batches:
+            best = pd.concat([best, pdf]).nsmallest(cap, "line_no")
+        state.update((int(min(cap, seen + len(best))),))
+        shown = best.head(cap - seen)
+        yield shown.loc[~shown["free"].astype(bool), ["run_id", "line_no", "line"]]
+
+    rows = lines.select("run_id", "line_no", "line", counted.alias("counted"), free.alias("free"))
+    some = rows.where("counted").drop("counted").mapInPandas(first, f"{schema}, free boolean").groupBy("run_id").applyInPandasWithState(
+        step, schema, "seen int", "append", GroupStateTimeout.NoTimeout)
+    return some.unionByName(rows.where("free").select("run_id", "line_no", "line")) if tool == "image" else some
 
 
 # --- J2, J3 ---------------------------------------------------------------------------
