@@ -75,7 +75,7 @@ class WordEncoder:
         known, split = self.words, [None if _ODD.search(t) else t.split() for t in texts]
         if len(known) > self.most:
             known.clear()
-        new = {w for words in split if words for w in words if w not in known}
+        new = set().union(*filter(None, split)).difference(known)
         marked = [w for w in new if w[-1] in ".," and _LETTERS.fullmatch(w, 0, len(w) - 1)]
         new.difference_update(marked)
         new.update(w[:-1] for w in marked if w[:-1] not in known)
@@ -120,13 +120,20 @@ class ShardWriter:
         self.left = np.zeros(0, width)
         self.total = 0
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, documents: list[bytes], end: bytes) -> None:
+        """Ids of documents, each followed by ``end``; joined once, whatever the number of documents."""
+        ids = np.frombuffer(end.join([*documents, b""]), self.width)
         self.total += len(ids)
-        self.left = np.concatenate([self.left, ids])
         most = self.length * BATCH
-        while len(self.left) >= most:
-            self.file.write_batch(_sequences(self.left[:most], most, self.length))
-            self.left = self.left[most:]
+        if len(self.left) + len(ids) < most:
+            self.left = np.concatenate([self.left, ids])
+            return
+        head = most - len(self.left)
+        self.file.write_batch(_sequences(np.concatenate([self.left, ids[:head]]), most, self.length))
+        while len(ids) - head >= most:
+            self.file.write_batch(_sequences(ids[head:head + most], most, self.length))
+            head += most
+        self.left = ids[head:].copy()
 
     def close(self) -> None:
         if n := len(self.left):
@@ -189,11 +196,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int, folder: str | None = N
         tokens, index, table, n_docs = None, None, None, 0
         for batch in chunks(batches, text_col, 2 << 20):
             tokens = tokens or ShardWriter(fs, f"{root}/{name}.tokens.arrow", tool.width, length)
-            starts, sizes = [], []
-            for ids in tool.encode([t or "" for t in batch.column(text_col).to_pylist()]):
-                starts.append(tokens.total)
-                tokens.add(np.append(np.frombuffer(ids, tool.width), tool.width.type(end_id)))
-                sizes.append(tokens.total - starts[-1])
+            found = tool.encode([t or "" for t in batch.column(text_col).to_pylist()])
+            sizes = np.array([len(ids) // tool.width.itemsize + 1 for ids in found], np.int64)
+            starts = tokens.total + np.cumsum(sizes) - sizes
+            tokens.add(found, tool.width.type(end_id).tobytes())
             rows = pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], names=["doc", "start", "n_tokens"])
             if index is None:
                 index = fs.open_output_stream(f"{root}/{name}.docs.arrow")
