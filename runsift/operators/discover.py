@@ -126,16 +126,77 @@ def first_plain_word(command: Column) -> Column:
 def propose_unmatched(commands: DataFrame, prefixes: Sequence[str], interpreter_prefixes: Sequence[str] = (),
                       own_name: str = "runsift") -> DataFrame:
     """(command, uses, sum_raw) of frequent, large commands that no rule family covers."""
+    return _unmatched(commands, [], prefixes, interpreter_prefixes, own_name)
+
+
+def _unmatched(commands: DataFrame, by: list[str], prefixes: Sequence[str], interpreter_prefixes: Sequence[str], own_name: str) -> DataFrame:
     every = [*prefixes, *interpreter_prefixes]
     families = sorted({p.split()[0].lower() for p in every} | {own_name})
     word = first_plain_word(F.col("command"))
-    rows = commands.where(~covered(F.col("command"), every)).select(word.alias("command"), "raw_tokens")
+    rows = commands.where(~covered(F.col("command"), every)).select(*by, word.alias("command"), "raw_tokens")
     rows = rows.where((F.col("command") != "") & ~F.col("command").isin(families))
-    return rows.groupBy("command").agg(
+    return rows.groupBy(*by, "command").agg(
         F.count("*").alias("uses"), F.sum(F.greatest(F.col("raw_tokens"), F.lit(0))).alias("sum_raw")).where(
             (F.col("uses") >= MIN_RUNS) & (F.col("sum_raw") >= MIN_RAW_TOKENS))
 
 
+# --- H4, H5, H6 for a table of roots ---------------------------------------------------
+
+def folders(path: Column) -> Column:
+    """A path and all folders above it, without closing slashes; the top is ''."""
+    parts = F.split(F.regexp_replace(path, "/+$", ""), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+
+
+def _keys(rows: DataFrame, *keys: Column) -> DataFrame:
+    """A row for each distinct key of a row: struct(kind, key)."""
+    return rows.withColumn("_k", F.explode(F.array_distinct(F.array_compact(F.flatten(F.array(*keys)))))).withColumns(
+        {"_kind": F.col("_k.kind"), "_key": F.col("_k.key")}).drop("_k")
+
+
+def _key(kind: str, value: Column) -> Column:
+    return F.array(F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("key"))))
+
+
+def scope_all(ledger: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, ledger columns): for each of many roots (root, path, fingerprint) the rows that `project_scope` has for one.
+
+    A row names the folders above it and its project, and meets the roots on equality: a path claims what lies below it, and a
+    project is claimed by its fingerprint or, up to the newest row below the root, by rows below the root. The claims are a few rows a root,
+    and the ledger is read once for the projects seen and once for the rows, whatever the number of roots.
+    """
+    cwd, project = F.regexp_replace(nn(F.col("cwd")), "/+$", ""), F.col("project")
+    above = F.when(cwd != "", F.transform(folders(cwd), lambda x: F.struct(F.lit("folder").alias("kind"), x.alias("key"))))
+    above = F.coalesce(above, F.array().cast("array<struct<kind:string,key:string>>"))
+    at = F.struct("ts", "id")
+    paths = roots.select("root", F.lit("folder").alias("_kind"), F.regexp_replace("path", "/+$", "").alias("_key"))
+    named = roots.where("fingerprint IS NOT NULL").select("root", F.lit("project").alias("_kind"), F.col("fingerprint").alias("_key"))
+    below = _keys(ledger.where(trim_ctl(nn(project)) != "").select("ts", "id", "project", above.alias("_above")), F.col("_above")).join(with_bound(paths), ["_kind", "_key"])
+    seen = below.groupBy("root", "project").agg(F.max(at).alias("_until")).select("root", F.lit("project").alias("_kind"), F.col("project").alias("_key"), "_until")
+    claims = paths.unionByName(named).distinct().withColumn("_until", F.lit(None).cast(seen.schema["_until"].dataType)).unionByName(seen)
+    own = _keys(ledger.withColumn("_above", above), F.col("_above"), _key("project", project)).drop("_above")
+    hit = own.join(with_bound(claims), ["_kind", "_key"]).where(F.col("_until").isNull() | (at <= F.col("_until")))
+    return hit.dropDuplicates(["root", "id"]).select("root", *ledger.columns)
+
+
+def propose_safety_all(outcomes: DataFrame, scoped: DataFrame, roots: DataFrame, rules: DataFrame, max_words: int, as_of: str) -> DataFrame:
+    """(root, command, incidents): `propose_safety` for each root of ``scoped`` (`scope_all`); outcomes have an ``id``."""
+    norm = F.lower(trim_ctl(nn(F.col("command"))))
+    recent = latest(outcomes.where(F.col("kind").isin(INCIDENT_KINDS)), as_of)
+    # the projects and commands of a root, distinct before they are shuffled
+    wanted = _keys(scoped.select("root", "project", norm.alias("_cmd")).distinct(), _key("project", F.col("project")), _key("command", F.col("_cmd"))).select("root", "_kind", "_key")
+    wanted = wanted.unionByName(roots.where("fingerprint IS NOT NULL").select("root", F.lit("project").alias("_kind"), F.col("fingerprint").alias("_key"))).distinct()
+    own = _keys(recent.select("id", "command", "project"), _key("project", F.col("project")), _key("command", norm))
+    hit = own.join(wanted, ["_kind", "_key"]).dropDuplicates(["root", "id"]).select("root", "command")
+    keyed = override_key(hit, rules, max_words)
+    return keyed.groupBy("root", F.col("key").alias("command")).agg(F.count("*").alias("incidents")).where(F.col("incidents") >= MIN_INCIDENTS)
+
+
+def propose_unmatched_all(scoped: DataFrame, prefixes: Sequence[str], interpreter_prefixes: Sequence[str] = (), own_name: str = "runsift") -> DataFrame:
+    """(root, command, uses, sum_raw): `propose_unmatched` for each root of ``scoped``."""
+    return _unmatched(scoped, ["root"], prefixes, interpreter_prefixes, own_name)
+
+
 # --- H7 -------------------------------------------------------------------------------
 
 def proposal_id(kind: Column, command: Column, body: Column) -> Column:

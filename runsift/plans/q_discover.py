@@ -146,6 +146,74 @@ def h7(spark, sf):
     return H.merge_proposals(coverage(spark, sf), safety(spark, sf).withColumn("root", root), unmatched(spark, sf).withColumn("root", root), have)
 
 
+FIRST_SEEN = ",\n  fst AS"
+
+
+# --- all roots at once: one for each nation, some below others, some that share a project ---
+ROOT_PATHS = ["/work", "/work/p1/", "/work/p2", "/tmp", "/nowhere", "/work/p"]
+
+
+def roots(spark, sf):
+    k = F.col("n_nationkey")
+    path = F.get(F.array(*map(F.lit, ROOT_PATHS)), (k % len(ROOT_PATHS)).cast("int"))
+    return frames.table(spark, sf, "nation").select(k.cast("bigint").alias("root"), path.alias("path"), F.when(k % 2 == 0, (k % 10).cast("string")).alias("fingerprint"))
+
+
+_ROOTS = f"""{LED.split(FIRST_SEEN)[0]},
+  rt AS (SELECT CAST(n_nationkey AS BIGINT) AS root, rtrim([{', '.join(sql.q(x) for x in ROOT_PATHS)}][n_nationkey % {len(ROOT_PATHS)} + 1], '/') AS path, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey % 10 AS VARCHAR) END AS fp FROM nation),
+  ins AS (SELECT rt.root, led.* FROM led JOIN rt ON led.cwd = rt.path OR starts_with(led.cwd, rt.path || '/')),
+  fs AS (SELECT root, project, max((ts, id)) AS f FROM ins GROUP BY 1, 2),
+  sp AS (SELECT root, id FROM ins UNION SELECT rt.root, led.id FROM led JOIN rt ON led.project = rt.fp UNION SELECT fs.root, led.id FROM led JOIN fs ON fs.project = led.project AND (led.ts, led.id) <= fs.f),
+  scoped AS (SELECT sp.root, led.* FROM sp JOIN led ON led.id = sp.id)"""
+_SAFETY_ALL = f"""{_ROOTS}, {sql.rule_values()}, oc AS (SELECT *, CASE id % 3 WHEN 0 THEN 'apply_fallback' WHEN 1 THEN 'stage_exception' ELSE 'short_circuit' END AS kind FROM led WHERE event_type = 'error'),
+  rc AS (SELECT * FROM oc WHERE kind <> 'short_circuit' AND ts >= TIMESTAMP '{frames.AS_OF}' - INTERVAL 90 DAY),
+  wa AS (SELECT DISTINCT root, project, lower(command) AS cmd FROM scoped),
+  sc AS (SELECT DISTINCT rt.root, rc.id, rc.command FROM rc JOIN rt ON rc.project = rt.fp UNION SELECT wa.root, rc.id, rc.command FROM rc JOIN wa ON wa.project = rc.project UNION SELECT wa.root, rc.id, rc.command FROM rc JOIN wa ON wa.cmd = lower(rc.command)),
+  ky AS (SELECT root, sc.id, any_value(lower(sc.command)) AS cmd, max_by(prefix, length(prefix)) AS p FROM sc LEFT JOIN rules ON lower(command) = prefix OR starts_with(lower(command), prefix || ' ') GROUP BY 1, 2),
+  saf AS (SELECT root, coalesce(p, cmd) AS command, count(*) AS incidents FROM ky GROUP BY 1, 2 HAVING count(*) >= 3)"""
+_UNM_ALL = f"""un AS (SELECT root, string_split(lower(command), ' ') AS w, raw_tokens FROM scoped WHERE NOT EXISTS (SELECT 1 FROM rules WHERE lower(command) = prefix OR starts_with(lower(command), prefix || ' '))),
+  uw AS (SELECT root, list_filter(w, lambda q: q <> '' AND NOT starts_with(q, '-'))[1] AS command, raw_tokens FROM un),
+  unm AS (SELECT root, command, count(*) AS uses, CAST(sum(greatest(raw_tokens, 0)) AS BIGINT) AS sum_raw FROM uw WHERE command NOT IN ({_FAM}) GROUP BY 1, 2 HAVING count(*) >= 5 AND sum(greatest(raw_tokens, 0)) >= 2000)"""
+
+
+def scoped_all(spark, sf):
+    return H.scope_all(led(spark, sf), roots(spark, sf))
+
+
+def safety_all(spark, sf):
+    k = F.col("id") % 3
+    out = led(spark, sf).where(F.col("event_type") == "error").withColumn("kind", F.when(k == 0, "apply_fallback").when(k == 1, "stage_exception").otherwise("short_circuit"))
+    return H.propose_safety_all(out, scoped_all(spark, sf), roots(spark, sf), rules_frame(spark), WORDS, frames.AS_OF)
+
+
+@query("h6_scope_all_roots", f"WITH {_ROOTS} SELECT root, id, project, cwd FROM scoped")
+def h6a(spark, sf):
+    return scoped_all(spark, sf).select("root", "id", "project", "cwd")
+
+
+@query("h4_safety_all_roots", f"WITH {_SAFETY_ALL} SELECT root, command, incidents FROM saf")
+def h4a(spark, sf):
+    return safety_all(spark, sf)
+
+
+@query("h5_unmatched_all_roots", f"WITH {_ROOTS}, {sql.rule_values()}, {_UNM_ALL} SELECT * FROM unm")
+def h5a(spark, sf):
+    return H.propose_unmatched_all(scoped_all(spark, sf), PREFIXES)
+
+
+@query("h7_merge_all_roots", f"""{COVERED}, {_SAFETY_ALL}, {_UNM_ALL}, al AS (
+    SELECT 0 AS claim, 'coverage' AS kind, command, status, NULL::BIGINT AS uses, NULL::BIGINT AS incidents, NULL::BIGINT AS sum_raw, root FROM cov
+    UNION ALL SELECT 1, 'safety', command, 'ready', NULL, incidents, NULL, root FROM saf UNION ALL SELECT 2, 'unmatched', command, 'ready', uses, NULL, sum_raw, root FROM unm),
+  ex AS (SELECT *, command = 'deno' AND root % 2 = 1 AS have FROM al), fr AS (SELECT *, row_number() OVER (PARTITION BY root, command ORDER BY claim) AS rn FROM ex WHERE NOT have),
+  o AS (SELECT root, kind, status, command, uses, incidents, sum_raw FROM fr WHERE rn = 1 UNION ALL SELECT DISTINCT root, kind, 'skipped_existing', command, NULL, NULL, NULL FROM ex WHERE have)
+  SELECT sha256(kind || chr(0) || command || chr(0) || concat_ws('|', status, uses, incidents))[1:12] AS id, * FROM o""")
+def h7a(spark, sf):
+    # every second repository has an override for deno
+    have = frames.table(spark, sf, "customer").where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("root"), F.lit(" Deno").alias("command"))
+    have = have.unionByName(roots(spark, sf).where("root % 2 = 1").select("root", F.lit("deno").alias("command")))
+    return H.merge_proposals(coverage(spark, sf), safety_all(spark, sf), H.propose_unmatched_all(scoped_all(spark, sf), PREFIXES), have)
+
+
 # --- I ----------------------------------------------------------------------------------
 def html_files(spark, sf):
     return frames.table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
