@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from runsift.plans import frames, pipeline, sql
 from runsift.plans.q_reduce import _head_tail_sql
 from runsift.plans.registry import query
+from runsift.plans.stages import build_rule, rule_tests as stage_tests
 from runsift.sources.ledger_store import outcome_rows
 
 COMMANDS = ["psql -c q", "mypy src", "ps aux", "frobnicate x", "sops f", "gcc a.c"]
@@ -57,6 +58,16 @@ def a3(spark, sf):
     return outcome_rows(pipeline.run_pipeline(r)).groupBy("command", "kind").agg(F.count("*").alias("cnt"), F.max("detail").alias("detail"))
 
 
+@query("l_rule_tests", f"""WITH {sql.DOCS}, c AS (SELECT run_id, text, {_head_tail_sql(4, 6)} AS a FROM docs) SELECT run_id AS id, CASE WHEN run_id % 2 = 0 THEN text ELSE a END = a AS passed, a AS actual FROM c""")
+def rule_tests(spark, sf):
+    from runsift.operators.reduce import head_tail
+    # a test of each text: every second one expects no change, the others the reduced text
+    d = frames.docs(spark, sf)
+    tests = d.select(F.col("run_id").alias("id"), F.col("text").alias("input"), F.when(F.col("run_id") % 2 == 0, F.col("text")).otherwise(head_tail(F.col("text"), 4, 6)).alias("expected"))
+    rule = build_rule({"name": "ends", "commands": ["psql"], "stages": [{"strategy": "head_tail", "head": 4, "tail": 6}]})
+    return stage_tests(tests, rule["stages"])
+
+
 STAGES = [{"strategy": "deduplication"}, {"strategy": "head_tail", "head": 2, "tail": 2}]
 
 

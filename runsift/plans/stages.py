@@ -7,11 +7,11 @@ against the same bounds the built-in ones have.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsift.functions.text import let, nn
@@ -19,6 +19,7 @@ from runsift.operators import diffs, extract as E, gotest, reduce as R, sections
 
 # Bounds of stage parameters.
 MAX_WINDOW, MAX_PATTERN, MAX_TRANSITIONS, MAX_TOP_N, MAX_LINES = 10_000, 500, 50, 10_000, 100_000
+MAX_RULE_PATTERNS = 100_000
 CAPABILITIES = ("REDUCE", "REWRITE", "RESHAPE")
 STREAMABILITIES = ("order_local", "windowed", "document")
 
@@ -177,13 +178,42 @@ def _pattern(errors: list[str], where: str, value: str | None, needs_group: bool
     if len(value) > MAX_PATTERN:
         errors.append(f"{where}: 'pattern' exceeds {MAX_PATTERN} characters")
         return
+    if problem := pattern_problem(value, needs_group):
+        errors.append(f"{where}: {problem}")
+
+
+@lru_cache(maxsize=4096)
+def pattern_problem(pattern: str, needs_group: bool = False) -> str | None:
+    """What the engine that runs a pattern has against it; None when it compiles.
+
+    The pattern is put to the regular expression functions themselves, on one empty text: constant expressions are
+    evaluated while the statement is planned, so this runs no job. The empty alternative lets the group be looked up.
+    """
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    probe = spark.range(1).select(F.lit("").rlike(pattern).alias("v"))
     try:
-        groups = re.compile(value).groups
-    except re.error as e:
-        errors.append(f"{where}: invalid 'pattern': {e}")
-        return
-    if needs_group and groups < 1:
-        errors.append(f"{where}: 'pattern' needs a capture group")
+        probe.collect()
+    except Exception as e:
+        if "PATTERN" not in str(e) and "regex" not in str(e).lower():
+            raise
+        return "invalid 'pattern': the regular expression does not compile"
+    if needs_group:
+        try:
+            spark.range(1).select(F.regexp_extract(F.lit(""), f"{pattern}|", 1).alias("v")).collect()
+        except Exception as e:
+            if "GROUP" not in str(e).upper():
+                raise
+            return "'pattern' needs a capture group"
+    return None
+
+
+def pattern_problems(patterns: DataFrame) -> DataFrame:
+    """(id, pattern, needs_group) -> id, problem: the patterns of a rule table that its engine refuses.
+
+    A table of rules is configuration: its patterns come to the driver, which is where statements are planned.
+    """
+    found = [(r["id"], pattern_problem(r["pattern"], bool(r["needs_group"]))) for r in patterns.select("id", "pattern", "needs_group").limit(MAX_RULE_PATTERNS).collect()]
+    return patterns.sparkSession.createDataFrame(found, f"id {patterns.schema['id'].dataType.simpleString()}, problem string")
 
 
 def stage_errors(where: str, p: Mapping) -> list[str]:

@@ -77,3 +77,18 @@ def test_kept_signals_or_fallback(spark):
     out = pipeline.run_pipeline(df).withColumn("before", F.col("stdout")).withColumn("after", F.col("text_out"))
     from runsift.operators.fidelity import fidelity_check
     assert fidelity_check(out).where("NOT passed").count() == 0
+
+
+def test_patterns_are_judged_by_their_engine(spark):
+    """Forms that only the engine knows pass, forms that it lacks do not."""
+    from runsift.plans import stages
+    group = lambda p: stages.stage_errors("s", {"strategy": "grouping", "pattern": p})
+    for good in (r"(\p{Lu}+)", r"(?<word>\w++)", r"(a)|b", r"^(?:x|(y))\z", r"([a-z&&[^q]])"):
+        assert group(good) == []
+    for bad in (r"(?P<word>a)", "(", "[a", r"\k<none>(a)"):
+        assert group(bad) and "does not compile" in group(bad)[0]
+    for flat in ("abc", r"(?:a)", r"\(a\)", r"[(]a[)]"):
+        assert "capture group" in group(flat)[0]
+    assert stages.stage_errors("s", {"strategy": "regex_capture", "pattern": "abc"}) == []
+    df = spark.createDataFrame([(1, r"(\p{Lu})", True), (2, "(", False), (3, "a", True)], "id int, pattern string, needs_group boolean")
+    assert {r.id: r.problem is None for r in stages.pattern_problems(df).collect()} == {1: True, 2: False, 3: False}
