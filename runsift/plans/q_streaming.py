@@ -25,7 +25,8 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     static = frames.table(spark, sf, name)
-    return spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a pattern, since a table may be a file or a folder of files and a stream's plain path must be a folder
+    return spark.readStream.schema(static.schema).parquet(f"{sf.rstrip('/')}/{name}.parque[t]")
 
 
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:

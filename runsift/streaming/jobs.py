@@ -114,9 +114,11 @@ def run_state_machine(lines: DataFrame, folder: str, initial: str, transitions:
             after = after.join(df.where("is_end").select("run_id").distinct(), "run_id", "left_anti")
         after.write.mode("overwrite").parquet(f"{folder}/states/{number % 2}")
 
+    schema = "run_id bigint, line_no bigint, line string"
+    lines.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")  # a stream may have nothing
     query = lines.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return lines.sparkSession.read.schema("run_id bigint, line_no bigint, line string").parquet(f"{folder}/out").drop("batch")
+    return lines.sparkSession.read.schema(schema).parquet(f"{folder}/out").drop("batch")
 
 
 def stream_capped_lines(lines: DataFrame, tool: str) -> DataFrame:

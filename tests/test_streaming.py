@@ -67,3 +67,9 @@ def test_capped_lines(spark, tmp_path):
         done = [i for i, x in enumerate(ls) if "DONE" in x][:30]
         assert got[r] == set(done) | {i for i, x in enumerate(ls) if "ERROR" in x}
     assert out.count() == sum(map(len, got.values()))
+
+
+def test_stream_of_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(LINES).parquet(str(tmp_path / "in"))
+    assert jobs.run_state_machine(stream, str(tmp_path / "job"), **MACHINE).count() == 0
