@@ -33,6 +33,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables written between the jobs of one operator, in the shared folder. ``drop`` removes those that nothing reads any more:
+    call it only when what was made of them is stored. Tables that the operator's result reads stay."""
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(df.sparkSession, name)
+        df.write.parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        self._paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df, path in [x for x in self._paths if any(x[0] is t for t in tables)]:
+            spark = df.sparkSession
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        self._paths = [x for x in self._paths if not any(x[0] is t for t in tables)]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast for a stored table of a few plain columns if it has at most ``rows`` rows; else leave it to a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

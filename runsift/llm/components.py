@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import checkpointed
+from runsift.llm.common import Steps, checkpointed
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -25,14 +25,21 @@ def _small(links: DataFrame) -> DataFrame:
     return moved.unionAll(low.select("b", F.col("m").alias("a"))).distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (smallest node reachable) for every node that some link has."""
+def components(links: DataFrame, a: str = "a", b: str = "b", steps: Steps | None = None) -> DataFrame:
+    """node, component (smallest node reachable) for every node that some link has. With ``steps``, each step's links are a table
+    there, dropped after the next one; the last stays."""
     links = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {a} != {b}").distinct()
-    links = checkpointed(links)
+
+    def keep(df: DataFrame) -> DataFrame:
+        return checkpointed(df) if steps is None else steps.store(df, "component-links")
+
+    links = keep(links)
     digest = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     before = links.agg(*digest).first()
     while before[0]:
-        links = checkpointed(_small(_large(links)))
+        last, links = links, keep(_small(_large(links)))
+        if steps is not None:
+            steps.drop(last)
         now = links.agg(*digest).first()
         if now == before:
             break

@@ -25,9 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import checkpointed, chunks, stored
+from runsift.llm.common import Steps, chunks, stored
 from runsift.llm.components import components
-from runsift.llm.ngram_join import bucket_links
+from runsift.llm.edits import alike
+from runsift.llm.ngram_join import bucket_links, dealt
 from runsift.llm.shingles import mix, word_hashes
 
 #: Word runs of a line that are keys; words below which a line has trigram keys; bands and MinHashes of each; characters of
@@ -39,6 +40,8 @@ WORD_SIMS, GRAM_SIMS = ["s0", "s1", "s2", "s3"], ["c0", "c1"]
 NODE = ["size", "short", *WORD_SIMS, *GRAM_SIMS]
 #: Lines and characters of a block of a bucket.
 BLOCK_LINES, BLOCK_CHARS = 2048, 8 << 20
+#: Line classes that a task remembers having described.
+SEEN = 1_000_000
 #: Line numbers up to which a table of lines may be broadcast.
 BROADCAST_LINES = 1_000_000
 #: Words summed in a byte lane, and the lowest bit of each lane.
@@ -138,56 +141,34 @@ def sketches(lines: list[str]) -> tuple[dict[str, np.ndarray], list[np.ndarray]]
     return out, keys
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Insertions, deletions and replacements from one text to the other, by bit vectors over what differs."""
-    start, least = 0, min(len(a), len(b))
-    while start < least and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < least - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start:len(a) - end], b[start:len(b) - end]
-    if not a or not b:
-        return len(a) + len(b)
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    mask, top, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
-    plus, minus = mask, 0
-    for c in b:
-        equal = where.get(c, 0)
-        diagonal = (((equal & plus) + plus) ^ plus) | equal | minus
-        up = minus | ~(diagonal | plus) & mask
-        down = plus & diagonal
-        distance += bool(up & top) - bool(down & top)
-        up, down = (up << 1 | 1) & mask, down << 1 & mask
-        plus = down | ~(diagonal | up) & mask
-        minus = up & diagonal
-    return distance
-
-
-def similar(a: str, b: str, least: float) -> bool:
-    longest = max(len(a), len(b))
-    return longest == 0 or 1 - edit_distance(a, b) / longest >= least
-
-
 def _lines(docs: DataFrame, id_type: str) -> DataFrame:
-    """A row for each line with a word: h (line class), doc, line (number), size (characters), sketches, keys."""
+    """A row for each line with a word: h (line class), doc, line (number); size (characters), sketches and keys in the first row of a
+    class that a task meets, null in most others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in chunks(batches, "text", 2 << 20):
-            rows, numbers, texts = [], [], []
+            rows, numbers, names, texts, at = [], [], [], [], []
+            if len(seen) > SEEN:
+                seen.clear()
             for row, text in enumerate(batch.column("text").to_pylist()):
                 for n, line in enumerate((text or "").split("\n")):
                     if norm := normalised(line):
+                        h = line_hash(norm)
                         rows.append(row)
                         numbers.append(n)
-                        texts.append(norm)
+                        names.append(h)
+                        at.append(len(texts) if h not in seen else None)
+                        if h not in seen:
+                            seen.add(h)
+                            texts.append(norm)
             found, keys = sketches(texts)
             found["size"] = np.array([len(t) for t in texts], np.int64)
             ends = np.cumsum([0, *map(len, keys)])
-            yield pa.RecordBatch.from_arrays([pa.array([line_hash(t) for t in texts], pa.int64()), batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int64()), *[pa.array(found[c]) for c in NODE],
-                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))], names=["h", "doc", "line", *NODE, "keys"])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int64()), *[pa.array(found[c]).take(at) for c in NODE],
+                                              listed.take(at)], names=["h", "doc", "line", *NODE, "keys"])
 
     node = ", ".join(f"{c} {'boolean' if c == 'short' else 'bigint'}" for c in NODE)
     return docs.where("doc IS NOT NULL").mapInArrow(run, f"h bigint, doc {id_type}, line bigint, {node}, keys array<bigint>")
@@ -196,7 +177,7 @@ def _lines(docs: DataFrame, id_type: str) -> DataFrame:
 def _joining_links(rows: pa.Table, similarity: float) -> pa.Table:
     """Links between groups of one pair of blocks of a bucket, as many as join what is similar.
 
-    In each turn every line not yet in the group of some candidate is verified against its first one.
+    In each turn every line is verified against its first candidates outside its group: one, then two, four and so on.
     """
     rows = rows.sort_by("id")
     ids, sizes, short, own = (rows.column(c).to_numpy() for c in ("id", "size", "short", "own"))
@@ -213,32 +194,33 @@ def _joining_links(rows: pa.Table, similarity: float) -> pa.Table:
     near |= np.maximum(sizes[left][:, None], sizes[right][None, :]) <= TINY
     near &= np.minimum(sizes[left][:, None], sizes[right][None, :]) >= np.maximum(sizes[left][:, None], sizes[right][None, :]) * (similarity - 1e-9)
     group = np.unique(rows.column("g").to_numpy(), return_inverse=True)[1]
-    links = []
+    links, most = [], 1
     while True:
         open_ = near & (group[left][:, None] != group[right][None, :])
-        turn = np.flatnonzero(open_.any(1))
-        if not len(turn):
+        i, j = np.nonzero(open_ & (np.cumsum(open_, axis=1, dtype=np.int32) <= most))
+        if not len(i):
             break
-        for i, j in zip(turn.tolist(), open_[turn].argmax(1).tolist(), strict=True):
-            a, b = left[i], right[j]
+        good = alike([texts[k] for k in left[i]], [texts[k] for k in right[j]], similarity)
+        near[i, j] = False
+        for a, b in zip(left[i[good]].tolist(), right[j[good]].tolist(), strict=True):
             if group[a] != group[b]:
-                if similar(texts[a], texts[b], similarity):
-                    links.append((ids[a], ids[b]))
-                    group[group == group[b]] = group[a]
-                else:
-                    near[i, j] = False
+                links.append((ids[a], ids[b]))
+                group[group == group[b]] = group[a]
+        most *= 2
     return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, line, group (line class of the group's first member), of all occurrences that go."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    lines = stored(_lines(docs, id_type), "lines")
-    classes = stored(lines.groupBy(F.col("h").alias("id")).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in NODE]), "line-classes")
-    every = lines.select(F.col("h").alias("id"), F.explode("keys").alias("key"))
-    shared = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    entries = stored(every.join(shared, "key", "left_semi").distinct(), "line-keys")
+    docs, steps = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), Steps()
+    every = steps.store(_lines(docs, id_type), "described-lines")
+    lines = steps.store(every.select("h", "doc", "line"), "lines")
+    classes = steps.store(every.groupBy(F.col("h").alias("id")).agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n"), *[F.min(c).alias(c) for c in NODE]), "line-classes")
+    keyed = every.select(F.col("h").alias("id"), F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    entries = steps.store(keyed.join(shared, "key", "left_semi").distinct(), "line-keys")
+    steps.drop(every)
     nodes = classes.select("id", *NODE)
 
     def near(left: str, right: str) -> Column:
@@ -263,35 +245,42 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "norm"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(a, b, similarity) for a, b in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True)]
+        for batch in chunks(batches, "one"):
+            good = alike(batch.column("one").to_pylist(), batch.column("two").to_pylist(), similarity)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        needed = checkpointed(ids.join(classes, "id").select("id", "first.doc", "first.line"))
-        return checkpointed(_with_lines(docs, needed, F.struct("line", "id"), "wanted", "inner").mapInArrow(pick, "id bigint, norm string").dropDuplicates(["id"]))
+        needed = steps.store(ids.join(classes, "id").select("id", "first.doc", "first.line"), "wanted-lines")
+        texts = _with_lines(docs, needed, F.struct("line", "id"), "wanted", "inner").mapInArrow(pick, "id bigint, norm string").dropDuplicates(["id"])
+        texts = steps.store(texts, "line-texts")
+        steps.drop(needed)
+        return texts
 
     def verify(pairs: DataFrame) -> DataFrame:
         texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("two")), "b")
-        return checkpointed(both.select("a", "b", "one", "two").mapInArrow(compare, "a bigint, b bigint"))
+        out = steps.store(both.select("a", "b", "one", "two").mapInArrow(compare, "a bigint, b bigint"), "verified")
+        steps.drop(texts)
+        return out
 
     def across(rest: DataFrame) -> DataFrame:
         """Compare groups inside buckets: first find, by SimHash, the lines with a possible partner in another group there; only these
         get their texts, in blocks by count and by size of text, and tasks emit only links that join groups."""
-        rows = rest.select("key", "id", "g", *NODE)
-        one, two = (rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "g", *NODE)]) for side in ("l", "r"))
-        open_ = one.join(two, (one["key"] == two["key"]) & (F.col("l_g") != F.col("r_g")) & near("l_", "r_"), "left_semi")
-        open_ = checkpointed(open_.select("key", *[F.col(f"l_{c}").alias(c) for c in ("id", "g", *NODE)]))
+        one, two = dealt(rest.select("key", "id", "g", *NODE), BLOCK_LINES)
+        one, two = (side.select(*[F.col(c).alias(f"{name}_{c}") for c in ("key", "i", "j", "id", "g", *NODE)]) for side, name in ((one, "l"), (two, "r")))
+        met = (F.col("l_key") == F.col("r_key")) & (F.col("l_i") == F.col("r_i")) & (F.col("l_j") == F.col("r_j"))
+        open_ = one.join(two, met & (F.col("l_g") != F.col("r_g")) & near("l_", "r_"), "left_semi")
+        open_ = steps.store(open_.select(*[F.col(f"l_{c}").alias(c) for c in ("key", "id", "g", *NODE)]).dropDuplicates(["key", "id"]), "open-lines")
         texts = texts_of(open_.select("id").distinct())
-        full = open_.join(texts, "id")
         sizes = open_.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_LINES, F.sum("size") / BLOCK_CHARS)).cast("int").alias("blocks"))
-        dealt = full.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
-        return checkpointed(dealt.groupBy("key", "i", "j").applyInArrow(lambda t: _joining_links(t, similarity), "a bigint, b bigint"))
-
-    groups = components(bucket_links(entries, nodes, near, verify, across))
+        full = open_.join(texts, "id").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        full = full.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+        out = steps.store(full.groupBy("key", "i", "j").applyInArrow(lambda t: _joining_links(t, similarity), "a bigint, b bigint"), "joining-links")
+        steps.drop(texts, open_)
+        return out
+
+    groups = components(bucket_links(entries, nodes, near, verify, steps, across), steps=steps)
     grouped = classes.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "first", "n", F.coalesce("component", "id").alias("group"))
     kept = grouped.groupBy("group").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).where("total > 1").drop("total")
     members = grouped.select("id", "group").join(kept, "group")

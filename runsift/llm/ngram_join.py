@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runsift.llm.common import checkpointed, chunks, small, stored, summed
+from runsift.llm.common import Steps, chunks, small, summed
 from runsift.llm.components import components
 from runsift.llm.shingles import mix, shingles, word_hashes
 
 #: Counters of the frequency sketch (2^18, 1 MB: all that is sent to tasks).
 SKETCH = 1 << 18
 _SIGNATURE = 8  # 64-bit words
+#: Rows of a block of a bucket.
+BLOCK = 4096
 
 
 def _sets(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[np.ndarray]:
@@ -58,40 +60,59 @@ def fragment_cuts(sketch: np.ndarray, fragments: int) -> np.ndarray:
     return np.unique(counts[np.searchsorted(load, load[-1] * np.arange(1, fragments) / fragments)]) if load[-1] else counts[:0]
 
 
+def dealt(rows: DataFrame, members: int, weight: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cut buckets (key, id, ...) into blocks of about ``members`` rows (or units of ``weight``), so that every pair of blocks of a bucket
+    is one value of (key, i, j): the rows as left (own block i) and as right (own block j) sides. Buckets of one block are not copied."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum(weight if weight is not None else F.lit(1)) / members).cast("int").alias("blocks"))
+    cut = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return cut.withColumnsRenamed({"own": "i", "other": "j"}), cut.withColumnsRenamed({"own": "j", "other": "i"})
+
+
 def bucket_links(entries: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame],
-                 across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                 steps: Steps, across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a < b) that join all nodes as all true links would, from buckets (key, id) of possible partners.
 
     ``nodes`` has a row for each id with what ``near(left, right)``, a cheap necessary condition on prefixed columns, reads;
-    ``verify`` keeps the true links of a table of pairs. Every pair that shares a key is verified, fails ``near``, or is
-    in one group already. ``entries`` and ``nodes`` must be stored tables.
+    ``verify`` keeps the true links of a table of pairs, stored. Every pair that shares a key is verified, fails ``near``, or is
+    in one group already. ``entries`` and ``nodes`` must be stored tables; ``entries`` is dropped.
     """
     columns = [c for c in nodes.columns if c != "id"]
     left = nodes.select(F.col("id").alias("a"), *[F.col(c).alias(f"l_{c}") for c in columns])
     right = nodes.select(F.col("id").alias("b"), *[F.col(c).alias(f"r_{c}") for c in columns])
     buckets = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead")).where("c > 1").drop("c")
-    shared = stored(entries.join(buckets, "key"), "buckets")
+    shared = steps.store(entries.join(buckets, "key"), "buckets")
+    steps.drop(entries)
     pairs = shared.where("id != lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("n"))
     pairs = pairs.join(left, "a").join(right, "b").where(near("l_", "r_"))
-    best = checkpointed(pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a")).select("a", "b"))
-    first = checkpointed(verify(best))
-    groups = checkpointed(components(first))
+    best = steps.store(pairs.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a")).select("a", "b"), "first-pairs")
+    first = verify(best)
+    groups = components(first, steps=steps)
     grouped = shared.select("key", "id").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component")
+    grouped = steps.store(grouped, "grouped-buckets")
+    steps.drop(shared)
     mixed = grouped.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
-    rest = checkpointed(grouped.join(mixed, "key", "left_semi").join(nodes, "id"))
+    rest = steps.store(grouped.join(mixed, "key", "left_semi"), "mixed-buckets")
+    steps.drop(grouped)
     if across is not None:
-        return first.unionAll(across(rest))
-    one = rest.select("key", F.col("id").alias("a"), F.col("g").alias("l_g"), *[F.col(c).alias(f"l_{c}") for c in columns])
-    two = rest.select("key", F.col("id").alias("b"), F.col("g").alias("r_g"), *[F.col(c).alias(f"r_{c}") for c in columns])
-    cross = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("l_g") != F.col("r_g")) & near("l_", "r_")).select("a", "b").distinct()
-    cross = checkpointed(cross.join(best, ["a", "b"], "left_anti"))
-    return first.unionAll(verify(cross))
+        found = across(rest.join(nodes, "id"))
+    else:
+        one, two = dealt(rest.join(nodes, "id"), BLOCK)
+        one = one.select("key", "i", "j", F.col("id").alias("a"), F.col("g").alias("l_g"), *[F.col(c).alias(f"l_{c}") for c in columns])
+        two = two.select("key", "i", "j", F.col("id").alias("b"), F.col("g").alias("r_g"), *[F.col(c).alias(f"r_{c}") for c in columns])
+        cross = one.join(two, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("l_g") != F.col("r_g")) & near("l_", "r_")).select("a", "b").distinct()
+        cross = steps.store(cross.join(best, ["a", "b"], "left_anti"), "cross-pairs")
+        found = verify(cross)
+        steps.drop(cross)
+    links = steps.store(first.unionAll(found), "links")
+    steps.drop(best, first, found, rest)
+    return links
 
 
 def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, fragments: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id: the smallest id reachable over links of Jaccard similarity >= percent / 100."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs, steps = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), Steps()
     sketch = frequency_sketch(docs, size)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +135,14 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, fragments:
             ], names=["id", "n", "f1", "f2", "head", *[f"s{k}" for k in range(_SIGNATURE)]])
 
     signature = ", ".join(f"s{k} bigint" for k in range(_SIGNATURE))
-    rows = stored(docs.mapInArrow(describe, f"id {id_type}, n bigint, f1 bigint, f2 bigint, head array<bigint>, {signature}"), "shingle-heads")
+    rows = steps.store(docs.mapInArrow(describe, f"id {id_type}, n bigint, f1 bigint, f2 bigint, head array<bigint>, {signature}"), "shingle-heads")
     classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     reps = rows.join(classes.select(F.col("rep").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "left_semi").dropDuplicates(["id", "n", "f1", "f2"])
-    reps = stored(reps.drop("f1", "f2"), "shingle-classes")
-    entries = reps.select("id", F.explode("head").alias("key"))
-    nodes = reps.drop("head")
+    nodes = steps.store(reps.drop("f1", "f2", "head"), "shingle-classes")
+    entries = steps.store(reps.select("id", F.explode("head").alias("key")), "shingle-keys")
+    prints = steps.store(rows.select("id", "n", "f1", "f2"), "shingle-prints")
+    steps.drop(rows)
+    classes = prints.where("n > 0 AND id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
 
     def near(left: str, right: str) -> Column:
         a, b = F.col(f"{left}n"), F.col(f"{right}n")
@@ -145,16 +168,19 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, fragments:
                                              names=["id", "fragment", "n", "segment"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        needed = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        needed = steps.store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
         texts = docs.join(small(needed), "id", "left_semi").dropDuplicates(["id"])
-        cut = stored(texts.mapInArrow(segments, f"id {id_type}, fragment int, n bigint, segment array<bigint>"), "segments")
+        cut = steps.store(texts.mapInArrow(segments, f"id {id_type}, fragment int, n bigint, segment array<bigint>"), "segments")
         of_b = cut.select(F.col("id").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("segment").alias("two"))
         of_a = cut.select(F.col("id").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("segment").alias("one"))
         partial = pairs.join(of_b, "b").join(of_a, ["a", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("one", "two")).alias("common"))
         summed = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-        return checkpointed(summed.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b"))
+        out = steps.store(summed.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b"), "verified")
+        steps.drop(needed, cut)
+        return out
 
-    groups = components(bucket_links(entries, nodes, near, verify))
+    groups = components(bucket_links(entries, nodes, near, verify, steps), steps=steps)
+    steps.drop(nodes)
     named = classes.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
+    out = prints.join(named, ["n", "f1", "f2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

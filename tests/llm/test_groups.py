@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 import __spark_entry__ as entry
-from runsift.llm import fuzzy_lines, ngram_join, pivot_index
+from runsift.llm import edits, fuzzy_lines, ngram_join, pivot_index
 from runsift.llm.components import components
 from runsift.llm.shingles import word_hashes
 
@@ -118,7 +118,26 @@ def test_edit_distance():
     rng = random.Random(6)
     for _ in range(800):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(2))
-        assert fuzzy_lines.edit_distance(a, b) == distance(a, b)
+        assert edits.edit_distance(a, b) == distance(a, b)
+
+
+def test_edit_similarity_of_many_pairs():
+    rng = random.Random(12)
+    left, right = [], []
+    for _ in range(1500):
+        a = "".join(rng.choice("abcdeé 漢") for _ in range(rng.randint(0, rng.choice([1, 3, 20, 64, 65, 130, 400]))))
+        b = list(a)
+        for _ in range(int(len(a) * rng.choice([0, 0.05, 0.15, 0.2, 0.25, 0.5]))):
+            at, kind = rng.randrange(len(b) + 1), rng.random()
+            b[at:at + (kind < 0.7)] = rng.choice("abxyz") if kind < 0.4 or kind >= 0.7 else ""
+        left.append(a)
+        right.append("".join(b))
+    left += ["", "", "a" * 5000, "ab" * 3000]
+    right += ["", "a", "a" * 5000, "ab" * 2000]
+    for least in (0.5, 0.8, 1.0):
+        want = [edits.similar(a, b, least) for a, b in zip(left, right, strict=True)]
+        assert edits.alike(left, right, least).tolist() == want and 0 < sum(want) < len(want)
+    assert edits.alike([], [], 0.8).tolist() == []
 
 
 def lines_brute(rows, least):
@@ -134,7 +153,7 @@ def lines_brute(rows, least):
         for j in range(i + 1, len(keys)):
             if len(a) < least * len(keys[j]):
                 break
-            if fuzzy_lines.similar(a, keys[j], least):
+            if edits.similar(a, keys[j], least):
                 links.append((i, j))
     groups = {}
     for i, g in joined(range(len(keys)), links).items():
