@@ -70,12 +70,13 @@ def dealt(rows: DataFrame, members: int, weight: Column | None = None) -> tuple[
 
 
 def bucket_links(entries: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame],
-                 steps: Steps, across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                 steps: Steps, across: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a < b) that join all nodes as all true links would, from buckets (key, id) of possible partners.
 
     ``nodes`` has a row for each id with what ``near(left, right)``, a cheap necessary condition on prefixed columns, reads;
     ``verify`` keeps the true links of a table of pairs, stored. Every pair that shares a key is verified, fails ``near``, or is
-    in one group already. ``entries`` and ``nodes`` must be stored tables; ``entries`` is dropped.
+    in one group already. ``across``, if given, gets the mixed buckets (key, id, g) and the pairs
+    already compared, and finds the links between groups in their stead. ``entries`` and ``nodes`` must be stored tables; ``entries`` is dropped.
     """
     columns = [c for c in nodes.columns if c != "id"]
     left = nodes.select(F.col("id").alias("a"), *[F.col(c).alias(f"l_{c}") for c in columns])
@@ -95,7 +96,7 @@ def bucket_links(entries: DataFrame, nodes: DataFrame, near: Callable[[str, str]
     rest = steps.store(grouped.join(mixed, "key", "left_semi"), "mixed-buckets")
     steps.drop(grouped)
     if across is not None:
-        found = across(rest.join(nodes, "id"))
+        found = across(rest, best)
     else:
         one, two = dealt(rest.join(nodes, "id"), BLOCK)
         one = one.select("key", "i", "j", F.col("id").alias("a"), F.col("g").alias("l_g"), *[F.col(c).alias(f"l_{c}") for c in columns])
