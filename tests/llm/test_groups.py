@@ -213,3 +213,12 @@ def test_simhash_against_brute_force():
     for line, got in zip(lines, fuzzy_lines.simhashes(lines).view(np.uint64).tolist(), strict=True):
         hashes = word_hashes([line.encode()])[0].tolist()
         assert got == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_stage_lines_with_clashing_columns(spark):
+    rows = [(1, "one line of some words here\nanother line that stays as it is", 5, "x"), (2, "one line of some words here", 6, "y"), (3, "", 7, "z"), (4, None, 8, "w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_removed int, left string")
+    import corpus_pipeline
+
+    got = {r.doc_id: (r.text, r.n_removed, r.left) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {1: (rows[0][1], 5, "x"), 3: ("", 7, "z"), 4: (None, 8, "w")}
