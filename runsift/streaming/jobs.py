@@ -8,10 +8,12 @@ come in any order and from any partition.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,6 +23,22 @@ from runsift.operators import reduce as R
 from runsift.operators.extract import IMAGE_DONE, IMAGE_DONE_CAP, IMAGE_ERROR, NPM_CAP, NPM_KEEP
 from runsift.operators.sessions import CORRECTION_WINDOW_MS
 
+@dataclass(frozen=True)
+class Batches:
+    """A keyed stream whose micro-batches are ordinary jobs, so that no run has a Python call of its own: `drain` runs it.
+
+    ``reduce`` makes a bounded table of a batch; from it and the ``state`` left by the batch before, ``emit`` makes the rows to
+    append (``schema``) and ``keep`` the state that goes on.
+    """
+
+    lines: DataFrame
+    schema: str
+    state: str
+    reduce: Callable[[DataFrame], DataFrame]
+    emit: Callable[[DataFrame, DataFrame], DataFrame]
+    keep: Callable[[DataFrame, DataFrame], DataFrame]
+
+
 WEEK_OFFSET = "4 days"  # epoch day 0 is a Thursday, so Monday weeks start four days later
 
 
@@ -31,6 +49,9 @@ def stream_lines(lines: DataFrame, fn: Callable[[Column], Column] = R.ansi_strip
     return lines.withColumn("line", fn(nn(F.col("line"))))
 
 
+#: Lines of a run's tail in its state.
+LAST = "array<struct<no:bigint,line:string>>"
+
 #: Lines of a run that one task folds at a time.
 PART = 4096
 
@@ -43,29 +64,58 @@ def machine_parts(lines: DataFrame, transitions: Sequence[Mapping[str, str]], st
     """
     at = {s: i for i, s in enumerate(states)}
     table = [(at[t["from_state"]], (t.get("action") or "EMIT").upper() == "EMIT", at[t["next_state"]]) for t in transitions]
-    emits = np.array([(defaults[s] or "EMIT").upper() == "EMIT" if s in defaults else False for s in states])
-    hits = F.array(*[nn(F.col("line")).rlike(t["pattern"]) for t in transitions])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        moves: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-        now, keeps = np.arange(len(states)), np.zeros((len(pdf), len(states)), bool)
-        for row, flags in enumerate(map(tuple, pdf["hits"])):
-            if flags not in moves:
-                to, keep = np.arange(len(states)), emits.copy()
-                for (start, emit, end), hit in reversed(list(zip(table, flags, strict=True))):  # the first that matches decides
-                    if hit:
-                        to[start], keep[start] = end, emit
-                moves[flags] = to, keep
-            to, keep = moves[flags]
-            keeps[row] = keep[now]
-            now = to[now]
-        first = pdf.iloc[0]
-        return pd.DataFrame({"run_id": [first["run_id"]], "part": [first["part"]], "line_nos": [pdf["line_no"].tolist()], "lines": [pdf["line"].tolist()],
-                             "ends": [now.tolist()], "keeps": [keeps.T.tolist()]})
-
-    rows = lines.select("run_id", F.floor(F.col("line_no") / part).alias("part"), "line_no", "line", hits.alias("hits"))
-    return rows.groupBy("run_id", "part").applyInPandas(fold, "run_id bigint, part bigint, line_nos array<bigint>, lines array<string>, ends array<int>, keeps array<array<boolean>>")
+    emits = [(defaults[s] or "EMIT").upper() == "EMIT" if s in defaults else False for s in states]
+    hits = F.concat(F.lit(""), *[F.when(nn(F.col("line")).rlike(t["pattern"]), "1").otherwise("0") for t in transitions])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves: dict[str, tuple[list[int], list[bool]]] = {}
+
+        def move(flags: str) -> tuple[list[int], list[bool]]:
+            to, keep = list(range(len(states))), list(emits)
+            for (start, emit, end), hit in reversed(list(zip(table, flags, strict=True))):  # the first that matches decides
+                if hit == "1":
+                    to[start], keep[start] = end, emit
+            return to, keep
+
+        def folded(codes: list[str]) -> tuple[list[int], list[list[bool]]]:
+            now, keeps = list(range(len(states))), [[] for _ in states]
+            for code in codes:
+                if code not in moves:
+                    moves[code] = move(code)
+                to, keep = moves[code]
+                for kept, state in zip(keeps, now, strict=True):
+                    kept.append(keep[state])
+                now = [to[state] for state in now]
+            return now, keeps
+
+        def answer(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
+            """Parts that begin at ``starts``; the last start is the end."""
+            first = pa.array(starts[:-1], pa.int64())
+            codes = rows.column("hits").to_pylist()
+            done = [folded(codes[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            offsets = pa.array(starts, pa.int32())
+            body = rows.slice(0, starts[-1])
+            lists = [pa.ListArray.from_arrays(offsets, body.column(c).combine_chunks()) for c in ("line_no", "line")]
+            return pa.RecordBatch.from_arrays([*[rows.column(c).take(first).combine_chunks() for c in ("run_id", "part")], *lists, pa.array([x[0] for x in done], pa.list_(pa.int32())),
+                                               pa.array([x[1] for x in done], pa.list_(pa.list_(pa.bool_())))], names=["run_id", "part", "line_nos", "lines", "ends", "keeps"])
+
+        open_ = None  # rows of the part that may go on in the next Arrow batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if open_ is None else pa.concat_tables([open_, rows])
+            rows = rows.combine_chunks()
+            keys = list(zip(rows.column("run_id").to_pylist(), rows.column("part").to_pylist(), strict=True))
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            if len(starts) > 1:
+                yield answer(rows, starts)
+            open_ = rows.slice(starts[-1]) if starts else None
+        if open_ is not None:
+            rows = open_.combine_chunks()
+            yield answer(rows, [0, rows.num_rows])
+
+    rows = lines.where("run_id IS NOT NULL").select("run_id", F.floor(F.col("line_no") / part).alias("part"), "line_no", "line", hits.alias("hits"))
+    rows = rows.repartition("run_id", "part").sortWithinPartitions("run_id", "part", "line_no")
+    return rows.mapInArrow(fold, "run_id bigint, part bigint, line_nos array<bigint>, lines array<string>, ends array<int>, keeps array<array<boolean>>")
 
 
 def machine_starts(parts: DataFrame, before: DataFrame, initial: int) -> DataFrame:
@@ -73,16 +123,20 @@ def machine_starts(parts: DataFrame, before: DataFrame, initial: int) -> DataFra
 
     ``before``: (run_id, state) of the runs that began earlier. Only the maps of a run come together, a few numbers a part.
     """
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part")
-        now, out = int(pdf["state"].iloc[0]), []
-        for run, part, ends in zip(pdf["run_id"], pdf["part"], pdf["ends"], strict=True):
-            out.append((run, part, now, int(ends[now])))
-            now = int(ends[now])
-        return pd.DataFrame(out, columns=["run_id", "part", "start", "end"])
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, now = None, 0
+        for batch in batches:
+            starts, behind = [], []
+            for key, ends, state in zip(*[batch.column(c).to_pylist() for c in ("run_id", "ends", "state")], strict=True):
+                if key != run:
+                    run, now = key, state
+                starts.append(now)
+                now = ends[now]
+                behind.append(now)
+            yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("part"), pa.array(starts, pa.int32()), pa.array(behind, pa.int32())], names=["run_id", "part", "start", "end"])
 
     rows = parts.select("run_id", "part", "ends").join(before, "run_id", "left").withColumn("state", F.coalesce("state", F.lit(initial)))
-    return rows.groupBy("run_id").applyInPandas(chain, "run_id bigint, part bigint, start int, end int")
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "part").mapInArrow(chain, "run_id bigint, part bigint, start int, end int")
 
 
 def run_state_machine(lines: DataFrame, folder: str, initial: str, transitions: Sequence[Mapping[str, str]],
@@ -121,11 +175,11 @@ def run_state_machine(lines: DataFrame, folder: str, initial: str, transitions:
     return lines.sparkSession.read.schema(schema).parquet(f"{folder}/out").drop("batch")
 
 
-def stream_capped_lines(lines: DataFrame, tool: str) -> DataFrame:
+def stream_capped_lines(lines: DataFrame, tool: str) -> Batches:
     """Lines an image build or a package install shows at once, with their caps.
 
-    Lines without a cap pass statelessly. Of the others each Arrow batch keeps a run's first ones up to the cap, since no later one
-    can be shown, so the keyed count gets a bounded number of rows from a task however much a run prints.
+    Lines without a cap pass. Of the others each Arrow batch keeps a run's first ones up to the cap, since no later one
+    can be shown, so the ranking gets a bounded number of rows from a task however much a run prints; the state of a run is how many it has shown.
     """
     line = nn(F.col("line"))
     counted = {"image": line.rlike(IMAGE_DONE), "npm": line.rlike(NPM_KEEP)}[tool]
@@ -135,32 +189,85 @@ def stream_capped_lines(lines: DataFrame, tool: str) -> DataFrame:
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf[pdf.groupby("run_id")["line_no"].rank(method="first") <= cap]
+            rank = pdf[pdf["counted"]].groupby("run_id")["line_no"].rank(method="first")
+            pdf["counted"] = rank.le(cap).reindex(pdf.index, fill_value=False)
+            yield pdf[pdf["counted"] | pdf["free"]]
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        best = pd.DataFrame()
-        for pdf in batches:
-            best = pd.concat([best, pdf]).nsmallest(cap, "line_no")
-        state.update((int(min(cap, seen + len(best))),))
-        shown = best.head(cap - seen)
-        yield shown.loc[~shown["free"].astype(bool), ["run_id", "line_no", "line"]]
+    def reduce(df: DataFrame) -> DataFrame:
+        rows = df.select("run_id", "line_no", "line", counted.alias("counted"), free.alias("free")).where("counted OR free")
+        return rows.mapInPandas(first, f"{schema}, counted boolean, free boolean")
 
-    rows = lines.select("run_id", "line_no", "line", counted.alias("counted"), free.alias("free"))
-    some = rows.where("counted").drop("counted").mapInPandas(first, f"{schema}, free boolean").groupBy("run_id").applyInPandasWithState(
-        step, schema, "seen int", "append", GroupStateTimeout.NoTimeout)
-    return some.unionByName(rows.where("free").select("run_id", "line_no", "line")) if tool == "image" else some
+    def emit(rows: DataFrame, before: DataFrame) -> DataFrame:
+        ranked = rows.where("counted").withColumn("k", F.row_number().over(W.partitionBy("run_id").orderBy("line_no"))).where(F.col("k") <= cap)
+        shown = ranked.join(before, "run_id", "left").where((F.col("k") + F.coalesce("seen", F.lit(0)) <= cap) & ~F.col("free"))
+        return shown.select("run_id", "line_no", "line").unionByName(rows.where("free").select("run_id", "line_no", "line"))
+
+    def keep(rows: DataFrame, before: DataFrame) -> DataFrame:
+        more = rows.where("counted").groupBy("run_id").agg(F.count("*").alias("n"))
+        seen = F.coalesce("seen", F.lit(0)) + F.coalesce("n", F.lit(0))
+        return before.join(more, "run_id", "full").select("run_id", F.least(seen, F.lit(cap)).cast("int").alias("seen"))
+
+    return Batches(lines, schema, "run_id bigint, seen int", reduce, emit, keep)
 
 
 # --- J2, J3 ---------------------------------------------------------------------------
 
-def stream_head_tail(lines: DataFrame, head: int, tail: int, timeout: bool = False) -> DataFrame:
+def stream_head_tail(lines: DataFrame, head: int, tail: int, timeout: bool = False) -> Batches | DataFrame:
     """First lines at once, the rest at the end of the run around a marker.
 
     A run ends with its end-marker row or, with ``timeout``, when the watermark
     passes its last event. Each partition first reduces a run to its count and its
     outermost lines, so a run that fills a batch reaches the keyed step as a few rows.
+    Only ``timeout`` needs Spark's keyed state, which calls Python once a run.
     """
+    return _timed_head_tail(lines, head, tail) if timeout else _ended_head_tail(lines, head, tail)
+
+
+def _ended_head_tail(lines: DataFrame, head: int, tail: int) -> Batches:
+    def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.sort_values(["run_id", "line_no"], kind="stable")
+            body = pdf[~pdf["is_end"]]
+            runs = body.groupby("run_id", sort=False)["line_no"]
+            at, size = runs.cumcount(), runs.transform("size")
+            edge = body[(at < head) | (at >= size - tail)].drop_duplicates(["run_id", "line_no"])
+            yield edge[["run_id", "line_no", "line"]].assign(n=0, is_end=False, edge=True)
+            ends = pdf.groupby("run_id", sort=False)["is_end"].agg(["size", "sum", "max"]).reset_index()
+            yield pd.DataFrame({"run_id": ends["run_id"], "line_no": 0, "line": None, "n": ends["size"] - ends["sum"], "is_end": ends["max"].astype(bool), "edge": False})
+
+    def reduce(df: DataFrame) -> DataFrame:
+        rows = df.where("run_id IS NOT NULL").select("run_id", "line_no", "line", "is_end").mapInPandas(
+            outer, "run_id bigint, line_no bigint, line string, n bigint, is_end boolean, edge boolean")
+        edge = F.collect_set(F.when(F.col("edge"), F.struct(F.col("line_no").alias("no"), "line")))
+        return rows.groupBy("run_id").agg(F.sum("n").alias("n"), F.bool_or("is_end").alias("ended"), F.array_sort(edge).alias("edge"))
+
+    def joined(runs: DataFrame, before: DataFrame) -> DataFrame:
+        """seen (lines before this batch), count, first (lines of the head that are new), last (the tail so far)."""
+        rows = runs.join(before, "run_id", "left").withColumns({"seen": F.coalesce("count", F.lit(0).cast("bigint")), "last": F.coalesce("last", F.array().cast(LAST))})
+        new = F.greatest(F.lit(0), F.lit(head) - F.col("seen")).cast("int")
+        # a line that is already shown as head must not come again as tail
+        rest = F.concat("last", F.slice("edge", new + 1, F.size("edge")))
+        rows = rows.select("run_id", "ended", "seen", (F.col("seen") + F.col("n")).alias("count"), F.slice("edge", F.lit(1), new).alias("first"), rest.alias("rest"))
+        return rows.withColumn("last", F.slice("rest", F.greatest(F.lit(1), F.size("rest") - tail + 1), F.lit(tail)))
+
+    def emit(runs: DataFrame, before: DataFrame) -> DataFrame:
+        row = lambda no, line: F.struct(no.cast("bigint").alias("out_no"), line.alias("line"))
+        omitted = F.col("count") - head - tail
+        marker = F.format_string(f"... (%d lines omitted: lines {head + 1}..%d of %d) ...", omitted, F.col("count") - tail, F.col("count"))
+        none = F.array().cast("array<struct<out_no:bigint,line:string>>")
+        shown = F.transform("first", lambda x, i: row(F.col("seen") + i + 1, x["line"]))
+        middle = F.when(F.col("ended") & (omitted > 0), F.array(row(F.lit(head + 1), marker))).otherwise(none)
+        close = F.when(F.col("ended"), F.transform("last", lambda x: row(x["no"] + 1, x["line"]))).otherwise(none)
+        return joined(runs, before).select("run_id", F.explode(F.concat(shown, middle, close)).alias("x")).select("run_id", "x.*")
+
+    def keep(runs: DataFrame, before: DataFrame) -> DataFrame:
+        going = joined(runs, before).where("NOT ended").select("run_id", "count", "last")
+        return going.unionByName(before.join(runs, "run_id", "left_anti"))
+
+    return Batches(lines, "run_id bigint, out_no bigint, line string", f"run_id bigint, count bigint, last {LAST}", reduce, emit, keep)
+
+
+def _timed_head_tail(lines: DataFrame, head: int, tail: int) -> DataFrame:
     def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -199,43 +306,43 @@ def stream_head_tail(lines: DataFrame, head: int, tail: int, timeout: bool = Fal
             yield pd.concat([pd.DataFrame(first, columns=["run_id", "out_no", "line"]), finish(key[0], count, last)])
             return
         state.update((count, [no for no, _ in last], [t for _, t in last]))
-        if timeout:
-            state.setTimeoutTimestamp(max(int(parts["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + 1)
+        state.setTimeoutTimestamp(max(int(parts["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + 1)
         yield pd.DataFrame(first, columns=["run_id", "out_no", "line"])
 
     partial = lines.select("run_id", "line_no", "line", "is_end", "ts").mapInPandas(
         outer, "run_id bigint, n bigint, is_end boolean, nos array<bigint>, texts array<string>, ts timestamp")
-    if timeout:
-        partial = partial.withWatermark("ts", "10 minutes")
-    return partial.groupBy("run_id").applyInPandasWithState(
+    return partial.withWatermark("ts", "10 minutes").groupBy("run_id").applyInPandasWithState(
         step, "run_id bigint, out_no bigint, line string", "n bigint, nos array<bigint>, texts array<string>", "append",
-        GroupStateTimeout.EventTimeTimeout if timeout else GroupStateTimeout.NoTimeout)
+        GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_install_summary(lines: DataFrame) -> DataFrame:
+def stream_install_summary(lines: DataFrame) -> Batches:
     """End-of-run summary of a package install, once its end marker (with the exit
     code) has come: (run_id, line). State is two captures."""
     added, audit = F.regexp_extract(nn(F.col("line")), r"added (\d+) packages?", 1), F.regexp_extract(nn(F.col("line")), r"found (\d+) vulnerabilit", 0)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        a, u = state.get if state.exists else ("", "")
-        pdf = pd.concat(list(batches)).sort_values("line_no")
-        a = next((x for x in reversed(pdf["added"].tolist()) if x), a)
-        u = next((x for x in reversed(pdf["audit"].tolist()) if x), u)
-        ends = pdf[pdf["is_end"]]
-        if ends.empty:
-            state.update((a, u))
-            return
-        if state.exists:
-            state.remove()
-        if int(ends["exit_code"].iloc[-1]) == 0:
-            text = "✓ npm install" + (f": {a} packages" if a else "") + (f" | {u}" if u else "")
-            yield pd.DataFrame([(key[0], text)], columns=["run_id", "line"])
+    def reduce(df: DataFrame) -> DataFrame:
+        rows = df.select("run_id", "line_no", "is_end", F.coalesce("exit_code", F.lit(0)).alias("exit_code"), added.alias("added"), audit.alias("audit"))
+        last = lambda c, when: F.max(F.when(when, F.struct("line_no", c)))[c].alias(c)
+        return rows.where("is_end or added <> '' or audit <> ''").groupBy("run_id").agg(
+            last("added", F.col("added") != ""), last("audit", F.col("audit") != ""), last("exit_code", F.col("is_end")), F.bool_or("is_end").alias("ended"))
+
+    def joined(runs: DataFrame, before: DataFrame) -> DataFrame:
+        """Captures with those of earlier batches; a run without an id is one run too."""
+        old = before.select(F.col("run_id").alias("id"), F.col("added").alias("a"), F.col("audit").alias("u"))
+        rows = runs.join(old, F.col("run_id").eqNullSafe(F.col("id")), "left")
+        return rows.withColumns({"added": F.coalesce("added", "a", F.lit("")), "audit": F.coalesce("audit", "u", F.lit(""))})
 
-    rows = lines.select("run_id", "line_no", "is_end", F.coalesce("exit_code", F.lit(0)).alias("exit_code"), added.alias("added"), audit.alias("audit"))
-    rows = rows.where("is_end or added <> '' or audit <> ''")
-    return rows.groupBy("run_id").applyInPandasWithState(
-        step, "run_id bigint, line string", "added string, audit string", "append", GroupStateTimeout.NoTimeout)
+    def emit(runs: DataFrame, before: DataFrame) -> DataFrame:
+        packages = F.when(F.col("added") != "", F.concat(F.lit(": "), "added", F.lit(" packages"))).otherwise("")
+        found = F.when(F.col("audit") != "", F.concat(F.lit(" | "), "audit")).otherwise("")
+        return joined(runs, before).where("ended AND exit_code = 0").select("run_id", F.concat(F.lit("✓ npm install"), packages, found).alias("line"))
+
+    def keep(runs: DataFrame, before: DataFrame) -> DataFrame:
+        met = runs.select(F.col("run_id").alias("id"))
+        return joined(runs, before).where("NOT ended").select("run_id", "added", "audit").unionByName(before.join(met, F.col("run_id").eqNullSafe(F.col("id")), "left_anti"))
+
+    return Batches(lines, "run_id bigint, line string", "run_id bigint, added string, audit string", reduce, emit, keep)
 
 
 # --- J4 -----------------------------------------------------------------------------------
@@ -313,12 +420,32 @@ def stream_correction_pairs(events: DataFrame, delay: str = "10 minutes") -> Dat
         "command string, exit_code int, word string, us bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(stream: DataFrame, folder: str) -> DataFrame:
+def drain(stream: DataFrame | Batches, folder: str) -> DataFrame:
     """Run a stream over everything available and read its output table back.
 
     ``folder`` must be on storage all executors share.
     """
+    if isinstance(stream, Batches):
+        return _drain_batches(stream, folder)
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option(
         "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _drain_batches(stream: Batches, folder: str) -> DataFrame:
+    """A batch writes its state beside the one it is made from and replaces its own output, so one that is repeated changes nothing."""
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        before = spark.read.schema(stream.state).parquet(f"{folder}/states/{(number - 1) % 2}") if number else spark.createDataFrame([], stream.state)
+        reduced = stream.reduce(df)
+        reduced.write.mode("overwrite").parquet(f"{folder}/reduced")
+        rows = spark.read.schema(reduced.schema).parquet(f"{folder}/reduced")
+        stream.emit(rows, before).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        stream.keep(rows, before).write.mode("overwrite").parquet(f"{folder}/states/{number % 2}")
+
+    spark = stream.lines.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")  # a stream may have nothing
+    query = stream.lines.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").drop("batch")

@@ -73,3 +73,58 @@ def test_stream_of_nothing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(LINES).parquet(str(tmp_path / "in"))
     assert jobs.run_state_machine(stream, str(tmp_path / "job"), **MACHINE).count() == 0
+
+
+EVENTS = "run_id bigint, line_no bigint, ts timestamp, line string, is_end boolean, exit_code int"
+
+
+def events_of(spark, path, runs, cuts=5):
+    """`written` with the time and exit code columns."""
+    lines = written(spark, path, runs, cuts)
+    return lines.select("run_id", "line_no", F.timestamp_seconds(F.col("line_no")).alias("ts"), "line", "is_end", (F.col("run_id") % 4 - 1).cast("int").alias("exit_code"))
+
+
+def test_head_tail_of_runs_in_many_batches(spark, tmp_path):
+    """Heads come at once, also of runs that never end; tails and markers only at the end marker; the job calls no Python per run."""
+    runs = rows_of(4, runs=14, hot=900)
+    stream = jobs.stream_head_tail(events_of(spark, str(tmp_path / "in"), runs), 4, 6)
+    assert isinstance(stream, jobs.Batches)
+    got = {}
+    for row in jobs.drain(stream, str(tmp_path / "job")).collect():
+        got.setdefault(row.run_id, []).append((row.out_no, row.line))
+    for r, ls in runs.items():
+        want = [(i + 1, x) for i, x in enumerate(ls[:4])]
+        if r % 2:
+            n = len(ls)
+            want += [(5, f"... ({n - 10} lines omitted: lines 5..{n - 6} of {n}) ...")] if n > 10 else []
+            want += [(i + 1, ls[i]) for i in range(max(4, n - 6), n)]
+        assert sorted(got.get(r, [])) == sorted(want), r
+    assert not spark.read.schema(stream.state).parquet(str(tmp_path / "job" / "states" / "0")).where("run_id % 2 = 1").count()
+
+
+def test_install_summary_of_runs_in_many_batches(spark, tmp_path):
+    runs = {r: [f"added {i} packages" if i % 3 == 1 else "found 2 vulnerabilities" if i == r else "x" for i in range(r * 4)] for r in range(9)}
+    stream = jobs.stream_install_summary(events_of(spark, str(tmp_path / "in"), runs))
+    assert isinstance(stream, jobs.Batches)
+    got = {row.run_id: row.line for row in jobs.drain(stream, str(tmp_path / "job")).collect()}
+    # odd runs end; those of exit code 0 are summed up
+    want = {r: "✓ npm install: %d packages%s" % (max(i for i in range(r * 4) if i % 3 == 1), " | found 2 vulnerabilit" if r % 3 != 1 else "") for r in (1, 5)}
+    assert got == want
+
+
+def test_a_part_goes_on_over_arrow_batches(spark):
+    """Parts are folded from sorted rows, however the rows are cut into Arrow batches."""
+    rows = [(r, i, "begin" if i % 5 == 0 else "end" if i % 7 == 0 else "plain") for r in range(7) for i in range(50)]
+    lines = spark.createDataFrame(rows, "run_id bigint, line_no bigint, line string")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        found = []
+        for size in ("3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            parts = jobs.machine_parts(lines, MACHINE["transitions"], ["START", "IN", "ODD"], MACHINE["defaults"], 20)
+            assert "FlatMapGroupsInPandas" not in parts._jdf.queryExecution().toString()
+            found.append(sorted(map(tuple, parts.collect())))
+        assert found[0] == found[1] and len(found[0]) == 21
+        assert all(len(r[2]) == len(r[3]) == len(r[5][0]) for r in found[0])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
