@@ -52,20 +52,28 @@ def report_totals(reports: DataFrame) -> DataFrame:
 
 # --- A9 -----------------------------------------------------------------------------
 
-_TRX = ("struct<ResultSummary:struct<Counters:struct<_total:int,_passed:int,_failed:int,_error:int,_notExecuted:int,_inconclusive:int>>,"
-        "Results:struct<UnitTestResult:array<struct<_testName:string,_outcome:string,_duration:string,"
-        "Output:struct<ErrorInfo:struct<Message:string,StackTrace:string>>>>>>")
+_SUMMARY = "ResultSummary:struct<Counters:struct<_total:int,_passed:int,_failed:int,_error:int,_notExecuted:int,_inconclusive:int>>"
+_RESULTS = ("Results:struct<UnitTestResult:array<struct<_testName:string,_outcome:string,_duration:string,"
+            "Output:struct<ErrorInfo:struct<Message:string,StackTrace:string>>>>>")
+_TRX = f"struct<{_SUMMARY},{_RESULTS}>"
 
 
 def _prolog(text: Column) -> Column:
     """All before the root element, in lower case, without comments and processing instructions."""
-    bare = F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>", "")
-    at = F.regexp_instr(bare, F.lit("<[^!?]"))
-    return F.lower(F.when(at > 0, F.left(bare, at - 1)).otherwise(bare))
+    def before_root(bare: Column) -> Column:
+        return let(F.regexp_instr(bare, F.lit("<[^!?]")), lambda at: F.lower(F.when(at > 0, F.left(bare, at - 1)).otherwise(bare)))
+    return let(F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>", ""), before_root)
 
 
-def parse_trx(files: DataFrame, limits: Limits = EVERYTHING) -> DataFrame:
-    """Parsed XML reports per run: ``files`` is (run_id, file_no, text).
+def _refused(text: Column) -> Column:
+    """Whether the prolog declares a document type or an entity. A text that begins with an element has no prolog to take apart."""
+    def declared(head: Column) -> Column:
+        return head.contains("<!doctype") | head.contains("<!entity")
+    return F.when(text.rlike("^[^<]*<[^!?<]"), False).when(text.isNotNull(), let(_prolog(text), declared))
+
+
+def parse_trx(files: DataFrame, limits: Limits = EVERYTHING, parts: str = _TRX) -> DataFrame:
+    """Parsed XML reports per run: ``files`` is (run_id, file_no, text). The parser passes over what is not in ``parts``.
 
     Files with a document type or entity are refused before the parser sees them.
     """
@@ -74,10 +82,9 @@ def parse_trx(files: DataFrame, limits: Limits = EVERYTHING) -> DataFrame:
         df = df.withColumn("_n", F.row_number().over(W.partitionBy("run_id").orderBy("file_no"))).where(F.col("_n") <= limits.files)
     if limits.file_bytes is not None:
         df = df.where(F.octet_length(nn(F.col("text"))) <= limits.file_bytes)
-    head = _prolog(F.col("text"))
-    refused = head.contains("<!doctype") | head.contains("<!entity")
+    df = settled(df.select("run_id", "file_no", "text", _refused(F.col("text")).alias("refused")), "text", "refused")
     # the namespace prefix of a default namespace does not reach the element names
-    return df.select("run_id", "file_no", refused.alias("refused"), F.when(~refused, F.from_xml("text", _TRX, {"mode": "PERMISSIVE"})).alias("x"))
+    return settled(df.select("run_id", "file_no", "refused", F.when(~F.col("refused"), F.from_xml("text", parts, {"mode": "PERMISSIVE"})).alias("x")), "x")
 
 
 def _milliseconds(duration: Column) -> Column:
@@ -89,7 +96,7 @@ def _milliseconds(duration: Column) -> Column:
 def read_test_report_xml(files: DataFrame, limits: Limits = EVERYTHING) -> DataFrame:
     """Failed results: (run_id, seq, name, status, detail, duration_ms, stack)."""
     every = F.col("x.Results.UnitTestResult")
-    results = parse_trx(files, limits).where("x IS NOT NULL").select("run_id", "file_no", F.posexplode(
+    results = parse_trx(files, limits, f"struct<{_RESULTS}>").where("x IS NOT NULL").select("run_id", "file_no", F.posexplode(
         every if limits.results is None else F.slice(every, 1, limits.results)).alias("pos", "r"))
     status = F.lower(nn(F.col("r._outcome")))
     bad = results.where(status.isin("failed", "error"))
@@ -113,7 +120,7 @@ def test_report_counters(files: DataFrame, limits: Limits = EVERYTHING) -> DataF
     """Counters per run, summed over its files."""
     c = "x.ResultSummary.Counters"
     z = lambda f: F.coalesce(F.sum(F.col(f"{c}.{f}")), F.lit(0)).cast("int")
-    out = parse_trx(files, limits).groupBy("run_id").agg(
+    out = parse_trx(files, limits, f"struct<{_SUMMARY}>").groupBy("run_id").agg(
         z("_passed").alias("passed"), z("_failed").alias("failed"), z("_error").alias("errors"),
         (z("_notExecuted") + z("_inconclusive")).alias("skipped"), z("_total").alias("total"), F.count_if("refused").alias("refused"))
     return _totals(out)
@@ -145,8 +152,7 @@ def report_pieces(spark: SparkSession, path: str, pattern: str = "*.trx", run: C
     """
     rows = spark.read.option("lineSep", _END).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
-    head = _prolog(F.col("piece"))
-    firsts = rows.where("block = 0").groupBy("path").agg(F.min("at").alias("at"), F.min_by(head.contains("<!doctype") | head.contains("<!entity"), "at").alias("no"))
+    firsts = rows.where("block = 0").groupBy("path").agg(F.min("at").alias("at"), F.min_by(_refused(F.col("piece")), "at").alias("no"))
     refused = firsts.where("no").select("path", F.lit(0).cast("bigint").alias("block"), "at", F.lit(None).cast("string").alias("piece"))
     kept = rows.join(refused.select("path"), "path", "left_anti")
     return kept.unionByName(refused).select(run(F.col("path")).alias("run_id"), "path", "block", "at", "piece")
@@ -169,6 +175,8 @@ def read_report_results(pieces: DataFrame) -> DataFrame:
         opened = F.filter(F.array(F.struct(F.concat(last, rest, F.lit(_END)).alias("x"), F.concat(last, F.lit(_END)).alias("tag"))), lambda e: e["tag"].isNotNull())
         return F.concat(F.transform(closed, lambda t: F.struct(t.alias("x"), t.alias("tag"))), opened)
     found = pieces.select("run_id", "path", "block", "at", F.posexplode(let(_tags(F.col("piece"), "UnitTestResult"), lambda t: elements(F.col("piece"), t))).alias("sub", "e"))
+    # a start tag with neither word nor an entity cannot name a failed result, so passed ones are not parsed
+    found = found.where(F.col("e.tag").rlike("(?i)failed|error|&"))
     parsed = found.withColumn("r", F.from_xml("e.x", _RESULT, {"mode": "PERMISSIVE"}))
     r = settled(parsed, "r").withColumn("r", F.when(F.col("r._outcome").isNotNull(), F.col("r")).otherwise(F.from_xml("e.tag", _RESULT, {"mode": "PERMISSIVE"})))  # broken off behind its tag
     r = settled(r, "r")

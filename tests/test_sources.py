@@ -298,3 +298,46 @@ def test_outline_and_listing(spark):
     assert got == {("a.py", "outline", 2), ("a.py", "outline", 4), ("b.py", "comments", 1)}
     body = {r.path: r.body for r in I.render_file(df, "outline").collect()}
     assert body == {"a.py": "2| class A:\n4|   def f(self):\n", "b.py": "1| x = 1\n", "c.py": I.EMPTY_NOTICE}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_report_is_parsed_once(spark):
+    result = '<UnitTestResult testName="A.{0}" outcome="{1}" duration="00:00:01"/>'
+    text = '<TestRun><ResultSummary><Counters total="2" passed="1" failed="1"/></ResultSummary><Results>' + result.format("x", "Failed") + result.format("y", "Passed") + "</Results></TestRun>"
+    texts = [text, "<!-- c --><!DOCTYPE x>" + text, "<?xml version='1.0'?>" + text, text.replace("A.x", "&lt;!DOCTYPE"), "<!--<!DOCTYPE y>-->" + text, None]
+    files = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "run_id int, file_no int, text string")
+    found, counted = reports.read_test_report_xml(files), reports.test_report_counters(files)
+    assert plan_of(found).count("from_xml(") == plan_of(counted).count("from_xml(") == 1
+    assert sorted((r.run_id, r.name) for r in found.collect()) == [(0, "A.x"), (2, "A.x"), (3, "<!DOCTYPE"), (4, "A.x")]
+    assert {r.run_id: (r.total, r.refused) for r in counted.collect()} == {0: (2, 0), 1: (0, 1), 2: (2, 0), 3: (2, 0), 4: (2, 0), 5: (0, 0)}
+
+
+def test_only_results_that_may_have_failed_are_parsed(spark):
+    tag = '<UnitTestResult testName="T{0}" outcome="{1}"{2}'
+    pieces = "".join(tag.format(i, o, "/>") for i, o in enumerate(["Passed", "FAILED", "F&#97;iled", "error", "None"])) + tag.format(9, "Failed", ">")
+    df = spark.createDataFrame([("r", "p", 0, 0, pieces)], "run_id string, path string, block bigint, at bigint, piece string")
+    out = reports.read_report_results(df)
+    assert "(?i)failed|error|&" in plan_of(out)
+    assert [r.name for r in out.orderBy("seq").collect()] == ["T1", "T2", "T3", "T9"]
+
+
+def test_lint_totals_parse_a_report_once(spark):
+    from runsift.operators import extract
+    from runsift.plans import q_extract
+    text = ' \x01\n[{"errorCount":2,"warningCount":1},{"errorCount":3}]\x00 '
+    df = spark.createDataFrame([(text,), ("x",), (None,)], "text string").select(extract.lint_json_totals(F.col("text")).alias("t"))
+    assert plan_of(df).count("from_json(") == 1
+    assert [tuple(r.t) if r.t else r.t for r in df.collect()][0] == (5, 1)
+    assert plan_of(q_extract.e8t(spark, "/root/testdata/sf0.001")).count("from_json(") == 1
+
+
+def test_transcript_lines_are_parsed_where_they_can_matter(spark):
+    call = r'{"type":"tool_use","id":"c1","name":"Bash","input":{"command":"ls"}}'
+    lines = [call, '{"type":"tool_result","tool_use_id":"c1","content":"out"}', "{'command':'make'}", r'{"command":"pwd"}', '{"note":1}', "{broken"]
+    files = spark.createDataFrame([("s", "\n".join(lines))], "session_id string, text string")
+    out = transcripts.read_transcripts_jsonl(files)
+    assert plan_of(out).count("from_json(") <= 5
+    assert [r.command for r in out.orderBy("seq").collect()] == ["ls", "make", "pwd"]
