@@ -26,7 +26,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_ctl(text: Column) -> Column:
     """Drop every leading and trailing character up to U+0020."""
-    return F.regexp_replace(text, f"^[{CONTROL_WS}]+|(?<![{CONTROL_WS}])[{CONTROL_WS}]+\\z", "")
+    return F.btrim(text, F.lit("".join(map(chr, range(0x21)))))
 
 
 def strip_ws(text: Column) -> Column:

@@ -380,8 +380,7 @@ LINT_JSON = ("array<struct<filePath:string,errorCount:bigint,warningCount:bigint
 
 def lint_json(text: Column) -> Column:
     """Parsed report or NULL when the text is not a JSON array."""
-    t = trim_ctl(nn(text))
-    return F.when(t.startswith("["), F.from_json(t, LINT_JSON))
+    return let(trim_ctl(nn(text)), lambda t: F.when(t.startswith("["), F.from_json(t, LINT_JSON)))
 
 
 def lint_json_findings(text: Column) -> Column:
@@ -394,9 +393,9 @@ def lint_json_findings(text: Column) -> Column:
 
 
 def lint_json_totals(text: Column) -> Column:
-    def add(field: str) -> Column:
-        return F.aggregate(lint_json(text), F.lit(0).cast("bigint"), lambda a, f: a + F.coalesce(f[field], F.lit(0)))
-    return F.struct(add("errorCount").alias("errors"), add("warningCount").alias("warnings"))
+    def add(files: Column, field: str) -> Column:
+        return F.aggregate(files, F.lit(0).cast("bigint"), lambda a, f: a + F.coalesce(f[field], F.lit(0)))
+    return let(lint_json(text), lambda files: F.struct(add(files, "errorCount").alias("errors"), add(files, "warningCount").alias("warnings")))
 
 
 def lint_text_findings(text: Column) -> Column:

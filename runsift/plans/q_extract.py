@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from runsift.functions.text import lines_of
 from runsift.operators import diffs, extract as E, gotest, sections
+from runsift.operators.plan_shape import settled
 from runsift.plans import frames, sql
 from runsift.plans.registry import query
 
@@ -298,7 +299,7 @@ def e8(spark, sf):
 
 @query("e8_lint_json_totals", f"SELECT {_LID}, l_suppkey % 3 AS errors, l_suppkey % 4 + 1 AS warnings FROM lineitem")
 def e8t(spark, sf):
-    return lint_reports(spark, sf).select("run_id", E.lint_json_totals(F.col("text")).alias("t")).select("run_id", "t.*")
+    return settled(lint_reports(spark, sf).select("run_id", E.lint_json_totals(F.col("text")).alias("t")), "t").select("run_id", "t.*")
 
 
 LINT_TEXT = ("CASE WHEN {i} % 6 = 0 THEN '/src/' || {i} || '.js' WHEN {i} % 6 = 1 THEN '  ' || {i} || ':3  error  bad ' || substr(x, 1, 6) || '  no-' || ({i} % 4) "
