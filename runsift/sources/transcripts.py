@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from runsift.functions.redact import redact
 from runsift.functions.text import is_blank, lines_of, nn, trim_ctl
+from runsift.operators.plan_shape import settled
 from runsift.operators.prepare import with_bound
 from runsift.operators.sessions import PROXY_PREFIX, REDUCED_MARKER, pair_tool_calls
 from runsift.session import checkpoint_dir
@@ -117,11 +118,19 @@ def read_transcripts_jsonl(files: DataFrame, proxy: str = PROXY_PREFIX, marker:
     lines = files.select("session_id", "line_no", "line") if "line" in files.columns else files.select(
         "session_id", F.posexplode(lines_of(nn(F.col("text")))).alias("line_no", "line"))
     j = F.from_json(trim_ctl(F.col("line")), _LINE)
-    lines = lines.select("session_id", (F.col("line_no").cast("bigint") * _ITEM_SPACE).alias("seq"), (F.col("line_no") + 1).alias("n"), j.alias("j")).where(
-        "j IS NOT NULL").withColumn("ts", instant(F.col("j.timestamp")))
+
+    def parsed(rows: DataFrame) -> DataFrame:
+        rows = rows.select("session_id", (F.col("line_no").cast("bigint") * _ITEM_SPACE).alias("seq"), (F.col("line_no") + 1).alias("n"), j.alias("j"))
+        return settled(rows, "j").where("j IS NOT NULL").withColumn("ts", instant(F.col("j.timestamp")))
+
+    def naming(word: str) -> DataFrame:
+        """Lines that may hold the string: as it stands between quotes, or with an escape in it."""
+        line = F.col("line")
+        return parsed(lines.where(line.contains(f'"{word}"') | line.contains(f"'{word}'") | line.contains("\\")))
+
     flat = ~is_blank(nn(F.col("j.command")))
     out = nn(F.col("j.output"))
-    flat_events = lines.where(flat).select(
+    flat_events = naming("command").where(flat).select(
         "session_id", "seq", F.concat(F.lit("evt-"), F.col("n")).alias("event_id"), "ts", redact(F.col("j.command")).alias("command"),
         _int(F.coalesce("j.exitCode", "j.exit_code"), F.lit(0)).alias("exit_code"),
         F.coalesce(F.col("j.durationMillis").try_cast("bigint"), F.lit(0).cast("bigint")).alias("duration_ms"),
@@ -130,11 +139,13 @@ def read_transcripts_jsonl(files: DataFrame, proxy: str = PROXY_PREFIX, marker:
     top = F.struct("j.type", "j.id", "j.name", "j.input", "j.tool_use_id", "j.is_error", "j.exit_code", "j.content").cast(_TOOL)
     items = F.when(F.col("j.type").isin("tool_use", "tool_result"), F.array(top)).otherwise(
         F.coalesce("j.message.content", F.array().cast(f"array<{_TOOL}>")))
-    tools = lines.where(~flat).select("session_id", "seq", "ts", F.posexplode(items).alias("k", "t")).select(
-        "session_id", (F.col("seq") + F.col("k")).alias("seq"), "ts", "t")
-    calls = tools.where("t.type = 'tool_use'").select("session_id", F.col("t.id").alias("call_id"), "seq", "ts", F.col("t.name").alias("tool"),
-                                                      F.col("t.input.command").alias("command"))
-    results = tools.where("t.type = 'tool_result'").select(
+
+    def tools(kind: str) -> DataFrame:
+        return naming(kind).where(~flat).select("session_id", "seq", "ts", F.posexplode(items).alias("k", "t")).where(F.col("t.type") == kind).select(
+            "session_id", (F.col("seq") + F.col("k")).alias("seq"), "ts", "t")
+    calls = tools("tool_use").select("session_id", F.col("t.id").alias("call_id"), "seq", "ts", F.col("t.name").alias("tool"),
+                                     F.col("t.input.command").alias("command"))
+    results = tools("tool_result").select(
         "session_id", F.col("t.tool_use_id").alias("call_id"), "seq", "ts", nn(F.col("t.content")).alias("content"),
         F.col("t.exit_code").try_cast("int").alias("exit_code"), F.col("t.is_error").try_cast("boolean").alias("is_error"))
     return flat_events.select(*EVENT_COLUMNS).unionByName(pair_tool_calls(calls, results, proxy, marker).select(*EVENT_COLUMNS))
