@@ -222,3 +222,28 @@ def test_stage_lines_with_clashing_columns(spark):
 
     got = {r.doc_id: (r.text, r.n_removed, r.left) for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert got == {1: (rows[0][1], 5, "x"), 3: ("", 7, "z"), 4: (None, 8, "w")}
+
+
+def test_lines_that_share_one_frequent_key(spark):
+    """Pairs with one common word run, which many unlike lines have too, are found like others."""
+    rng = random.Random(5)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    pairs = []
+    while len(pairs) < 4:
+        one = ["common", "phrase", "here", *[word() for _ in range(12)]]
+        two = [w[:4] + "0" + w[5:] if i >= 3 and i % 3 == 0 else w for i, w in enumerate(one)]
+        found, keys = fuzzy_lines.sketches([" ".join(one), " ".join(two)])
+        apart = sum(int(np.bitwise_count(found[c].view(np.uint64)[:1] ^ found[c].view(np.uint64)[1:])[0]) for c in fuzzy_lines.WORD_SIMS)
+        if apart <= fuzzy_lines.WORD_BITS:
+            assert len(set(keys[0].tolist()) & set(keys[1].tolist())) == 1 and edits.similar(" ".join(one), " ".join(two), 0.8)
+            pairs.append((" ".join(one), " ".join(two)))
+    lines = [x for p in pairs for x in p] + [" ".join(["common", "phrase", "here", *[word() for _ in range(12)]]) for _ in range(50)]
+    for most in (1024, 16):  # as one table of pairs, and by blocks
+        old, fuzzy_lines.PAIRED = fuzzy_lines.PAIRED, most
+        try:
+            gone = fuzzy_lines.duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string"))
+            assert sorted(r.doc for r in gone.collect()) == [1, 3, 5, 7]
+        finally:
+            fuzzy_lines.PAIRED = old
