@@ -50,6 +50,7 @@ class WordEncoder:
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}  # words of letters: outlasts the other table, which holds them with a mark as well
         self.most = most
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -71,25 +72,36 @@ class WordEncoder:
                 out += self._ids(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, split = self.words, [None if _ODD.search(t) else t.split() for t in texts]
-        if len(known) > self.most:
-            known.clear()
-        new = {w for words in split if words for w in words if w not in known}
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of new words into the tables."""
+        known, letters = self.words, self.letters
+        if len(letters) > self.most:
+            letters.clear()
         marked = [w for w in new if w[-1] in ".," and _LETTERS.fullmatch(w, 0, len(w) - 1)]
         new.difference_update(marked)
-        new.update(w[:-1] for w in marked if w[:-1] not in known)
-        plain = [*new, *({".", ","} - known.keys() - new)]
-        letters = [w for w in plain if _LETTERS.fullmatch(w)]
-        known.update(zip(letters, self._letter_words(letters), strict=True))
-        plain = [w for w in plain if w not in known]
+        stems = [w[:-1] for w in marked]
+        plain = [w for w in new if w not in letters and not _LETTERS.fullmatch(w)]
+        spelt = list({w for w in [*new.difference(plain), *stems] if w not in letters})
+        letters.update(zip(spelt, self._letter_words(spelt), strict=True))
+        known.update([(w, letters[w]) for w in new.difference(plain)])
+        plain += {".", ","} - known.keys() - set(plain)
         for at in range(0, len(plain), 4096):
             part = plain[at:at + 4096]
             known.update(zip(part, self._ids(part), strict=True))
-        for w in marked:  # letters, then one full stop or comma: the ids of each
-            known[w] = known[w[:-1]] + known[w[-1]]
-        get = known.__getitem__
-        return [self._ids([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+        known.update([(w, letters[stem] + known[w[-1]]) for w, stem in zip(marked, stems, strict=True)])  # letters, then one full stop or comma: the ids of each
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        known, split = self.words, [None if _ODD.search(t) else t.split() for t in texts]
+        if len(known) > self.most:
+            known.clear()
+        found = [None if words is None else list(map(known.get, words)) for words in split]
+        gaps = [(words, ids, [k for k, x in enumerate(ids) if x is None]) for words, ids in zip(split, found, strict=True) if ids and None in ids]
+        if gaps:
+            self._learn({words[k] for words, _, places in gaps for k in places})
+        for words, ids, places in gaps:
+            for k in places:
+                ids[k] = known[words[k]]
+        return [self._ids([t])[0] if ids is None else b"".join(ids) for t, ids in zip(texts, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
