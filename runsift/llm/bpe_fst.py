@@ -1,7 +1,7 @@
 """Byte-level BPE by a lazily determinised finite-state transducer, and streaming decoding.
 
-A state of the transducer is (last token that is certain, bytes whose tokens are still open). One more
-byte gives the next state and the tokens that no continuation can change any more; a token is certain
+A state of the transducer is (last token that is certain, bytes whose tokens are still open); moves are kept by the
+open bytes alone, with a choice where the last token matters. One more byte gives the next state and the tokens that no continuation can change any more; a token is certain
 after a lookahead of at most the longest token. States and moves are built when first met and kept in
 tables that are emptied at a bound, so memory does not grow with the corpus. Decoding maps ids to bytes
 and runs an incremental UTF-8 machine over them, whose moves are kept by (state, token).
@@ -32,7 +32,11 @@ _WIDE = re.compile(r"\s \s")
 
 
 class Transducer:
-    """Tokens of one pre-split piece of text, byte by byte."""
+    """Tokens of one pre-split piece of text, byte by byte.
+
+    States are kept without the certain token before them: all that a move needs of it is whether the open bytes, where
+    they are one token, may follow it. So states with the same open bytes and splits are one, whatever came before.
+    """
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = 300_000):
         self.ranks, self.rule, self.most = ranks, PairRule(ranks, most=300_000), most_states
@@ -42,30 +46,29 @@ class Transducer:
     def _reset(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple]] = {}  # by state * 256 + byte
+        self.moves: dict[int, list] = {}  # by state * 256 + byte: open bytes if they are a token, move if they may not stand there, move if they may
         self.ends: dict[int, tuple] = {}
-        self.start = self._state(None, b"", (0,), (0,))
+        self.start = None, self._state(b"", (0,), (0,))
 
-    def _state(self, prev: bytes | None, data: bytes, starts: tuple[int, ...], live: tuple[int, ...]) -> int:
+    def _state(self, data: bytes, starts: tuple[int, ...], live: tuple[int, ...]) -> int:
         """``starts[i]``: where the last token of the first i open bytes begins; -1 if no path through the certain token leads
         there. ``live``: places, in order, from which a longer token can still start."""
-        got = self.number.get((prev, data))
+        got = self.number.get((data, starts))
         if got is None:
-            got = self.number[prev, data] = len(self.states)
-            self.states.append((prev, data, starts, live))
+            got = self.number[data, starts] = len(self.states)
+            self.states.append((data, starts, live))
         return got
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        prev, data, starts, live = self.states[state]
+    def _made(self, state: int, byte: int, fits: bool) -> tuple[int, tuple, bytes | None]:
+        """Next state, tokens that are certain now, the last of them; ``fits``: all open bytes are a token that may follow the certain one."""
+        data, starts, live = self.states[state]
         rule, ranks, open_ = self.rule, self.ranks, self.open
         data += bytes((byte,))
-        end, begin, still = len(data), -1, []
+        end, begin, still = len(data), 0 if fits else -1, []
         for j in live:  # the first that fits is the last token of the longer prefix
             token = data[j:]
-            if begin < 0 and token in ranks and rule.whole(token):
-                before = data[starts[j]:j] if j else prev
-                if before is None or rule.fits(before, token):
-                    begin = j
+            if begin < 0 and j and token in ranks and rule.whole(token) and rule.fits(data[starts[j]:j], token):
+                begin = j
             if token in open_:
                 still.append(j)
         starts += (begin,)
@@ -82,21 +85,51 @@ class Transducer:
                     break
         still.append(end)
         if not certain:
-            return self._state(prev, data, starts, tuple(still)), ()
+            return self._state(data, starts, tuple(still)), (), None
         out = tuple([ranks[data[starts[i]:i]] for i in reversed(path) if 0 < i <= certain])
-        prev, kept = data[starts[certain]:certain], [0]
+        last, kept = data[starts[certain]:certain], [0]
         for i in range(certain + 1, end + 1):
             before = starts[i] - certain
             kept.append(before if before >= 0 and kept[before] >= 0 else -1)
-        return self._state(prev, data[certain:], tuple(kept), tuple([j - certain for j in still])), out
+        return self._state(data[certain:], tuple(kept), tuple([j - certain for j in still])), out, last
+
+    def _choice(self, state: int, byte: int) -> list:
+        data = self.states[state][0] + bytes((byte,))
+        return [data if data in self.ranks and self.rule.whole(data) else None, None, None]
+
+    def _run(self, at: tuple[bytes | None, int], data: bytes, out: list[int]) -> tuple[bytes | None, int]:
+        """Move over ``data`` from (certain token, state), and add the tokens that are certain to ``out``."""
+        (prev, state), moves, fits = at, self.moves, self.rule.fits
+        for byte in data:
+            key = state << 8 | byte
+            choice = moves.get(key)
+            if choice is None:
+                choice = moves[key] = self._choice(state, byte)
+            token = choice[0]
+            good = 2 if token is not None and (prev is None or fits(prev, token)) else 1
+            move = choice[good]
+            if move is None:
+                move = choice[good] = self._made(state, byte, good == 2)
+            state, sure, last = move
+            if sure:
+                out += sure
+                prev = last
+        return prev, state
 
-    def _end(self, state: int) -> tuple:
-        _, data, starts, _ = self.states[state]
-        out, at = [], len(data)
-        while at:
-            out.append(self.ranks[data[starts[at]:at]])
-            at = starts[at]
-        return tuple(out[::-1])
+    def _move(self, at: tuple[bytes | None, int], byte: int) -> tuple[tuple[bytes | None, int], list]:
+        out: list[int] = []
+        return self._run(at, bytes((byte,)), out), out
+
+    def _end(self, at: tuple[bytes | None, int]) -> tuple:
+        rest = self.ends.get(at[1])
+        if rest is None:
+            data, starts, _ = self.states[at[1]]
+            out, end = [], len(data)
+            while end:
+                out.append(self.ranks[data[starts[end]:end]])
+                end = starts[end]
+            rest = self.ends[at[1]] = tuple(out[::-1])
+        return rest
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -105,18 +138,7 @@ class Transducer:
         if len(self.states) > self.most:
             self._reset()
         out: list[int] = []
-        state, moves = self.start, self.moves
-        for byte in piece:
-            step = moves.get(state << 8 | byte)
-            if step is None:
-                step = moves[state << 8 | byte] = self._move(state, byte)
-            state, sure = step
-            if sure:
-                out += sure
-        rest = self.ends.get(state)
-        if rest is None:
-            rest = self.ends[state] = self._end(state)
-        out += rest
+        out += self._end(self._run(self.start, piece, out))
         return out
 
 
@@ -198,7 +220,7 @@ class Utf8Machine:
 class Codec:
     """Encoder and decoder for one rank file and split pattern; ``most`` bounds the tables of finished pieces and words."""
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 600_000):
         import regex
 
         with open(path, "rb") as lines:
@@ -208,25 +230,36 @@ class Codec:
             vocab[i] = token
         self.split, self.fst, self.utf8, self.vocab = regex.compile(pattern).findall, Transducer(ranks), Utf8Machine(vocab), vocab
         self.done: dict[str, bytes] = {}  # pieces of the pattern, but for a space with letters
+        self.letters: dict[str, bytes] = {}  # a space and letters: outlasts the table of words, which holds much that is soon made of these
         self.words: dict[str, bytes] = {}  # a space and what stands up to the next one
         self.most = most
 
+    def _known(self, table: dict[str, bytes], key: str, piece: str) -> bytes:
+        value = table.get(key)
+        if value is None:
+            ids = self.fst.encode(piece.encode())
+            value = struct.pack(f"<{len(ids)}I", *ids)
+            if len(key) <= 64:
+                if len(table) >= self.most:
+                    table.clear()
+                table[key] = value
+        return value
+
     def _pieces(self, text: str) -> bytes:
         out = []
         for piece in self.split(text):
             word = piece[1:] if piece[0] == " " else ""
-            table, key = (self.words, word) if word.isalpha() else (self.done, piece)
-            value = table.get(key)
-            if value is None:
-                ids = self.fst.encode(piece.encode())
-                value = struct.pack(f"<{len(ids)}I", *ids)
-                if len(key) <= 64:
-                    if len(table) >= self.most:
-                        table.clear()
-                    table[key] = value
-            out.append(value)
+            out.append(self._known(self.letters, word, piece) if word.isalpha() else self._known(self.done, piece, piece))
         return b"".join(out)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and ``word``, which holds no space."""
+        if word.isalpha():
+            return self._known(self.letters, word, " " + word)
+        if word[-1] in ".," and word[:-1].isalpha():
+            return self._known(self.letters, word[:-1], " " + word[:-1]) + self._known(self.done, word[-1], word[-1])
+        return self._pieces(" " + word)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
@@ -240,15 +273,14 @@ class Codec:
         if None in found:
             if len(self.words) > self.most:
                 self.words.clear()
-            for k, value in enumerate(found):
+            for k in [k for k, value in enumerate(found) if value is None]:
+                word = words[k]
+                value = self.words.get(word)
                 if value is None:
-                    word = words[k]
-                    value = self.words.get(word)
-                    if value is None:
-                        value = self._pieces(" " + word)
-                        if len(word) <= 64:
-                            self.words[word] = value
-                    found[k] = value
+                    value = self._word(word)
+                    if len(word) <= 64:
+                        self.words[word] = value
+                found[k] = value
         return self._pieces(first) + b"".join(found)
 
     def decode(self, ids: bytes) -> str:

@@ -101,3 +101,29 @@ def test_shards_round_trip(corpus, long_text):
 def test_repeated_rows_follow_each_other(corpus):
     got = arrow_shards.read_documents(arrow_shards.write_shards(corpus(["b", "a", "a"], [1, 1, None]), WORD, 2)).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 1, 1] and [r.start for r in got] == [0, 2, 4]
+
+
+def test_transducer_states_hold_no_token_before():
+    """States with the same open bytes and splits are one, whatever token came before them."""
+    rng = random.Random(6)
+    parts = ["re", "th", "tion", "ing", "oush", "he", "an", "é", "ß", "nd", "bler"]
+    fst = bpe_fst.Transducer(RANKS)
+    for _ in range(2000):
+        word = "".join(rng.choice(parts) for _ in range(rng.randint(2, 6)))
+        assert fst.encode(word.encode()) == TIK.encode_ordinary(word)
+    assert len(fst.states) == len({s[-3:-1] for s in fst.states})
+
+
+def test_letter_words_outlast_the_table_of_words():
+    """Words with marks fill the table of words again and again; the letters in them are encoded once."""
+    tool, seen = bpe_fst.Codec(BYTE, public_tokenizers.PATTERN, most=60), []
+    encode = tool.fst.encode
+    tool.fst.encode = lambda piece: seen.append(piece) or encode(piece)
+    shards = arrow_shards.WordEncoder(WORD, most=60)
+    learn, asked = shards._letter_words, []
+    shards._letter_words = lambda words: asked.extend(words) or learn(words)
+    for k in range(40):
+        text = " ".join(["so", *(f"{w}{mark}" for w in ("qwertz", "asdfgh", "yxcvbn") for mark in ("", ".", ",", f"!{k}", f"?{k}", f"#{k}"))])
+        assert np.frombuffer(tool.encode(text), "<u4").tolist() == TIK.encode_ordinary(text)
+        assert np.frombuffer(shards.encode([text])[0], shards.width).tolist() == shards.tool.encode(text, add_special_tokens=False).ids
+    assert seen.count(b" qwertz") == 1 and asked.count("qwertz") == 1
