@@ -2,7 +2,8 @@
 
 All shingles have one global order: rare ones first, by a sketch of document frequencies over the whole table, then by
 hash. The order is cut into ``fragments``; a document's set falls into a segment in each. For a pair, the overlaps of
-segments are counted fragment by fragment, as separate rows, and summed.
+segments are counted fragment by fragment, one job each, and added up; a pair goes as soon as all that is left of the smaller
+set could not make it a link. So pairs carry the segments of one fragment at a time, and most unlike ones those of the first only.
 
 Pairs to count come from the heads of the sets: with Jaccard similarity ``percent`` / 100 or more, two sets share one of
 the first n - ceil(n * percent / 100) + 1 shingles. Sizes and a 512-bit parity signature, whose differing bits are at
@@ -171,13 +172,24 @@ def jaccard_groups(docs: DataFrame, percent: int = 80, size: int = 5, fragments:
     def verify(pairs: DataFrame) -> DataFrame:
         needed = steps.store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
         texts = docs.join(small(needed), "id", "left_semi").dropDuplicates(["id"])
-        cut = steps.store(texts.mapInArrow(segments, f"id {id_type}, fragment int, n bigint, segment array<bigint>"), "segments")
-        of_b = cut.select(F.col("id").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("segment").alias("two"))
-        of_a = cut.select(F.col("id").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("segment").alias("one"))
-        partial = pairs.join(of_b, "b").join(of_a, ["a", "fragment"]).select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("one", "two")).alias("common"))
-        summed = partial.groupBy("a", "b").agg(F.sum("common").alias("common"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-        out = steps.store(summed.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b"), "verified")
-        steps.drop(needed, cut)
+        cut = steps.store(texts.mapInArrow(segments, f"id {id_type}, fragment int, n bigint, segment array<bigint>"), "segments", by="fragment")
+        sizes = steps.store(cut.groupBy("id").agg(F.max("n").alias("n")), "segment-sizes")
+        open_ = pairs.join(small(sizes).select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(small(sizes).select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+        open_ = steps.store(open_.select("a", "b", "n_a", "n_b", F.lit(0).cast("bigint").alias("common"), F.col("n_a").alias("left_a"), F.col("n_b").alias("left_b")), "open-pairs")
+        steps.drop(needed, sizes)
+        for k in range(len(cuts) + 1):
+            if open_.isEmpty():
+                break
+            part, before = cut.where(F.col("fragment") == k), open_
+            both = before.join(part.select(F.col("id").alias("a"), F.col("segment").alias("one")), "a", "left").join(part.select(F.col("id").alias("b"), F.col("segment").alias("two")), "b", "left")
+            both = both.withColumns({"common": F.col("common") + F.when(F.col("one").isNull() | F.col("two").isNull(), 0).otherwise(F.size(F.array_intersect("one", "two"))),
+                                     "left_a": F.col("left_a") - F.when(F.col("one").isNull(), 0).otherwise(F.size("one")),
+                                     "left_b": F.col("left_b") - F.when(F.col("two").isNull(), 0).otherwise(F.size("two"))}).select(before.columns)
+            most = F.col("common") + F.least("left_a", "left_b")
+            open_ = steps.store(both.where(most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent), "open-pairs")
+            steps.drop(before)
+        out = steps.store(open_.select("a", "b"), "verified")
+        steps.drop(open_, cut)
         return out
 
     groups = components(bucket_links(entries, nodes, near, verify, steps), steps=steps)

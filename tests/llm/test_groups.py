@@ -2,11 +2,14 @@
 
 import random
 import re
+import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from runsift.llm import edits, fuzzy_lines, ngram_join, pivot_index
+from runsift.llm.common import Steps, stored
 from runsift.llm.components import components
 from runsift.llm.shingles import word_hashes
 
@@ -247,3 +250,15 @@ def test_lines_that_share_one_frequent_key(spark):
             assert sorted(r.doc for r in gone.collect()) == [1, 3, 5, 7]
         finally:
             fuzzy_lines.PAIRED = old
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def files():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList().mkString("\n").count("shuffle_")
+    for store in (stored, Steps().store):
+        before = files()
+        out = store(spark.range(2000).groupBy((F.col("id") % 1000).alias("k")).count(), "shuffle-test")
+        end = time.time() + 10
+        while files() > before and time.time() < end:
+            time.sleep(0.2)
+        assert files() <= before and out.count() == 1000
