@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -252,6 +253,55 @@ def test_lines_that_share_one_frequent_key(spark):
             fuzzy_lines.PAIRED = old
 
 
+def test_near_pairs_keep_every_similar_pair():
+    """Pairs of a bucket, whole and cut into blocks, against all pairs that the sketches allow; none that is similar is dropped."""
+    rng = random.Random(11)
+    lines = []
+    for _ in range(60):
+        base = "".join(rng.choice("abcde ") for _ in range(rng.randint(4, 70)))
+        for _ in range(3):
+            other = list(base)
+            for _ in range(rng.randint(0, len(base) // 6)):
+                at = rng.randrange(len(other))
+                other[at:at + rng.randint(0, 1)] = rng.choice("abcde ")
+            lines.append(fuzzy_lines.normalised("".join(other)))
+    lines = sorted({x for x in lines if x})
+    found, _ = fuzzy_lines.sketches(lines)
+    found["size"] = np.array([len(x) for x in lines])
+    ids, similar, listed = np.arange(len(lines)), set(), []
+    for blocks in (1, 3):
+        tables = []
+        for cell, (i, j) in enumerate((i, j) for i in range(blocks) for j in range(i, blocks)):
+            rows = np.flatnonzero((ids % blocks == i) | (ids % blocks == j))
+            tables.append(pa.table({"id": ids[rows], "g": ids[rows] // 2, "own": ids[rows] % blocks, "cell": np.full(len(rows), cell), "single": np.full(len(rows), i == j), **{c: found[c][rows] for c in fuzzy_lines.NODE}}))
+        got = [p for t in fuzzy_lines._near_pairs(pa.concat_tables(tables), 0.8) for p in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True)]
+        assert len(got) == len(set(got)) and all(a < b and a // 2 != b // 2 for a, b in got)
+        listed.append(set(got))
+    words, grams = ([found[c].view(np.uint64) for c in names] for names in (fuzzy_lines.WORD_SIMS, fuzzy_lines.GRAM_SIMS))
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines)):
+            near = [sum(int(np.bitwise_count(x[a] ^ x[b])) for x in sims) for sims in (words, grams)]
+            allowed = near[0] <= fuzzy_lines.WORD_BITS or found["short"][a] and found["short"][b] and near[1] <= fuzzy_lines.GRAM_BITS or max(len(lines[a]), len(lines[b])) <= fuzzy_lines.TINY
+            if a // 2 != b // 2 and allowed and edits.similar(lines[a], lines[b], 0.8):
+                similar.add((a, b))
+    assert listed[0] == listed[1] >= similar and len(similar) > 30
+
+
+def test_edit_bands_of_many_pairs():
+    """Batches by bands, with heads first, against the plain distance: shifts up to the edge of a band, and texts of one batch that end apart."""
+    rng = random.Random(12)
+    left, right = [], []
+    for _ in range(400):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([40, 150, 170, 310, 330, 640, 900]) + rng.randint(0, 30)))
+        cut = int(len(a) * rng.choice([0.05, 0.09, 0.1, 0.11, 0.19, 0.2, 0.21]))
+        shift = "".join(rng.choice("xyz") for _ in range(cut))
+        left.append(a)
+        right.append(rng.choice([shift + a[:len(a) - cut], a[cut:] + shift, a[cut:], shift + a, a]))
+    for least in (0.8, 0.9):
+        want = [edits.similar(a, b, least) for a, b in zip(left, right, strict=True)]
+        assert edits.alike(left, right, least).tolist() == want and 0 < sum(want) < len(want)
+
+
 def test_stored_tables_leave_no_shuffle_files(spark):
     def files():
         return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList().mkString("\n").count("shuffle_")
