@@ -312,3 +312,47 @@ def test_stored_tables_leave_no_shuffle_files(spark):
         while files() > before and time.time() < end:
             time.sleep(0.2)
         assert files() <= before and out.count() == 1000
+
+
+def test_lines_of_large_buckets(spark):
+    """Many unlike lines with a run of words in common, and groups of near copies among them, some of longer lines than the sketches hold."""
+    rng = random.Random(21)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n)]
+    lines = []
+    for n in (3, 20, 300):
+        bases = [["common", "run", "here", *words(n)] for _ in range(60)]
+        lines += [" ".join(x) for x in bases]
+        lines += [" ".join([w[:3] + w[4:] if 3 <= i and i % 6 == 3 else w for i, w in enumerate(x)]) for x in bases[:20]]
+    gone, links = lines_brute(list(enumerate(lines)), 0.8)
+    assert links >= 60
+    assert {(r.doc, r.line) for r in fuzzy_lines.duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()} == gone
+
+
+def test_normalised_lines_equal_single_lines():
+    rng = random.Random(22)
+    signs = "aB Σσςİıß\t\r_-9٣²Ⅷ漢́. " + "\n" * 4
+    for _ in range(200):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 4))]
+        assert fuzzy_lines.normalised_lines(texts) == [fuzzy_lines.normalised(x).encode() for t in texts for x in t.split("\n")]
+
+
+def test_word_bits_keep_pairs_with_scattered_typos():
+    """Lines in which a letter of half the words differs pass the filter by words; unlike lines do not."""
+    rng = random.Random(23)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(4000)]
+    one = [[rng.choice(pool) for _ in range(n)] for n in (15, 30, 60, 120, 200, 400) * 20]
+    two = [[w[:1] + "z" + w[2:] if k in touched else w for k, w in enumerate(x)] for x in one for touched in [set(rng.sample(range(len(x)), len(x) // 2))]]
+    found = [fuzzy_lines._columns(fuzzy_lines._described([" ".join(x).encode() for x in part])[0]) for part in (one, two)]
+    every = np.arange(len(one))
+    assert len(fuzzy_lines._near(found[0], every, found[1], every, 0.8)) >= 0.99 * len(one)
+    assert len(fuzzy_lines._near(found[0], every, found[1], (every + 6) % len(one), 0.8)) == 0
+
+
+def test_components_at_once(spark):
+    rng = random.Random(24)
+    links = [(rng.randrange(300) - 150, rng.randrange(300) - 150) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    found = [{(r.node, r.component) for r in components(df, steps=Steps(), at_once=most).collect()} for most in (0, 1000)]
+    assert found[0] == found[1] and len(found[0]) > 300
